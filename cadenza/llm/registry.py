@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["token_files", "piece_codec", "token_counts"]
+MODULES = ["token_files", "piece_codec", "token_counts", "decontaminate", "shingle_join"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
