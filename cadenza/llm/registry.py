@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["token_files", "piece_codec", "token_counts", "decontaminate", "shingle_join"]
+MODULES = ["token_files", "piece_codec", "token_counts", "quality", "warc", "decontaminate", "shingle_join", "url_filter"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
