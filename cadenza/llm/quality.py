@@ -28,14 +28,11 @@ COST = 5
 STRATA = 10_000
 
 
-def _repeated(words: Column, n: Column) -> Column:
-    """How many words lie in 3-word windows that are found twice or more; windows are told by 64-bit hashes."""
-    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def _repeated(ordered: Column) -> Column:
+    """How many words lie in windows of equal hashes; ordered: the windows' (h, i), sorted."""
     pairs = F.zip_with(ordered, F.slice(ordered, 2, F.size(ordered)), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])))
     found = F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
-    covered = F.aggregate(found, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda t, i: F.struct(i.alias("last"), (t["n"] + F.least(F.lit(3), i - t["last"])).alias("n")))
-    return F.when(n < 3, 0).when(F.size(F.array_distinct(hashes)) == n - 2, 0).otherwise(covered["n"]).cast("long")
+    return F.aggregate(found, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda t, i: F.struct(i.alias("last"), (t["n"] + F.least(F.lit(3), i - t["last"])).alias("n")), lambda t: t["n"])
 
 
 def _share(part: str, whole: str) -> Column:
@@ -46,12 +43,18 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with __q: a struct of the base statistics and the rules' values of each whole text.
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, and RULES. A null
-    or empty text, or one of white space, has none of these and fails the base.
+    or empty text, or one of white space, has none of these and fails the base. Windows of three words
+    are told by 64-bit hashes. The steps are columns of their own, so that each is worked out once; a
+    filter on __q would be pushed below them, and so __q is to be saved before it's filtered on.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     parts = docs.withColumn("__t", t).withColumn("__w", F.filter(F.split("__t", SPACES), lambda w: w != ""))
     parts = parts.withColumn("__l", F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     n = F.size("__w")
+    window = lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2))
+    parts = parts.withColumn("__h", F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window)).otherwise(F.array().cast("array<bigint>")))
+    again = F.size(F.array_distinct("__h")) < F.size("__h")
+    parts = parts.withColumn("__o", F.when(again, F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     counted = parts.withColumn(
         "__c",
         F.struct(
@@ -59,7 +62,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
             F.regexp_count("__t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-            _repeated(F.col("__w"), n).alias("n_repeat_words"),
+            F.coalesce(_repeated(F.col("__o")), F.lit(0)).cast("long").alias("n_repeat_words"),
             F.size("__l").cast("long").alias("n_lines"),
             F.regexp_count("__t", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
         ),
@@ -68,7 +71,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     shares = [("n_symbols", "word_chars"), ("n_dup_lines", "n_lines"), ("n_capitals", "word_chars"), ("n_repeat_words", "n_words")]
     base = [F.col(f"__c.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     values = [_share(f"__c.{a}", f"__c.{b}").alias(rule) for rule, (a, b) in zip(RULES, shares)]
-    return counted.withColumn("__q", F.struct(*base, failed.alias("base_failed"), *values)).drop("__t", "__w", "__l", "__c")
+    return counted.withColumn("__q", F.struct(*base, failed.alias("base_failed"), *values)).drop("__t", "__w", "__l", "__h", "__o", "__c")
 
 
 def _allowed(alpha: float, n: str, level: str) -> Column:
@@ -122,6 +125,15 @@ def _stratum(docs: DataFrame) -> Column:
     return F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
 
 
+def _judged(docs: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """doc_id, __x (a hash of the text), the base statistics, base_failed and kept of each row."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__x"), _stratum(docs).alias("__stratum"))
+    stats = common.saved(statistics(rows).select("doc_id", "__x", "__stratum", "__q.*"), "quality")
+    found = _rejected(stats, cutoffs(stats.withColumnRenamed("__stratum", "stratum"), labels, alpha, delta), "{}")
+    kept = ~F.col("base_failed") & ~F.col("__rejected")
+    return found.select("doc_id", "__x", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+
+
 def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept: a row for each row of docs (doc_id, text, lang).
 
@@ -129,20 +141,13 @@ def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: floa
     no words and fails. Other columns of docs aren't looked at. An empty table gives no rows, and
     without labels nothing but the base rejects.
     """
-    stats = statistics(docs.select("doc_id", "text", _stratum(docs).alias("__stratum"))).select("doc_id", "__stratum", "__q.*")
-    stats = common.saved(stats, "quality")
-    rows = _rejected(stats, cutoffs(stats.withColumnRenamed("__stratum", "stratum"), labels, alpha, delta), "{}")
-    kept = ~F.col("base_failed") & ~F.col("__rejected")
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    return _judged(docs, labels, alpha, delta).drop("__x")
 
 
 def kept(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of docs that judged keeps, with all their columns."""
-    stats = statistics(docs.select("doc_id", "text", _stratum(docs).alias("stratum"))).select("doc_id", "stratum", "__q.*")
-    stats = common.saved(stats, "quality")
-    rows = statistics(docs.withColumn("__stratum", _stratum(docs)))
-    rows = _rejected(rows, cutoffs(stats, labels, alpha, delta), "__q.{}")
-    return rows.where("not __q.base_failed and not __rejected").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs that judged keeps, with all their columns. Rows are told by doc_id (null is an id) and text."""
+    gone = _judged(docs, labels, alpha, delta).where("not kept").select(F.col("doc_id").alias("__d"), F.col("__x")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__x")), "left_anti")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

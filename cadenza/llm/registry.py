@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["token_files", "piece_codec", "token_counts", "quality", "warc", "decontaminate", "shingle_join", "url_filter"]
+MODULES = ["token_files", "piece_codec", "token_counts", "shards", "quality", "warc", "decontaminate", "shingle_join", "pii", "url_filter"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
