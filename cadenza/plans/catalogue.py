@@ -1,6 +1,470 @@
-"""The queries of the library with their SQL for DuckDB."""
+"""The queries of the library on the driver's tables, with their SQL for DuckDB.
+
+events stands in for signals (a user's values in order of time), embeddings for labelled feature
+vectors, documents and labels for files and verdicts. Doubles are rounded to 6 places on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cadenza.functions import arrays
+from cadenza.operators import fusion, metrics, models, sequence, signal, split, stats
+
+SIZE, HOP = 17, 8
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: What the SQL texts share.
+WITH = {
+    "s": "s as (select user_id as file, row_number() over (partition by user_id order by ts, event_id) - 1 as i, value as x, count(*) over (partition by user_id) as n from events)",
+    "fr": "fr as (select s.file, f.frame, s.i, s.x, s.n from s join (select distinct file, n, unnest(range(0, (n - 17) // 8 + 1)) as frame from s where n >= 17) f on s.file = f.file and s.i >= f.frame * 8 and s.i < f.frame * 8 + 17)",
+    "mk": "mk as (select file, i, n, (x > 50)::int as m, (x > 60)::int as e from s)",
+    "en": "en as (select file, frame, avg(x * x) as energy from fr group by all)",
+    "isl": "isl as (select file, run, m, min(i) as first, max(i) as last from (select *, sum(t) over (partition by file order by i) as run from (select *, case when m <> lag(m) over (partition by file order by i) then 1 else 0 end as t from mk)) group by all)",
+    "on_": "on_ as (select file, i, n, m - coalesce(lag(m) over w, m) as a, e - coalesce(lag(e) over w, e) as b from mk window w as (partition by file order by i))",
+    "v": "v as (select vec_id, label, unnest(range(0, 64)) as d, unnest(embedding)::double as v from embeddings)",
+    "q": "q as (select l.doc_id, l.quality as y, (d.n_chars > 800)::int as p, d.lang from labels l join documents d using (doc_id))",
+    "fo": "fo as (select source as cls, doc_id as file, floor((row_number() over (partition by source order by doc_id) - 1) / ceil(count(*) over (partition by source) / 4.0))::int as fold from documents)",
+    "sc": "sc as (select vec_id, label, unnest([0, 1, 2]) as feat, unnest([[abs(embedding[1])::double, abs(embedding[2])::double], [abs(embedding[3])::double, abs(embedding[4])::double], [abs(embedding[5])::double, abs(embedding[6])::double]]) as p from embeddings)",
+}
+
+
+def query(name: str, uses: str = "", sql: str | None = None):
+    """Registers a query; uses: names of WITH in order."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = ("with " + ", ".join(WITH[u] for u in uses.split()) + " " if uses else "") + sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def signals(spark: SparkSession, sf: str) -> DataFrame:
+    return sequence.sequence(table(spark, sf, "events"), "user_id", "value", ["ts", "event_id"])
+
+
+def marks(spark: SparkSession, sf: str) -> DataFrame:
+    return signals(spark, sf).select("file", "i", "n", (F.col("x") > 50).cast("int").alias("m"), (F.col("x") > 60).cast("int").alias("e"))
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings")
+
+
+def elements(spark: SparkSession, sf: str) -> DataFrame:
+    return split.unpivoted(vectors(spark, sf), ["vec_id", "label"], "embedding").withColumn("v", F.col("v").cast("double"))
+
+
+def verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "lang", (F.col("n_chars") > 800).cast("int").alias("p"))
+    return table(spark, sf, "labels").select("doc_id", F.col("quality").alias("y")).join(docs, "doc_id")
+
+
+def scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Three families of two scores each."""
+    e = lambda k: F.abs(F.element_at("embedding", k)).cast("double")
+    families = F.array(*(F.struct(F.lit(k).alias("feat"), F.array(e(2 * k + 1), e(2 * k + 2)).alias("p")) for k in range(3)))
+    return vectors(spark, sf).select("vec_id", "label", F.explode(families).alias("f")).select("vec_id", "label", "f.feat", "f.p")
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query("frame_agreement_scores", "s fr", """, fm as (select file, frame, avg(x) as mean from fr group by all),
+c as (select (mean > 50)::int as y, (mean > 45)::int as p from fm),
+k as (select unnest([0, 1]) as label), t as (select label, count(*) filter (where y = label and p = label) as tp, count(*) filter (where y = label) as a, count(*) filter (where p = label) as b from c, k group by label)
+select label, round(coalesce(2.0 * tp / nullif(a + b, 0), 0), 6) as f1 from t union all select -1, round(avg(coalesce(2.0 * tp / nullif(a + b, 0), 0)), 4) from t""")
+def frame_agreement_scores(spark, sf):
+    frames = sequence.frame_mean_var(signals(spark, sf), SIZE, HOP)
+    rows = frames.select((F.col("mean") > 50).cast("int").alias("y"), (F.col("mean") > 45).cast("int").alias("p"))
+    return rounded(metrics.f1_scores(rows, [0, 1]), "f1")
+
+
+@query("frame_mean_var", "s fr", "select file, frame, round(avg(x), 6) as mean, round(var_pop(x), 6) as var from fr group by all")
+def frame_mean_var(spark, sf):
+    return rounded(sequence.frame_mean_var(signals(spark, sf), SIZE, HOP), "mean", "var")
+
+
+@query("frame_rms_energy", "s fr en", "select file, frame, round(energy, 6) as energy, round(sqrt(energy), 6) as rms from en")
+def frame_rms_energy(spark, sf):
+    return rounded(sequence.frame_energy(signals(spark, sf), SIZE, HOP), "energy", "rms")
+
+
+@query("frame_zcr", "s", ", z as (select file, i, x - 50 as x, n from s), f as (select distinct file, n, unnest(range(0, (n - 17) // 8 + 1)) as frame from z where n >= 17), r as (select z.file, frame, z.x, lag(z.x) over (partition by z.file, frame order by z.i) as y from z join f on z.file = f.file and z.i >= frame * 8 and z.i < frame * 8 + 17) select file, frame, round(sum(case when (x < 0) <> (y < 0) then 1 else 0 end) / 17.0, 6) as zcr from r group by all")
+def frame_zcr(spark, sf):
+    centred = signals(spark, sf).withColumn("x", F.col("x") - 50)
+    return rounded(sequence.frame_zcr(centred, SIZE, HOP), "zcr")
+
+
+@query("low_energy_share", "s fr en", "select file, round(avg((energy < 0.5 * m)::int), 6) as share from (select *, avg(energy) over (partition by file) as m from en) group by file")
+def low_energy_share(spark, sf):
+    return rounded(sequence.low_energy_share(signals(spark, sf), SIZE, HOP), "share")
+
+
+@query("preemphasis", "s", "select file, i, round(x - 0.97 * coalesce(lag(x) over (partition by file order by i), 0), 6) as y from s")
+def preemphasis(spark, sf):
+    return rounded(sequence.preemphasis(signals(spark, sf)).select("file", "i", "y"), "y")
+
+
+@query("patch_grid", "s", ", p as (select distinct file, n, unnest(range(0, ceil(n / 8.0)::bigint)) as patch from s where n >= 17), q as (select file, patch, least(patch * 8, n - 17) as start from p) select q.file, patch, start, round(avg(x), 6) as mean, round(var_pop(x), 6) as var from q join s on s.file = q.file and s.i >= start and s.i < start + 17 group by all")
+def patch_grid(spark, sf):
+    return rounded(sequence.patch_grid(signals(spark, sf), SIZE, HOP), "mean", "var")
+
+
+@query("patch_centered_label", "s", ", w as (select *, avg(x) over (partition by file order by i rows between 5 preceding and 4 following) as mean from s) select a.file, (a.i - 5) // 3 as patch, round(a.mean, 6) as mean, (b.x > 50)::int as label from w a join s b on a.file = b.file and b.i = a.i - 5 where a.i >= 5 and a.i < a.n - 5 and (a.i - 5) % 3 = 0")
+def patch_centered_label(spark, sf):
+    return rounded(sequence.patch_centered(signals(spark, sf), 10, 3, (F.col("x") > 50).cast("int")), "mean")
+
+
+@query("silence_mask", "s", ", c as (select file, i, n, x - avg(x) over (partition by file) as c from s), z as (select file, i, n, coalesce(c / nullif(max(abs(c)) over (partition by file), 0), 0) as x from c), f as (select distinct file, n, unnest(range(0, (n - 17) // 8 + 1)) as frame from z where n >= 17), r as (select z.file, frame, sqrt(avg(x * x)) as rms from z join f on z.file = f.file and z.i >= frame * 8 and z.i < frame * 8 + 17 group by all) select file, frame, (rms > 0.85 * max(rms) over (partition by file))::int as m from r")
+def silence_mask(spark, sf):
+    return sequence.silence_mask(signals(spark, sf), SIZE, HOP, 0.85)
+
+
+@query("silence_islands", "s mk isl", "select file, run::bigint as run, m, first, last from isl")
+def silence_islands(spark, sf):
+    return sequence.islands(marks(spark, sf))
+
+
+@query("silence_ratio_frequency", "s mk isl", "select file, round(sum(case when m = 0 then last - first + 1 else 0 end) / sum(last - first + 1), 6) as ratio, round(count(*) filter (where m = 0) / (count(*) + 1e-10), 6) as frequency from isl group by file")
+def silence_ratio_frequency(spark, sf):
+    return rounded(sequence.silence_ratio(marks(spark, sf)), "ratio", "frequency")
+
+
+@query("moving_trend_removed", "s", "select file, i, round(x - avg(x) over (partition by file order by i rows between 3 preceding and 3 following), 6) as y from s")
+def moving_trend_removed(spark, sf):
+    return rounded(sequence.trend_removed(signals(spark, sf), 3).select("file", "i", "y"), "y")
+
+
+@query("cumsum", "s", "select file, i, round(sum(x) over (partition by file order by i), 6) as y from s")
+def cumsum(spark, sf):
+    return rounded(sequence.cumulated(signals(spark, sf)).select("file", "i", "y"), "y")
+
+
+@query("mode_filter", "s mk", "select file, i, case when i >= 2 and i < n - 2 then (2 * sum(m) over (partition by file order by i rows between 2 preceding and 1 following) > 4)::int else m end as y from mk")
+def mode_filter(spark, sf):
+    return sequence.mode_filter(marks(spark, sf), 4).select("file", "i", "y")
+
+
+@query("median_filter", "s", "select file, i, round(list_sort(list_concat(w, list_resize([]::double[], 5 - len(w), 0.0)))[3], 6) as y from (select file, i, list(x) over (partition by file order by i rows between 2 preceding and 2 following) as w from s)")
+def median_filter(spark, sf):
+    return rounded(sequence.median_filter(signals(spark, sf), 5).select("file", "i", "y"), "y")
+
+
+@query("onset_events", "s mk on_", "select file, i, abs(a) as onoff, (a > 0)::int as onset from on_")
+def onset_events(spark, sf):
+    return sequence.onsets(marks(spark, sf)).select("file", "i", "onoff", "onset")
+
+
+@query("roll_shift", "s", "select file, ((i - 20) % n + n) % n as i, x from s")
+def roll_shift(spark, sf):
+    return sequence.rolled(signals(spark, sf), -20).select("file", "i", "x")
+
+
+@query("ngram_context", "s", "select a.file, a.i, round(b.x, 6) as before, round(a.x, 6) as here, round(c.x, 6) as after from s a join s b on a.file = b.file and b.i = (a.i - 1 + a.n) % a.n join s c on a.file = c.file and c.i = (a.i + 1) % a.n")
+def ngram_context(spark, sf):
+    rows = sequence.context(signals(spark, sf), 1)
+    return rows.select("file", "i", *(F.round(F.element_at("around", k + 1), 6).alias(c) for k, c in enumerate(("before", "here", "after"))))
+
+
+@query("transition_track", "s", ", m as (select file, i, n, avg(x) over l as a, var_pop(x) over l as va, avg(x) over r as b, var_pop(x) over r as vb from s window l as (partition by file order by i rows between 7 preceding and 1 preceding), r as (partition by file order by i rows between current row and 6 following)), d as (select file, i, case when i >= 7 and i <= n - 7 and va > 0 and vb > 0 then 0.25 * ln(0.25 * (va / vb + vb / va + 2)) + 0.25 * (a - b) * (a - b) / (va + vb) end as d from m) select file, i, round(case when d > avg(d) over w + 5 * stddev_pop(d) over w then min(d) over w else d end, 6) as d from d window w as (partition by file)")
+def transition_track(spark, sf):
+    return rounded(sequence.transition_track(signals(spark, sf), 7), "d")
+
+
+def _events(spark, sf):
+    m = marks(spark, sf)
+    at = lambda c: sequence.onsets(m.select("file", "i", "n", F.col(c).alias("m"))).where("onset = 1").select("file", "i")
+    return at("m"), at("e")
+
+
+_MATCH = ", r as (select file, i from on_ where a > 0), e as (select file, i from on_ where b > 0), nr as (select file, count(*) as n_ref from r group by file), ne as (select file, count(*) as n_est from e group by file)"
+
+
+@query("event_match_ref", "s mk on_", _MATCH + ", h as (select file, count(*) as tp from r where exists (select 1 from e where e.file = r.file and abs(e.i - r.i) <= 1) group by file) select file, coalesce(n_ref, 0) as n_ref, coalesce(n_est, 0) as n_est, coalesce(tp, 0) as tp, coalesce(n_ref, 0) - coalesce(tp, 0) as fn, coalesce(n_est, 0) - coalesce(tp, 0) as fp from nr full join ne using (file) left join h using (file)")
+def event_match_ref(spark, sf):
+    return metrics.matched_by_reference(*_events(spark, sf), 1)
+
+
+@query("event_match_greedy", "s mk on_", _MATCH + ", f as (select e.file, e.i, min(r.i) as r from e join r on e.file = r.file and abs(e.i - r.i) <= 1 group by all), h as (select file, count(distinct r) as tp from f group by file) select file, coalesce(n_ref, 0) as n_ref, coalesce(n_est, 0) as n_est, coalesce(tp, 0) as tp, coalesce(n_ref, 0) - coalesce(tp, 0) as fn, coalesce(n_est, 0) - coalesce(tp, 0) as fp from nr full join ne using (file) left join h using (file)")
+def event_match_greedy(spark, sf):
+    return metrics.matched_greedily(*_events(spark, sf), 1)
+
+
+_RATES = ", ".join(f"(select {t} as tolerance, cls, count(*) as n, sum((exists (select 1 from ev e where e.k = 'b' and e.cls = r.cls and e.file = r.file and abs(e.i - r.i) <= {t}))::int) as tp from ev r where k = 'a' group by cls)" for t in (1, 2)).replace("), (", ") union all (")
+
+
+@query("event_rates_grouping_sets", "s mk on_", f", ev as (select file, i, 'a' as k, 'speech' as cls from on_ where a > 0 union all select file, i, 'b', 'speech' from on_ where b > 0 union all select file, i, 'a', 'music' from on_ where a < 0 union all select file, i, 'b', 'music' from on_ where b < 0), c as ({_RATES}), g as (select c.tolerance, c.cls, tp::bigint as tp, n, (select count(*) from ev where k = 'b' and ev.cls = c.cls) - tp as fp, n - tp as fn from c), p as (select tolerance, cls, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn, sum(n) as n from g group by grouping sets ((tolerance, cls), (tolerance))) select tolerance, cls, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, n::bigint as n, round(tp / (tp + fp + 1e-10), 6) as precision, round(tp / (tp + fn + 1e-10), 6) as recall, round(fn / (n + 1e-10), 6) as deletion, round(fp / (n + 1e-10), 6) as insertion, round(fn / (n + 1e-10) + fp / (n + 1e-10), 6) as error from p")
+def event_rates_grouping_sets(spark, sf):
+    m = marks(spark, sf)
+    counts = None
+    for cls, flip in (("speech", 0), ("music", 1)):
+        at = lambda c, flip=flip: sequence.onsets(m.select("file", "i", "n", (F.col(c) if not flip else 1 - F.col(c)).alias("m"))).where("onset = 1").select("file", "i")
+        for tolerance in (1, 2):
+            one = metrics.matched_by_reference(at("m"), at("e"), tolerance).select(F.lit(tolerance).alias("tolerance"), F.lit(cls).alias("cls"), "tp", "fp", "fn", "n_ref")
+            counts = one if counts is None else counts.unionByName(one)
+    return rounded(metrics.event_rates(counts).drop("f1"), "precision", "recall", "deletion", "insertion", "error")
+
+
+@query("interval_to_frames", "s mk isl", ", l as (select distinct file, n, n * 0.5 as seconds from s), k as (select file, m, first * 0.5 as t0, (last - first + 1) * 0.5 as dur from isl where m = 1) select file, 's' as cls, unnest(range(floor(t0 / seconds * n)::bigint, least(ceil((t0 + dur) / seconds * n)::bigint, n - 1) + 1)) as i from k join l using (file)")
+def interval_to_frames(spark, sf):
+    runs = sequence.islands(marks(spark, sf)).where("m = 1")
+    intervals = runs.select("file", (F.col("first") * 0.5).alias("t0"), ((F.col("last") - F.col("first") + 1) * 0.5).alias("dur"), F.lit("s").alias("cls"))
+    lengths = table(spark, sf, "events").groupBy(F.col("user_id").alias("file")).agg(F.count("*").alias("n")).withColumn("seconds", F.col("n") * 0.5)
+    return sequence.interval_frames(intervals, lengths)
+
+
+@query("confusion", "q", "select y, p, count(*) as n from q group by all")
+def confusion(spark, sf):
+    return metrics.confusion(verdicts(spark, sf))
+
+
+@query("f1_scores", "q", ", k as (select unnest([0, 1]) as label), t as (select label, count(*) filter (where y = label and p = label) as tp, count(*) filter (where y = label) as a, count(*) filter (where p = label) as b from q, k group by label) select label, round(coalesce(2.0 * tp / nullif(a + b, 0), 0), 6) as f1 from t union all select -1, round(avg(coalesce(2.0 * tp / nullif(a + b, 0), 0)), 4) from t")
+def f1_scores(spark, sf):
+    return rounded(metrics.f1_scores(verdicts(spark, sf), [0, 1]), "f1")
+
+
+@query("accuracy", "q", "select round(avg((y = p)::int), 6) as accuracy from q")
+def accuracy(spark, sf):
+    return rounded(metrics.accuracy(verdicts(spark, sf)), "accuracy")
+
+
+@query("segment_stats", "q", ", c as (select count(*) filter (where y = 1 and p = 1) as tp, count(*) filter (where y = 0 and p = 1) as fp, count(*) filter (where y = 1 and p = 0) as fn, count(*) filter (where y = 0 and p = 0) as tn from q), k as (select 1 as cls, tp, fp, fn from c union all select 0, tn, fn, fp from c), r as (select *, tp / nullif(tp + fp, 0) as precision, tp / nullif(tp + fn, 0) as recall from k) select cls, tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall, round(2 * precision * recall / nullif(precision + recall, 0), 6) as f1 from r")
+def segment_stats(spark, sf):
+    return rounded(metrics.segment_stats(verdicts(spark, sf)), "precision", "recall", "f1")
+
+
+def _folds(spark, sf):
+    files = table(spark, sf, "documents").select(F.col("source").alias("cls"), F.col("doc_id").alias("file"))
+    return split.kfold(files, 4, ["file"])
+
+
+@query("kfold_assign", "fo", "select * from fo")
+def kfold_assign(spark, sf):
+    return _folds(spark, sf)
+
+
+@query("kfold_train_test", "fo", "select cls, file, fold, round, case when fold = round then 'test' else 'train' end as role from (select *, unnest([0, 1, 2, 3]) as round from fo)")
+def kfold_train_test(spark, sf):
+    return split.train_test(_folds(spark, sf), 4)
+
+
+@query("train_val_split", "", "select lang as cls, doc_id, case when row_number() over (partition by lang order by doc_id) <= floor(0.7 * count(*) over (partition by lang)) then 'train' else 'val' end as role from documents")
+def train_val_split(spark, sf):
+    return split.train_val(table(spark, sf, "documents").select(F.col("lang").alias("cls"), "doc_id"), ["doc_id"])
+
+
+@query("fold_mean_std", "fo", ", a as (select fold, avg(file) as score from fo group by fold) select round(avg(score), 6) as mean, round(stddev_pop(score), 6) as std from a")
+def fold_mean_std(spark, sf):
+    return rounded(metrics.fold_summary(_folds(spark, sf).groupBy("fold").agg(F.avg("file").alias("score")), "score"), "mean", "std")
+
+
+@query("standard_scale", "v", "select vec_id, d, round(coalesce((v - avg(v) over w) / nullif(stddev_pop(v) over w, 0), 0), 6) as z from v window w as (partition by label, d)")
+def standard_scale(spark, sf):
+    z = split.standard_scaled(vectors(spark, sf), ["vec_id"], ["label"], "embedding")
+    return rounded(z.select("vec_id", F.posexplode("z").alias("d", "z")).withColumn("d", F.col("d").cast("long")), "z")
+
+
+@query("train_fit_scale", "v", ", t as (select d, avg(v) as m, stddev_pop(v) as s from v where vec_id % 5 < 4 group by d) select vec_id, d, round(coalesce((v - m) / nullif(s, 0), 0), 6) as z from v join t using (d)")
+def train_fit_scale(spark, sf):
+    z = split.standard_scaled(vectors(spark, sf), ["vec_id"], [], "embedding", F.col("vec_id") % 5 < 4)
+    return rounded(z.select("vec_id", F.posexplode("z").alias("d", "z")).withColumn("d", F.col("d").cast("long")), "z")
+
+
+def _classes(spark, sf):
+    return elements(spark, sf).select(F.col("label").alias("cls"), F.col("d").cast("long").alias("d"), "v", F.col("vec_id").alias("id"))
+
+
+@query("balanced_mean", "v", "select d, round(avg(m), 6) as mean from (select label, d, avg(v) as m from v group by all) group by d")
+def balanced_mean(spark, sf):
+    return rounded(split.balanced_mean(_classes(spark, sf)), "mean")
+
+
+@query("mean_deviation", "v", ", b as (select d, avg(m) as m from (select label, d, avg(v) as m from v group by all) group by d) select d, round(sum(v - m) / (count(*) - 1), 6) as mean_dev, round(stddev_samp(v), 6) as std from v join b using (d) group by d")
+def mean_deviation(spark, sf):
+    return rounded(split.mean_deviation(_classes(spark, sf)), "mean_dev", "std")
+
+
+@query("class_histogram", "v", ", h as (select label as cls, least(99, floor((v + 4.0) / 8.0 * 100))::int as bin, count(*) as n from v where v between -4 and 4 group by all) select cls, bin, round(n / sum(n) over (partition by cls), 6) as share from h")
+def class_histogram(spark, sf):
+    return rounded(split.histogram(_classes(spark, sf), 100, -4.0, 4.0), "share")
+
+
+@query("class_balanced_sample", "", ", ".join(["with r as (select label as cls, vec_id, row_number() over (partition by label order by vec_id) - 1 as r, count(*) over (partition by label) as n from embeddings)"]) + " select cls, vec_id, unnest(range(r, 100, n))::int as slot from r where r < 100")
+def class_balanced_sample(spark, sf):
+    return split.class_balanced(vectors(spark, sf).select(F.col("label").alias("cls"), "vec_id"), ["vec_id"], 100)
+
+
+@query("cepstral_subset", "", "select vec_id, unnest(range(0, 21)) as k, unnest(list_concat(list_concat(embedding[1:7], embedding[14:20]), embedding[27:33]))::double as v from embeddings")
+def cepstral_subset(spark, sf):
+    return vectors(spark, sf).select("vec_id", F.posexplode(arrays.cepstral_subset("embedding")).alias("k", "v")).select("vec_id", F.col("k").cast("long").alias("k"), F.col("v").cast("double").alias("v"))
+
+
+@query("drop_nonfinite", "", "select vec_id, count(*) as n from (select vec_id, unnest(embedding) as v from embeddings where vec_id % 7 <> 0) group by all")
+def drop_nonfinite(spark, sf):
+    broken = F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda v, i: F.when(i == 3, F.lit(float("nan"))).otherwise(v))).otherwise(F.col("embedding"))
+    rows = vectors(spark, sf).select("vec_id", broken.alias("v")).where(arrays.finite("v"))
+    return rows.select("vec_id", F.size("v").cast("long").alias("n"))
+
+
+@query("zero_pad", "", "select vec_id, 70::bigint as n, round(list_sum(embedding)::double, 3) as total from embeddings")
+def zero_pad(spark, sf):
+    padded = vectors(spark, sf).select("vec_id", arrays.zero_padded(F.transform("embedding", lambda v: v.cast("double")), 70).alias("v"))
+    return padded.select("vec_id", F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda t, v: t + v), 3).alias("total"))
+
+
+@query("truncate_halves", "", "select vec_id, unnest(range(0, 62)) as k, unnest(list_concat(embedding[1:31], embedding[33:63]))::double as v from embeddings")
+def truncate_halves(spark, sf):
+    cut = vectors(spark, sf).select("vec_id", F.posexplode(arrays.without_last_of_halves("embedding")).alias("k", "v"))
+    return cut.select("vec_id", F.col("k").cast("long").alias("k"), F.col("v").cast("double").alias("v"))
+
+
+@query("majority_vote", "sc", ", w as (select vec_id, (p[2] > p[1])::int as p from sc) select vec_id, (sum(p) >= 2)::int as label from w group by vec_id")
+def majority_vote(spark, sf):
+    votes = scores(spark, sf).withColumn("p", metrics.argmax_label("p"))
+    return fusion.majority_vote(votes, ["vec_id"])
+
+
+@query("score_sum_fusion", "sc", ", f as (select vec_id, sum(p[1]) as a, sum(p[2]) as b from sc group by all) select vec_id, round(a, 6) as a, round(b, 6) as b, (b > a)::int as label from f")
+def score_sum_fusion(spark, sf):
+    f = fusion.score_sum(fusion.complete(scores(spark, sf), ["vec_id"], 3), ["vec_id"])
+    return rounded(f.select("vec_id", F.element_at("p", 1).alias("a"), F.element_at("p", 2).alias("b"), "label"), "a", "b")
+
+
+@query("score_mean_fusion", "sc", ", f as (select vec_id, avg(p[1]) as a, avg(p[2]) as b from sc group by all) select vec_id, round(a, 6) as a, round(b, 6) as b, (b > a)::int as label from f")
+def score_mean_fusion(spark, sf):
+    f = fusion.score_mean(scores(spark, sf), ["vec_id"])
+    return rounded(f.select("vec_id", F.element_at("p", 1).alias("a"), F.element_at("p", 2).alias("b"), "label"), "a", "b")
+
+
+@query("missing_features_anti", "", "select doc_id from documents where doc_id not in (select doc_id from labels)")
+def missing_features_anti(spark, sf):
+    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left_anti")
+
+
+@query("available_features_semi", "", "select doc_id from documents where doc_id in (select doc_id from labels)")
+def available_features_semi(spark, sf):
+    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left_semi")
+
+
+@query("truncate_to_shorter", "", "with a as (select lang as file, doc_id as x, row_number() over (partition by lang order by doc_id) - 1 as place from documents), b as (select lang as file, doc_id as y, row_number() over (partition by lang order by doc_id) - 1 as place from documents where n_chars > 1000) select file, place, x, y from a join b using (file, place)")
+def truncate_to_shorter(spark, sf):
+    docs = table(spark, sf, "documents")
+    a = docs.select(F.col("lang").alias("file"), F.col("doc_id").alias("x"), F.col("doc_id").alias("o"))
+    b = docs.where("n_chars > 1000").select(F.col("lang").alias("file"), F.col("doc_id").alias("y"), F.col("doc_id").alias("o"))
+    return split.zipped_to_shorter(a, b, ["o"]).select("file", "place", "x", "y").withColumn("place", F.col("place").cast("long"))
+
+
+@query("fusion_tail_fill", "s", ", c as (select file, i, x, n - 6 as m, n from s where i < n - 6) select file, i, round(x, 6) as x from c union all select file, i + n - m, round(x, 6) from c where i >= 2 * m - n")
+def fusion_tail_fill(spark, sf):
+    short = signals(spark, sf).where("i < n - 6").withColumn("m", F.col("n") - 6)
+    return rounded(sequence.tail_filled(short, F.col("n")).select("file", "i", "x"), "x")
+
+
+@query("snr_mix_gain", "s", ", z as (select file, i as j, x as z, n as m from s), u as (select s.file, avg(x * x) as ex, avg(z * z) as en from s join z on z.file = (s.file + 1) and z.j = s.i % z.m group by s.file) select file, snr_db, round(sqrt(ex / pow(10.0, snr_db / 10.0) / en), 6) as gain from (select *, unnest([10, 5, 0]) as snr_db from u)")
+def snr_mix_gain(spark, sf):
+    s = signals(spark, sf)
+    return rounded(sequence.snr_gain(s, s.withColumn("file", F.col("file") - 1), [10, 5, 0]), "gain")
+
+
+@query("mel_scales", "", "select event_id, round(2595 * log10(1 + abs(value) / 700), 6) as mel10, round(1127 * ln(1 + abs(value) / 700), 6) as mel_e, round(700 * (pow(10, abs(value) / 2595) - 1), 6) as hz10 from events")
+def mel_scales(spark, sf):
+    v = F.abs("value")
+    return rounded(table(spark, sf, "events").select("event_id", arrays.mel10(v).alias("mel10"), arrays.mel_e(v).alias("mel_e"), arrays.hz10(v).alias("hz10")), "mel10", "mel_e", "hz10")
+
+
+@query("path_and_pairs", "", "select page_id, string_split(string_split(url, '/')[-1], '.')[1] as stem, string_split('id:' || page_id, ':')[2] as value from pages")
+def path_and_pairs(spark, sf):
+    pair = F.concat(F.lit("id:"), F.col("page_id").cast("string"))
+    return table(spark, sf, "pages").select("page_id", arrays.stem("url").alias("stem"), arrays.named_value(pair)["value"].alias("value"))
+
+
+@query("argmax_threshold", "sc", "select vec_id, feat, case when p[2] > p[1] then 1 else 0 end as arg, (p[1] > 0.5)::int as over from sc")
+def argmax_threshold(spark, sf):
+    return scores(spark, sf).select("vec_id", "feat", metrics.argmax_label("p").alias("arg"), (F.element_at("p", 1) > 0.5).cast("int").alias("over"))
+
+
+@query("pearson_pairs", "v", "select a.d::bigint as a, b.d::bigint as b, round(corr(a.v, b.v), 6) as r from v a join v b using (vec_id) where (a.d, b.d) in ((0, 1), (0, 2), (1, 2), (3, 40)) group by all")
+def pearson_pairs(spark, sf):
+    long = _classes(spark, sf)
+    return rounded(stats.pearson_pairs(long, [(0, 1), (0, 2), (1, 2), (3, 40)]), "r")
+
+
+@query("spearman_pairs", "v", ", k as (select vec_id, d, rank() over (partition by d order by v) + (count(*) over (partition by d, v) - 1) / 2.0 as v from v) select a.d::bigint as a, b.d::bigint as b, round(corr(a.v, b.v), 6) as r from k a join k b using (vec_id) where (a.d, b.d) in ((0, 1), (0, 2), (3, 40)) group by all")
+def spearman_pairs(spark, sf):
+    return rounded(stats.spearman_pairs(_classes(spark, sf), [(0, 1), (0, 2), (3, 40)]), "r")
+
+
+@query("gaussian_nb_predict", "v", ", m as (select max(s) * 1e-9 as e from (select var_pop(v) as s from v where vec_id % 5 < 4 group by d)), g as (select label as cls, d, avg(v) as mu, var_pop(v) + (select e from m) as va from v where vec_id % 5 < 4 group by all), pr as (select label as cls, count(*) as c, sum(count(*)) over () as t from embeddings where vec_id % 5 < 4 group by label), l as (select vec_id, g.cls, ln(any_value(c) / any_value(t)) + sum(-0.5 * ln(2 * pi() * va) - (v - mu) * (v - mu) / (2 * va)) as ll from v join g using (d) join pr on pr.cls = g.cls where vec_id % 5 = 4 group by all) select vec_id, arg_max(cls, ll) as p from l group by vec_id")
+def gaussian_nb_predict(spark, sf):
+    rows = vectors(spark, sf)
+    model = models.gaussian_fit(rows.where("vec_id % 5 < 4"), "label", "embedding")
+    return models.gaussian_predict(rows.where("vec_id % 5 = 4"), model, "vec_id", "embedding").select("vec_id", F.col("label").alias("p"))
+
+
+@query("hour_windows", "", "select time_bucket(interval '6 hours', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def hour_windows(spark, sf):
+    from cadenza.streaming import windows
+
+    return rounded4(windows.tumbling(table(spark, sf, "events"), "6 hours"))
+
+
+def rounded4(df):
+    return df.withColumn("total", F.round("total", 4))
+
+
+# What SQL can't say is tested against the formulas in numpy.
+
+
+@query("manova_stats")
+def manova_stats(spark, sf):
+    return spark.createDataFrame([stats.manova(vectors(spark, sf), "embedding", "label")], "wilks double, pillai double, hotelling double, roy double")
+
+
+@query("cca_first")
+def cca_first(spark, sf):
+    return spark.createDataFrame([(stats.first_canonical(vectors(spark, sf), "embedding", 32),)], "r double")
+
+
+@query("pca95")
+def pca95(spark, sf):
+    mean, axes = stats.principal(vectors(spark, sf), "embedding")
+    return stats.projected(vectors(spark, sf), "embedding", mean, axes).select("vec_id", "z")
+
+
+def _waves(spark, sf):
+    return signals(spark, sf).groupBy("file").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("samples"))
+
+
+for _name in signal.FAMILIES:
+    QUERIES[_name] = lambda spark, sf, name=_name: signal.features(_waves(spark, sf), name, fs=1000, size=32, hop=16)
+
+
+@query("hmm_viterbi")
+def hmm_viterbi(spark, sf):
+    seq = signals(spark, sf)
+    model = models.hmm_fit(seq.withColumn("label", (F.col("x") > 50).cast("int")), states=2, rounds=5)
+    return models.hmm_decode(seq, model)
+
+
+@query("svm_rff_grid")
+def svm_rff_grid(spark, sf):
+    rows = vectors(spark, sf).withColumn("label", (F.col("label") >= 5).cast("int"))
+    return models.rff_svm_grid(rows, "label", "embedding", [0.5, 2.0], [0.01, 0.1])
+
+
+@query("mlp")
+def mlp(spark, sf):
+    return models.mlp_predict(vectors(spark, sf), "label", "embedding", "vec_id", [32])
