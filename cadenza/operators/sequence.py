@@ -10,15 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("file").orderBy("i")
-ALL = Window.partitionBy("file")
+
+def _by():
+    return Window.partitionBy("file").orderBy("i")
+
+
+def _whole():
+    return Window.partitionBy("file")
 
 
 def sequence(rows: DataFrame, file: str, value: str, order: list[str]) -> DataFrame:
     """(file, i, x, n) of rows in the given order."""
     by = Window.partitionBy("file").orderBy(*order)
     named = rows.select(F.col(file).alias("file"), F.col(value).alias("x"), *order)
-    return named.select("file", (F.row_number().over(by) - 1).cast("long").alias("i"), "x", F.count("*").over(ALL).alias("n"))
+    return named.select("file", (F.row_number().over(by) - 1).cast("long").alias("i"), "x", F.count("*").over(_whole()).alias("n"))
 
 
 def framed(seq: DataFrame, size: int, hop: int) -> DataFrame:
@@ -40,20 +45,20 @@ def frame_energy(seq: DataFrame, size: int, hop: int) -> DataFrame:
 
 def frame_zcr(seq: DataFrame, size: int, hop: int) -> DataFrame:
     """Share of a frame's samples whose sign differs from that of the sample before, within the frame."""
-    crossed = seq.withColumn("c", ((F.col("x") < 0) != (F.lag("x").over(BY) < 0)).cast("int"))
+    crossed = seq.withColumn("c", ((F.col("x") < 0) != (F.lag("x").over(_by()) < 0)).cast("int"))
     inner = framed(crossed, size, hop).withColumn("c", F.when(F.col("i") > F.col("frame") * hop, F.col("c")).otherwise(0))
     return inner.groupBy("file", "frame").agg((F.sum("c") / size).alias("zcr"))
 
 
 def low_energy_share(seq: DataFrame, size: int, hop: int, part: float = 0.5) -> DataFrame:
     """Share of a file's frames with less than part of the mean energy."""
-    energy = frame_energy(seq, size, hop).withColumn("mean", F.avg("energy").over(ALL))
+    energy = frame_energy(seq, size, hop).withColumn("mean", F.avg("energy").over(_whole()))
     return energy.groupBy("file").agg(F.avg((F.col("energy") < part * F.col("mean")).cast("double")).alias("share"))
 
 
 def preemphasis(seq: DataFrame, coefficient: float = 0.97) -> DataFrame:
     """x[i] - coefficient * x[i - 1]; the first sample stays."""
-    return seq.withColumn("y", F.col("x") - coefficient * F.coalesce(F.lag("x").over(BY), F.lit(0.0)))
+    return seq.withColumn("y", F.col("x") - coefficient * F.coalesce(F.lag("x").over(_by()), F.lit(0.0)))
 
 
 def patch_starts(lengths: DataFrame, size: int, step: int) -> DataFrame:
@@ -76,7 +81,7 @@ def patch_grid(seq: DataFrame, size: int, step: int) -> DataFrame:
 def patch_centered(seq: DataFrame, size: int, step: int, label: Column) -> DataFrame:
     """Patches around h, h + step, ... < n - h, h = size // 2, over [i - h, i + h): mean, and the label at place k * step."""
     h = size // 2
-    inside = BY.rowsBetween(-h, h - 1)
+    inside = _by().rowsBetween(-h, h - 1)
     marked = seq.withColumn("label", label).withColumn("mean", F.avg("x").over(inside))
     centres = marked.where((F.col("i") >= h) & (F.col("i") < F.col("n") - h) & ((F.col("i") - h) % step == 0))
     centres = centres.select("file", ((F.col("i") - h) / step).cast("long").alias("patch"), "mean")
@@ -92,10 +97,10 @@ def tiled(column: str, size: int) -> Column:
 
 def silence_mask(seq: DataFrame, size: int, hop: int, part: float) -> DataFrame:
     """m = 1 for frames whose root mean square, of the signal less its mean and over its peak, exceeds part of the largest."""
-    centred = seq.withColumn("c", F.col("x") - F.avg("x").over(ALL))
-    scaled = centred.withColumn("x", F.coalesce(F.try_divide("c", F.max(F.abs("c")).over(ALL)), F.lit(0.0)))
+    centred = seq.withColumn("c", F.col("x") - F.avg("x").over(_whole()))
+    scaled = centred.withColumn("x", F.coalesce(F.try_divide("c", F.max(F.abs("c")).over(_whole())), F.lit(0.0)))
     rms = frame_energy(scaled, size, hop)
-    return rms.select("file", "frame", (F.col("rms") > part * F.max("rms").over(ALL)).cast("int").alias("m"))
+    return rms.select("file", "frame", (F.col("rms") > part * F.max("rms").over(_whole())).cast("int").alias("m"))
 
 
 def islands(marks: DataFrame, index: str = "i") -> DataFrame:
@@ -116,31 +121,31 @@ def silence_ratio(marks: DataFrame, index: str = "i") -> DataFrame:
 
 def trend_removed(seq: DataFrame, reach: int) -> DataFrame:
     """x less its mean over [i - reach, i + reach], as far as there are samples."""
-    return seq.withColumn("y", F.col("x") - F.avg("x").over(BY.rowsBetween(-reach, reach)))
+    return seq.withColumn("y", F.col("x") - F.avg("x").over(_by().rowsBetween(-reach, reach)))
 
 
 def cumulated(seq: DataFrame) -> DataFrame:
-    return seq.withColumn("y", F.sum("x").over(BY.rowsBetween(Window.unboundedPreceding, 0)))
+    return seq.withColumn("y", F.sum("x").over(_by().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def mode_filter(marks: DataFrame, width: int) -> DataFrame:
     """The more frequent of 0 and 1 in [i - h, i + h), h = width // 2 of the odd width; ties give 0, edges stay."""
     h = (width + (width % 2 == 0)) // 2
-    ones = F.sum("m").over(BY.rowsBetween(-h, h - 1))
+    ones = F.sum("m").over(_by().rowsBetween(-h, h - 1))
     return marks.withColumn("y", F.when((F.col("i") >= h) & (F.col("i") < F.col("n") - h), (2 * ones > 2 * h).cast("int")).otherwise(F.col("m")))
 
 
 def median_filter(seq: DataFrame, width: int) -> DataFrame:
     """Median over an odd width; beyond the ends there are zeros."""
     h = width // 2
-    around = F.collect_list("x").over(BY.rowsBetween(-h, h))
+    around = F.collect_list("x").over(_by().rowsBetween(-h, h))
     padded = F.sort_array(F.concat(around, F.array_repeat(F.lit(0.0), F.lit(width) - F.size(around))))
     return seq.withColumn("y", F.element_at(padded, h + 1))
 
 
 def onsets(marks: DataFrame) -> DataFrame:
     """onoff: m differs from the mark before; onset: it has risen."""
-    step = F.coalesce(F.col("m") - F.lag("m").over(BY), F.lit(0))
+    step = F.coalesce(F.col("m") - F.lag("m").over(_by()), F.lit(0))
     return marks.withColumns({"onoff": F.abs(step), "onset": (step > 0).cast("int")})
 
 
@@ -161,7 +166,7 @@ def transition_track(seq: DataFrame, reach: int) -> DataFrame:
 
     Distances over mean + 5 deviations of the file are set to its least.
     """
-    left, right = BY.rowsBetween(-reach, -1), BY.rowsBetween(0, reach - 1)
+    left, right = _by().rowsBetween(-reach, -1), _by().rowsBetween(0, reach - 1)
     moments = seq.select(
         "file", "i", "n", F.avg("x").over(left).alias("a"), F.var_pop("x").over(left).alias("va"), F.avg("x").over(right).alias("b"), F.var_pop("x").over(right).alias("vb")
     )
@@ -169,8 +174,8 @@ def transition_track(seq: DataFrame, reach: int) -> DataFrame:
     va, vb, gap = F.col("va"), F.col("vb"), F.col("a") - F.col("b")
     d = 0.25 * F.log(0.25 * (va / vb + vb / va + 2)) + 0.25 * gap * gap / (va + vb)
     found = moments.withColumn("d", F.when(inside, d))
-    high = F.col("d") > F.avg("d").over(ALL) + 5 * F.stddev_pop("d").over(ALL)
-    return found.select("file", "i", F.when(high, F.min("d").over(ALL)).otherwise(F.col("d")).alias("d"))
+    high = F.col("d") > F.avg("d").over(_whole()) + 5 * F.stddev_pop("d").over(_whole())
+    return found.select("file", "i", F.when(high, F.min("d").over(_whole())).otherwise(F.col("d")).alias("d"))
 
 
 def interval_frames(intervals: DataFrame, lengths: DataFrame) -> DataFrame:
