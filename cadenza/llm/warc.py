@@ -7,7 +7,7 @@ The fixed bytes at a member's begin let a large file be split by byte ranges. Fi
 field, and plain .warc files, are read whole by one task each.
 
 Options: path; payload (true: give the payload, else null); verify (true: check digests of response
-payloads); split_bytes. Filters that are pushed down: equality, IN and prefixes on the header columns.
+payloads); split_bytes. Filters that are pushed down: equality, IN, prefixes and presence, on the header columns.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
 from . import common
 
@@ -141,6 +141,7 @@ class WarcReader(DataSourceReader):
         self.options = options
         self.equal: dict[str, list[str]] = {}
         self.begins: list[tuple[str, str]] = []
+        self.present: list[str] = []
 
     def pushFilters(self, filters: list) -> Iterator:
         for f in filters:
@@ -151,6 +152,8 @@ class WarcReader(DataSourceReader):
                 self.equal[name] = list(f.value)
             elif isinstance(f, StringStartsWith) and name in HEADERS:
                 self.begins.append((name, f.value))
+            elif isinstance(f, IsNotNull) and name in HEADERS:
+                self.present.append(name)
             else:
                 yield f
 
@@ -174,7 +177,7 @@ class WarcReader(DataSourceReader):
         return out or [Piece("", 0, 0)]
 
     def wanted(self, row: dict) -> bool:
-        return all(row[k] in v for k, v in self.equal.items()) and all((row[k] or "").startswith(v) for k, v in self.begins)
+        return all(row[k] in v for k, v in self.equal.items()) and all((row[k] or "").startswith(v) for k, v in self.begins) and all(row[k] is not None for k in self.present)
 
     def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
         if not piece.path:
@@ -211,7 +214,7 @@ class WarcReader(DataSourceReader):
 
     def _whole(self, f, path: str) -> Iterator[dict]:
         """Records of any .warc or .warc.gz file, one after another."""
-        stream = io.BufferedReader(_Inflated(f)) if path.endswith(".gz") else f
+        stream = io.BufferedReader(_Inflated(f) if path.endswith(".gz") else f)
         while True:
             head = bytearray()
             while not head.endswith(b"\r\n\r\n"):
@@ -262,7 +265,7 @@ class _Inflated(io.RawIOBase):
             if not data:
                 return 0
             out = self.inflate.decompress(data, len(buffer))
-            self.held = self.inflate.unconsumed_tail
+            self.held = b"" if self.inflate.eof else self.inflate.unconsumed_tail
             if out:
                 buffer[: len(out)] = out
                 return len(out)
