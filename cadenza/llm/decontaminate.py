@@ -262,4 +262,15 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_decontaminate": op7_decontaminate}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_decontaminate": r"""with low as (select doc_id, null as item_id, text from documents union all select null, item_id, text from benchmark),
+w as (select doc_id, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from low),
+iw as (select distinct item_id, n, array_to_string(ws[i:i + n - 1], ' ') as g from (select item_id, ws, least(10, len(ws)) as n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as i from w where item_id is not null and len(ws) > 0)),
+k as (select distinct n from iw),
+dw as (select doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') as g from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from w, k where doc_id is not null)),
+h as (select doc_id, item_id, i, n from dw join iw using (n, g)),
+p as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from h) group by doc_id),
+t as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as names from h group by doc_id)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from w left join p using (doc_id) left join t using (doc_id) where w.doc_id is not null"""
+}
