@@ -313,14 +313,20 @@ def linked(docs: DataFrame, k: int, num: int, den: int, small: int = SMALL) -> D
     if not hot.isEmpty():
         rows = rows.drop("comp").join(hot, "s", "left_semi").join(reps.select("rep", "spread"), "rep")
         rows = common.saved(rows, "hot")
+        known = None
         while True:
-            known = rows.join(nodes.toDF("rep", "c"), "rep", "left").withColumn("comp", F.coalesce("c", "rep"))
-            known = common.saved(known.drop("c"), "known")
+            if known is None:
+                known = rows.join(nodes.toDF("rep", "c"), "rep", "left").withColumn("comp", F.coalesce("c", "rep"))
+                known = common.saved(known.drop("c"), "known")
             # Groups that have rows left to compare from and that lie in several components.
-            left = known.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows")).where(f"x != y and rows > {lo}").select("s")
-            met = common.saved(_pairs(known.join(left, "s", "left_semi"), num, den, lo, hi, 1).where("b is not null"), "pairs")
-            if met.isEmpty():
+            left = known.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows")).where(f"x != y and rows > {lo + 1}").select("s")
+            left = common.saved(left, "left")
+            if left.isEmpty():
                 break
+            met = common.saved(_pairs(known.join(left, "s", "left_semi"), num, den, lo, hi, 1).where("b is not null"), "pairs")
+            lo, hi = hi, hi + 4 * (hi - lo)
+            if met.isEmpty():  # the pivots of this round are near none; later ones may be
+                continue
             new = met.where("a != b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
             new = common.saved(new, "candidates")
             pairs = pairs.union(new)
@@ -328,7 +334,7 @@ def linked(docs: DataFrame, k: int, num: int, den: int, small: int = SMALL) -> D
             if not more.isEmpty():
                 links = links.union(more)
                 nodes = components(nodes.toDF("u", "v").union(more.toDF("u", "v")))
-            lo, hi = hi, hi + 4 * (hi - lo)
+                known = None
     classes = reps.select("sig", "rep", "copies").join(nodes.toDF("rep", "component"), "rep", "left")
     classes = classes.where("copies > 1 or component is not null").select("sig", F.coalesce("component", "rep").alias("component"))
     out = common.hot_left_join(found.select("doc_id", "n", "sig"), classes, ["sig"], F.col("doc_id"))

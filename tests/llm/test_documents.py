@@ -76,6 +76,21 @@ def test_components_of_odd_documents(spark):
     assert shingle_join.linked(docs.limit(0), 4, 85, 100).count() == 0
 
 
+def test_near_copies_that_early_pivots_miss(spark):
+    """60 copies of a text, each with 7 words edited: only two are near, edited at the same words, where no other is."""
+    rows = []
+    for k in range(60):
+        w = [f"w{j}" for j in range(400)]
+        for e in range(7) if k in (30, 45) else np.random.default_rng(k).choice(np.arange(7, 78), 7, replace=False):
+            w[5 * e + 3] = f"edit{k}x{e}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(docs.collect(), 4, 85, 100)
+    assert {k for (k, _), (_, root) in want.items() if k != root} == {45}
+    got = shingle_join.linked(docs, 4, 85, 100).join(docs, "doc_id").collect()
+    assert {(r.doc_id, r.text): (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_long_chain_of_links(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(70)] + [(100, 101), (101, 101), (None, 3)], "u long, v long")
     found = {r.node: r.component for r in components.components(edges).collect()}
