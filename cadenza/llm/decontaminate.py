@@ -157,23 +157,12 @@ def _blocks(items: DataFrame, id_column: str) -> list[list[tuple[int, list[bytes
     return blocks
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = 10, item_id: str = "item_id") -> DataFrame:
-    """doc_id, row, n_words, spans array<struct<a,b>>, items array<long>: a row for each row of docs.
-
-    spans are the hit words as merged [a, b) of word numbers. Null and empty texts have no words and
-    null items none either. Items may repeat: each id is reported once. doc_id may be null or repeated.
-    """
+def _found(source: DataFrame, blocks: list, window: int) -> DataFrame:
+    """Of each row of source (doc_id, text, row) and each block a row of ``hits``, in no task more than one block."""
     found = None
-    blocks = _blocks(items, item_id)
-    source = docs.select(F.col("doc_id").cast("long"), "text")
-    if len(blocks) > 1:
-        source = source.withColumn("row", F.monotonically_increasing_id())
-        source = common.saved(source, "documents")
-    else:
-        source = source.withColumn("row", F.lit(0).cast("long"))
     schema = "doc_id long, row long, n_words long, spans array<struct<a: long, b: long>>, items array<bigint>"
     for block in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(block)  # BLOCK_WORDS words, or one item
+        shared = source.sparkSession.sparkContext.broadcast(block)  # BLOCK_WORDS words, or one item
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(shared.value, window)
@@ -190,8 +179,11 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, item_id: str = "it
 
         one = source.mapInArrow(run, schema)
         found = one if found is None else found.union(one)
-    if len(blocks) == 1:
-        return found
+    return found
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """One row of ``hits`` for each row number, with the blocks' spans and items joined."""
     # The blocks' spans of a document are merged by counting how many begin and end at each word.
     joined = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     merged = F.aggregate(
@@ -202,6 +194,23 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, item_id: str = "it
     return joined.select("doc_id", "row", "n_words", F.when(F.size("spans") > 0, merged).otherwise(F.col("spans")).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
 
 
+def hits(docs: DataFrame, items: DataFrame, window: int = 10, item_id: str = "item_id") -> DataFrame:
+    """doc_id, row, n_words, spans array<struct<a,b>>, items array<long>: a row for each row of docs.
+
+    spans are the hit words as merged [a, b) of word numbers. Null and empty texts have no words and
+    null items none either. Items may repeat: each id is reported once. doc_id may be null or repeated.
+    """
+    blocks = _blocks(items, item_id)
+    source = docs.select(F.col("doc_id").cast("long"), "text")
+    if len(blocks) > 1:
+        source = source.withColumn("row", F.monotonically_increasing_id())
+        source = common.saved(source, "documents")
+    else:
+        source = source.withColumn("row", F.lit(0).cast("long"))
+    found = _found(source, blocks, window)
+    return found if len(blocks) == 1 else _merged(found)
+
+
 def digests(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of the rows of ``hits``."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x["b"] - x["a"])
@@ -217,33 +226,49 @@ def cleaned(docs: DataFrame, items: DataFrame, window: int = 10, longest: int =
     blocks = _blocks(items, item_id)
     schema = docs.schema
     at = docs.columns.index("text")
-    for block in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def cut(batch: pa.RecordBatch, found: list[tuple[list[bytes], list[tuple[int, int]]]]) -> pa.RecordBatch:
+        """The rows of a batch with their words and hit spans."""
+        texts, keep, touched = batch.column(at).to_pylist(), [], False
+        for i, (ws, spans) in enumerate(found):
+            covered = sum(b - a for a, b in spans)
+            keep.append(covered <= coverage * len(ws))
+            gone = [s for s in spans if s[1] - s[0] >= longest or s[1] - s[0] == len(ws)]
+            if gone and keep[-1]:
+                texts[i] = without(texts[i], gone)
+                touched = True
+        if touched:
+            arrays = list(batch.columns)
+            arrays[at] = pa.array(texts, batch.schema.field(at).type)
+            if "n_chars" in batch.schema.names:
+                k = batch.schema.names.index("n_chars")
+                arrays[k] = pa.array([x if t is None else len(t) for t, x in zip(texts, arrays[k].to_pylist())], batch.schema.field(k).type)
+            batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+        return batch if all(keep) else batch.filter(pa.array(keep, pa.bool_()))
+
+    if len(blocks) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(blocks[0])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(shared.value, window)
             for batch in batches:
-                texts, keep, touched = batch.column(at).to_pylist(), [], False
-                for i, text in enumerate(texts):
-                    ws = words(text or "")
-                    spans, _ = automaton.match(ws)
-                    covered = sum(b - a for a, b in spans)
-                    keep.append(covered <= coverage * len(ws))
-                    cut = [s for s in spans if s[1] - s[0] >= longest or s[1] - s[0] == len(ws)]
-                    if cut and keep[-1]:
-                        texts[i] = without(text, cut)
-                        touched = True
-                if touched:
-                    arrays = list(batch.columns)
-                    arrays[at] = pa.array(texts, batch.schema.field(at).type)
-                    if "n_chars" in batch.schema.names:
-                        k = batch.schema.names.index("n_chars")
-                        arrays[k] = pa.array([x if t is None else len(t) for t, x in zip(texts, arrays[k].to_pylist())], batch.schema.field(k).type)
-                    batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
-                yield batch if all(keep) else batch.filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+                split = [words(text or "") for text in batch.column(at).to_pylist()]
+                yield cut(batch, [(ws, automaton.match(ws)[0]) for ws in split])
+
+        return docs.mapInArrow(run, schema)
+
+    # All blocks read the original texts, and what they hit is judged and cut once.
+    rows = common.saved(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
+    source = rows.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("__row").alias("row"))
+    spans = _merged(_found(source, blocks, window).where(F.size("spans") > 0)).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
+            found = [[(s["a"], s["b"]) for s in x or ()] for x in batch.column(batch.num_columns - 1).to_pylist()]
+            yield cut(own, [(words(text or "") if x else [], x) for text, x in zip(own.column(at).to_pylist(), found)])
+
+    return rows.join(spans, "__row", "left").select(*docs.columns, "__spans").mapInArrow(join, schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -133,6 +133,19 @@ def test_spans_are_cut(spark):
     assert set(out) == {1, 3, 4} and out[1].text.startswith("Keep this, please. ! And a tail") and out[1].n_chars == len(out[1].text)
 
 
+@pytest.mark.parametrize("block", [200_000, 60])
+def test_blocks_are_judged_and_cut_together(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    a, b = [f"a{k}" for k in range(50)], [f"b{k}" for k in range(38)]
+    items = [(1, " ".join(a)), (2, " ".join([*a[10:15], *(f"o{k}" for k in range(8)), *b]))]
+    some = " ".join(f"c{k}" for k in range(40))
+    overlap = " ".join([*a[:15], *(f"o{k}" for k in range(8))])
+    rows = [(1, f"{' '.join(a[:12])} {' '.join(b[:12])} {' '.join(f'c{k}' for k in range(16))}"), (2, f"{overlap} {some}"), (3, some), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    out = {r.doc_id: r for r in decontaminate.cleaned(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {i: r.text for i, r in out.items()} == {2: f" {some}", 3: some, 4: None, 5: ""} and out[2].n_chars == len(out[2].text)
+
+
 def test_quality_of_odd_documents(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = odd_documents(spark)
