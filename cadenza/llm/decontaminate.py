@@ -6,8 +6,9 @@ run of item words that ends at each word is tracked. A window is ``window`` cons
 item; an item of fewer words, but not none, is one window. Words inside an occurrence of a window are
 hit. Stretches of words that are in no item, or too short for any window, are passed over.
 
-The items are split into blocks of at most BLOCK_WORDS words; each block's automaton is broadcast and
-reads all documents, and the hits of the blocks are joined, so no broadcast grows with the items.
+The items are split into blocks of at most BLOCK_WORDS words, longer items into pieces; each
+block's automaton is broadcast and reads all documents, and the hits of the blocks are joined, so no
+broadcast grows with the items.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,24 +147,33 @@ class Automaton:
                     spans.append([i - reach, i])
 
 
-def _blocks(items: DataFrame, id_column: str) -> list[list[tuple[int, list[bytes]]]]:
-    """The items' words in blocks. An item longer than a block makes one of its own."""
-    blocks, size = [[]], 0
+def _blocks(items: DataFrame, id_column: str, window: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """The items' words in blocks, one at a time; at least one block, if an empty one. An item longer than
+    a block is taken in pieces that share window - 1 words, so each of its windows lies in one of them."""
+    step = max(1, BLOCK_WORDS - window + 1)
+    block, size = [], 0
     for row in items.select(id_column, "text").where(f"{id_column} is not null and text is not null").toLocalIterator():
         ws = words(row.text)
-        if size and size + len(ws) > BLOCK_WORDS:
-            blocks, size = [*blocks, []], 0
-        blocks[-1].append((row[0], ws))
-        size += len(ws)
-    return blocks
+        for at in range(0, max(1, len(ws) - window + 1), step):
+            piece = ws[at : at + step + window - 1]
+            if size and size + len(piece) > BLOCK_WORDS:
+                yield block
+                block, size = [], 0
+            block.append((row[0], piece))
+            size += len(piece)
+    yield block
 
 
-def _found(source: DataFrame, blocks: list, window: int) -> DataFrame:
+def _shared(spark: SparkSession, items: DataFrame, id_column: str, window: int) -> list[Broadcast]:
+    """A broadcast of each block; the driver's Python lets go of a block once it's written."""
+    return [spark.sparkContext.broadcast(block) for block in _blocks(items, id_column, window)]
+
+
+def _found(source: DataFrame, blocks: list[Broadcast], window: int) -> DataFrame:
     """Of each row of source (doc_id, text, row) and each block a row of ``hits``, in no task more than one block."""
     found = None
     schema = "doc_id long, row long, n_words long, spans array<struct<a: long, b: long>>, items array<bigint>"
-    for block in blocks:
-        shared = source.sparkSession.sparkContext.broadcast(block)  # BLOCK_WORDS words, or one item
+    for shared in blocks:  # BLOCK_WORDS words each
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(shared.value, window)
@@ -200,7 +211,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, item_id: str = "it
     spans are the hit words as merged [a, b) of word numbers. Null and empty texts have no words and
     null items none either. Items may repeat: each id is reported once. doc_id may be null or repeated.
     """
-    blocks = _blocks(items, item_id)
+    blocks = _shared(docs.sparkSession, items, item_id, window)
     source = docs.select(F.col("doc_id").cast("long"), "text")
     if len(blocks) > 1:
         source = source.withColumn("row", F.monotonically_increasing_id())
@@ -219,11 +230,13 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, items: DataFrame, window: int = 10, longest: int = 10, coverage: float = 0.5, item_id: str = "item_id") -> DataFrame:
-    """docs without contamination: hit spans of ``longest`` words or more are cut out of the texts; a
-    document of which more than ``coverage`` of the words are hit goes as a whole. Columns are kept;
-    n_chars, if there is one, is counted anew. Null texts stay. Only documents with hits change.
+    """docs without contamination: hit spans of ``longest`` words or more, and shorter ones that are
+    whole items of fewer than ``window`` words, are cut out of the texts; a document of which more than
+    ``coverage`` of the words are hit goes as a whole. Columns are kept; n_chars, if there is one, is
+    counted anew. Null texts stay. Only documents with hits change.
     """
-    blocks = _blocks(items, item_id)
+    # No id counts here: items without one are cut as well.
+    blocks = _shared(docs.sparkSession, items.select(F.lit(0).cast("long").alias(item_id), "text"), item_id, window)
     schema = docs.schema
     at = docs.columns.index("text")
 
@@ -233,7 +246,8 @@ def cleaned(docs: DataFrame, items: DataFrame, window: int = 10, longest: int =
         for i, (ws, spans) in enumerate(found):
             covered = sum(b - a for a, b in spans)
             keep.append(covered <= coverage * len(ws))
-            gone = [s for s in spans if s[1] - s[0] >= longest or s[1] - s[0] == len(ws)]
+            # A span shorter than a window is made of whole short items.
+            gone = [s for s in spans if s[1] - s[0] >= longest or s[1] - s[0] < window or s[1] - s[0] == len(ws)]
             if gone and keep[-1]:
                 texts[i] = without(texts[i], gone)
                 touched = True
@@ -247,7 +261,7 @@ def cleaned(docs: DataFrame, items: DataFrame, window: int = 10, longest: int =
         return batch if all(keep) else batch.filter(pa.array(keep, pa.bool_()))
 
     if len(blocks) == 1:
-        shared = docs.sparkSession.sparkContext.broadcast(blocks[0])
+        shared = blocks[0]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(shared.value, window)

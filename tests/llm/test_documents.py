@@ -146,6 +146,17 @@ def test_blocks_are_judged_and_cut_together(spark, monkeypatch, block):
     assert {i: r.text for i, r in out.items()} == {2: f" {some}", 3: some, 4: None, 5: ""} and out[2].n_chars == len(out[2].text)
 
 
+@pytest.mark.parametrize("block", [200_000, 15])
+def test_short_items_and_items_without_id_are_cut(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    short, long = " ".join(f"s{k}" for k in range(9)), " ".join(f"n{k}" for k in range(40))
+    some = " ".join(f"c{k}" for k in range(50))
+    docs = spark.createDataFrame([(1, f"{short} {some}"), (2, f"{some} {long}"), (3, short[:-3] + " " + some)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, short), (None, long)], "item_id long, text string")
+    assert {r.doc_id: r.text for r in decontaminate.cleaned(docs, items).collect()} == {1: f" {some}", 2: f"{some} ", 3: short[:-3] + " " + some}
+    assert max(sum(len(ws) for _, ws in x) for x in decontaminate._blocks(items.fillna(0), "item_id", 10)) <= block
+
+
 def test_quality_of_odd_documents(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = odd_documents(spark)
