@@ -9,6 +9,10 @@ import numpy as np
 from .runs import cuts_at_spaces, dealt
 
 
+#: Runs that the library is given as one text.
+JOINED = 500
+
+
 class JsonEncoder:
     """A tokenizers file: no added special tokens, no truncation, no padding."""
 
@@ -35,9 +39,13 @@ class JsonEncoder:
     def runs(self, runs: list[str], spaced: bool) -> tuple[np.ndarray, list[int]]:
         """The ids of all runs, end to end, and where those of each run end."""
         if spaced and runs:
-            ids = self.whole([" " + " ".join(runs)])[0]
+            ids = np.concatenate(self.whole([" " + " ".join(runs[k : k + JOINED]) for k in range(0, len(runs), JOINED)]))
             if (ends := dealt(ids, self.width, runs)) is not None:
                 return ids, ends.tolist()
+        return self.each(runs, spaced)
+
+    def each(self, runs: list[str], spaced: bool) -> tuple[np.ndarray, list[int]]:
+        """The same, with every run encoded as a text of its own."""
         return _together(self.whole([" " * spaced + run for run in runs]))
 
 
@@ -67,9 +75,12 @@ class PieceEncoder:
     def runs(self, runs: list[str], spaced: bool) -> tuple[np.ndarray, list[int]]:
         """As above; the same for spaced runs and first ones, as the model puts a space before a text."""
         if runs:
-            ids = self.whole([" ".join(runs)])[0]
+            ids = np.concatenate(self.whole([" ".join(runs[k : k + JOINED]) for k in range(0, len(runs), JOINED)]))
             if (ends := dealt(ids, self.width, runs)) is not None:
                 return ids, ends.tolist()
+        return self.each(runs, spaced)
+
+    def each(self, runs: list[str], spaced: bool) -> tuple[np.ndarray, list[int]]:
         return _together(self.whole(runs))
 
 

@@ -13,6 +13,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from . import common
 from .encoders import load
-from .runs import RunCache
+from .runs import RunTable
 
 LENGTH = 2048
 BATCH_ROWS = 512
@@ -73,19 +74,22 @@ class _Writer:
         self.out.close()
 
 
-def _sliced(ids: np.ndarray, ends: list[int], dtype: np.dtype) -> list[bytes]:
-    data, size = ids.astype(dtype).tobytes(), dtype.itemsize
-    return [data[a * size : b * size] for a, b in zip([0, *ends], ends)]
-
-
-def encoded(texts: list[str], encoder, cache: RunCache, dtype: np.dtype) -> Iterator[bytes]:
+def encoded(texts: pa.Array, encoder, table: RunTable, dtype: np.dtype) -> Iterator[bytes]:
     """The ids of each text as bytes."""
     if encoder.by_runs:
-        for values in cache.values_of(texts):
-            yield b"".join(values)
+        for ids in table.ids(texts):
+            yield ids.tobytes()
     else:
-        for text in texts:
-            yield encoder.whole([text])[0].astype(dtype).tobytes()
+        for text in texts.to_pylist():
+            yield encoder.whole([text or ""])[0].astype(dtype).tobytes()
+
+
+@lru_cache(maxsize=2)
+def _tools(tokenizer: str) -> tuple:
+    """Encoder, ids' type and table of runs of a worker, kept for its next task."""
+    encoder = load(tokenizer)
+    dtype = np.dtype("<u2" if encoder.size <= 65536 else "<u4")
+    return encoder, dtype, RunTable(encoder.runs, encoder.each, dtype)
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length: int = LENGTH, partitions: int | None = None) -> list:
@@ -103,10 +107,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length:
         from pyspark import TaskContext
 
         writer = None
-        encoder = load(tokenizer)
-        dtype = np.dtype("<u2" if encoder.size <= 65536 else "<u4")
+        encoder, dtype, runs = _tools(tokenizer)
         end = np.array([end_id], dtype).tobytes()
-        cache = RunCache(lambda runs, spaced: _sliced(*encoder.runs(runs, spaced), dtype), together=b"".join)
         fs, root = common.filesystem(folder)
         part = TaskContext.get().partitionId()
         ids: list[pa.Array] = []
@@ -120,8 +122,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length:
                 name = f"tokens-{part:06d}-{uuid.uuid4().hex}"
                 writer = _Writer(fs, f"{root}/{name}.arrow", dtype, length)
             ids.append(batch.column(0))
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for data in encoded(texts, encoder, cache, dtype):
+            for data in encoded(batch.column(1), encoder, runs, dtype):
                 first.append(writer.total)
                 writer.add(data + end)
                 count.append(writer.total - first[-1])

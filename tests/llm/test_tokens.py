@@ -1,8 +1,10 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -32,12 +34,32 @@ def rows(spark):
     return spark.createDataFrame(found, "doc_id long, text string, start string")
 
 
-@pytest.mark.parametrize("most", [50, 100_000])
-def test_runs_give_the_librarys_ids(library, most):
+@pytest.mark.parametrize("most,size", [(50, 2_000), (100_000, 4_000_000), (100_000, 1)])
+def test_runs_give_the_librarys_ids(library, monkeypatch, most, size):
+    monkeypatch.setattr(runs.slices, "__defaults__", (size,))
     e = encoders.load(BYTES)
-    cache = runs.RunCache(lambda r, spaced: token_files._sliced(*e.runs(r, spaced), np.dtype("<u4")), most=most, together=b"".join)
-    for text, values in zip(texts(), cache.values_of(texts())):
-        assert np.frombuffer(b"".join(values), "<u4").tolist() == library(text), text[:80]
+    found = pa.array([*texts(), None])
+    for _ in range(2):
+        table = runs.RunTable(e.runs, e.each, np.dtype("<u4"), most=most)
+        for text, ids in zip(found.to_pylist(), table.ids(found), strict=True):
+            assert ids.tolist() == library(text or ""), text and text[:80]
+        hot = {"a": 1, "word": 1}
+        table = runs.RunTable(e.runs, e.each, hot=hot, most=most)
+        assert table.counts(found).tolist() == [len(library(t or "")) for t in found.to_pylist()]
+        found = found.slice(7)
+
+
+def test_odd_runs_are_told_alike():
+    found = [x for c in map(chr, [*range(0xD800), *range(0xE000, 0x30000)]) for x in (c, f"a{c}", f"{c}a", f"a{c}a")] + ["", "a\n", "a\r\n"]
+    assert runs.pc.match_substring_regex(pa.array(found), runs._ODD).to_pylist() == list(map(runs.odd, found))
+
+
+def test_runs_of_documents_give_the_librarys_ids(spark, library):
+    found = pa.array([r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()])
+    e = encoders.load(BYTES)
+    table = runs.RunTable(e.runs, e.each, np.dtype("<u2"))
+    for text, ids in zip(found.to_pylist(), table.ids(found), strict=True):
+        assert ids.tolist() == library(text or "")
 
 
 def test_token_files(spark, rows, library, tmp_path):
@@ -98,11 +120,17 @@ def test_spans_through_a_character_map():
     assert spans(["▁fi".encode(), "▁VIII".encode()], aligned)[0] == (0, 3)
 
 
-def test_counts(spark, rows, library):
-    for frequent in (0, 50):
-        for r in token_counts.count_tokens(rows, BYTES, 512, frequent).join(rows.where("doc_id != 7").select("doc_id", "text"), "doc_id").collect():
-            n = len(library(r.text or ""))
-            assert (r.n_tokens, r.over_limit, r.n_bytes) == (n, n > 512, len((r.text or "").encode()))
+@pytest.mark.parametrize("frequent", [0, 3, 50])
+def test_counts(spark, rows, library, frequent):
+    want = Counter((r.doc_id, len((r.text or "").encode()), n := len(library(r.text or "")), n > 512) for r in rows.collect())
+    assert Counter(map(tuple, token_counts.count_tokens(rows, BYTES, 512, frequent).collect())) == want
+    assert token_counts.count_tokens(rows.limit(0), BYTES, 512, frequent).count() == 0
+
+
+def test_frequent_runs_are_bounded(spark):
+    rows = spark.createDataFrame([(" ".join(f"x w{k} w{k}" for k in range(j, 300)),) for j in range(8)], "text string").repartition(4)
+    found = token_counts.frequent_runs(rows, 40)
+    assert 0 < found.count() <= 40 and found.where("run = 'x' and n >= 2000").count() == 1
 
 
 def test_counts_of_pieces(spark, rows):
