@@ -135,7 +135,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length:
         yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{name}.arrow", "docs_path": f"{name}.docs.arrow", "n_docs": len(first), "n_ids": writer.total}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs_path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     n = partitions or common.partitions_of(docs)
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Ranges are of doc_id and the text's begin, so that rows of one doc_id may lie in many tasks; the order is the same.
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     rows = sorted(ordered.mapInArrow(run, MANIFEST).collect(), key=lambda r: r.part)  # one row for each file
     fs, root = common.filesystem(folder)
     fs.create_dir(root, recursive=True)

@@ -80,6 +80,16 @@ def test_token_files(spark, rows, library, tmp_path):
     assert real.sum() == (n - 1) % 64 + 1 and not last[~real].any()
 
 
+def test_token_files_of_one_id_lie_in_many_files(spark, tmp_path):
+    rows = spark.createDataFrame([(5, f"{k % 40} text {k}") for k in range(400)] + [(1, None), (None, "x")], "doc_id long, text string")
+    written = token_files.write(rows, f"file://{tmp_path}/t", BYTES, length=64, partitions=4)
+    assert len(written) == 4 and max(r.n_docs for r in written) < 250
+    got = sorted(token_files.documents_of(spark, f"file://{tmp_path}/t", written).collect(), key=lambda r: r.start)
+    e = encoders.load(BYTES)
+    texts = ["x", "", *sorted(f"{k % 40} text {k}" for k in range(400))]
+    assert [g.ids_crc32 for g in got] == [zlib.crc32(np.append(e.whole([t])[0], 0).astype("<u4").tobytes()) for t in texts]
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     written = token_files.write(empty, f"file://{tmp_path}/t", BYTES)
