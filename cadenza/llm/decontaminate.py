@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from . import common
 
 #: Words of the items in one automaton: about 1 kB each in a worker.
 BLOCK_WORDS = 200_000
+HITS = "doc_id long, row long, n_words long, spans array<struct<a: long, b: long>>, items array<bigint>"
+SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 _TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -169,15 +172,19 @@ def _shared(spark: SparkSession, items: DataFrame, id_column: str, window: int)
     return [spark.sparkContext.broadcast(block) for block in _blocks(items, id_column, window)]
 
 
+@lru_cache(maxsize=1)
+def _automaton(shared: Broadcast, window: int) -> Automaton:
+    """The automaton of a block, which a worker keeps for its next task."""
+    return Automaton(shared.value, window)
+
+
 def _found(source: DataFrame, blocks: list[Broadcast], window: int) -> DataFrame:
     """Of each row of source (doc_id, text, row) and each block a row of ``hits``, in no task more than one block."""
     found = None
-    schema = "doc_id long, row long, n_words long, spans array<struct<a: long, b: long>>, items array<bigint>"
     for shared in blocks:  # BLOCK_WORDS words each
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(shared.value, window)
-            kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+            automaton = _automaton(shared, window)
             for batch in batches:
                 n, spans, item = [], [], []
                 for text in batch.column(1).to_pylist():
@@ -186,23 +193,32 @@ def _found(source: DataFrame, blocks: list[Broadcast], window: int) -> DataFrame
                     n.append(len(ws))
                     spans.append([{"a": a, "b": b} for a, b in found])
                     item.append(sorted(which))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(item, pa.list_(pa.int64()))], names=["doc_id", "row", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(item, pa.list_(pa.int64()))], names=["doc_id", "row", "n_words", "spans", "items"])
 
-        one = source.mapInArrow(run, schema)
+        one = source.mapInArrow(run, HITS)
         found = one if found is None else found.union(one)
     return found
 
 
 def _merged(found: DataFrame) -> DataFrame:
     """One row of ``hits`` for each row number, with the blocks' spans and items joined."""
-    # The blocks' spans of a document are merged by counting how many begin and end at each word.
     joined = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    merged = F.aggregate(
-        F.array_sort("spans"),
-        F.array().cast("array<struct<a: long, b: long>>"),
-        lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["b"] >= x["a"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["a"].alias("a"), F.greatest(F.element_at(done, -1)["b"], x["b"]).alias("b"))))).otherwise(F.concat(done, F.array(x))),
-    )
-    return joined.select("doc_id", "row", "n_words", F.when(F.size("spans") > 0, merged).otherwise(F.col("spans")).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for own in batch.column(3).to_pylist():
+                out: list[dict] = []
+                for x in sorted(own, key=lambda s: (s["a"], s["b"])):
+                    if out and out[-1]["b"] >= x["a"]:
+                        out[-1]["b"] = max(out[-1]["b"], x["b"])
+                    else:
+                        out.append(x)
+                spans.append(out)
+            items = [sorted(set(x)) for x in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, SPANS), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "row", "n_words", "spans", "items"])
+
+    return joined.select("doc_id", "row", "n_words", "spans", "items").mapInArrow(run, HITS)
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = 10, item_id: str = "item_id") -> DataFrame:
@@ -264,7 +280,7 @@ def cleaned(docs: DataFrame, items: DataFrame, window: int = 10, longest: int =
         shared = blocks[0]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(shared.value, window)
+            automaton = _automaton(shared, window)
             for batch in batches:
                 split = [words(text or "") for text in batch.column(at).to_pylist()]
                 yield cut(batch, [(ws, automaton.match(ws)[0]) for ws in split])
