@@ -18,12 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI below spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is missing (tests on one machine) a local folder is made.
+    Where that setting is missing the folder of setCheckpointDir is taken; where that isn't set either, a
+    local folder is made for a local master (tests on one machine), and a cluster is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        if current.isDefined():
+            root = current.get()
+        elif spark.sparkContext.master.startswith("local"):
+            root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     ensure_checkpoints(spark, root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -55,12 +61,21 @@ def partitions_of(df: DataFrame, least: int = 1) -> int:
     return max(least, df.rdd.getNumPartitions())
 
 
-def hot_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int = 16) -> DataFrame:
+#: Rows of a key that one task may take whatever the table's size, and the share of all rows that one may take.
+HOT_ROWS, HOT_SHARE = 1_000, 10_000
+
+
+def hot_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, weight: str) -> DataFrame:
     """left LEFT JOIN right on keys (equality, nulls never match); right has one row for each key.
 
-    Rows of a hot key on the left are dealt over ``salts`` tasks by ``spread``; each right row
-    is repeated as often, so that no key is gathered in one task.
+    ``weight`` is a column of right, how many rows of left its key has about; it isn't given out. Keys of
+    more than HOT_ROWS rows and more than a HOT_SHARE-th of the sum of weights are hot: less than
+    HOT_SHARE keys, which are broadcast. Their rows on the left are dealt over several tasks by ``spread``, and
+    their rows on the right are repeated as often; other rows aren't copied.
     """
-    salted = left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    limit = max(HOT_ROWS, (right.agg(F.sum(weight)).first()[0] or 0) // HOT_SHARE)
+    parts = F.when(F.col(weight) > limit, F.ceil(F.col(weight) / limit)).otherwise(1).cast("int")
+    hot = right.where(F.col(weight) > limit).select(*keys, parts.alias("__parts"))
+    salted = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop(weight)
     return salted.join(copies, [*keys, "__salt"], "left").drop("__salt")

@@ -114,7 +114,8 @@ def _rejected(rows: DataFrame, chosen: DataFrame, value: str) -> DataFrame:
     if by.count() <= STRATA:
         joined = rows.join(F.broadcast(by), "__stratum", "left")
     else:
-        joined = common.hot_left_join(rows, by, ["__stratum"], F.monotonically_increasing_id())
+        sizes = rows.groupBy("__stratum").agg(F.count("*").alias("__n"))
+        joined = common.hot_left_join(rows, by.join(sizes, "__stratum"), ["__stratum"], F.monotonically_increasing_id(), "__n")
     high = F.lit(False)
     for r in RULES:
         high = high | F.coalesce(F.col(value.format(r)) > F.col(f"__{r}"), F.lit(False))

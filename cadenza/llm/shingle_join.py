@@ -336,8 +336,8 @@ def linked(docs: DataFrame, k: int, num: int, den: int, small: int = SMALL) -> D
                 nodes = components(nodes.toDF("u", "v").union(more.toDF("u", "v")))
                 known = None
     classes = reps.select("sig", "rep", "copies").join(nodes.toDF("rep", "component"), "rep", "left")
-    classes = classes.where("copies > 1 or component is not null").select("sig", F.coalesce("component", "rep").alias("component"))
-    out = common.hot_left_join(found.select("doc_id", "n", "sig"), classes, ["sig"], F.col("doc_id"))
+    classes = classes.where("copies > 1 or component is not null").select("sig", F.coalesce("component", "rep").alias("component"), "copies")
+    out = common.hot_left_join(found.select("doc_id", "n", "sig"), common.saved(classes, "components"), ["sig"], F.col("doc_id"), "copies")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

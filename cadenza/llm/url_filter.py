@@ -109,7 +109,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labelled: Dat
     table = common.saved(suffixes(rows, known), "suffixes")
     sample = known.orderBy(F.xxhash64("url"), "url", "label").limit(train_rows)
     model = trained(common.saved(sample.join(table, "suffix"), "urls"))
-    full = common.hot_left_join(rows, table, ["suffix"], F.col("url"))
+    full = common.hot_left_join(rows, table.withColumn("n", F.expm1("f_suffix_count")), ["suffix"], F.struct("page_id", "url"), "n")
     verdict = F.coalesce("by_rule", F.when(F.col("prediction") > 0.5, "block").otherwise("allow"))
     return scored(full.na.fill(0.0, FEATURES[-2:]), model).select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 

@@ -1,8 +1,8 @@
 """WARC archives as a Python data source, with payload deduplication by revisit records.
 
 Archives are .warc.gz files of one gzip member a record. Each member tells its compressed and its full
-length in an extra field, so a reader inflates a record's begin, parses its headers, and goes on
-to the next member when type or headers aren't wanted; payloads of such records are never inflated.
+length in an extra field, so a reader inflates a record's headers, a few kB at a time, parses them, and goes on
+to the next member when type or headers aren't wanted, or when only the payload's length is.
 The fixed bytes at a member's begin let a large file be split by byte ranges. Files without that
 field, and plain .warc files, are read whole by one task each.
 
@@ -20,6 +20,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -36,6 +37,9 @@ SPLIT_BYTES = 128 << 20
 PEEK = 4096
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload_bytes long, payload binary"
+#: Tells that the target URI is percent-encoded beyond the rules, as it has line breaks or outer white space.
+QUOTED = "X-Target-URI-Quoted"
+URI_SIGNS = ":/?#[]@!$&'()*+,;="
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
 ROWS = 500
 
@@ -51,10 +55,11 @@ def record(record_id: str, kind: str, uri: str | None, payload: bytes, digest: s
     """A response record with its payload, or a revisit record with the HTTP headers alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
-    clean = lambda s: s.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if "\n" in s or "\r" in s else s
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
-    if uri is not None:
-        lines.append(f"WARC-Target-URI: {clean(uri)}")
+    if uri is not None and (uri.strip() != uri or "\r" in uri or "\n" in uri):  # what a header line can't hold
+        lines += [f"WARC-Target-URI: {quote(uri, safe=URI_SIGNS)}", f"{QUOTED}: yes"]
+    elif uri is not None:
+        lines.append(f"WARC-Target-URI: {uri}")
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if kind == "revisit":
         lines += [f"WARC-Refers-To: <{refers_to}>", f"WARC-Profile: {REVISIT}"]
@@ -90,7 +95,12 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"], schema.names, int(self.options.get("level", "6")))
+        return WarcWriter(self.options["path"], schema.names, int(self.options.get("level", "6")), overwrite)
+
+
+def _manifests(fs, root: str) -> list[str]:
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return sorted(x.path for x in found if x.base_name.startswith("_manifest-") and x.base_name.endswith(".json"))
 
 
 @dataclass
@@ -100,10 +110,15 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task writes a file under a new name; the commit lists the files of the successful tasks."""
+    """Each task writes a file under a new name; the commit lists the files of the successful tasks.
+
+    Every commit writes a manifest of its own, by renaming, and readers take the files of all of them, so
+    appends, one after another or side by side, keep each other's records. An overwrite takes away the older ones
+    once its own is there.
+    """
 
-    def __init__(self, path: str, names: list[str], level: int):
-        self.path, self.names, self.level = path, names, level
+    def __init__(self, path: str, names: list[str], level: int, overwrite: bool = False):
+        self.path, self.names, self.level, self.overwrite = path, names, level, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = common.filesystem(self.path)
@@ -125,9 +140,13 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = common.filesystem(self.path)
         fs.create_dir(root, recursive=True)
         files = [{"path": m.path, "records": m.records} for m in messages if m and m.path]
-        with fs.open_output_stream(f"{root}/_manifest.tmp") as out:
+        old = _manifests(fs, root) if self.overwrite else []
+        name = f"{root}/_manifest-{uuid.uuid4().hex}"
+        with fs.open_output_stream(f"{name}.tmp") as out:
             out.write(json.dumps(files).encode())
-        fs.move(f"{root}/_manifest.tmp", f"{root}/_manifest.json")
+        fs.move(f"{name}.tmp", f"{name}.json")
+        for path in old:
+            fs.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = common.filesystem(self.path)
@@ -142,6 +161,8 @@ class WarcReader(DataSourceReader):
         self.equal: dict[str, list[str]] = {}
         self.begins: list[tuple[str, str]] = []
         self.present: list[str] = []
+        #: Bytes that the records of this package's own files were inflated to.
+        self.inflated = 0
 
     def pushFilters(self, filters: list) -> Iterator:
         for f in filters:
@@ -163,9 +184,11 @@ class WarcReader(DataSourceReader):
         listed = fs.get_file_info([root])[0]
         if listed.type == pafs.FileType.File:
             files = [listed]
-        elif fs.get_file_info([f"{root}/_manifest.json"])[0].type == pafs.FileType.File:
-            with fs.open_input_stream(f"{root}/_manifest.json") as f:
-                files = fs.get_file_info([f"{root}/{x['path']}" for x in json.loads(f.read())])
+        elif manifests := _manifests(fs, root):
+            files = []
+            for path in manifests:
+                with fs.open_input_stream(path) as f:
+                    files += fs.get_file_info([f"{root}/{x['path']}" for x in json.loads(f.read())])
         else:
             found = fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
             files = sorted((x for x in found if x.path.endswith((".warc", ".warc.gz"))), key=lambda x: x.path)
@@ -200,16 +223,10 @@ class WarcReader(DataSourceReader):
             f.seek(at)
             head = f.read(size + PEEK)
             length, _full = struct.unpack_from("<II", head, len(MAGIC))
-            inflate = zlib.decompressobj(-15)
-            text = inflate.decompress(head[size:length])
-            rest = None
-            if b"\r\n\r\n" not in text:  # headers of more than the first bytes
-                rest = f.read(max(0, length - len(head)))
-                text += inflate.decompress(rest)
-            if row := self._row(text):
-                if rest is None and length > len(head):
-                    text += inflate.decompress(f.read(length - len(head)))
-                yield self._full(row, text)
+            part = _Member(f, head[size:length], max(0, length - len(head)))
+            if row := self._row(part.until(0)):
+                yield self._full(row, part)
+            self.inflated += part.inflated
             at += length
 
     def _whole(self, f, path: str) -> Iterator[dict]:
@@ -224,9 +241,12 @@ class WarcReader(DataSourceReader):
                     head += line
             size = int(parsed(bytes(head)).get("content-length", "0"))
             if row := self._row(bytes(head)):
-                yield self._full(row, bytes(head) + stream.read(size))
+                yield self._full(row, _Held(bytes(head) + stream.read(size)))
+            elif path.endswith(".gz"):
+                while size and (skipped := stream.read(min(size, 1 << 20))):
+                    size -= len(skipped)
             else:
-                stream.read(size) if path.endswith(".gz") else stream.seek(size, 1)
+                stream.seek(size, 1)
 
     def _row(self, text: bytes) -> dict | None:
         fields = parsed(text.partition(b"\r\n\r\n")[0])
@@ -234,20 +254,73 @@ class WarcReader(DataSourceReader):
         row = {k: strip(fields.get(h.lower())) for k, h in HEADERS.items()}
         if row["payload_digest"]:
             row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
+        if row["target_uri"] and QUOTED.lower() in fields:
+            row["target_uri"] = unquote(row["target_uri"])
         row["__length"] = int(fields.get("content-length", "0"))
         return row if self.wanted(row) else None
 
-    def _full(self, row: dict, text: bytes) -> dict:
-        block = text.partition(b"\r\n\r\n")[2][: row.pop("__length")]
-        http, _, payload = block.partition(b"\r\n\r\n")
-        own = row["record_type"] == "response"
-        row["payload_bytes"] = len(payload) if own else int(parsed(http).get("content-length", "0"))
-        if own and self.options.get("verify", "false") == "true" and hashlib.sha1(payload).hexdigest() != row["payload_digest"]:
+    def _full(self, row: dict, part: _Held) -> dict:
+        """The row with its payload, or with the payload's length alone: then no more than the HTTP headers are inflated."""
+        length, own = row.pop("__length"), row["record_type"] == "response"
+        verify, give = self.options.get("verify", "false") == "true", self.options.get("payload", "true") == "true"
+        row["payload"] = None
+        if not own or not (verify or give):
+            block = part.until(1).partition(b"\r\n\r\n")[2]
+            http, end, _ = block.partition(b"\r\n\r\n")
+            row["payload_bytes"] = max(0, length - len(http) - len(end)) if own else int(parsed(http).get("content-length", "0"))
+            return row
+        payload = part.all().partition(b"\r\n\r\n")[2][:length].partition(b"\r\n\r\n")[2]
+        row["payload_bytes"] = len(payload)
+        if verify and hashlib.sha1(payload).hexdigest() != row["payload_digest"]:
             raise ValueError(f"payload of {row['record_id']} doesn't meet its digest")
-        row["payload"] = payload if own and self.options.get("payload", "true") == "true" else None
+        row["payload"] = payload if give else None
         return row
 
 
+class _Held:
+    """A record that's in memory."""
+
+    def __init__(self, text: bytes):
+        self.text = text
+
+    def until(self, blank: int) -> bytes:
+        return self.text
+
+    def all(self) -> bytes:
+        return self.text
+
+
+class _Member(_Held):
+    """A record in a gzip member, inflated no further than asked for; ``inflated`` counts bytes."""
+
+    def __init__(self, f, data: bytes, rest: int):
+        self.f, self.rest, self.data = f, rest, data
+        self.inflate, self.text, self.inflated = zlib.decompressobj(-15), b"", 0
+
+    def _more(self, most: int) -> bool:
+        """Inflates up to ``most`` more bytes; false at the end."""
+        if not self.data and self.rest:
+            self.data = self.f.read(min(self.rest, PEEK if most else self.rest))
+            self.rest -= len(self.data)
+        out = self.inflate.decompress(self.data, most)
+        ended = not out and not self.rest and not self.inflate.unconsumed_tail
+        self.data = self.inflate.unconsumed_tail
+        self.text += out
+        self.inflated += len(out)
+        return not (ended or self.inflate.eof)
+
+    def until(self, blank: int) -> bytes:
+        """The begin of the record, with the blank line of that number in it, if there is one."""
+        while self.text.count(b"\r\n\r\n") <= blank and self._more(PEEK):
+            pass
+        return self.text
+
+    def all(self) -> bytes:
+        while self._more(0):
+            pass
+        return self.text
+
+
 class _Inflated(io.RawIOBase):
     """The bytes of all members of a gzip file."""
 
@@ -301,15 +374,21 @@ def records(pages: DataFrame, least: int = 1000) -> DataFrame:
 
     Of pages with equal payloads (by SHA-1 and length) of at least ``least`` bytes the one with the
     largest page_id is the response and the others revisit it; rows with that page_id are responses,
-    as are pages without a page_id and shorter ones. Only ids and digests meet by payload, the hot
-    ones dealt over several tasks; the payloads move by page_id.
+    as are pages without a page_id and shorter ones. Rows that repeat a page_id with other payloads
+    revisit what any of them does. An empty table gives no rows; other columns aren't looked at. Ids and
+    digests, kept once, meet by payload, the hot ones dealt over several tasks; the payloads themselves move
+    only if there are too many revisits for a broadcast, which Spark tells from the size of the saved table.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", html.cast("binary").alias("payload"))
     keyed = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")).where(f"n >= {least} and page_id is not null")
-    groups = keyed.groupBy("digest", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    again = common.hot_left_join(keyed, groups.drop("copies"), ["digest", "n"], F.col("page_id")).where("first is not null and first != page_id")
-    found = rows.join(again.select("page_id", "first").distinct(), "page_id", "left")
+    keyed = common.saved(keyed, "payloads")
+    groups = common.saved(keyed.groupBy("digest", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "groups")
+    again = common.hot_left_join(keyed, groups, ["digest", "n"], F.col("page_id"), "copies").where("first is not null and first != page_id")
+    again = common.saved(again.groupBy("page_id").agg(F.min("first").alias("first")), "revisits")
+    # Rows without a page_id match nothing; they are dealt over tasks by their urls.
+    apart = F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("url", F.octet_length("payload")), F.lit(1024))).otherwise(0)
+    found = rows.withColumn("__salt", apart).join(again.withColumn("__salt", F.lit(0).cast("long")), ["page_id", "__salt"], "left")
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
     return found.select(
         urn("page_id").alias("record_id"),

@@ -248,6 +248,65 @@ def test_warc_filters_skip_and_split(spark, tmp_path):
     assert warc.read(spark, f"file://{plain}", verify="true").count() == 122
 
 
+def brute_records(rows):
+    """(record_id's end, type, refers_to's end, digest, bytes, uri) of rows (page_id, url, html)."""
+    data = [(i, u, (h or "").encode()) for i, u, h in rows]
+    top = {}
+    for i, _, b in data:
+        if i is not None and len(b) >= 1000:
+            top[b] = max(top.get(b, i), i)
+    again = {i: top[b] for i, _, b in data if i is not None and b in top and top[b] != i}
+    return Counter((str("" if i is None else i), "revisit" if i in again else "response", str(again[i]) if i in again else None, hashlib.sha1(b).hexdigest(), len(b), u) for i, u, b in data)
+
+
+def archived(df):
+    cut = lambda s: s and s.removeprefix("urn:page:")
+    return Counter((cut(r.record_id), r.record_type, cut(r.refers_to), r.payload_digest, r.payload_bytes, r.target_uri) for r in df.collect())
+
+
+def test_warc_of_odd_pages(spark, tmp_path):
+    big = "é" * 700
+    rows = [(1, "a", big), (1, "a", big), (2, " b\t", big), (3, "100%\nc%0A", None), (4, None, ""), (None, "", big), (None, "x", big), (5, "%41", "short"), (6, "u", "short"), (7, "http://x/ü\r", big + " "), (8, "c: d", "\r\n\r\n" * 400)]
+    pages = spark.createDataFrame([(i, u, h, "clash") for i, u, h in rows], "page_id long, url string, html string, first string")
+    warc.write(pages, f"file://{tmp_path}/w")
+    for options in ({"verify": "true"}, {"payload": "false"}, {"payload": "false", "verify": "true"}):
+        assert archived(warc.read(spark, f"file://{tmp_path}/w", **options)) == brute_records(rows)
+    assert warc.read(spark, f"file://{tmp_path}/w").where("target_uri = ' b\t'").count() == 1
+    warc.write(pages.limit(0), f"file://{tmp_path}/none")
+    assert warc.read(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_warc_appends_keep_earlier_records(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    pages = spark.createDataFrame([(k, f"u{k}", f"page {k}") for k in range(10)], "page_id long, url string, html string")
+    warc.write(pages.where("page_id < 5"), path)
+    warc.write(pages.where("page_id >= 5"), path)
+    assert archived(warc.read(spark, path)) == brute_records([tuple(r) for r in pages.collect()])
+    warc.records(pages.where("page_id = 3")).write.format("warc").mode("overwrite").save(path)
+    assert [r.target_uri for r in warc.read(spark, path).collect()] == ["u3"]
+
+
+def test_warc_inflates_headers_alone(tmp_path):
+    data = b"".join(warc.member(warc.record(f"urn:page:{k}", "response", f"u{k}", b"x" * 3_000_000, "0", 3_000_000, None)) for k in range(3))
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    for options, pushed in (({}, {"target_uri": ["none"]}), ({"payload": "false"}, {})):
+        reader = warc.WarcReader({"path": f"file://{tmp_path}", **options})
+        reader.equal = pushed
+        found = [r for piece in reader.partitions() for b in reader.read(piece) for r in b.to_pylist()]
+        assert [r["payload_bytes"] for r in found] == ([] if pushed else [3_000_000] * 3)
+        assert 0 < reader.inflated <= 3 * warc.PEEK
+
+
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    left = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k % 7}", None if k == 5 else k) for k in range(300)] + [(900, None, 1), (901, "unmet", 2)], "id long, key string, v long")
+    right = left.where("key is not null and key != 'unmet'").groupBy("key").agg({"id": "max", "*": "count"}).toDF("key", "n", "most").select("key", "most", "n")
+    out = common.hot_left_join(left, right, ["key"], left["id"], "n")
+    want = {r.key: r.most for r in right.collect()}
+    assert out.columns == ["key", "id", "v", "most"]
+    assert Counter((r.id, r.most) for r in out.collect()) == Counter((r.id, want.get(r.key)) for r in left.collect())
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "HTTP://A.Org/x?y", "http://org", "http://b.example.org/es/1", "http://example.org/en/12#t", "https://x.com/fr/a", "https://x.com/de/a?b=1&c=2", "http://notorg/x", "http://é.com/fr/"]
     pages = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(urls)], "page_id long, url string, host string")
