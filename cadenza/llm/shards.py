@@ -70,18 +70,21 @@ def commit(spark: SparkSession, folder: str, change: Callable[[list[dict]], list
 
 
 def append(df: DataFrame, folder: str, rows: int = SHARD_ROWS) -> int:
-    """Adds df's rows as shards of at most ``rows`` rows. An empty df commits nothing new. Returns the version."""
+    """Adds df's rows as shards of at most ``rows`` rows. An empty df commits nothing new. Returns the version.
+
+    Rows are kept as they are: nulls, repeated rows and any columns. Arrivals may have different columns; a
+    merged shard has the columns of all its sources, with nulls where a source lacks one, in the wider type
+    where types differ (types that have none in common are an error). Readers choose columns by their schema.
+    """
     spark = df.sparkSession
     arrival = f"data/{uuid.uuid4().hex}"
     df.write.option("maxRecordsPerFile", rows).option("compression", "zstd").parquet(f"{folder}/{arrival}")
     fs, root = common.filesystem(folder)
-    new = []
-    for x in sorted(fs.get_file_info(pafs.FileSelector(f"{root}/{arrival}")), key=lambda x: x.base_name):
-        if x.base_name.endswith(".parquet"):
-            with fs.open_input_file(x.path) as f:
-                n = pq.read_metadata(f).num_rows
-            if n:
-                new.append({"path": f"{arrival}/{x.base_name}", "bytes": x.size, "rows": n})
+    # The executors read the footers: a row for each new shard.
+    back = spark.read.schema(df.schema).parquet(f"{folder}/{arrival}").groupBy(F.col("_metadata.file_name").alias("name")).count()
+    counts = {r[0]: r[1] for r in back.collect()}
+    found = sorted(fs.get_file_info(pafs.FileSelector(f"{root}/{arrival}")), key=lambda x: x.base_name)
+    new = [{"path": f"{arrival}/{x.base_name}", "bytes": x.size, "rows": counts[x.base_name]} for x in found if counts.get(x.base_name)]
     return commit(spark, folder, lambda shards: shards + new if new else None)
 
 
@@ -110,26 +113,38 @@ def runs(shards: list[dict], target: int = TARGET, fanout: int = FANOUT) -> list
     return [run for run in out if len(run) > 1]
 
 
+def _fitted(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """batch with the columns and types of schema; nulls where it lacks a column."""
+    names = batch.schema.names
+    columns = [batch.column(names.index(f.name)).cast(f.type) if f.name in names else pa.nulls(batch.num_rows, f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
 def merge(spark: SparkSession, folder: str, found: list[list[dict]]) -> int:
     """Writes a shard for each run and commits it in place of the run's shards, where these are all still there."""
-    listed = spark.createDataFrame([(k, [s["path"] for s in run]) for k, run in enumerate(found)], "run int, paths array<string>")
+    paths = spark.sparkContext.broadcast([[s["path"] for s in run] for run in found])  # names that the manifest has as well
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = common.filesystem(folder)
         for batch in batches:
-            for row in batch.to_pylist():
-                name, writer, n = f"data/merged-{uuid.uuid4().hex}.parquet", None, 0
-                for p in row["paths"]:
+            for k in batch.column(0).to_pylist():
+                name, n = f"data/merged-{uuid.uuid4().hex}.parquet", 0
+                schemas = []
+                for p in paths.value[k]:
                     with fs.open_input_file(f"{root}/{p}") as f:
-                        for part in pq.ParquetFile(f).iter_batches(batch_size=2_000):
-                            writer = writer or pq.ParquetWriter(f"{root}/{name}", part.schema, filesystem=fs, compression="zstd")
-                            writer.write_batch(part, row_group_size=20_000)
-                            n += part.num_rows
-                writer.close()
+                        schemas.append(pq.read_schema(f).remove_metadata())
+                schema = pa.unify_schemas(schemas, promote_options="permissive")
+                with pq.ParquetWriter(f"{root}/{name}", schema, filesystem=fs, compression="zstd") as writer:
+                    for p in paths.value[k]:
+                        with fs.open_input_file(f"{root}/{p}") as f:
+                            for part in pq.ParquetFile(f).iter_batches(batch_size=2_000):
+                                writer.write_batch(_fitted(part, schema), row_group_size=20_000)
+                                n += part.num_rows
                 size = fs.get_file_info([f"{root}/{name}"])[0].size
-                yield pa.RecordBatch.from_pylist([{"run": row["run"], "path": name, "bytes": size, "rows": n}], schema=pa.schema([("run", pa.int32()), ("path", pa.string()), ("bytes", pa.int64()), ("rows", pa.int64())]))
+                yield pa.RecordBatch.from_pylist([{"run": k, "path": name, "bytes": size, "rows": n}], schema=pa.schema([("run", pa.int32()), ("path", pa.string()), ("bytes", pa.int64()), ("rows", pa.int64())]))
 
-    done = listed.repartition(len(found), "run").mapInArrow(write, "run int, path string, bytes long, rows long").collect()  # one row for each merged shard
+    each = spark.range(0, len(found), 1, len(found))  # one merge in each task
+    done = each.mapInArrow(write, "run int, path string, bytes long, rows long").collect()  # one row for each merged shard
 
     def change(shards: list[dict]) -> list[dict] | None:
         here = {s["path"] for s in shards}

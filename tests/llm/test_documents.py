@@ -346,6 +346,22 @@ def test_shards_compact_and_commit(spark, tmp_path):
     assert shards.append(spark.createDataFrame([], schema), folder) == 7
 
 
+def test_shards_with_other_columns_compact(spark, tmp_path):
+    folder = f"file://{tmp_path}/s"
+    arrivals = [
+        spark.createDataFrame([(1, "a"), (None, None)], "doc_id int, text string"),
+        spark.createDataFrame([("b", 2, "x"), ("b", 2, "x")], "text string, doc_id long, bytes string"),
+        spark.createDataFrame([(3, 0.5)], "doc_id long, path double"),
+        spark.createDataFrame([(1 << 40, "")], "doc_id long, text string"),
+    ]
+    for df in arrivals:
+        shards.append(df.coalesce(1), folder)
+    shards.compact(spark, folder)
+    assert len(shards.latest(folder)[1]) == 1
+    out = shards.read(spark, folder, "doc_id long, text string, bytes string, path double")
+    assert Counter(map(tuple, out.collect())) == Counter({(1, "a", None, None): 1, (None, None, None, None): 1, (2, "b", "x", None): 2, (3, None, None, 0.5): 1, (1 << 40, "", None, None): 1})
+
+
 def test_commit_retries_when_beaten(spark, tmp_path):
     folder = f"file://{tmp_path}/s"
     seen = []
