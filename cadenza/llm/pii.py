@@ -2,9 +2,9 @@
 
 The tagger (tagger.py) is trained on labelled spans: sentences made from a fixed seed, with e-mail
 addresses, IP addresses, card and phone numbers in many forms, and with dates, prices, versions,
-hexadecimal strings and plain numbers that are none. It reads the surroundings of every digit
-and every @, in overlapping windows that are decoded together; text without these holds no span of
-its kinds. What it finds is kept if its odds are high, if it's well formed, and if no base span meets it.
+hexadecimal strings, other numbers and prose that are none. It reads every text whole, in overlapping
+windows that are decoded together. What it finds is kept if its odds are high, if it's well formed, if it's
+no part of a longer word or number, and if no base span meets it.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tagger import CLASSES, KINDS, WINDOW, Tagger, classes, tagged_spans
+from .tagger import CLASSES, KINDS, Tagger, classes
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -30,10 +30,19 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile("[0-9@]")
-#: Characters around a trigger that the tagger reads.
-AROUND = 40
 #: The tagger's spans need such mean odds.
-ODDS = 0.95
+ODDS = 0.5
+#: Characters of texts that the tagger is given at once (a longer text by itself), and of a training window.
+SLICE_CHARS, TRAIN_CHARS = 1_000_000, 96
+AT = r"(?:\s?[(\[{<]\s?(?:@|at|AT)\s?[)\]}>]\s?|\s?@\s?)"
+DOT = r"(?:\.|\s?[(\[{<]\s?(?:\.|dot|DOT)\s?[)\]}>]\s?|\s(?:dot|DOT)\s)"
+#: A bare "at" makes an address only with a "dot" that's spelled as well.
+FORMS = [
+    re.compile(rf"[\w.%+-]+(?:{AT}[\w-]+(?:{DOT}[\w-]+)+|\s(?:at|AT)\s[\w-]+(?:(?!\.){DOT}[\w-]+)+)"),
+    re.compile(rf"[0-9]{{1,3}}(?:(?:{DOT}|\s?[-.,_:]\s?)[0-9]{{1,3}}){{3}}"),
+    re.compile(r"[0-9](?:[ ./_·-]{0,3}[0-9])+"),
+    re.compile(r"[+(]{0,2}[0-9](?:[ ().\-/]{0,3}[0-9])+"),
+]
 
 
 def luhn(digits: str) -> bool:
@@ -75,23 +84,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def well_formed(kind: int, s: str) -> bool:
     """Whether a tagged string can be of its kind."""
+    if not FORMS[kind].fullmatch(s):
+        return False
     digits = "".join(c for c in s if "0" <= c <= "9")
-    if kind == 0:
-        return bool(re.fullmatch(r"[\w.%+-]+\s?[(\[]?\s?(@|at|AT)\s?[)\]]?\s?[\w-]+(\s?[(\[]?\s?(\.|dot|DOT)\s?[)\]]?\s?[\w-]+)+", s))
     if kind == 1:
-        parts = re.split(r"[^0-9]+", s.strip())
-        return len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts)
+        return all(int(p) <= 255 for p in re.findall("[0-9]+", s))
     if kind == 2:
         return 13 <= len(digits) <= 19 and luhn(digits)
-    return 9 <= len(digits) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][0-9 ().\-/]*[0-9]", s)) and bool(re.search(r"[ ().\-/]", s))
+    return kind == 0 or 9 <= len(digits) <= 15 and bool(re.search(r"[ ().\-/]", s))
 
 
-def labelled(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """n sentences with their (kind, begin, end) spans, the same for the same seed."""
+#: Forms of spans: # is a digit; at and dot signs go together. Those to train on, and others that tests hold out.
+PHONES = ["(###) ###-####", "###-###-####", "### ### ####", "00## ### ######", "###.###.####", "0### ######", "0## #### ####", "(0##) ### ## ##", "## ## ## ## ##", "0###/######", "###-####-####", "0##.####.####", "(###)###.####", "00## ## ### ## ##", "0##-#######", "###/###.####", "####/######", "###/### ####", "### ###.####", "0### ###-###"]
+HELD_PHONES = ["(###)###-####", "### ###-####", "00## ## #######", "0#### #####", "(0##) #######", "###/###-####", "0##/### ## ##"]
+IPS, HELD_IPS = ["[.]", " . ", "(.)", " dot ", "-", " [.] ", "[dot]", " (dot) ", " .", "{.}", " - ", "{dot}", " DOT "], [" [dot] ", "(dot)", " (.) ", ". "]
+HELD_CARDS = [" · ", "/ ", "_ "]
+CARDS = [x for c in "./_·-" for x in (c, c, f" {c} ", f"{c} ") if x not in HELD_CARDS and x != "-"]
+AT_SIGNS = [" @ ", "(@)", " [@] ", " at ", " (at) ", " [at] ", " AT ", "(at)", "[at]", "@"]
+DOT_SIGNS = [".", " dot ", " [dot] ", "(dot)", " DOT ", "[dot]", "."]
+#: What the base patterns find, or what prose may be.
+SKIPPED_MAILS = [("@", "."), (" at ", "."), (" AT ", ".")]
+HELD_MAILS = [(" [at] ", "."), (" (at) ", "(dot)"), ("[at]", "[dot]"), ("(at)", " dot "), (" (@) ", ".")]
+
+
+def labelled(n: int, seed: int, held_out: bool = False) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """n sentences with their (kind, begin, end) spans, the same for the same seed.
+
+    held_out: spans in the HELD_ forms, words of other syllables and other numbers about.
+    """
     r = random.Random(seed)
-    bits = "the and er on in th en an re ti ou ea st nt ha es or nd le que de la einer sch un ber ción mi".split()
+    bits = ("ka lo mi ne sur tag wol pre fix est ind uro van del mer rin" if held_out else "the and er on in th en an re ti ou ea st nt ha es or nd le que de la einer sch un ber ción mi").split()
+    phones, ips, cards = (HELD_PHONES, HELD_IPS, HELD_CARDS) if held_out else (PHONES, IPS, CARDS)
+    mails = HELD_MAILS if held_out else [x for a in AT_SIGNS for d in DOT_SIGNS if (x := (a, d)) not in HELD_MAILS and x not in SKIPPED_MAILS]
 
     def word() -> str:
+        if not held_out and r.random() < 0.4:
+            return "".join(r.choices("abcdefghijklmnopqrstuvwxyzéèüñ", k=r.randint(2, 9)))
         return "".join(r.choices(bits, k=r.randint(1, 3)))
 
     def number(k: int) -> str:
@@ -101,19 +129,25 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
         k = r.choice([13, 15, 16, 16, 16, 19])
         head = r.choice("3456") + number(k - 2)
         digits = head + next(d for d in "0123456789" if luhn(head + d))
-        sep = r.choice(["", "", " ", "-", "."])
-        return sep.join(digits[i : i + 4] for i in range(0, k, 4)) if sep else digits
+        ends = {13: [4, 7, 10, 13], 15: [4, 10, 15], 16: [4, 8, 12, 16], 19: [4, 8, 12, 16, 19]}[k]
+        groups = [digits[a:b] for a, b in zip([0, *ends], ends)]
+        return r.choice(cards).join(groups)
 
     def phone() -> str:
-        form = r.choice(["+# (###) ###-####", "(###) ###-####", "###-###-####", "+## ## #######", "### ### ####", "+#-###-###-####", "00## ### ######", "###.###.####", "+############"])
-        return "".join(number(1) if c == "#" else c for c in form)
+        return "".join(number(1) if c == "#" else c for c in r.choice(phones))
 
     def email() -> str:
-        name, host = r.choice([word(), f"{word()}.{number(2)}", f"{word()}_{word()}", word() + number(1)]), f"{word()}{r.choice(['', number(1)])}.{r.choice(['example', word()])}.{r.choice(['com', 'org', 'net'])}"
-        return r.choice([f"{name}@{host}"] * 3 + [f"{name} @ {host}", f"{name}(@){host}", f"{name} [@] {host}"])
+        name = r.choice([word(), f"{word()}.{number(2)}", f"{word()}.{word()}", f"{word()}_{word()}", word() + number(1)])
+        host = [word() + r.choice(["", "", number(1)]), *([word()] if r.random() < 0.4 else []), r.choice(["io", "eu", "info"] if held_out else ["com", "org", "net", "de", "fr", "co", "ch", "edu", word()[:4]])]
+        at, dot = r.choice(mails)
+        return name + at + dot.join(host)
 
     def ip() -> str:
-        return r.choice([".", ".", "."]).join(str(r.randint(0, 255)) for _ in range(4))
+        return r.choice(ips).join(str(r.choice([r.randint(0, 255), r.randint(0, 255), 10, 192, 0])) for _ in range(4))
+
+    def plain() -> tuple[int, str]:
+        """Spans that the base patterns find as well."""
+        return r.choice([lambda: (0, f"{word()}@{word()}.com"), lambda: (1, ".".join(str(r.randint(0, 255)) for _ in range(4))), lambda: (3, f"+{number(2)} {number(3)} {number(6)}")])()
 
     def other() -> str:
         return r.choice(
@@ -121,6 +155,7 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
                 lambda: number(r.randint(1, 7)),
                 lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}",
                 lambda: f"{r.randint(1, 28)}/{r.randint(1, 12)}/{r.randint(1900, 2030)}",
+                lambda: f"{r.randint(1, 28):02}.{r.randint(1, 12):02}.{r.randint(1900, 2030)}",
                 lambda: f"{r.randint(0, 23)}:{number(2)}:{number(2)}",
                 lambda: f"${number(2)}.{number(2)}",
                 lambda: f"v{number(1)}.{number(1)}.{number(2)}",
@@ -130,24 +165,37 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
                 lambda: f"{number(3)} {number(3)}",
                 lambda: f"#{number(4)} @{word()}",
                 lambda: f"{number(1)},{number(3)},{number(3)}",
+                lambda: f"{r.randint(1900, 2030)}-{r.randint(1900, 2030)}",
+                lambda: ", ".join(number(r.randint(1, 3)) for _ in range(r.randint(2, 6))),
+                lambda: " ".join(number(r.randint(1, 2)) for _ in range(r.randint(2, 4))),
+                lambda: f"{number(2)}.{number(4)}, {number(2)}.{number(4)}",
+                lambda: f"| {number(2)} | {number(3)} | {number(1)} |",
+                lambda: f"{word()} at {number(r.randint(1, 4))}",
+                lambda: f"{word()} at {word()}. {word()} dot {word()}",
+                lambda: f"at {word()} {word()} dot",
+                lambda: f"{word()} at {word()}.com",
+                lambda: f"{word()} at {word()}.{word()}",
+                lambda: f"({number(r.randint(1, 4))}) {word()}",
             ]
         )()
 
     out = []
     for _ in range(n):
-        text, spans = "", []
-        while len(text) < WINDOW:
-            roll = r.random()
-            if roll < 0.62:
-                text += word()
-            elif roll < 0.8:
+        text, spans, after = "", [], False
+        while len(text) < TRAIN_CHARS:
+            roll = r.random() * (0.65 if after else 1)  # mostly a word after a span
+            after = False
+            if roll < 0.6:
+                text += r.choice([word(), word(), word().capitalize(), word().upper()])
+            elif roll < 0.76:
                 text += other()
+                after = r.random() < 0.7
             else:
-                kind = r.randrange(4)
-                value = (email, ip, card, phone)[kind]()
+                kind, value = plain() if roll > 0.97 else (k := r.randrange(4), (email, ip, card, phone)[k]())
                 spans.append((kind, len(text), len(text) + len(value)))
                 text += value
-            text += r.choice([" ", " ", " ", " ", ", ", ". ", "\n", "*** ", "$$$ ", "; "])
+                after = True
+            text += r.choice([" ", " ", " ", " ", ", ", ". ", ": ", "\n", "*** ", "$$$ ", "; ", ") ", " | "])
         out.append((text, spans))
     return out
 
@@ -166,36 +214,59 @@ def arrays(sentences: list[tuple[str, list[tuple[int, int, int]]]], size: int) -
 
 
 @lru_cache(maxsize=2)
-def trained(sentences: int = 1500, steps: int = 240, seed: int = 5) -> dict[str, np.ndarray]:
-    """Weights of a tagger trained on labelled(sentences, seed)."""
+def trained(sentences: int = 6000, steps: int = 900, seed: int = 5) -> dict[str, np.ndarray]:
+    """Weights of a tagger trained on labelled(sentences, seed); a session trains once."""
     tagger = Tagger()
-    tagger.fit(*arrays(labelled(sentences, seed), 96), steps=steps)
+    tagger.fit(*arrays(labelled(sentences, seed), TRAIN_CHARS), steps=steps)
     return tagger.w
 
 
-def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
+def _signs(ids: np.ndarray) -> np.ndarray:
+    """Of a text's classes: digits, @, and the t of "at" that no letter follows: every well-formed span has one."""
+    t = (ids == ord("t")) | (ids == ord("T"))
+    after_a = np.concatenate([[False], (ids[:-1] == ord("a")) | (ids[:-1] == ord("A"))])
+    letter = ((ids >= 65) & (ids <= 90)) | ((ids >= 97) & (ids <= 122))
+    return ((ids >= 48) & (ids <= 57)) | (ids == ord("@")) | (t & after_a & ~np.concatenate([letter[1:], [False]]))
+
+
+def _apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """spans less those that an earlier one meets."""
+    out: list[tuple[int, int, int]] = []
+    for s in sorted(spans, key=lambda s: s[1]):
+        if not out or s[1] >= out[-1][2]:
+            out.append(s)
+    return out
+
+
+def _edges(kind: int, text: str, a: int, b: int) -> tuple[int, int]:
+    """A tagged span moved out to the ends of words and numbers, and in over signs that no span begins or ends with."""
+    while a < b and not (text[a].isalnum() or kind == 3 and text[a] in "(+"):
+        a += 1
+    while a < b and not text[b - 1].isalnum():
+        b -= 1
+    signs = "._%+-" if kind == 0 else ""
+    while a < b and a and (text[a - 1].isalnum() or text[a - 1] in signs):
+        a -= 1
+    while a < b < len(text) and text[b].isalnum():
+        b += 1
+    if kind == 3 and a and text[a - 1] == "(" and ")" in text[a:b]:
+        a -= 1
+    return a, b
+
+
+def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], tagger: Tagger, least: float = ODDS) -> list[list[tuple[int, int, int]]]:
     """Spans of each text that the tagger adds to its base spans."""
-    parts, where = [], []
-    for t, text in enumerate(texts):
-        begin = end = None
-        for m in TRIGGER.finditer(text):
-            a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-            if end is None or a > end:
-                if end is not None:
-                    where.append((t, begin))
-                    parts.append(classes(text[begin:end]))
-                begin = a
-            end = b
-        if end is not None:
-            where.append((t, begin))
-            parts.append(classes(text[begin:end]))
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for (t, at), (tags, odds) in zip(where, tagger.regions(parts)):
-        for kind, a, b, p in tagged_spans(tags, odds):
-            a, b = a + at, b + at
-            whole = not (a and texts[t][a - 1].isalnum()) and not (b < len(texts[t]) and texts[t][b].isalnum())
-            if p >= ODDS and whole and well_formed(kind, texts[t][a:b]) and all(b <= x or y <= a for _, x, y in base[t]):
-                out[t].append((kind, a, b))
+    out: list[list[tuple[int, int, int]]] = []
+    for text, known, found in zip(texts, base, tagger.spans(texts, _signs)):
+        own = []
+        for kind, a, b, p in found:
+            a, b = _edges(kind, text, a, b)
+            whole = not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum())
+            # Check digits and their number tell cards from phones.
+            fits = [k for k in ((2, 3) if kind >= 2 else (kind,)) if well_formed(k, text[a:b])]
+            if p >= least and whole and fits and all(b <= x or y <= a for _, x, y in known):
+                own.append((fits[0], a, b))
+        out.append(_apart(own))
     return out
 
 
@@ -207,8 +278,14 @@ def _both(texts: list[str], tagger: Tagger) -> tuple[list, list]:
     """Base and added spans, the tagger run over some texts at a time."""
     base = [base_spans(text) for text in texts]
     added: list = []
-    for at in range(0, len(texts), 256):
-        added += added_spans(texts[at : at + 256], base[at : at + 256], tagger)
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= SLICE_CHARS):
+            size += len(texts[to])
+            to += 1
+        added += added_spans(texts[at:to], base[at:to], tagger)
+        at = to
     return base, added
 
 
