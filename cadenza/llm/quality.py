@@ -1,13 +1,16 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions alone.
 
 Each rule is a statistic of the text in whole per mille, 0 to 1000, the higher the worse. For each
-stratum and rule a cutoff is chosen on labelled documents so that, with confidence 1 - delta over
-all of them together, at most a share alpha of the stratum's good documents lies above it: a cutoff
-may reject k of the stratum's n good labelled documents only if P(Binomial(n, alpha) <= k) <= delta / m
-with m = strata * rules (Bonferroni; along one rule the rejected sets are nested, so its cutoffs are
-tested in a fixed order without a further correction). Among the cutoffs so certified the one is taken
-that rejects most bad labelled documents, less COST for each good one; a stratum with too few labels,
-or a rule that gains nothing, gets no cutoff and rejects nothing.
+stratum cutoffs of all rules are chosen on labelled documents so that, with confidence 1 - delta over all
+strata together, at most a share alpha of the stratum's good documents is rejected, whichever rule does it.
+
+The labelled documents are halved by doc_id. On one half each rule gets the cutoff that rejects most bad
+documents, less COST for each good one. These cutoffs are then moved together: a document's score
+is its largest value in relation to the cutoff, and what's above a level of the score is rejected. The other
+half, the holdout, certifies levels: one may reject k of the stratum's n good holdout documents only if P(Binomial(n, alpha) <= k)
+<= delta / strata (Bonferroni over strata; the sets along the score are nested, so that levels are
+tested in a fixed order without a further correction). Among the certified levels the one is taken that
+gains most in the holdout; a stratum with too few labels, or where nothing is gained, rejects nothing.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ from . import common
 
 SPACES = r"[\x20\x09-\x0D]+"
 RULES = ["symbol_share", "duplicate_line_share", "capital_share", "repeat_share"]
-#: Share of a stratum's good documents that a rule may reject, and the odds of failing that anywhere.
+#: Share of a stratum's good documents that all rules together may reject, and the odds of failing that anywhere.
 ALPHA, DELTA = 0.02, 0.05
 #: Bad documents that a rule must reject to make up for a good one.
 COST = 5
+#: 0 for the half of the labelled documents that sets the rules' cutoffs; the others are the holdout.
+HALF = "(doc_id % 1000003 * 7919 div 1024) % 2"
 #: Cutoffs of up to so many strata are broadcast.
 STRATA = 10_000
 
@@ -85,26 +90,41 @@ def _allowed(alpha: float, n: str, level: str) -> Column:
             'k', if(t.p + exp(if(i = 0, {n} * ln(1 - {alpha}D), t.l + ln(({n} - i + 1) / i) + ln({alpha}D / (1 - {alpha}D)))) <= {level}, i, t.k))).k""")
 
 
+def _best(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """rows' histogram by the columns ``by`` and the value: how many good and bad ones lie above each value, n good ones in all."""
+    held = rows.groupBy(*by, value).agg(F.sum("quality").cast("long").alias("good"), F.sum(1 - F.col("quality")).cast("long").alias("bad"))
+    above = Window.partitionBy(*by).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("good", "bad")]
+    return held.select("*", *sums, F.sum("good").over(Window.partitionBy(*by)).alias("n")).withColumn("gain", F.col("bad_above") - COST * F.col("good_above"))
+
+
 def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff, good_above, allowed): a row for each certified cutoff that gains something.
+    """(stratum, rule, cutoff, good_above, allowed): the cutoffs of strata with a certified level that gains something.
 
     stats: doc_id, stratum and RULES; labels: doc_id, quality (1 good, 0 bad; other values and nulls are
-    not used). Labels that repeat a doc_id count once, as good if any says so. All labelled documents
-    are the holdout: nothing is trained on them. Histograms by stratum and value are all that's shuffled.
+    not used). Labels that repeat a doc_id count once, as good if any says so; rows of stats that repeat one
+    count each. good_above and allowed are of the stratum's holdout: how many good ones all rules together reject, and
+    may reject. Histograms by stratum and value are all that's shuffled.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    joined = stats.select("doc_id", "stratum", *RULES).join(known, "doc_id")
-    long = joined.select("stratum", "quality", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in RULES))).alias("x"))
-    held = long.groupBy("stratum", "x.rule", "x.value").agg(F.sum("quality").cast("long").alias("good"), F.sum(1 - F.col("quality")).cast("long").alias("bad"))
-    above = Window.partitionBy("stratum", "rule").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("stratum", "rule")
-    held = held.select("*", F.coalesce(F.sum("good").over(above), F.lit(0)).alias("good_above"), F.coalesce(F.sum("bad").over(above), F.lit(0)).alias("bad_above"), F.sum("good").over(whole).alias("n"))
+    joined = common.saved(stats.select("doc_id", "stratum", *RULES).join(known, "doc_id"), "labelled")
+    first, holdout = joined.where(f"{HALF} = 0"), joined.where(f"{HALF} != 0")
+    long = first.select("stratum", "quality", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in RULES))).alias("x"))
+    tried = _best(long.select("stratum", "quality", "x.*"), ["stratum", "rule"], "value").where("gain > 0")
+    best = tried.groupBy("stratum", "rule").agg(F.max(F.struct("gain", "value")).alias("b"))
+    scale = common.saved(best.select("stratum", "rule", (F.col("b.value") + 1).alias("scale")), "scales")
+    wide = scale.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("scale"))).alias(f"__{r}") for r in RULES))
+    scores = [F.expr(f"coalesce({r} * 1000 div __{r}, 0L)") for r in RULES]
+    scored = holdout.join(wide, "stratum", "left").select("stratum", "quality", F.greatest(*scores).alias("score"))
+    held = _best(scored, ["stratum"], "score")
     sizes = held.select("stratum", "n").distinct()
-    tests = sizes.agg((F.count("*") * len(RULES)).alias("tests"))  # one row
+    tests = sizes.agg(F.count("*").alias("tests"))  # one row
     allowed = sizes.join(F.broadcast(tests)).select("stratum", _allowed(alpha, "n", f"{delta}D / tests").alias("allowed"))
-    tried = held.join(allowed, "stratum").where("good_above <= allowed").withColumn("gain", F.col("bad_above") - COST * F.col("good_above"))
-    best = tried.where("gain > 0").groupBy("stratum", "rule").agg(F.max(F.struct("gain", "value", "good_above", "allowed")).alias("b"))
-    return best.select("stratum", "rule", F.col("b.value").alias("cutoff"), "b.good_above", "b.allowed")
+    certified = held.join(allowed, "stratum").where("good_above <= allowed and gain > 0")
+    level = certified.groupBy("stratum").agg(F.max(F.struct("gain", "score", "good_above", "allowed")).alias("b"))
+    # A value whose score is above the level is more than this cutoff.
+    cutoff = F.expr("((b.score + 1) * scale + 999) div 1000 - 1")
+    return level.join(scale, "stratum").select("stratum", "rule", cutoff.alias("cutoff"), "b.good_above", "b.allowed")
 
 
 def _rejected(rows: DataFrame, chosen: DataFrame, value: str) -> DataFrame:
@@ -177,17 +197,25 @@ q as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_fail
 """
 CUTOFFS_SQL = f"""
 k as (select doc_id, max(quality) as quality from labels where quality in (0, 1) group by doc_id),
-l as (select stratum, quality, rule, value from (unpivot (select doc_id, stratum, symbol_share, duplicate_line_share, capital_share, repeat_share from q)
+l as (select stratum, quality, rule, value from (unpivot (select doc_id, stratum, symbol_share, duplicate_line_share, capital_share, repeat_share from q where {HALF.replace('div', '//')} = 0)
       on symbol_share, duplicate_line_share, capital_share, repeat_share into name rule value value) join k using (doc_id)),
 v as (select stratum, rule, value, sum(quality) as good, sum(1 - quality) as bad from l group by all),
-a as (select *, coalesce(sum(good) over up, 0) as good_above, coalesce(sum(bad) over up, 0) as bad_above, sum(good) over (partition by stratum, rule) as n
+a as (select stratum, rule, value, coalesce(sum(bad) over up, 0) - {COST} * coalesce(sum(good) over up, 0) as gain
       from v window up as (partition by stratum, rule order by value desc rows between unbounded preceding and 1 preceding)),
-s as (select distinct stratum, n from a),
+e as (select stratum, rule, max(struct_pack(gain := gain, value := value)).value + 1 as scale from a where gain > 0 group by stratum, rule),
+f as (select q.doc_id, q.stratum, quality, coalesce(max(case e.rule when 'symbol_share' then symbol_share when 'duplicate_line_share' then duplicate_line_share
+      when 'capital_share' then capital_share else repeat_share end * 1000 // scale), 0) as score
+      from q join k using (doc_id) left join e on e.stratum = q.stratum where {HALF.replace('div', '//').replace('doc_id', 'q.doc_id')} <> 0 group by all),
+u as (select stratum, score, sum(quality) as good, sum(1 - quality) as bad from f group by all),
+o as (select stratum, score, coalesce(sum(good) over up, 0) as good_above, coalesce(sum(bad) over up, 0) as bad_above, sum(good) over (partition by stratum) as n
+      from u window up as (partition by stratum order by score desc rows between unbounded preceding and 1 preceding)),
+s as (select distinct stratum, n from o),
 b as (select stratum, n, i, sum(case when n > 0 then exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})) else 1 end)
       over (partition by stratum order by i) as p from (select stratum, n, unnest(range(0, ceil({ALPHA} * n)::bigint + 1)) as i from s)),
-m as (select stratum, coalesce(max(i) filter (where p <= {DELTA} / ((select count(*) from s) * {len(RULES)})), -1) as allowed from b group by stratum),
-x as (select a.stratum, rule, value, bad_above - {COST} * good_above as gain from a join m using (stratum) where good_above <= allowed),
-y as (select stratum, rule, max(struct_pack(gain := gain, value := value)).value as cutoff from x where gain > 0 group by stratum, rule)
+m as (select stratum, coalesce(max(i) filter (where p <= {DELTA} / (select count(*) from s)), -1) as allowed from b group by stratum),
+x as (select stratum, score, bad_above - {COST} * good_above as gain from o join m using (stratum) where good_above <= allowed),
+z as (select stratum, max(struct_pack(gain := gain, score := score)).score as score from x where gain > 0 group by stratum),
+y as (select stratum, rule, ((score + 1) * scale + 999) // 1000 - 1 as cutoff from z join e using (stratum))
 """
 ORACLES = {
     "op5_quality_rules": f"""with {STATISTICS_SQL}, {CUTOFFS_SQL}

@@ -170,17 +170,30 @@ def test_quality_of_odd_documents(spark):
 
 
 def test_cutoffs_hold_their_bound(spark):
-    r = np.random.default_rng(2)
-    rows = [(k, "s", int(v) if k % 4 else 900, 0, 0, 0) for k, v in enumerate(r.integers(0, 400, 4000))]
-    stats = spark.createDataFrame(rows, "doc_id long, stratum string, symbol_share long, duplicate_line_share long, capital_share long, repeat_share long")
-    labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(4000)], "doc_id long, quality int")
-    found = quality.cutoffs(stats, labels).collect()
-    assert [f.rule for f in found] == ["symbol_share"]
+    """All rules together reject no more good holdout documents than the binomial bound allows; each rule alone would."""
     from math import comb
 
-    p = sum(comb(3000, k) * quality.ALPHA**k * (1 - quality.ALPHA) ** (3000 - k) for k in range(found[0].allowed + 1))
-    q = p + comb(3000, found[0].allowed + 1) * quality.ALPHA ** (found[0].allowed + 1) * (1 - quality.ALPHA) ** (2999 - found[0].allowed)
-    assert p <= quality.DELTA / 4 < q and found[0].good_above <= found[0].allowed
+    r = np.random.default_rng(2)
+    rows = []
+    for k in range(8000):
+        values = r.integers(0, 400, 4) * (r.random(4) < 0.5)
+        if k % 4 == 0:
+            values[k // 4 % 4] = 600 + k % 300
+        elif r.random() < 0.04:  # good ones that look bad to some rule
+            values[r.integers(4)] = 500 + r.integers(500)
+        rows.append((k, "s", *values.tolist()))
+    stats = spark.createDataFrame(rows, "doc_id long, stratum string, symbol_share long, duplicate_line_share long, capital_share long, repeat_share long")
+    labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(8000)], "doc_id long, quality int")
+    found = {f.rule: f for f in quality.cutoffs(stats, labels).collect()}
+    holdout = [x for x in rows if (x[0] % 1000003 * 7919 // 1024) % 2 and x[0] % 4]
+    n, allowed = len(holdout), next(iter(found.values())).allowed
+    below = lambda k: sum(comb(n, i) * quality.ALPHA**i * (1 - quality.ALPHA) ** (n - i) for i in range(k + 1))
+    assert below(allowed) <= quality.DELTA < below(allowed + 1)
+    above = lambda x: any(v > found[rule].cutoff for rule, v in zip(quality.RULES, x[2:]) if rule in found)
+    assert set(found) == set(quality.RULES)
+    assert sum(map(above, holdout)) == next(iter(found.values())).good_above <= allowed
+    few = labels.where("doc_id < 200")
+    assert quality.cutoffs(stats, few).count() == 0
 
 
 def test_base_spans_meet_the_patterns():
