@@ -87,13 +87,25 @@ class CharsMap:
         return found[0], self.pool[found[1] : self.pool.index(b"\0", found[1])]
 
 
-def normalise(text: str, spec: NormalizerSpec) -> tuple[bytes, np.ndarray]:
+def _copied(data: bytes, spec: NormalizerSpec) -> tuple[bytes, np.ndarray]:
+    """``normalise`` for an empty map, where no space goes: every character is its own longest prefix."""
+    space = "▁".encode() if spec.escape else b" "
+    spaces = np.frombuffer(data, np.uint8) == 32
+    source = np.repeat(np.arange(len(data)), np.where(spaces, len(space), 1))
+    before = len(space) if spec.dummy_prefix else 0
+    return space[:before] + data.replace(b" ", space), np.concatenate([np.zeros(before, np.int64), source, [len(data)]])
+
+
+def normalise(text: str, spec: NormalizerSpec, table: CharsMap | None = None) -> tuple[bytes, np.ndarray]:
     """The normalised text in UTF-8 and, for each of its bytes and for its end, the source's byte.
 
     Spaces are stripped, merged and escaped and the dummy prefix is put before the text as the
-    settings say; an added byte points at the place where it was added. An empty text stays empty.
+    settings say; an added byte points at the place where it was added, the bytes of a replacement at the
+    begin of what they replace. An empty text stays empty. ``table`` is the map of spec, if it's at hand.
     """
-    data, table = text.encode(), CharsMap(spec.charsmap)
+    data, table = text.encode(), table or CharsMap(spec.charsmap)
+    if data and not table.units and not spec.strip_spaces:
+        return _copied(data, spec)
     parts: list[tuple[bytes, int, int]] = []  # what comes out, source's begin and end
     at = 0
     while at < len(data):
@@ -119,12 +131,12 @@ def normalise(text: str, spec: NormalizerSpec) -> tuple[bytes, np.ndarray]:
         out += space
         source += [parts[0][1]] * len(space)
         last = spec.strip_spaces
-    for piece, begin, _end in parts:
+    for piece, begin, end in parts:
         if last and spec.strip_spaces:
             piece = piece.lstrip(b" ")
         done = piece.replace(b" ", space)
         out += done
-        source += [begin] * len(done)
+        source += range(begin, end) if done == data[begin:end] else [begin] * len(done)
         if piece:
             last = piece.endswith(b" ")
     if spec.strip_spaces:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .charsmap import normalise, spans
+from .charsmap import CharsMap, normalise
 from .encoders import PieceEncoder
 
 #: Columns that ``encode`` can give besides doc_id.
@@ -29,6 +30,7 @@ OUTPUTS = {
     "ids_sha256": ("string", pa.string()),
     "decoded_sha256": ("string", pa.string()),
     "span_bytes": ("bigint", pa.int64()),
+    "spans_sha256": ("string", pa.string()),
 }
 
 
@@ -36,30 +38,32 @@ class Codec:
     """Encodes texts as the library does, with the source's byte span of every piece."""
 
     def __init__(self, path: str):
-        self.encoder = PieceEncoder(path)
-
-    def spans(self, text: str) -> list[tuple[int, int]]:
-        """Byte spans of all pieces, projected through the recorded alignment."""
-        e = self.encoder
-        out, aligned = normalise(text, e.spec)
-        found = spans(_surfaces(e.model.encode(text, return_type="proto").pieces), aligned)
-        return found if out else []
-
-    def rows(self, texts: list[str]) -> Iterator[tuple[str, np.ndarray, str]]:
-        """(decimal ids, spans' ends, decoded text) of each text; each span begins where the last ended.
-
-        With an empty character map and spaces kept, only the dummy prefix and escaped spaces move
-        bytes, so a piece spans as many source bytes as its unescaped surface has.
-        """
-        e = self.encoder
-        names, plain = e.texts, not e.spec.charsmap and not e.spec.strip_spaces
-        for text, ids in zip(texts, e.model.encode(texts, num_threads=1)):
-            ends = np.cumsum(e.width[ids]) if ids else np.zeros(0, np.int64)
-            if plain and len(ends) and ends[-1] == len(text.encode()) + e.spec.dummy_prefix:
-                ends -= e.spec.dummy_prefix
-            elif ids:
-                ends = np.array([b for _, b in self.spans(text)], np.int64)
-            yield ",".join(map(names.__getitem__, ids)), ends, e.model.decode(ids)
+        self.encoder = e = PieceEncoder(path)
+        self.table = CharsMap(e.spec.charsmap)
+        names = map(e.model.id_to_piece, range(e.size))
+        #: Bytes of each piece in a normalised text; a byte piece has one, an unknown one is as long as what it stands for.
+        self.length = np.array([1 if e.model.is_byte(i) else 0 if e.model.is_unknown(i) else len(name.encode()) for i, name in enumerate(names)], np.int64)
+
+    def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and ends of all pieces in the source's bytes, projected through the recorded alignment."""
+        out, aligned = normalise(text, self.encoder.spec, self.table)
+        size = self.length[ids] if ids else np.zeros(0, np.int64)
+        if size.sum() != len(out):  # unknown pieces
+            size = np.array([len(s) for s in _surfaces(self.encoder.model.encode(text, return_type="proto").pieces)], np.int64)
+        ends = np.cumsum(size)
+        return aligned[ends - size], aligned[ends]
+
+    def rows(self, texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, str]]:
+        """(ids, spans' begins and ends, decoded text) of each text."""
+        model = self.encoder.model
+        for text, ids in zip(texts, model.encode(texts, num_threads=1)):
+            yield ids, *self.spans(text, ids), model.decode(ids)
+
+
+@lru_cache(maxsize=2)
+def _codec(path: str) -> Codec:
+    """The codec of a worker, kept for its next task."""
+    return Codec(path)
 
 
 def _surfaces(pieces) -> list[bytes]:
@@ -74,31 +78,35 @@ def _surfaces(pieces) -> list[bytes]:
 def encode(docs: DataFrame, model: str, columns: list[str]) -> DataFrame:
     """doc_id and the asked-for columns of OUTPUTS, a row for each row of docs (doc_id, text).
 
-    begins and ends are byte spans in the source of each id's piece, end exclusive. A null text counts
-    as an empty one, which has no ids and decodes to an empty text. doc_id may be null or repeated.
+    begins and ends are byte spans in the source of each id's piece, end exclusive; spans_sha256 is the SHA-256
+    of all begins, then all ends, as little-endian 64-bit integers. A null text counts as an empty one, which has
+    no ids and decodes to an empty text. doc_id may be null or repeated; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = _codec(model)
+        names = codec.encoder.texts
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             out: dict[str, list] = {c: [] for c in columns}
-            for ids, ends, decoded in codec.rows(texts):
+            for ids, begins, ends, decoded in codec.rows(texts):
                 for c in columns:
                     if c == "ids":
-                        v = [int(x) for x in ids.split(",")] if ids else []
+                        v = ids
                     elif c == "begins":
-                        v = [0, *ends[:-1].tolist()] if len(ends) else []
+                        v = begins.tolist()
                     elif c == "ends":
                         v = ends.tolist()
                     elif c == "decoded":
                         v = decoded
                     elif c == "n_tokens":
-                        v = len(ends)
+                        v = len(ids)
                     elif c == "ids_sha256":
-                        v = hashlib.sha256(ids.encode()).hexdigest()
+                        v = hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest()
                     elif c == "decoded_sha256":
                         v = hashlib.sha256(decoded.encode()).hexdigest()
+                    elif c == "spans_sha256":
+                        v = hashlib.sha256(np.concatenate([begins, ends]).astype("<i8").tobytes()).hexdigest()
                     else:
                         v = int(ends[-1]) if len(ends) else 0
                     out[c].append(v)
@@ -122,11 +130,11 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the ids and of the decoded text for every text of documents."""
+    """Digests of the ids, of the decoded text and of all pieces' source spans for every text of documents."""
     import public_tokenizers
 
     docs = common.table(spark, sf_dir, "documents")
-    return encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ["n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"])
+    return encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ["n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
 
 QUERIES = {"op2_piece_codec": op2_piece_codec}

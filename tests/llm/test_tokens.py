@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -9,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from cadenza.llm import encoders, piece_codec, runs, token_counts, token_files
+from cadenza.llm import charsmap, encoders, piece_codec, runs, token_counts, token_files
 from cadenza.llm.charsmap import CharsMap, normalise, normalizer_spec, spans
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -123,6 +124,70 @@ def test_normaliser_meets_the_library(rule):
         assert len(aligned) == len(out) + 1 and (np.diff(aligned) >= 0).all()
 
 
+def brute_spans(ids, sp, text):
+    """Source spans of pieces for an empty map: every byte is itself, but spaces, which are three bytes, and the prefix."""
+    places = [0, 0, 0]
+    for k, b in enumerate(text.encode()):
+        places += [k] * (3 if b == 32 else 1)
+    places.append(len(text.encode()))
+    at, out = 0, []
+    for i in ids:
+        n = 1 if sp.is_byte(i) else len(sp.id_to_piece(i).encode())
+        out.append((places[at], places[at + n]))
+        at += n
+    assert at == len(places) - 1
+    return out
+
+
+def test_codec_meets_brute_force(spark, rows):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = Counter()
+    for r in rows.collect():
+        ids = sp.encode(r.text or "")
+        found = np.array(brute_spans(ids, sp, r.text) if ids else [], "<i8").reshape(-1, 2)
+        want[(r.doc_id, len(ids), sha(",".join(map(str, ids)).encode()), sha(sp.decode(ids).encode()), sha(found.T.tobytes()))] += 1
+    columns = ["n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
+    assert Counter(map(tuple, piece_codec.encode(rows, PIECES, columns).collect())) == want
+    assert piece_codec.encode(rows.limit(0), PIECES, columns).count() == 0
+
+
+def with_map(path):
+    """PIECES with the character map and the space rules of nmt_nfkc in its place, as a model file."""
+    field = lambda n, data: bytes([n << 3 | 2]) + varint(len(data)) + data
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    with open(PIECES, "rb") as f:
+        model = f.read()
+    rule = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    new = field(3, next(v for n, v in charsmap._fields(rule) if n == 3))
+    path.write_bytes(model + new)  # a later message is merged over the earlier one
+    return str(path)
+
+
+def test_codec_of_a_model_with_a_map(spark, tmp_path):
+    path = with_map(tmp_path / "mapped.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    codec = piece_codec.Codec(path)
+    assert codec.table.units
+    found = ["ﬁne  Ⅷ ＡＢ x", " a  b ", "ｱﾞ①", "plain words", "日本 é", ""]
+    for text, (ids, begins, ends, decoded) in zip(found, codec.rows(found)):
+        assert ids == sp.encode(text) and decoded == sp.decode(ids)
+        out, aligned = normalise(text, codec.encoder.spec)
+        assert len(begins) == len(ids) and (begins <= ends).all() and (begins[1:] >= begins[:-1]).all()
+        if ids:
+            surfaces = piece_codec._surfaces(sp.encode(text, return_type="proto").pieces)
+            assert b"".join(s if s != b"\0" else out[k : k + 1] for s, k in zip(surfaces, np.cumsum([0, *map(len, surfaces)]))) == out
+            assert list(zip(begins.tolist(), ends.tolist())) == spans(surfaces, aligned)
+    first = dict(zip(codec.encoder.model.encode("ﬁne", out_type=str), zip(*(x.tolist() for x in codec.spans("ﬁne", sp.encode("ﬁne"))))))
+    assert max(b for _, b in first.values()) == len("ﬁne".encode())
+
+
 def test_spans_through_a_character_map():
     spec = normalizer_spec(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
     out, aligned = normalise("ﬁ Ⅷ", spec)
