@@ -2,7 +2,10 @@
 
 DataFrame functions and pyspark.ml alone. The trees are trained on labelled URLs; by default these are
 the URLs that rules fit, whose verdicts are the labels. At most TRAIN_ROWS labelled URLs are taken, by
-the order of their hashes; suffix statistics are counted over all URLs.
+the order of their hashes; suffix statistics are counted over all URLs. A URL that trains never sees its own label
+in its suffix's share of blocked ones: labelled URLs are halved by a hash, and each half gets the other's shares.
+A suffix without labels gets the share of all labels and the mean count of labelled URLs' suffixes, so that
+the other features decide there.
 """
 
 from __future__ import annotations
@@ -69,12 +72,43 @@ def lexical(rows: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
+def _half(url: str = "url") -> Column:
+    return F.pmod(F.xxhash64(F.col(url), F.lit(1)), F.lit(2)).cast("int")
+
+
 def suffixes(rows: DataFrame, labelled: DataFrame) -> DataFrame:
-    """(suffix, f_suffix_count, f_suffix_blocked): the log of its count in all rows, and its share of blocked labels, smoothed."""
+    """A row for each suffix of rows or labelled: suffix, n (rows with it), m and blocked (its labels), m0, m1, blocked0, blocked1 (by half)."""
     counts = rows.groupBy("suffix").agg(F.count("*").alias("n"))
-    marks = labelled.groupBy("suffix").agg(F.count("*").alias("m"), F.sum("label").alias("blocked"))
-    both = counts.join(marks, "suffix", "left")
-    return both.select("suffix", F.log1p("n").alias("f_suffix_count"), ((F.coalesce("blocked", F.lit(0)) + 1.0) / (F.coalesce("m", F.lit(0)) + 2.0)).alias("f_suffix_blocked"))
+    half = [F.coalesce(F.sum(F.when(F.col("half") == k, x)), F.lit(0)).alias(f"{name}{k}") for k in (0, 1) for name, x in (("m", F.lit(1)), ("blocked", F.col("label")))]
+    marks = labelled.withColumn("half", _half()).groupBy("suffix").agg(F.count("*").alias("m"), F.sum("label").alias("blocked"), *half)
+    both = counts.join(marks, "suffix", "full")
+    return both.na.fill(0, ["n", "m", "blocked", "m0", "m1", "blocked0", "blocked1"])
+
+
+class Shares:
+    """Suffix features from the table of ``suffixes``, in which the driver sums up two numbers."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+        row = table.agg(F.sum("m").alias("m"), F.sum("blocked").alias("blocked"), F.sum(F.log1p("n") * F.col("m")).alias("count")).first()
+        #: Share of blocked labels, and the mean of f_suffix_count over labelled URLs.
+        self.prior = (row.blocked / row.m) if row.m else 0.5
+        self.count = (row["count"] / row.m) if row.m else 0.0
+
+    def _columns(self, m: Column, blocked: Column) -> list[Column]:
+        count = F.when(F.col("m") > 0, F.log1p("n")).otherwise(self.count)
+        return [F.coalesce(count, F.lit(self.count)).alias("f_suffix_count"), F.coalesce((blocked + 2 * self.prior) / (m + 2), F.lit(self.prior)).alias("f_suffix_blocked")]
+
+    def of_labelled(self, labelled: DataFrame) -> DataFrame:
+        """labelled (url, suffix, label, ...) with suffix features, the shares from the other half."""
+        other = lambda name: F.when(F.col("__half") == 0, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+        joined = labelled.withColumn("__half", _half()).join(self.table, "suffix", "left")
+        return joined.select(*labelled.columns, *self._columns(other("m"), other("blocked")))
+
+    def of_all(self, rows: DataFrame) -> DataFrame:
+        """rows (page_id, url, suffix, ...) with suffix features from all labels; a suffix may hold most rows."""
+        features = self.table.select("suffix", *self._columns(F.col("m"), F.col("blocked")), "n")
+        return common.hot_left_join(rows, features, ["suffix"], F.struct("page_id", "url"), "n").na.fill({"f_suffix_count": self.count, "f_suffix_blocked": self.prior})
 
 
 def trained(rows: DataFrame, trees: int = 20, depth: int = 4, seed: int = 7):
@@ -94,24 +128,42 @@ def scored(rows: DataFrame, model) -> DataFrame:
     return model.transform(found.withColumnRenamed("__features", "features")).drop("features", "rawPrediction", "probability")
 
 
+def _known(rows: DataFrame, labelled: DataFrame | None) -> DataFrame:
+    """url, suffix, lexical features and label of the labelled URLs."""
+    if labelled is None:
+        return rows.where("by_rule is not null").select("url", "suffix", *FEATURES[:-2], (F.col("by_rule") == "block").cast("int").alias("label"))
+    marked = labelled.select("url", F.col("label").cast("int")).where("label in (0, 1)")
+    return lexical(located(marked)).select("url", "suffix", *FEATURES[:-2], "label")
+
+
+def fitted(rows: DataFrame, known: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[object, Shares]:
+    """The model and the suffix shares, from rows and labelled URLs with their lexical features."""
+    shares = Shares(common.saved(suffixes(rows, known), "suffixes"))
+    sample = known.orderBy(F.xxhash64("url"), "url", "label").limit(train_rows)
+    return trained(common.saved(shares.of_labelled(sample), "urls")), shares
+
+
 def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labelled: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict, a row for each row of pages (page_id, url).
 
-    labelled: (url, label 1 for block), in place of the URLs that rules fit. With labels of one kind the
-    method gives that verdict, without labels it allows. Null and empty urls have an empty host and
-    path and go to the method. page_id may be null or repeated; other columns aren't looked at.
+    labelled: (url, label 1 for block), in place of the URLs that rules fit; other labels and nulls aren't used.
+    With labels of one kind the method gives that verdict, without labels it allows. Null and empty urls have an
+    empty host and path and go to the method. page_id may be null or repeated, equal urls get equal verdicts;
+    an empty table gives no rows; other columns aren't looked at.
     """
     rows = lexical(ruled(pages.select("page_id", "url"), rules))
-    if labelled is None:
-        known = rows.where("by_rule is not null").select("url", "suffix", *FEATURES[:-2], (F.col("by_rule") == "block").cast("int").alias("label"))
-    else:
-        known = lexical(located(labelled.select("url", F.col("label").cast("int")).where("label in (0, 1)"))).select("url", "suffix", *FEATURES[:-2], "label")
-    table = common.saved(suffixes(rows, known), "suffixes")
-    sample = known.orderBy(F.xxhash64("url"), "url", "label").limit(train_rows)
-    model = trained(common.saved(sample.join(table, "suffix"), "urls"))
-    full = common.hot_left_join(rows, table.withColumn("n", F.expm1("f_suffix_count")), ["suffix"], F.struct("page_id", "url"), "n")
+    model, shares = fitted(rows, _known(rows, labelled), train_rows)
     verdict = F.coalesce("by_rule", F.when(F.col("prediction") > 0.5, "block").otherwise("allow"))
-    return scored(full.na.fill(0.0, FEATURES[-2:]), model).select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    return scored(shares.of_all(rows), model).select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+
+
+def held_out(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labelled: DataFrame | None = None, folds: int = 5) -> DataFrame:
+    """(label, prediction, n) of the labelled URLs of one fold by hash, under a model fitted on the others."""
+    rows = lexical(ruled(pages.select("page_id", "url"), rules))
+    known = common.saved(_known(rows, labelled).withColumn("fold", F.pmod(F.xxhash64("url", F.lit(2)), F.lit(folds))), "labelled")
+    model, shares = fitted(rows, known.where("fold != 0"))
+    tested = shares.of_all(known.where("fold = 0").withColumn("page_id", F.lit(None).cast("long")))
+    return scored(tested, model).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

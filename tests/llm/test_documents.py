@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.llm import common, components, decontaminate, pii, quality, shards, shingle_join, url_filter, warc
 from cadenza.llm.registry import ORACLES, QUERIES
@@ -403,6 +404,58 @@ def test_trees_on_held_out_urls(spark):
     assert sum(a == b for a, b in zip(got, want)) >= 190
 
 
+def brute_features(url, count, share):
+    """The features of a url in plain Python; count and share are its suffix's."""
+    u = url or ""
+    rest = u.partition("://")[2]
+    host = re.match("[^/?#]*", rest)[0].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    path = re.match("[^/?#]*([^?#]*)", rest)[1]
+    query = m[1] if (m := re.search(r"\?([^#]*)", u)) else ""
+    entropy = round(-sum(c / len(u) * np.log2(c / len(u)) for c in Counter(u).values()), 9)
+    return [len(u), len(host), sum(map(bool, path.split("/"))), len(re.findall("[0-9]", u)) / len(u) if u else 0, entropy, sum(map(bool, query.split("&"))), host.count("-"), len(host.split(".")), count, share]
+
+
+def test_verdicts_meet_the_trees(spark):
+    """Features in plain Python and the model's own prediction, row by row, on the pages' urls and odd ones."""
+    from pyspark.ml.linalg import Vectors
+
+    own = [r.url for r in common.table(spark, "/root/testdata/sf0.01", "pages").collect()]
+    odd = [None, "", "no scheme", "http://", "HTTP://A.B-c.NET/x//y/?a=1&&b=2#f?g", "http://é.xyz/ü", "x" * 5000, "http://h.net/" + "9" * 3000, own[0], own[0]]
+    pages = spark.createDataFrame([(k if k % 9 else None, u, "clash") for k, u in enumerate([*own, *odd])], "page_id long, url string, suffix string")
+    rows = url_filter.lexical(url_filter.ruled(pages.select("page_id", "url"), url_filter.RULES))
+    model, shares = url_filter.fitted(rows, url_filter._known(rows, None))
+    table = {r.suffix: r for r in shares.table.collect()}
+    labels = [(r.suffix, int(r.by_rule == "block")) for r in rows.collect() if r.by_rule]
+    prior = sum(x for _, x in labels) / len(labels)
+    assert shares.prior == prior and {s for s, _ in labels} == {s for s, r in table.items() if r.m}
+    want = Counter()
+    for r in rows.collect():
+        n, marks = table[r.suffix].n, [x for s, x in labels if s == r.suffix]
+        count = np.log1p(n) if marks else shares.count
+        vector = brute_features(r.url, count, (sum(marks) + 2 * prior) / (len(marks) + 2) if marks else prior)
+        verdict = r.by_rule or ("block" if model.predict(Vectors.dense(vector)) > 0.5 else "allow")
+        want[(r.page_id, r.host, r.path, r.rule, verdict)] += 1
+    assert Counter(map(tuple, url_filter.judged(pages).collect())) == want
+
+
+def test_labels_of_a_url_stay_out_of_its_share(spark):
+    labelled = spark.createDataFrame([(f"http://a{k}.s{k % 2}/x", k % 2) for k in range(40)], "url string, label int")
+    rows = url_filter.lexical(url_filter.located(labelled)).withColumn("page_id", F.lit(1))
+    shares = url_filter.Shares(url_filter.suffixes(rows, rows))
+    half = {r.url: r.h for r in labelled.select("url", url_filter._half().alias("h")).collect()}
+    for r in shares.of_labelled(rows.select("url", "suffix", "label")).collect():
+        other = [k for k in range(40) if f"s{k % 2}" == r.suffix and half[f"http://a{k}.s{k % 2}/x"] != half[r.url]]
+        assert abs(r.f_suffix_blocked - (sum(k % 2 for k in other) + 1) / (len(other) + 2)) < 1e-9
+
+
+def test_held_out_urls(spark):
+    """On labelled urls that the trees weren't fitted on; labels are the rules' verdicts."""
+    n = Counter()
+    for r in url_filter.held_out(common.table(spark, "/root/testdata/sf0.1", "pages")).collect():
+        n[r.label == int(r.prediction)] += r.n
+    assert sum(n.values()) > 150 and n[True] >= 0.8 * sum(n.values())
+
+
 def test_shards_compact_and_commit(spark, tmp_path):
     folder = f"file://{tmp_path}/s"
     schema = "doc_id long, text string"
