@@ -13,6 +13,8 @@ first all of it is compared with one of its documents, that with the fewest rare
 many near copies is the least edited one; then, as long as the group holds more than one component of
 the links found so far, with four more, sixteen more, and so on, until all pairs that could link two
 components have been compared; there the suffix filter comes before a pair is made. Components lose no link between different sets.
+The rows of a hot group, one with a great share of all rows, are dealt over several tasks, and the documents
+that they are compared with, drawn by hash after the first one, are copied to each of these.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ BLOCKS = 16
 RANGES = 256
 #: Groups of up to so many documents are compared pair by pair.
 SMALL = 32
+#: Rows of a hot group that go to one task; a group is hot above that and above a HOT_SHARE-th of the rows of such groups.
+PART, HOT_SHARE = 512, 10_000
 #: Bits of the filter by which sets are made for documents that are in a pair only.
 FILTER_BITS = 1 << 23
 
@@ -81,18 +86,23 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, k: int, num: int, den: int, table: np.ndarray) -> DataFrame:
-    """Of each document: doc_id, n (set size), sig (digest of the set), prefix (rare first), spread (RANGES counts up to 255)."""
+    """Of each document: doc_id, n (set size), sig (digest of the set), prefix (rare first), spread (RANGES counts up to 255), rare.
+
+    rare: how many of the prefix's n-grams lie in buckets of up to PART occurrences; groups of these are never hot.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(table)  # 4 * BUCKETS bytes
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("prefix", pa.list_(pa.int64())), ("spread", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("prefix", pa.list_(pa.int64())), ("spread", pa.binary()), ("rare", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value
         for batch in batches:
-            n, sig, prefix, bounds, spread = [], [], [], [0], []
+            n, sig, prefix, bounds, spread, rare = [], [], [], [0], [], []
             for _, one in shingles.sets(batch.column(1), k):
                 size = len(one)
                 m = size - -(-num * size // den) + 1 if size else 0
-                order = np.argsort(count[(one >> np.uint64(44)).astype(np.int64)], kind="stable")[:m]
+                often = count[(one >> np.uint64(44)).astype(np.int64)]
+                order = np.argsort(often, kind="stable")[:m]
+                rare.append(int((often[order] <= PART).sum()))
                 n.append(size)
                 sig.append(hashlib.blake2b(one, digest_size=16).digest())
                 prefix.append(one[order])
@@ -100,9 +110,9 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, table: np.ndarray) ->
                 spread.append(np.minimum(np.bincount((one >> np.uint64(56)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes())
             flat = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), lists, pa.array(spread, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), lists, pa.array(spread, pa.binary()), pa.array(rare, pa.int32())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, sig binary, prefix array<bigint>, spread binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, sig binary, prefix array<bigint>, spread binary, rare int")
 
 
 def _matrix(spreads: pa.Array) -> np.ndarray:
@@ -116,6 +126,28 @@ def _near(x: np.ndarray, y: np.ndarray, both: np.ndarray, num: int, den: int) ->
     return (both - differ) * (num + den) >= 2 * num * both
 
 
+def _kept(x: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the pairs of rows i and j of x pass the filters."""
+    n, m = x["n"][i], x["n"][j]
+    p, q = x["pos"][i], x["pos"][j]
+    ok = (x["comp"][i] != x["comp"][j]) & ~((p > 0) & (q > 0) & (x["prev"][i] == x["prev"][j]))
+    ok &= den * np.minimum(n, m) >= num * np.maximum(n, m)
+    ok &= (np.minimum(p, q) + 1 + np.minimum(n - p - 1, m - q - 1)) * (num + den) >= num * (n + m)
+    if "spread" in x:
+        left = np.flatnonzero(ok)
+        for at in range(0, len(left), 20_000):
+            k = left[at : at + 20_000]
+            ok[k] = _near(x["spread"][i[k]], x["spread"][j[k]], n[k] + m[k], num, den)
+    return ok
+
+
+def _met(s: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+    """Pairs, or (s, a, null)."""
+    if b is None:
+        return pa.RecordBatch.from_arrays([pa.array(s), pa.array(a), pa.nulls(len(a), pa.int64())], names=["s", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["s", "a", "b"])
+
+
 def _pairs(rows: DataFrame, num: int, den: int, first: int, last: int, small: int) -> DataFrame:
     """Pairs (a < b) of the groups of rows (s, prev, rep, n, pos, comp); see the module's text.
 
@@ -124,24 +156,7 @@ def _pairs(rows: DataFrame, num: int, den: int, first: int, last: int, small: in
     same n-gram before s in their prefixes: they've met there. With a column spread the suffix filter holds.
     """
     names = ["s", "prev", "rep", "n", "pos", "comp", *(["spread"] if "spread" in rows.columns else [])]
-
-    def keep(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        n, m = x["n"][i], x["n"][j]
-        p, q = x["pos"][i], x["pos"][j]
-        ok = (x["comp"][i] != x["comp"][j]) & ~((p > 0) & (q > 0) & (x["prev"][i] == x["prev"][j]))
-        ok &= den * np.minimum(n, m) >= num * np.maximum(n, m)
-        ok &= (np.minimum(p, q) + 1 + np.minimum(n - p - 1, m - q - 1)) * (num + den) >= num * (n + m)
-        if "spread" in x:
-            left = np.flatnonzero(ok)
-            for at in range(0, len(left), 20_000):
-                k = left[at : at + 20_000]
-                ok[k] = _near(x["spread"][i[k]], x["spread"][j[k]], n[k] + m[k], num, den)
-        return ok
-
-    def out(s: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-        if b is None:
-            return pa.RecordBatch.from_arrays([pa.array(s), pa.array(a), pa.nulls(len(a), pa.int64())], names=["s", "a", "b"])
-        return pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["s", "a", "b"])
+    keep, out = partial(_kept, num=num, den=den), _met
 
     def all_pairs(x: dict, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         for size in np.unique(sizes[sizes > 1]):
@@ -218,6 +233,64 @@ def _pairs(rows: DataFrame, num: int, den: int, first: int, last: int, small: in
     return dealt.mapInArrow(run, "s long, a long, b long")
 
 
+def _hot_pairs(rows: DataFrame, hot: DataFrame, num: int, den: int, first: int, last: int) -> DataFrame:
+    """As ``_pairs`` for the groups of hot (s, size), each dealt over size / PART tasks or so.
+
+    first = 0: the groups' rows against the one of least pos. Else against about last - first others, those whose hash
+    lies in [first, last) / size; a row is compared with documents of lesser hashes, so that once last reaches
+    size all pairs have been compared.
+    """
+    names = ["s", "prev", "rep", "n", "pos", "comp", *(["spread"] if "spread" in rows.columns else [])]
+    own = rows.select(*names).join(F.broadcast(hot), "s")
+    own = own.withColumns({"u": F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30)), "parts": F.ceil(F.col("size") / PART).cast("int")})
+    if first == 0:
+        least = own.groupBy("s").agg(F.min(F.struct("pos", "u", *[c for c in own.columns if c not in ("s", "pos", "u")])).alias("p"))
+        pivots = least.select("s", "p.*").withColumn("u", F.lit(-1.0))
+    else:
+        pivots = own.where(f"u * size >= {first} and u * size < {last}")
+    columns = [*names, "u", "kind", "salt"]
+    copies = pivots.withColumns({"kind": F.lit(0), "salt": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+    dealt = copies.select(*columns).union(own.withColumns({"kind": F.lit(1), "salt": F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")}).select(*columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pivots = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(columns) if k != "spread"}
+            if "spread" in names:
+                x["spread"] = _matrix(batch.column(6))
+            change = (x["s"][1:] != x["s"][:-1]) | (x["salt"][1:] != x["salt"][:-1]) | (x["kind"][1:] != x["kind"][:-1])
+            bounds = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for a, b in zip(bounds, bounds[1:]):
+                part = {k: v[a:b] for k, v in x.items()}
+                if (key := (int(x["s"][a]), int(x["salt"][a]))) != now:
+                    now, pivots = key, []
+                if x["kind"][a] == 0:
+                    pivots.append(part)
+                else:
+                    yield from against(part, pivots)
+
+    def against(x: dict, pivots: list[dict]) -> Iterator[pa.RecordBatch]:
+        if first == 0:
+            yield _met(x["s"], x["rep"], None)
+        size = len(x["s"])
+        for p in pivots:
+            for at in range(0, len(p["s"]), step := max(1, 200_000 // size)):
+                some = {k: v[at : at + step] for k, v in p.items()}
+                both = {k: np.concatenate([some[k], x[k]]) for k in some}
+                many = len(some["s"])
+                i, j = np.repeat(np.arange(many), size), many + np.tile(np.arange(size), many)
+                later = (both["u"][j] > both["u"][i]) | (both["u"][j] == both["u"][i]) & (both["rep"][j] > both["rep"][i])
+                i, j = i[later], j[later]
+                ok = _kept(both, i, j, num, den)
+                if ok.any():
+                    yield _met(both["s"][i[ok]], both["rep"][i[ok]], both["rep"][j[ok]])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "s", "salt").sortWithinPartitions("s", "salt", "kind").mapInArrow(run, "s long, a long, b long")
+
+
 def _filter(ids: DataFrame) -> np.ndarray:
     """A bit for each id modulo FILTER_BITS."""
     words = ids.selectExpr(f"pmod(id, {FILTER_BITS}) div 64 as word", "shiftleft(1L, cast(pmod(id, 64) as int)) as bit")
@@ -296,11 +369,17 @@ def linked(docs: DataFrame, k: int, num: int, den: int, small: int = SMALL) -> D
     """
     table = frequencies(docs, k)
     found = common.saved(profiles(docs, k, num, den, table), "profiles")
-    reps = found.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("spread").alias("spread"), F.first("prefix").alias("prefix"))
+    reps = found.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("spread").alias("spread"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare"))
     reps = common.saved(reps.where("rep is not null"), "classes")
-    exploded = reps.select("rep", "n", "prefix", F.posexplode("prefix").alias("pos", "s"))
-    rows = exploded.select("s", F.coalesce(F.get("prefix", F.col("pos") - 1), F.lit(0)).alias("prev"), "rep", "n", "pos", F.col("rep").alias("comp"))
-    met = common.saved(_pairs(rows, num, den, 0, 1, small), "pairs")
+    exploded = reps.select("rep", "n", "prefix", "rare", F.posexplode("prefix").alias("pos", "s"))
+    rows = exploded.select("s", F.coalesce(F.get("prefix", F.col("pos") - 1), F.lit(0)).alias("prev"), "rep", "n", "pos", F.col("rep").alias("comp"), "rare")
+    often = rows.where("pos >= rare").groupBy("s").agg(F.count("*").alias("size")).where(F.col("size") > PART)
+    often = common.saved(often, "often")
+    limit = (often.agg(F.sum("size")).first()[0] or 0) // HOT_SHARE
+    hottest = common.saved(often.where(F.col("size") > limit), "hottest")  # less than HOT_SHARE groups
+    rows = rows.drop("rare")
+    met = _pairs(rows.join(F.broadcast(hottest), "s", "left_anti"), num, den, 0, 1, small)
+    met = common.saved(met.union(_hot_pairs(rows, hottest, num, den, 0, 1)), "pairs")
     pairs = common.saved(met.where("b is not null and a != b").select("a", "b").distinct(), "candidates")
     near = common.saved(_pruned(pairs, reps, num, den), "near")
     hot_ids = met.where("b is null").select(F.col("a").alias("id"))
@@ -319,11 +398,13 @@ def linked(docs: DataFrame, k: int, num: int, den: int, small: int = SMALL) -> D
                 known = rows.join(nodes.toDF("rep", "c"), "rep", "left").withColumn("comp", F.coalesce("c", "rep"))
                 known = common.saved(known.drop("c"), "known")
             # Groups that have rows left to compare from and that lie in several components.
-            left = known.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows")).where(f"x != y and rows > {lo + 1}").select("s")
+            left = known.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows")).where(f"x != y and rows > {lo}").select("s")
             left = common.saved(left, "left")
             if left.isEmpty():
                 break
-            met = common.saved(_pairs(known.join(left, "s", "left_semi"), num, den, lo, hi, 1).where("b is not null"), "pairs")
+            some = known.join(left, "s", "left_semi")
+            met = _pairs(some.join(F.broadcast(hottest), "s", "left_anti"), num, den, lo, hi, 1).where("b is not null")
+            met = common.saved(met.union(_hot_pairs(some, hottest, num, den, lo, hi)), "pairs")
             lo, hi = hi, hi + 4 * (hi - lo)
             if met.isEmpty():  # the pivots of this round are near none; later ones may be
                 continue

@@ -92,6 +92,26 @@ def test_near_copies_that_early_pivots_miss(spark):
     assert {(r.doc_id, r.text): (r.n_shingles, r.component_id) for r in got} == want
 
 
+@pytest.mark.parametrize("share", [10_000, 1])
+def test_hot_groups_meet_brute_force(spark, monkeypatch, share):
+    """Groups of many near copies and of a shared passage, dealt over tasks (or, where none is hot, not)."""
+    monkeypatch.setattr(shingle_join, "PART", 4)
+    monkeypatch.setattr(shingle_join, "HOT_SHARE", share)
+    r = np.random.default_rng(7)
+    rows = []
+    for k in range(90):
+        w = [f"w{j}" for j in range(120)]
+        for e in r.choice(120, int(r.integers(0, 7)), replace=False):
+            w[e] = f"edit{k}x{e}"
+        rows.append((k, " ".join(w)))
+    rows += [(100 + k, " ".join([f"s{j}" for j in range(20)] + [f"own{k}y{j}" for j in range(3 if k % 2 else 30)])) for k in range(60)]
+    rows += [(200 + k, rows[k][1]) for k in range(20)] + [(None, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_components(docs.collect(), 4, 85, 100)
+    got = shingle_join.linked(docs, 4, 85, 100, 2).where("doc_id is not null").join(docs, "doc_id").collect()
+    assert {(x.doc_id, x.text): (x.n_shingles, x.component_id) for x in got} == want
+
+
 def test_long_chain_of_links(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(70)] + [(100, 101), (101, 101), (None, 3)], "u long, v long")
     found = {r.node: r.component for r in components.components(edges).collect()}
