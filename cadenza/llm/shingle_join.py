@@ -14,7 +14,8 @@ many near copies is the least edited one; then, as long as the group holds more
 the links found so far, with four more, sixteen more, and so on, until all pairs that could link two
 components have been compared; there the suffix filter comes before a pair is made. Components lose no link between different sets.
 The rows of a hot group, one with a great share of all rows, are dealt over several tasks, and the documents
-that they are compared with, drawn by hash after the first one, are copied to each of these.
+that they are compared with are copied to each of these: after the first one, documents that aren't in its
+component, drawn by hash, until all of them have had their turn.
 """
 
 from __future__ import annotations
@@ -233,21 +234,32 @@ def _pairs(rows: DataFrame, num: int, den: int, first: int, last: int, small: in
     return dealt.mapInArrow(run, "s long, a long, b long")
 
 
-def _hot_pairs(rows: DataFrame, hot: DataFrame, num: int, den: int, first: int, last: int) -> DataFrame:
-    """As ``_pairs`` for the groups of hot (s, size), each dealt over size / PART tasks or so.
+def _drawn(rows: DataFrame) -> DataFrame:
+    """rows with u, a number from 0 to 1 drawn by hash of rep."""
+    return rows.withColumn("u", F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
 
-    first = 0: the groups' rows against the one of least pos. Else against about last - first others, those whose hash
-    lies in [first, last) / size; a row is compared with documents of lesser hashes, so that once last reaches
-    size all pairs have been compared.
+
+def _main(rows: DataFrame) -> DataFrame:
+    """(s, main): the component of each group's first document, that of least pos."""
+    return _drawn(rows).groupBy("s").agg(F.min(F.struct("pos", "u", "rep", "comp")).alias("p")).select("s", F.col("p.comp").alias("main"))
+
+
+def _hot_pairs(rows: DataFrame, hot: DataFrame, num: int, den: int, first: int | None, last: int) -> DataFrame:
+    """As ``_pairs`` for the groups of hot (s, size, others), each dealt over size / PART tasks or so.
+
+    first = None: the groups' rows against their first document. Else against documents outside of the first one's component
+    whose u lies in [first, last) / others. A pair of two such documents is compared in the round of the lesser u at
+    the latest, so once last reaches ``others``, how many of them there were at the start, all pairs
+    over two components have been compared.
     """
     names = ["s", "prev", "rep", "n", "pos", "comp", *(["spread"] if "spread" in rows.columns else [])]
-    own = rows.select(*names).join(F.broadcast(hot), "s")
-    own = own.withColumns({"u": F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30)), "parts": F.ceil(F.col("size") / PART).cast("int")})
-    if first == 0:
-        least = own.groupBy("s").agg(F.min(F.struct("pos", "u", *[c for c in own.columns if c not in ("s", "pos", "u")])).alias("p"))
+    own = _drawn(rows.select(*names)).join(F.broadcast(hot), "s").withColumn("parts", F.ceil(F.col("size") / PART).cast("int"))
+    if first is None:
+        least = own.groupBy("s").agg(F.min(F.struct("pos", "u", "rep", *[c for c in own.columns if c not in ("s", "pos", "u", "rep")])).alias("p"))
         pivots = least.select("s", "p.*").withColumn("u", F.lit(-1.0))
     else:
-        pivots = own.where(f"u * size >= {first} and u * size < {last}")
+        main = common.saved(_main(rows), "main")  # a row for each hot group
+        pivots = own.join(F.broadcast(main), "s").where(f"comp != main and u * others >= {first} and u * others < {last}").drop("main")
     columns = [*names, "u", "kind", "salt"]
     copies = pivots.withColumns({"kind": F.lit(0), "salt": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
     dealt = copies.select(*columns).union(own.withColumns({"kind": F.lit(1), "salt": F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")}).select(*columns))
@@ -272,7 +284,7 @@ def _hot_pairs(rows: DataFrame, hot: DataFrame, num: int, den: int, first: int,
                     yield from against(part, pivots)
 
     def against(x: dict, pivots: list[dict]) -> Iterator[pa.RecordBatch]:
-        if first == 0:
+        if first is None:
             yield _met(x["s"], x["rep"], None)
         size = len(x["s"])
         for p in pivots:
@@ -281,8 +293,6 @@ def _hot_pairs(rows: DataFrame, hot: DataFrame, num: int, den: int, first: int,
                 both = {k: np.concatenate([some[k], x[k]]) for k in some}
                 many = len(some["s"])
                 i, j = np.repeat(np.arange(many), size), many + np.tile(np.arange(size), many)
-                later = (both["u"][j] > both["u"][i]) | (both["u"][j] == both["u"][i]) & (both["rep"][j] > both["rep"][i])
-                i, j = i[later], j[later]
                 ok = _kept(both, i, j, num, den)
                 if ok.any():
                     yield _met(both["s"][i[ok]], both["rep"][i[ok]], both["rep"][j[ok]])
@@ -379,7 +389,7 @@ def linked(docs: DataFrame, k: int, num: int, den: int, small: int = SMALL) -> D
     hottest = common.saved(often.where(F.col("size") > limit), "hottest")  # less than HOT_SHARE groups
     rows = rows.drop("rare")
     met = _pairs(rows.join(F.broadcast(hottest), "s", "left_anti"), num, den, 0, 1, small)
-    met = common.saved(met.union(_hot_pairs(rows, hottest, num, den, 0, 1)), "pairs")
+    met = common.saved(met.union(_hot_pairs(rows, hottest.withColumn("others", F.lit(0)), num, den, None, 1)), "pairs")
     pairs = common.saved(met.where("b is not null and a != b").select("a", "b").distinct(), "candidates")
     near = common.saved(_pruned(pairs, reps, num, den), "near")
     hot_ids = met.where("b is null").select(F.col("a").alias("id"))
@@ -387,25 +397,31 @@ def linked(docs: DataFrame, k: int, num: int, den: int, small: int = SMALL) -> D
     sets = common.saved(_sets(docs, k, bits), "sets")
     links = common.saved(_verified(near, sets, num, den), "links")
     hot = met.where("b is null").select("s").distinct()
-    lo, hi = 1, 5
     nodes = components(links.toDF("u", "v"))
     if not hot.isEmpty():
         rows = rows.drop("comp").join(hot, "s", "left_semi").join(reps.select("rep", "spread"), "rep")
         rows = common.saved(rows, "hot")
-        known = None
+        known = others = None
+        lo, hi = 1, 5  # ranks of the next pivots of groups
+        low, high = 0, 16  # the same of hot groups
         while True:
             if known is None:
                 known = rows.join(nodes.toDF("rep", "c"), "rep", "left").withColumn("comp", F.coalesce("c", "rep"))
                 known = common.saved(known.drop("c"), "known")
-            # Groups that have rows left to compare from and that lie in several components.
-            left = known.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows")).where(f"x != y and rows > {lo}").select("s")
-            left = common.saved(left, "left")
-            if left.isEmpty():
+            # Groups that lie in several components and have rows left to compare with.
+            left = known.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows")).where("x != y")
+            left = common.saved(left.join(F.broadcast(hottest), "s", "left").select("s", "rows", "size"), "left")
+            hot_known = common.saved(known.join(left.where("size is not null").select("s"), "s", "left_semi"), "hottest")
+            if others is None:
+                many = hot_known.join(F.broadcast(common.saved(_main(hot_known), "main")), "s").groupBy("s").agg(F.count_if(F.col("comp") != F.col("main")).alias("others"))
+                others = common.saved(hottest.join(many, "s"), "others")
+            cold, warm = left.where(f"size is null and rows > {lo + 1}").select("s"), others.where(f"others > {low}").join(left.select("s"), "s", "left_semi")
+            if cold.isEmpty() and warm.isEmpty():
                 break
-            some = known.join(left, "s", "left_semi")
-            met = _pairs(some.join(F.broadcast(hottest), "s", "left_anti"), num, den, lo, hi, 1).where("b is not null")
-            met = common.saved(met.union(_hot_pairs(some, hottest, num, den, lo, hi)), "pairs")
+            met = _pairs(known.join(cold, "s", "left_semi"), num, den, lo, hi, 1).where("b is not null")
+            met = common.saved(met.union(_hot_pairs(hot_known, warm, num, den, low, high)), "pairs")
             lo, hi = hi, hi + 4 * (hi - lo)
+            low, high = high, high + 4 * (high - low)
             if met.isEmpty():  # the pivots of this round are near none; later ones may be
                 continue
             new = met.where("a != b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
