@@ -20,6 +20,20 @@ def f1_scores(rows: DataFrame, labels: list[int]) -> DataFrame:
     return each.unionByName(each.agg(F.lit(-1).alias("label"), F.round(F.avg("f1"), 4).alias("f1")))
 
 
+def f1_of_labels(rows: DataFrame) -> DataFrame:
+    """(label, f1) of the labels that occur as truths, 0 where undefined, and label -1: their mean rounded to 4 places.
+
+    Rows with a null truth or prediction count for neither; an empty table has the mean alone, which is null.
+    """
+    table = confusion(rows.where("y is not null and p is not null"))
+    zero = F.lit(0).cast("long")
+    truths = table.select(F.col("y").alias("label"), F.col("n").alias("y"), zero.alias("p"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("tp"))
+    sides = truths.unionByName(table.select(F.col("p").alias("label"), zero.alias("y"), F.col("n").alias("p"), zero.alias("tp")))
+    sums = sides.groupBy("label").agg(F.sum("y").alias("y"), F.sum("p").alias("p"), F.sum("tp").alias("tp")).where("y > 0")
+    each = sums.select("label", (2.0 * F.col("tp") / (F.col("y") + F.col("p"))).alias("f1"))
+    return each.unionByName(each.agg(F.lit(-1).alias("label"), F.round(F.avg("f1"), 4).alias("f1")))
+
+
 def accuracy(rows: DataFrame) -> DataFrame:
     return rows.agg(F.avg((F.col("y") == F.col("p")).cast("double")).alias("accuracy"))
 

@@ -34,8 +34,9 @@ def gaussian_predict(rows: DataFrame, model: DataFrame, key: str, column: str) -
 
 
 def random_features(rows: DataFrame, column: str, gamma: float, many: int = 128, seed: int = 1) -> DataFrame:
-    """rows with features: many cosines whose inner products approximate the RBF kernel of gamma."""
-    size = rows.select(F.size(column).alias("n")).first().n
+    """rows with features: many cosines whose inner products approximate the RBF kernel of gamma. An empty table stays empty."""
+    found = rows.select(F.size(column).alias("n")).where("n >= 0").first()
+    size = found.n if found else 1
     r = np.random.default_rng(seed)
     w, b = r.normal(0, math.sqrt(2 * gamma), (many, size)), r.uniform(0, 2 * math.pi, many)
     weights = F.array(*(F.array(*map(F.lit, map(float, row))) for row in w))
@@ -63,6 +64,8 @@ def rff_svm_grid(rows: DataFrame, label: str, column: str, costs: list[float], g
 def mlp_predict(rows: DataFrame, label: str, column: str, key: str, hidden: list[int], seed: int = 1) -> DataFrame:
     """(key, label, p) of a multilayer perceptron that is trained on rows whose hash is no multiple of 5."""
     first = rows.agg(F.max(F.size(column)).alias("n"), F.max(label).alias("k")).first()
+    if first.n is None or first.k is None:  # no rows, or none with a label
+        return rows.select(key, F.col(label).alias("label"), F.lit(None).cast("int").alias("p"))
     data = rows.select(key, label, array_to_vector(F.transform(column, lambda v: v.cast("double"))).alias("features"))
     train = data.where(F.pmod(F.xxhash64(key), F.lit(5)) > 0)
     model = MultilayerPerceptronClassifier(labelCol=label, layers=[first.n, *hidden, first.k + 1], maxIter=30, seed=seed).fit(train)

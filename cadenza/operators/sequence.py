@@ -70,11 +70,15 @@ def patch_starts(lengths: DataFrame, size: int, step: int) -> DataFrame:
 
 def patch_grid(seq: DataFrame, size: int, step: int) -> DataFrame:
     """Mean and population variance of each patch of patch_starts."""
-    own = F.filter(
-        F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / step) - 1), lambda p: F.struct(p.alias("patch"), F.least(p * step, F.col("n") - size).alias("start"))),
-        lambda p: (p["start"] <= F.col("i")) & (F.col("i") < p["start"] + size),
-    )
-    rows = seq.where(F.col("n") >= size).withColumn("p", F.explode(own))
+    i, n, none = F.col("i"), F.col("n"), F.array().cast("array<bigint>")
+    # Regular patches that hold i by arithmetic, then, near the end, those that end at it.
+    first = F.greatest(F.lit(0), F.ceil((i - size + 1) / step)).cast("long")
+    last = F.least(F.floor(i / step), F.floor((n - size) / step)).cast("long")
+    tail, end = (F.floor((n - size) / step) + 1).cast("long"), (F.ceil(n / step) - 1).cast("long")
+    regular = F.when(first <= last, F.sequence(first, last)).otherwise(none)
+    shifted = F.when((i >= n - size) & (tail <= end), F.sequence(tail, end)).otherwise(none)
+    held = seq.where(n >= size).withColumn("__p", F.explode(F.concat(regular, shifted)))
+    rows = held.withColumn("p", F.struct(F.col("__p").alias("patch"), F.least(F.col("__p") * step, n - size).alias("start")))
     return rows.groupBy("file", F.col("p.patch").alias("patch"), F.col("p.start").alias("start")).agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
 
 
@@ -188,7 +192,9 @@ def interval_frames(intervals: DataFrame, lengths: DataFrame) -> DataFrame:
 
 def snr_gain(signal: DataFrame, noise: DataFrame, levels: list[int]) -> DataFrame:
     """Gain of the noise (file -> tiled to the signal) for each level in dB: sqrt(Ex / 10^(dB/10) / En)."""
-    wrapped = signal.join(noise.select("file", F.col("i").alias("j"), F.col("x").alias("z"), F.col("n").alias("m")), "file").where("j = i % m")
+    long = noise.groupBy("file").agg(F.max("n").alias("m"))
+    placed = signal.join(long, "file").withColumn("j", F.col("i") % F.col("m"))
+    wrapped = placed.join(noise.select("file", F.col("i").alias("j"), F.col("x").alias("z")), ["file", "j"])
     energy = wrapped.groupBy("file").agg(F.avg(F.col("x") * F.col("x")).alias("ex"), F.avg(F.col("z") * F.col("z")).alias("en"))
     leveled = energy.withColumn("snr_db", F.explode(F.array(*map(F.lit, levels))))
     return leveled.select("file", "snr_db", F.sqrt(F.try_divide(F.col("ex") / F.pow(F.lit(10.0), F.col("snr_db") / 10), "en")).alias("gain"))

@@ -2,15 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def gram_sums(vectors: DataFrame, column: str) -> DataFrame:
+    """(a, b, s, m, n): for elements a <= b of an array column the sum of their products and of element a, and the count.
+
+    A task multiplies whole batches and gives out one row for each pair, which are added up. Null vectors and such
+    with null elements are left out; all others must be of one length.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xx = x = None
+        n = 0
+        for batch in batches:
+            rows = batch.column(0)
+            if not len(rows):
+                continue
+            v = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+            xx, x, n = (v.T @ v, v.sum(0), len(v)) if xx is None else (xx + v.T @ v, x + v.sum(0), n + len(v))
+        if n:
+            a, b = np.triu_indices(len(x))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(xx[a, b]), pa.array(x[a]), pa.array(np.full(len(a), n))], names=["a", "b", "s", "m", "n"])
+
+    whole = vectors.select(F.col(column).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()) & (F.size("v") > 0))
+    parts = whole.mapInArrow(run, "a long, b long, s double, m double, n long")
+    return parts.groupBy("a", "b").agg(F.sum("s").alias("s"), F.sum("m").alias("m"), F.sum("n").alias("n"))
+
+
 def gram(vectors: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Sums of x x' and of x, and the count, of an array column: d * d sums leave the executors, no rows."""
-    pairs = vectors.select(F.posexplode(column).alias("a", "x"), F.col(column).alias("v")).select("a", "x", F.posexplode("v").alias("b", "y")).where("a <= b")
-    rows = pairs.groupBy("a", "b").agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("s"), F.sum(F.col("x").cast("double")).alias("m"), F.count("*").alias("n")).collect()
+    rows = gram_sums(vectors, column).collect()
     d = 1 + max((r.b for r in rows), default=-1)
     xx, x = np.zeros((d, d)), np.zeros(d)
     for r in rows:
@@ -20,9 +47,22 @@ def gram(vectors: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray, int]:
     return xx, x, rows[0].n if rows else 0
 
 
+def pearson_all(vectors: DataFrame, column: str) -> DataFrame:
+    """(a, b, r) of all pairs of elements a < b of an array column, from gram_sums; null where an element is constant."""
+    sums = gram_sums(vectors, column)
+    own = sums.where("a = b").select(F.col("a").alias("k"), F.col("s").alias("q"), "m")
+    left, right = own.toDF("a", "qa", "ma"), own.toDF("b", "qb", "mb")
+    both = sums.where("a < b").select("a", "b", "s", "n").join(F.broadcast(left), "a").join(F.broadcast(right), "b")
+    spread = lambda q, m: F.col("n") * F.col(q) - F.col(m) * F.col(m)
+    r = F.try_divide(F.col("n") * F.col("s") - F.col("ma") * F.col("mb"), F.sqrt(spread("qa", "ma") * spread("qb", "mb")))
+    return both.select("a", "b", r.alias("r"))
+
+
 def first_canonical(vectors: DataFrame, column: str, split: int) -> float:
-    """The first canonical correlation of the elements before split and those from it on."""
+    """The first canonical correlation of the elements before split and those from it on; NaN for no vectors."""
     xx, x, n = gram(vectors, column)
+    if not n:
+        return float("nan")
     cov = xx / n - np.outer(x, x) / n**2
     a, b, c = cov[:split, :split], cov[:split, split:], cov[split:, split:]
 
@@ -35,9 +75,11 @@ def first_canonical(vectors: DataFrame, column: str, split: int) -> float:
 
 
 def manova(vectors: DataFrame, column: str, label: str) -> dict[str, float]:
-    """Wilks, Pillai, Hotelling-Lawley and Roy for features against the label alone, without intercept."""
+    """Wilks, Pillai, Hotelling-Lawley and Roy for features against the label alone, without intercept; NaN for no vectors or labels of 0."""
     joined = vectors.select(F.concat(F.col(column).cast("array<double>"), F.array(F.col(label).cast("double"))).alias("v"))
     xx, _, _ = gram(joined, "v")
+    if not xx.size or not xx[-1, -1]:
+        return dict.fromkeys(("wilks", "pillai", "hotelling", "roy"), float("nan"))
     yy, yx, s = xx[:-1, :-1], xx[:-1, -1], xx[-1, -1]
     b = yx / s
     e = yy - s * np.outer(b, b)

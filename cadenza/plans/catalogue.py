@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import arrays
-from cadenza.operators import fusion, metrics, models, sequence, signal, split, stats
+from cadenza.operators import fusion, metrics, models, patches, sequence, signal, silence, split, stats
 
 SIZE, HOP = 17, 8
 
@@ -206,16 +206,15 @@ def event_match_greedy(spark, sf):
 _RATES = ", ".join(f"(select {t} as tolerance, cls, count(*) as n, sum((exists (select 1 from ev e where e.k = 'b' and e.cls = r.cls and e.file = r.file and abs(e.i - r.i) <= {t}))::int) as tp from ev r where k = 'a' group by cls)" for t in (1, 2)).replace("), (", ") union all (")
 
 
-@query("event_rates_grouping_sets", "s mk on_", f", ev as (select file, i, 'a' as k, 'speech' as cls from on_ where a > 0 union all select file, i, 'b', 'speech' from on_ where b > 0 union all select file, i, 'a', 'music' from on_ where a < 0 union all select file, i, 'b', 'music' from on_ where b < 0), c as ({_RATES}), g as (select c.tolerance, c.cls, tp::bigint as tp, n, (select count(*) from ev where k = 'b' and ev.cls = c.cls) - tp as fp, n - tp as fn from c), p as (select tolerance, cls, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn, sum(n) as n from g group by grouping sets ((tolerance, cls), (tolerance))) select tolerance, cls, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, n::bigint as n, round(tp / (tp + fp + 1e-10), 6) as precision, round(tp / (tp + fn + 1e-10), 6) as recall, round(fn / (n + 1e-10), 6) as deletion, round(fp / (n + 1e-10), 6) as insertion, round(fn / (n + 1e-10) + fp / (n + 1e-10), 6) as error from p")
+@query("event_rates_grouping_sets", "s mk on_", f", ev as (select file, i, 'a' as k, 'speech' as cls from on_ where a > 0 union all select file, i, 'b', 'speech' from on_ where b > 0 union all select file, i, 'a', 'music' from on_ where a < 0 union all select file, i, 'b', 'music' from on_ where b < 0), c as ({_RATES}), g as (select c.tolerance, c.cls, tp::bigint as tp, n, (select count(*) from ev where k = 'b' and ev.cls = c.cls) - tp as fp, n - tp as fn from c), p as (select tolerance, cls, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn, sum(n) as n from g group by grouping sets ((tolerance, cls), (tolerance))) select tolerance, cls, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, n::bigint as n, round(tp / (tp + fp + 1e-10), 6) as precision, round(tp / (tp + fn + 1e-10), 6) as recall, round(2 * (tp / (tp + fp + 1e-10)) * (tp / (tp + fn + 1e-10)) / (tp / (tp + fp + 1e-10) + tp / (tp + fn + 1e-10) + 1e-10), 6) as f1, round(fn / (n + 1e-10), 6) as deletion, round(fp / (n + 1e-10), 6) as insertion, round(fn / (n + 1e-10) + fp / (n + 1e-10), 6) as error from p")
 def event_rates_grouping_sets(spark, sf):
     m = marks(spark, sf)
-    counts = None
-    for cls, flip in (("speech", 0), ("music", 1)):
-        at = lambda c, flip=flip: sequence.onsets(m.select("file", "i", "n", (F.col(c) if not flip else 1 - F.col(c)).alias("m"))).where("onset = 1").select("file", "i")
-        for tolerance in (1, 2):
-            one = metrics.matched_by_reference(at("m"), at("e"), tolerance).select(F.lit(tolerance).alias("tolerance"), F.lit(cls).alias("cls"), "tp", "fp", "fn", "n_ref")
-            counts = one if counts is None else counts.unionByName(one)
-    return rounded(metrics.event_rates(counts).drop("f1"), "precision", "recall", "deletion", "insertion", "error")
+    flips = F.array(*(F.struct(F.lit(cls).alias("cls"), F.lit(flip).alias("flip")) for cls, flip in (("speech", 0), ("music", 1))))
+    both = m.withColumn("k", F.explode(flips)).withColumn("file", F.struct("file", "k.cls"))
+    at = lambda c: sequence.onsets(both.select("file", "i", "n", F.abs(F.col(c) - F.col("k.flip")).alias("m"))).where("onset = 1").select("file", "i")
+    ref, est = at("m"), at("e")
+    each = [metrics.matched_by_reference(ref, est, t).select(F.lit(t).alias("tolerance"), "file.cls", "tp", "fp", "fn", "n_ref") for t in (1, 2)]
+    return rounded(metrics.event_rates(each[0].unionByName(each[1])), "precision", "recall", "f1", "deletion", "insertion", "error")
 
 
 @query("interval_to_frames", "s mk isl", ", l as (select distinct file, n, n * 0.5 as seconds from s), k as (select file, m, first * 0.5 as t0, (last - first + 1) * 0.5 as dur from isl where m = 1) select file, 's' as cls, unnest(range(floor(t0 / seconds * n)::bigint, least(ceil((t0 + dur) / seconds * n)::bigint, n - 1) + 1)) as i from k join l using (file)")
@@ -312,10 +311,13 @@ def cepstral_subset(spark, sf):
     return vectors(spark, sf).select("vec_id", F.posexplode(arrays.cepstral_subset("embedding")).alias("k", "v")).select("vec_id", F.col("k").cast("long").alias("k"), F.col("v").cast("double").alias("v"))
 
 
-@query("drop_nonfinite", "", "select vec_id, count(*) as n from (select vec_id, unnest(embedding) as v from embeddings where vec_id % 7 <> 0) group by all")
+@query("drop_nonfinite", "", "select vec_id, count(*) as n from (select vec_id, unnest(embedding) as v from embeddings) group by all")
 def drop_nonfinite(spark, sf):
-    broken = F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda v, i: F.when(i == 3, F.lit(float("nan"))).otherwise(v))).otherwise(F.col("embedding"))
-    rows = vectors(spark, sf).select("vec_id", broken.alias("v")).where(arrays.finite("v"))
+    """All vectors, and beside them copies with a NaN or an infinite element, which go."""
+    own = vectors(spark, sf).select("vec_id", F.col("embedding").alias("v"))
+    spoilt = lambda bad: F.transform("v", lambda x, i: F.when(i == 3, F.lit(float(bad)).cast("float")).otherwise(x))
+    broken = F.explode(F.array(*map(spoilt, ("nan", "inf", "-inf"))))
+    rows = own.unionByName(own.select("vec_id", broken.alias("v"))).where(arrays.finite("v"))
     return rows.select("vec_id", F.size("v").cast("long").alias("n"))
 
 
@@ -396,10 +398,9 @@ def argmax_threshold(spark, sf):
     return scores(spark, sf).select("vec_id", "feat", metrics.argmax_label("p").alias("arg"), (F.element_at("p", 1) > 0.5).cast("int").alias("over"))
 
 
-@query("pearson_pairs", "v", "select a.d::bigint as a, b.d::bigint as b, round(corr(a.v, b.v), 6) as r from v a join v b using (vec_id) where (a.d, b.d) in ((0, 1), (0, 2), (1, 2), (3, 40)) group by all")
+@query("pearson_pairs", "v", "select a.d::bigint as a, b.d::bigint as b, round(corr(a.v, b.v), 6) as r from v a join v b on a.vec_id = b.vec_id and a.d < b.d group by all")
 def pearson_pairs(spark, sf):
-    long = _classes(spark, sf)
-    return rounded(stats.pearson_pairs(long, [(0, 1), (0, 2), (1, 2), (3, 40)]), "r")
+    return rounded(stats.pearson_all(table(spark, sf, "embeddings"), "embedding"), "r")
 
 
 @query("spearman_pairs", "v", ", k as (select vec_id, d, rank() over (partition by d order by v) + (count(*) over (partition by d, v) - 1) / 2.0 as v from v) select a.d::bigint as a, b.d::bigint as b, round(corr(a.v, b.v), 6) as r from k a join k b using (vec_id) where (a.d, b.d) in ((0, 1), (0, 2), (3, 40)) group by all")
@@ -425,7 +426,43 @@ def rounded4(df):
     return df.withColumn("total", F.round("total", 4))
 
 
-# What SQL can't say is tested against the formulas in numpy.
+#: Silent spans of the users' signals, none of which has frames enough for the burst step.
+_SILENT = """, h as (select file, i, n, x - avg(x) over (partition by file) as c from s), z as (select file, i, n, coalesce(c / nullif(max(abs(c)) over (partition by file), 0), 0) as x from h),
+fz as (select file, frame, sqrt(avg(x * x)) as rms from (select z.*, f.frame from z join (select distinct file, n, unnest(range(0, (n - 17) // 8 + 1)) as frame from s where n >= 17) f on z.file = f.file and z.i >= f.frame * 8 and z.i < f.frame * 8 + 17) group by all),
+fm as (select file, frame, (rms >= 0.9 * max(rms) over (partition by file))::int as m from fz),
+fi as (select file, m, min(frame) as a, max(frame) as b from (select *, sum(t) over (partition by file order by frame) as run from (select *, case when m <> lag(m) over (partition by file order by frame) then 1 else 0 end as t from fm)) group by file, run, m),
+sp as (select * from (select file, greatest(8 * (a - 1) + 17, 1) as a, least(8 * (least(b + 1, (select max(frame) from fm where fm.file = fi.file)) - 1) + 17, (select max(n) from s where s.file = fi.file)) as b from fi where m = 0) where b - a > 0)"""
+
+
+@query("silence_removed", "s", _SILENT + " select file, row_number() over (partition by file order by i) - 1 as i, x, count(*) over (partition by file) as n from s where not exists (select 1 from sp where sp.file = s.file and s.i >= sp.a and s.i < sp.b)")
+def silence_removed(spark, sf):
+    return silence.silence_removed(signals(spark, sf), SIZE, HOP, 1.0, 0.9, 0.0)
+
+
+@query("annotation_shift", "s mk isl", _SILENT + ", k as (select file, first * 1.0 as t0, last + 1.0 as t1, m from isl where m = 1), o as (select t0, t1, k.file, coalesce(sum(greatest(least(sp.b, t0) - sp.a, 0)), 0) as u, coalesce(sum(greatest(least(sp.b, t1) - sp.a, 0)), 0) as w from k left join sp on sp.file = k.file group by all) select file, round(t0 - u, 6) as t0, round(t1 - w - t0 + u, 6) as dur, 's' as cls from o where t1 - w > t0 - u")
+def annotation_shift(spark, sf):
+    seq = signals(spark, sf)
+    spans = silence.silences(silence.audible_frames(seq, SIZE, HOP, 0.9), silence.lengths_of(seq), SIZE, HOP, 1.0, 0.0)
+    runs = sequence.islands(marks(spark, sf)).where("m = 1")
+    intervals = runs.select("file", F.col("first").cast("double").alias("t0"), (F.col("last") - F.col("first") + 1).cast("double").alias("dur"), F.lit("s").alias("cls"))
+    return rounded(silence.silence_shifted(intervals, spans.select("file", F.col("first").cast("double").alias("t0"), F.col("end").cast("double").alias("t1"))), "t0", "dur")
+
+
+@query("f1_of_labels", "", "with q as (select label as y, (abs(embedding[1]) * 5)::int as p from embeddings), l as (select distinct y as label from q), t as (select label, count(*) filter (where y = label and p = label) as tp, count(*) filter (where y = label) as a, count(*) filter (where p = label) as b from q, l group by label) select label, round(2.0 * tp / (a + b), 6) as f1 from t union all select -1, round(avg(2.0 * tp / (a + b)), 4) from t")
+def f1_of_labels(spark, sf):
+    rows = table(spark, sf, "embeddings").select(F.col("label").alias("y"), F.rint(F.abs(F.element_at("embedding", 1)) * 5).cast("int").alias("p"))
+    return rounded(metrics.f1_of_labels(rows), "f1")
+
+
+@query("patch_summaries", "v", ", e as (select label as file, d, row_number() over (partition by label, d order by vec_id) - 1 as i, v, count(*) over (partition by label, d) as n, avg(v) over (partition by label, d) as mu, stddev_pop(v) over (partition by label, d) as sd from v where d in (0, 6, 13)), z as (select file, d, i, coalesce((v - mu) / nullif(sd, 0), 0) as x, n from e), t as (select file, d, i + k * n as i, x, n * r as n from (select *, unnest(range(0, r)) as k from (select *, case when n < 60 then 60 // n + 1 else 1 end as r from z))), p as (select distinct file, n, unnest(range(0, ceil(n / 20.0)::bigint)) as patch from t where n >= 60), g as (select t.file, patch, d, round(avg(x), 6) as mean, round(var_pop(x), 6) as var from t join (select *, least(patch * 20, n - 60) as start from p) q on t.file = q.file and i >= start and i < start + 60 group by all) select file, patch, 0::bigint + d as d, mean, var from g")
+def patch_summaries(spark, sf):
+    frames = table(spark, sf, "embeddings").select(F.col("label").alias("file"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long").alias("i"), F.col("embedding").alias("v"))
+    found = patches.patch_summaries(frames, 60, 20, [0, 6, 13])
+    each = found.select("file", "patch", F.explode(F.arrays_zip(F.array(*map(F.lit, (0, 6, 13))).alias("d"), F.slice("v", 1, 3).alias("mean"), F.slice("v", 4, 3).alias("var"))).alias("k"))
+    return rounded(each.select("file", "patch", F.col("k.d").cast("long").alias("d"), "k.mean", "k.var"), "mean", "var")
+
+
+# What SQL can't say has no SQL here; tests/ check what of it they name.
 
 
 @query("manova_stats")

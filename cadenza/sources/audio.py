@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -64,6 +64,19 @@ def missing(files: DataFrame, store: DataFrame) -> DataFrame:
     return files.join(store.select("file").distinct(), "file", "left_anti")
 
 
+def memoised(inputs: DataFrame, path: str, keys: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """compute(inputs) for the rows whose keys the Parquet store at path lacks, appended to it; the store's rows for all inputs' keys.
+
+    Keys that are null are computed each time, as they meet nothing.
+    """
+    spark = inputs.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    new = inputs.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti") if there else inputs
+    compute(new).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(inputs.select(*keys).distinct(), keys, "left_semi")
+
+
 def write_features(rows: DataFrame, path: str) -> None:
     """Appends (feat, cls, file, frame, v) to a Parquet store by feat and cls."""
     rows.write.mode("append").partitionBy("feat", "cls").parquet(path)
