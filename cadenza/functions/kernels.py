@@ -1,10 +1,20 @@
-"""Signal kernels in numpy: a wave or its frames in, a matrix of frames by values out."""
+"""Signal kernels in numpy, in three shapes.
+
+Frame kernels take a matrix of frames (rows) and the rate, block kernels the frames of one block and the hop, wave
+kernels one whole wave; they give a row for each frame, or a sample for each sample. None keeps state, so Spark may
+deal frames, blocks and waves over tasks as it likes. Silent input gives zeros (logarithms: of their floor), never NaN.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-CEPSTRA = 13
+CEPSTRA, BANDS = 13, 21
+
+#: Added to denominators and logarithms; fixed values.
+TINY, LOG_FLOOR = 1e-10, 1e-5
 
 
 def frames(x: np.ndarray, size: int, hop: int) -> np.ndarray:
@@ -13,106 +23,156 @@ def frames(x: np.ndarray, size: int, hop: int) -> np.ndarray:
     return x[np.arange(size) + hop * np.arange(n)[:, None]] if n else np.zeros((0, size))
 
 
+def joined(fr: np.ndarray, hop: int) -> np.ndarray:
+    """The stretch of the wave that consecutive frames cover (hop at most their size)."""
+    return np.concatenate([fr[:-1, :hop].ravel(), fr[-1]])
+
+
+def cosines(m: int, n: int, orthonormal: bool = True) -> np.ndarray:
+    """n x m basis of the DCT-II; not orthonormal: each coefficient is twice the sum of products."""
+    basis = np.cos(np.pi / m * (np.arange(m) + 0.5) * np.arange(min(n, m))[:, None])
+    if not orthonormal:
+        return 2 * basis
+    return basis * np.where(np.arange(len(basis)) == 0, np.sqrt(1 / m), np.sqrt(2 / m))[:, None]
+
+
 def dct(x: np.ndarray, n: int = CEPSTRA) -> np.ndarray:
     """The first n coefficients of the orthonormal DCT-II of each row."""
-    m = x.shape[1]
-    basis = np.cos(np.pi / m * (np.arange(m) + 0.5) * np.arange(min(n, m))[:, None]) * np.sqrt(2 / m)
-    basis[0] /= np.sqrt(2)
-    return x @ basis.T
+    return x @ cosines(x.shape[1], n).T
+
+
+# Spectra. Magnitudes are taken under a periodic Hann window.
 
 
 def magnitudes(fr: np.ndarray, nfft: int | None = None) -> np.ndarray:
-    return np.abs(np.fft.rfft(fr * np.hamming(fr.shape[1]), nfft or fr.shape[1]))
+    n = fr.shape[1]
+    return np.abs(np.fft.rfft(fr * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)), nfft or n))
 
 
-def mel_bank(bands: int, nfft: int, fs: float) -> np.ndarray:
-    """Triangles of equal area, evenly spaced in mel, on the bins of an rfft."""
-    top = 2595 * np.log10(1 + fs / 2 / 700)
-    edge = 700 * (10 ** (np.linspace(0, top, bands + 2) / 2595) - 1)
-    f = np.linspace(0, fs / 2, nfft // 2 + 1)
+def triangles(edge: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Triangles of area 1 over neighbouring edges, at the frequencies f."""
     up = (f - edge[:-2, None]) / np.diff(edge)[:-1, None]
     down = (edge[2:, None] - f) / np.diff(edge)[1:, None]
     return np.maximum(0, np.minimum(up, down)) * (2 / (edge[2:] - edge[:-2]))[:, None]
 
 
-def slopes(v: np.ndarray, width: int = 9) -> np.ndarray:
-    """Least-squares slope over an odd width along the frames; at the ends that of the first and last window.
-
-    Of fewer than three frames the rows are repeated as they are.
-    """
-    n = len(v)
-    if n < 3:
-        return v.copy()
-    width = min(width, n)
-    width -= 1 - width % 2
-    h = width // 2
-    weight = np.arange(-h, h + 1) / np.sum(np.arange(-h, h + 1) ** 2)
-    inner = np.tensordot(np.lib.stride_tricks.sliding_window_view(v, width, 0), weight, ([2], [0]))
-    return np.concatenate([np.repeat(inner[:1], h, 0), inner, np.repeat(inner[-1:], h, 0)])
+def slaney_edges(bands: int, fs: float) -> np.ndarray:
+    """bands + 2 frequencies up to fs / 2, even on a scale that's linear to 1000 Hz and logarithmic above."""
+    step, knee, ratio = 200 / 3, 1000.0, np.log(6.4) / 27
+    top = fs / 2 / step if fs / 2 < knee else knee / step + np.log(fs / 2 / knee) / ratio
+    mel = np.linspace(0, top, bands + 2)
+    return np.where(mel < knee / step, mel * step, knee * np.exp(ratio * (mel - knee / step)))
 
 
-def with_slopes(v: np.ndarray) -> np.ndarray:
-    d = slopes(v)
-    return np.concatenate([v, d, slopes(d)], 1)
+def mel_power(fr: np.ndarray, fs: float, bands: int = BANDS) -> np.ndarray:
+    n = fr.shape[1]
+    return magnitudes(fr) ** 2 @ triangles(slaney_edges(bands, fs), np.linspace(0, fs / 2, n // 2 + 1)).T
 
 
-def mel_power(x: np.ndarray, fs: float, size: int, hop: int, bands: int = 21) -> np.ndarray:
-    fr = frames(x, size, hop)
-    return magnitudes(fr) ** 2 @ mel_bank(bands, size, fs).T
+def log_mel(fr: np.ndarray, fs: float, bands: int = BANDS) -> np.ndarray:
+    """Decibels of mel_power, from -100 on."""
+    return 10 * np.log10(np.maximum(mel_power(fr, fs, bands), 1e-10))
 
 
-def mfcc(x: np.ndarray, fs: float, size: int, hop: int) -> np.ndarray:
-    return with_slopes(dct(10 * np.log10(np.maximum(mel_power(x, fs, size, hop, 26), 1e-10))))
+def log_mel_sum(fr: np.ndarray, fs: float, bands: int = BANDS, first: int = 18) -> np.ndarray:
+    """Sum of the logarithms of the first bands' powers."""
+    return np.log10(np.maximum(mel_power(fr, fs, bands)[:, :first], 1e-10)).sum(1, keepdims=True)
 
 
-def spectral_flux(x: np.ndarray, fs: float, size: int, hop: int) -> np.ndarray:
-    """Squared change of each frame's spectrum, scaled to its peak, from that of the frame before."""
-    s = np.abs(np.fft.rfft(frames(x, size, hop), 2 * size))
-    s = s / np.maximum(s.max(1, keepdims=True), 1e-12)
-    return np.concatenate([[0.0], ((s[1:] - s[:-1]) ** 2).sum(1)])[: len(s), None]
+def peak_scaled(fr: np.ndarray, fs: float) -> np.ndarray:
+    """Magnitudes of the frame without window, padded to twice its size, over their peak."""
+    s = np.abs(np.fft.rfft(fr, 2 * fr.shape[1]))[:, : fr.shape[1]]
+    return s / (s.max(1, keepdims=True) + TINY)
 
 
-def spectral_shape(x: np.ndarray, fs: float, size: int, hop: int) -> np.ndarray:
-    """Centroid and the frequency below which 0.8 of the magnitude lies."""
-    s = magnitudes(frames(x, size, hop))
+def spectral_shape(fr: np.ndarray, fs: float) -> np.ndarray:
+    """Centroid, and the least frequency up to which 0.8 of the magnitude lies."""
+    s = magnitudes(fr)
     f = np.linspace(0, fs / 2, s.shape[1])
-    total = np.maximum(s.sum(1), 1e-12)
+    total = s.sum(1)
     below = (np.cumsum(s, 1) < 0.8 * total[:, None]).sum(1)
-    return np.stack([s @ f / total, f[np.minimum(below, len(f) - 1)]], 1)
+    return np.stack([s @ f / np.maximum(total, TINY), f[np.minimum(below, len(f) - 1)]], 1)
 
 
-def chroma(x: np.ndarray, fs: float, size: int, hop: int, bins: int = 12) -> np.ndarray:
-    """Magnitude by pitch class, and the summed change between neighbouring classes round the circle."""
-    s = magnitudes(frames(x, size, hop), 4 * size)
-    f = np.linspace(0, fs / 2, s.shape[1])
-    pitch = np.floor(bins * np.log2(np.maximum(f, 1e-9) / 440.0)).astype(int) % bins
-    c = np.stack([s[:, (pitch == k) & (f > 20)].sum(1) for k in range(bins)], 1)
-    return np.concatenate([c, np.abs(c - np.roll(c, -1, 1)).sum(1, keepdims=True)], 1)
+def chroma_bank(fs: float, nfft: int, bins: int) -> np.ndarray:
+    """bins x (nfft // 2 + 1): bumps round each pitch class (the first is C; A = 440 Hz), weighted by nearness to octave 5.
+
+    Columns have norm 1 before the weight. The constant part counts as one and a half octaves below the first bin.
+    """
+    pitch = bins * np.log2(np.arange(1, nfft) * fs / nfft / 27.5)
+    pitch = np.concatenate([[pitch[0] - 1.5 * bins], pitch])
+    width = np.concatenate([np.maximum(np.diff(pitch), 1), [1]])
+    half = round(bins / 2)
+    off = (pitch - np.arange(bins)[:, None] + half) % bins - half
+    bump = np.exp(-2 * (off / width) ** 2)
+    bump /= np.sqrt((bump**2).sum(0))
+    bump *= np.exp(-0.5 * ((pitch / bins - 5) / 2) ** 2)
+    return np.roll(bump, -3 * (bins // 12), 0)[:, : nfft // 2 + 1]
+
+
+def chroma(fr: np.ndarray, fs: float, bins: int = 36) -> np.ndarray:
+    """Power by pitch class over the largest."""
+    c = magnitudes(fr) ** 2 @ chroma_bank(fs, fr.shape[1], bins).T
+    return c / np.maximum(c.max(1, keepdims=True), TINY)
+
+
+def chroma_change(fr: np.ndarray, fs: float, bins: int = 36) -> np.ndarray:
+    """Squared steps between neighbouring pitch classes, summed, and the power in bins 6 to 17 of their padded spectrum.
+
+    The last class is compared with class 1, not 0.
+    """
+    c = chroma(fr, fs, bins)
+    after = np.concatenate([c[:, 1:], c[:, 1:2]], 1)
+    high = np.abs(np.fft.fft(c, 2 * bins))[:, 6:18] ** 2
+    return np.stack([((c - after) ** 2).sum(1), high.sum(1)], 1)
+
+
+def zero_crossings(fr: np.ndarray, fs: float) -> np.ndarray:
+    return (np.diff(fr < 0, axis=1).sum(1) / fr.shape[1])[:, None]
+
+
+def energy(fr: np.ndarray, fs: float) -> np.ndarray:
+    return (fr**2).mean(1, keepdims=True)
+
+
+def mean(fr: np.ndarray, fs: float) -> np.ndarray:
+    return fr.mean(1, keepdims=True)
+
+
+def autocorrelation_peak(fr: np.ndarray, fs: float, least: int = 16) -> np.ndarray:
+    """Height of the highest peak of each frame's autocorrelation (1 at lag 0) among lags > ``least``, its period, its pitch.
+
+    A plateau counts at its middle. Without a peak, what stands at lag ``least`` is taken; frames of that many samples or fewer
+    give zeros.
+    """
+    k, n = fr.shape
+    if n <= least:
+        return np.zeros((k, 3))
+    r = np.fft.irfft(np.abs(np.fft.rfft(fr, 2 * n)) ** 2, 2 * n)[:, :n]
+    r = r / (r[:, :1] + TINY)
+    out = np.zeros((k, 3))
+    for row, v in enumerate(r[:, least:]):
+        at = peaks(v)
+        lag = at[v[at].argmax()] if len(at) else 0
+        out[row] = v[lag], (lag + least) / fs, fs / (lag + least)
+    return out
+
+
+def peaks(v: np.ndarray) -> np.ndarray:
+    """Places of the local maxima inside v; of a flat top its middle, rounded down."""
+    turn = np.flatnonzero(np.diff(v)) + 1  # first places of runs of equal values, but for the first
+    first, last = turn[:-1], turn[1:] - 1
+    high = (v[first] > v[first - 1]) & (v[first] > v[turn[1:]]) if len(first) else np.zeros(0, bool)
+    return (first[high] + last[high]) // 2
+
+
+# Group delay.
 
 
 def group_delay(fr: np.ndarray, nfft: int) -> tuple[np.ndarray, np.ndarray]:
-    """The group delay's numerator and the squared magnitude."""
+    """The group delay's numerator and the magnitude, on the bins of an rfft."""
     a, b = np.fft.rfft(fr, nfft), np.fft.rfft(fr * np.arange(fr.shape[1]), nfft)
-    return a.real * b.real + a.imag * b.imag, np.abs(a) ** 2
-
-
-def mgdcc(x: np.ndarray, fs: float, size: int, hop: int, rho: float = 0.1, gamma: float = 0.3, block: int = 100) -> np.ndarray:
-    """Cepstra of the modified group delay, over its block's largest value, with slopes."""
-    fr = frames(x, size, hop)
-    nfft = 1 << (2 * size - 1).bit_length()
-    out = []
-    for k in range(0, len(fr), block):
-        top, power = group_delay(fr[k : k + block] * np.hamming(size), nfft)
-        log = np.log(np.maximum(power, 1e-12)) / 2
-        quef = np.fft.irfft(log, nfft)
-        keep = np.zeros(nfft)
-        keep[:30] = 1
-        keep[-29:] = 1
-        smooth = np.exp(np.fft.rfft(quef * keep, nfft).real)
-        tau = top / np.maximum(smooth ** (2 * gamma), 1e-12)
-        tau = np.sign(tau) * np.abs(tau) ** rho
-        out.append(dct(tau / max(np.abs(tau).max(), 1e-12)))
-    return with_slopes(np.concatenate(out)) if out else np.zeros((0, 39))
+    return a.real * b.real + a.imag * b.imag, np.abs(a)
 
 
 def analytic(x: np.ndarray) -> np.ndarray:
@@ -126,113 +186,273 @@ def analytic(x: np.ndarray) -> np.ndarray:
     return np.fft.ifft(np.fft.fft(x, axis=-1) * gain, axis=-1)
 
 
-def ifcc(x: np.ndarray, fs: float, size: int, hop: int, bands: int = 128, block: int = 100) -> np.ndarray:
-    """Cepstra of the instantaneous frequencies of narrow Gaussian bands, by blocks of frames, with slopes."""
-    many = (len(x) - size) // hop + 1 if len(x) >= size else 0
-    out = []
-    for k in range(0, many, block):
-        n = min(block, many - k)
-        part = x[k * hop : k * hop + (n - 1) * hop + size]
-        spectrum = np.fft.fft(part)
-        w = np.arange(len(part))
-        turn = 2j * np.pi * w / len(part)
-        half = (w > 0) & (w < len(part) / 2)
-        centre = (np.arange(bands) + 0.5) * len(part) / 2 / bands
-        width = len(part) / 2 / bands
-        values = []
-        for c in centre:
-            own = spectrum * half * np.exp(-0.5 * ((w - c) / width) ** 2)
-            z, dz = np.fft.ifft(own), np.fft.ifft(own * turn)
-            num, den = (z.conj() * dz).imag, np.abs(z) ** 2
-            values.append(frames(num, size, hop).sum(1) / np.maximum(frames(den, size, hop).sum(1), 1e-12))
-        out.append(dct(np.stack(values, 1)))
-    return with_slopes(np.concatenate(out)) if out else np.zeros((0, 39))
-
-
-def hngdmfcc(x: np.ndarray, fs: float, size: int, hop: int, bands: int = 26) -> np.ndarray:
-    """Cepstra of the Hilbert envelope of the group-delay numerator of zero-time windowed frames, with slopes."""
-    fr = frames(x, size, hop)
-    n = np.arange(1, size + 1)
-    window = 1 / (4 * np.sin(np.pi * n / (2 * size)) ** 2)
-    nfft = 1 << (2 * size - 1).bit_length()
-    top, _ = group_delay(np.diff(np.diff(fr * window, axis=1, prepend=0), axis=1, prepend=0), nfft)
-    envelope = np.abs(analytic(top))
-    return with_slopes(dct(np.log(envelope @ mel_bank(bands, nfft, fs).T + 1e-5)))
-
-
-def zero_frequency(x: np.ndarray, reach: int = 8) -> np.ndarray:
-    """Four running sums of the difference, each freed of its trend; the ends are zero."""
-    y = np.diff(x, prepend=x[:1])
+def hngd(fr: np.ndarray, fs: float) -> np.ndarray:
+    """Envelopes of the differenced group-delay numerator of zero-time windowed frames, from the highest frequency down.
+
+    The numerator is circular, so it's repeated three times and the middle is taken, from four places before its start.
+    """
+    size = fr.shape[1]
+    nfft = 2 << (size - 1).bit_length() if size > 1 else 2
+    turn = np.cos(np.pi * np.arange(size) / size)
+    pole = np.divide(0.5, 1 - turn, out=np.zeros(size), where=turn < 1)
+    top, _ = group_delay(fr * 2 * (1 + turn) * pole**2, nfft)
+    circle = np.concatenate([top, top[:, -2:0:-1]], 1)
+    envelope = np.abs(analytic(np.diff(np.tile(circle, 3), n=3, axis=1)))
+    return envelope[:, nfft - 4 : nfft - 4 + nfft // 2][:, ::-1]
+
+
+def hngd_cepstra(fr: np.ndarray, fs: float, bands: int = BANDS, n: int = CEPSTRA) -> np.ndarray:
+    """Liftered cosine sums of the logarithms of hngd's energies in triangles, over its first half.
+
+    Edges are even on 1127 ln(1 + f / 700), a step of 1 / (bands + 2) of the range apart. The cosines' argument is
+    k * (pi * m - 0.5) / bands.
+    """
+    spectrum = hngd(fr, fs)
+    k = spectrum.shape[1] // 2 + 1
+    step = np.log(1 + fs / 2 / 700) / (bands + 2)
+    bank = triangles(700 * np.expm1(step * np.arange(bands + 2)), np.linspace(0, fs / 2, k))
+    basis = np.sqrt(2 / bands) * np.cos(np.arange(n)[:, None] * (np.pi * np.arange(1, bands + 1) - 0.5) / bands)
+    lifter = 1 + bands / 2 * np.sin(np.pi * np.arange(n) / bands)
+    return np.log(spectrum[:, :k] @ bank.T + LOG_FLOOR) @ basis.T * lifter
+
+
+# Blocks of frames: what is scaled or filtered over the block depends on which frames are in it.
+
+
+def median5(x: np.ndarray) -> np.ndarray:
+    """Median of the 5 x 5 places round each, mirrored at the borders."""
+    wide = np.pad(x, 2, "symmetric")
+    return np.median(np.lib.stride_tricks.sliding_window_view(wide, (5, 5)).reshape(*x.shape, 25), 2)
+
+
+def modified_group_delays(fr: np.ndarray, grid: list[tuple[float, float]], n: int = CEPSTRA, nfft: int = 512, smooth: int = 30) -> Iterator[np.ndarray]:
+    """For each (rho, gamma) the DCT-II of the first n values, from the highest frequency down, of the modified group delay over the
+    block's largest value.
+
+    The denominator is the spectrum smoothed by a median and by keeping ``smooth`` cosine coefficients. Frames longer than nfft
+    are cut to it.
+    """
+    top, size = group_delay(fr[:, :nfft], nfft)
+    basis = cosines(size.shape[1], smooth)
+    log = median5(np.log(np.maximum(size, TINY))) @ basis.T @ basis
+    for rho, gamma in grid:
+        tau = top / (np.exp(2 * gamma * log) + TINY)
+        tau = np.sign(tau) * np.abs(tau) ** rho
+        tau = tau / (np.abs(tau).max() + TINY)
+        yield tau[:, ::-1][:, :n] @ cosines(n, n, False).T
+
+
+def modified_group_delay(fr: np.ndarray, fs: float, hop: int, rho: float = 0.1, gamma: float = 0.3) -> np.ndarray:
+    return next(modified_group_delays(fr, [(rho, gamma)]))
+
+
+def instantaneous_frequency(fr: np.ndarray, fs: float, hop: int, bands: int = 128, n: int = CEPSTRA) -> np.ndarray:
+    """DCT-II of the first n values, from the highest band down, of the bands' mean frequencies less their own centre.
+
+    Bands are Gaussian, one band wide, centred one band below their number; running sums over a frame and one more sample smooth
+    the products. The wave isn't dithered: ``dithered`` does that, with a seed.
+    """
+    k, size = fr.shape
+    x = joined(fr, hop) * 2**15
+    many = len(x)
+    half = many // 2 + 1
+    spectrum = np.fft.fft(x)[:half]
+    bins, step = np.arange(half), 1 / (bands - 1)
+    out = np.zeros((k, bands))
+    at = hop * np.arange(k)
+    for b in range(bands):
+        own = spectrum * np.exp(-0.5 * ((bins / max(half - 1, 1) - (b - 1) * step) / step) ** 2)
+        z, dz = np.fft.ifft(own, many), np.fft.ifft(own * bins, many)
+        top, under = (np.convolve(v, np.ones(size + 1))[:many] for v in ((z.conj() * dz).real, np.abs(z) ** 2))
+        centre = (np.round(b * step * half) - 1) / many * 2 * np.pi
+        smooth = top / (under + TINY) * (2 * np.pi / many) - centre
+        out[:, b] = smooth[at[:, None] + np.arange(size)] @ np.hamming(size)
+    return out[:, ::-1][:, :n] @ cosines(n, n, False).T
+
+
+# Whole waves.
+
+
+def dithered(x: np.ndarray, seed: int, bits: int = 16) -> np.ndarray:
+    """x with triangular noise of one step of a bits-bit signal, the same for the same seed."""
+    r = np.random.default_rng(seed)
+    return x + (r.random(len(x)) - r.random(len(x))) / 2 ** (bits - 1)
+
+
+def trend_freed(y: np.ndarray, window: int) -> np.ndarray:
+    """y less its mean over [i - window // 2, i + (window - 1) // 2], as far as there are samples."""
+    total = np.concatenate([[0.0], np.cumsum(y)])
+    i = np.arange(len(y))
+    a, b = np.maximum(i - window // 2, 0), np.minimum(i + (window - 1) // 2 + 1, len(y))
+    return y - (total[b] - total[a]) / np.maximum(b - a, 1)
+
+
+def zero_frequency(x: np.ndarray, fs: float, ms: float = 16) -> np.ndarray:
+    """Four running sums of the step to the next sample (the last one twice; over its peak), each freed of its trend over ms.
+
+    Two windows at both ends, where the trend isn't known, are zero.
+    """
+    window = round(ms * fs / 1000)
+    y = np.diff(x)
+    y = np.append(y, y[-1:] if len(y) else 0.0)[: len(x)]
+    y = y / (np.abs(y).max(initial=0) + TINY)
     for _ in range(4):
         y = np.cumsum(y)
     for _ in range(4):
-        total = np.concatenate([[0.0], np.cumsum(y)])
-        i = np.arange(len(y))
-        a, b = np.maximum(i - reach, 0), np.minimum(i + reach + 1, len(y))
-        y = y - (total[b] - total[a]) / (b - a)
-    y[:reach] = 0
-    y[len(y) - reach :] = 0
+        y = trend_freed(y, window)
+    y[: 2 * window] = 0
+    y[max(len(y) - 2 * window, 0) :] = 0
     return y
 
 
-def epochs(x: np.ndarray, fs: float, size: int, hop: int) -> np.ndarray:
-    """Of each frame the number of upward zero crossings of the filtered wave, and their mean slope."""
-    y = zero_frequency(np.asarray(x, float))
-    up = np.concatenate([[False], (y[:-1] < 0) & (y[1:] >= 0)])
-    strength = np.where(up, np.diff(y, prepend=0.0), 0.0)
-    a, b = frames(up.astype(float), size, hop).sum(1), frames(strength, size, hop).sum(1)
-    return np.stack([a, b / np.maximum(a, 1)], 1)
-
-
-def linear_prediction(fr: np.ndarray, order: int) -> np.ndarray:
-    """Burg's predictor of each row, 1 first."""
-    out = np.zeros((len(fr), order + 1))
-    for k, x in enumerate(fr):
-        f, b, a = x[1:].astype(float), x[:-1].astype(float), np.array([1.0])
-        for _ in range(order):
-            r = -2 * f @ b / max(f @ f + b @ b, 1e-12)
-            a = np.append(a, 0) + r * np.append(a, 0)[::-1]
-            f, b = (f + r * b)[1:], (b + r * f)[:-1]
-        out[k] = a
+def zero_frequency_wave(x: np.ndarray, fs: float, size: int, hop: int) -> np.ndarray:
+    """zero_frequency of the wave over its peak, over its own peak."""
+    z = zero_frequency(x / (1.01 * np.abs(x).max() + TINY), fs)
+    return z / (np.abs(z).max() + TINY)
+
+
+def burg(x: np.ndarray, order: int) -> np.ndarray:
+    """Burg's predictor, 1 first; of a silent or too short row zeros after it."""
+    f, b, a = x[1:].astype(float), x[:-1].astype(float), np.array([1.0])
+    for _ in range(order):
+        power = f @ f + b @ b
+        r = -2 * (f @ b) / power if power > 0 else 0.0
+        a = np.append(a, 0) + r * np.append(a, 0)[::-1]
+        f, b = (f + r * b)[1:], (b + r * f)[:-1]
+    return a
+
+
+def residual(x: np.ndarray, fs: float, size: int, hop: int) -> np.ndarray:
+    """What a predictor of each Blackman-windowed frame leaves of its first hop samples; zero for silent frames and after the last.
+
+    The order is fs / 1000 + 4. The first frames, which have no samples of that many before them, see zeros there; the first
+    ``order`` samples are faded in.
+    """
+    order = int(fs / 1000) + 4
+    out = np.zeros(len(x))
+    for k, fr in enumerate(frames(x, size, hop)):
+        at = k * hop
+        if np.abs(fr).sum() < 1e-5:
+            continue
+        before = x[at - order : at] if at > order else np.zeros(order)
+        a = burg(fr * np.blackman(size), order)
+        left = np.convolve(np.concatenate([before, fr]), a)[order : order + min(hop, size)]
+        out[at : at + len(left)] = left
+    fade = np.hamming(2 * order)[:order][: len(out)]
+    out[: len(fade)] *= fade
     return out
 
 
-def residual_energy(x: np.ndarray, fs: float, size: int, hop: int) -> np.ndarray:
-    """Mean square of each frame's prediction residual, over the frame's own."""
-    fr = frames(x, size, hop)
-    a = linear_prediction(fr, int(fs / 1000) + 4)
-    res = np.array([np.convolve(row, k)[: len(row)] for row, k in zip(fr, a)]).reshape(len(fr), -1)
-    return ((res**2).mean(1) / np.maximum((fr**2).mean(1), 1e-12))[:, None] if len(fr) else np.zeros((0, 1))
-
-
-def autocorrelation_peak(x: np.ndarray, fs: float, size: int, hop: int, least: int = 4) -> np.ndarray:
-    """Height and lag of the highest local maximum of each frame's normalised autocorrelation."""
-    fr = frames(x, size, hop)
-    fr = fr - fr.mean(1, keepdims=True) if len(fr) else fr
-    power = np.abs(np.fft.rfft(fr, 2 * size)) ** 2
-    r = np.fft.irfft(power, 2 * size)[:, :size]
-    r = r / np.maximum(r[:, :1], 1e-12)
-    local = np.zeros_like(r, bool)
-    local[:, 1:-1] = (r[:, 1:-1] >= r[:, :-2]) & (r[:, 1:-1] >= r[:, 2:])
-    local[:, :least] = False
-    seen = np.where(local, r, -np.inf)
-    at = seen.argmax(1) if len(r) else np.zeros(0, int)
-    best = seen[np.arange(len(r)), at]
-    return np.stack([np.where(np.isfinite(best), best, 0.0), np.where(np.isfinite(best), at, 0)], 1)
-
-
-def modulation(x: np.ndarray, fs: float, size: int, hop: int, hz: float = 4.0, bands: int = 18) -> np.ndarray:
-    """Energy of the bands' envelopes near hz, over its peak, for each frame."""
-    env = mel_power(x, fs, size, hop, bands)
-    if not len(env):
-        return np.zeros((0, 1))
-    k = np.arange(len(env))
-    turn = np.exp(-2j * np.pi * hz * hop / fs * k)
-    reach = max(1, int(fs / hop / hz))
-    kernel = np.hamming(2 * reach + 1)
-    e = np.array([np.convolve((band - band.mean()) * turn, kernel)[reach : reach + len(k)] for band in env.T])
-    total = (np.abs(e) ** 2).sum(0)
-    return (total / max(total.max(), 1e-12))[:, None]
+def sharpened(h: np.ndarray, fs: float) -> np.ndarray:
+    """h * h over its mean in [i - p, i + p), p: 2 ms; at the end in [i, end)."""
+    p = int(fs * 2 / 1000)
+    total, i, n = np.concatenate([[0.0], np.cumsum(h)]), np.arange(len(h)), len(h)
+    a = np.where(i >= n - p, i, np.maximum(i - p, 0))
+    b = np.maximum(np.minimum(i + p, n), a + 1)
+    return h * h / ((total[b] - total[a]) / (b - a) + TINY)
+
+
+def residual_envelope(x: np.ndarray, fs: float, size: int, hop: int) -> np.ndarray:
+    """The residual's Hilbert envelope, sharpened, over 1.05 of its peak."""
+    e = sharpened(np.abs(analytic(residual(x, fs, size, hop))), fs)
+    return e / (1.05 * e.max() + TINY)
+
+
+def strengths(z: np.ndarray) -> np.ndarray:
+    """At upward zero crossings of z (the sample before them) the step across, over the largest; 0 elsewhere."""
+    out = np.zeros(len(z))
+    at = np.flatnonzero((z[:-1] <= 0) & (z[1:] > 0))
+    at = at[at > 0]
+    out[at] = np.abs(z[at + 1] - z[at - 1])
+    return out / (out.max() + TINY) if len(out) else out
+
+
+def sidelobe_ratio(x: np.ndarray, fs: float, size: int, hop: int, near: int = 12, lobe: int = 30) -> np.ndarray:
+    """At each sample the ratio of the next epoch's peak in the residual's envelope to the variance round it, over the largest.
+
+    An epoch's peak is sought ``near`` samples to both sides; epochs whose lobes reach over an end have ratio 0. After the last peak
+    its ratio stays. Without epochs there are zeros.
+    """
+    e = residual_envelope(x, fs, size, hop)
+    s = strengths(zero_frequency_wave(x, fs, size, hop))
+    epochs = np.flatnonzero(s / (1.05 * s.max() + TINY) > 0.01) if len(s) else np.zeros(0, int)
+    place, ratio = [], []
+    for at in epochs:
+        v = e[max(at - near, 0) : at + near]
+        found = peaks(v)
+        peak = int(found[v[found].argmax()]) if len(found) else 0
+        centre = max(int(at - near - 1 + peak), 0)
+        a, b = centre - 1 - lobe, centre + 1 + lobe
+        spread = e[a:b].var() if 0 < a and b <= len(e) else None
+        place.append(centre)
+        ratio.append(0.0 if spread is None else v[peak] if spread == 0 else v[peak] / (spread + TINY))
+    if not place:
+        return np.zeros(len(x))
+    place, ratio = np.maximum.accumulate(place), np.array(ratio) / (max(ratio) + TINY)
+    return ratio[np.minimum(np.searchsorted(place, np.arange(len(x))), len(place) - 1)]
+
+
+def low_pass(taps: int, cutoff: float) -> np.ndarray:
+    """Windowed sinc of ``taps`` taps, cutoff as a part of half the rate, of gain 1 at 0."""
+    k = np.arange(taps) - (taps - 1) / 2
+    b = cutoff * np.sinc(cutoff * k) * np.hamming(taps)
+    return b / b.sum()
+
+
+def band_filter(low: float, high: float, fs: float, taps: int = 1000) -> np.ndarray:
+    """Frequency-sampled filter whose gain rises from ``low`` to 1 at ``high`` and falls to 0 one hundredth above."""
+    half = fs / 2 + TINY
+    f = np.array([0, low / half, high / half, 1.01 * high / half, 1])
+    if f[3] > 1:
+        f[2:4] = 0.99, 0.999
+    grid = np.linspace(0, 1, 1 + (1 << (taps - 1).bit_length()))
+    gain = np.interp(grid, f, [0, 0, 1, 0, 0])
+    wave = np.fft.irfft(gain * np.exp(-0.5j * np.pi * (taps - 1) * grid))[:taps]
+    return wave * np.hamming(taps)
+
+
+def filtered(x: np.ndarray, b: np.ndarray, skip: int, until: int) -> np.ndarray:
+    """Samples skip .. len - until of the full convolution, by FFT."""
+    n = len(x) + len(b) - 1
+    y = np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(b, n), n)
+    return y[skip : n - until]
+
+
+def modulation_spectrum(x: np.ndarray, fs: float, window: int, step: int, bands: int = 18, cutoff: float = 28.0, order: int = 1000, every: int = 100) -> np.ndarray:
+    """4 Hz power of the bands' envelopes in windows of the decimated envelope, summed, over the largest.
+
+    Bands are even in mel (2595 log10) up to fs / 2, each from a fifth below its lower edge, the first from 0.1 Hz. Windows start at
+    1, 1 + step, ... of the decimated envelope, the last one at its end; too few values give no windows.
+    """
+    edge = 700 * (10 ** (np.linspace(0, np.log10(1 + fs / 2 / 700), bands + 1)) - 1)
+    smooth, thin = low_pass(200, cutoff / (fs / 2)), low_pass(20 * every + 1, 1 / every)
+    total = None
+    for k in range(bands):
+        y = filtered(x, band_filter(0.8 * edge[k] if k else 0.1, edge[k + 1], fs, order), order // 2, order // 2)
+        y = filtered(np.maximum(y, 0), smooth, 100, 100)
+        y = filtered(y, thin, 10 * every, 10 * every)[::every]
+        y = y / (y.mean() + TINY)
+        many = (len(y) - window + step) // step
+        if many < 1:
+            return np.zeros(0)
+        first = np.minimum(1 + step * np.arange(many), len(y) - window)
+        s = np.fft.fft(y[first[:, None] + np.arange(window)] * np.hamming(window), 80)[:, 5]
+        total = np.abs(s) ** 2 + (0 if total is None else total)
+    return total / (total.max() + TINY)
+
+
+def modulation_wave(x: np.ndarray, fs: float, size: int, hop: int, every: int = 100) -> np.ndarray:
+    """modulation_spectrum (window and step: size and hop in ms) by sample: values repeated, its least value before and after.
+
+    Waves too short for it give zeros.
+    """
+    window, step = max(1, round(1000 * size / fs)), max(1, round(1000 * hop / fs))
+    m = modulation_spectrum(x, fs, window, step, every=every) if len(x) > 2 * every else np.zeros(0)
+    if not len(m):
+        return np.zeros(len(x))
+    y = np.repeat(m, every * step)
+    left = max(len(x) - len(y), 0) // 2
+    return np.pad(y, (left, max(len(x) - len(y) - left, 0)), constant_values=m.min())[: len(x)]
 
 
 def bursts_suppressed(m: np.ndarray, window: int = 20, part: float = 0.3) -> np.ndarray:

@@ -462,6 +462,77 @@ def patch_summaries(spark, sf):
     return rounded(each.select("file", "patch", F.col("k.d").cast("long").alias("d"), "k.mean", "k.var"), "mean", "var")
 
 
+#: Frames of 32 samples, 16 apart, at a rate of 1000, and their spectra under a Hann window.
+FS, FRAME, STEP = 1000, 32, 16
+WITH |= {
+    "fq": "fq as (select s.file, f.frame, i - frame * 16 as j, x from s join (select distinct file, n, unnest(range(0, (n - 32) // 16 + 1)) as frame from s where n >= 32) f on s.file = f.file and s.i >= f.frame * 16 and s.i < f.frame * 16 + 32)",
+    "sp": "sp as (select file, frame, k, sqrt(power(sum(x * h * cos(pi() * k * j / 16)), 2) + power(sum(x * h * sin(pi() * k * j / 16)), 2)) as s from (select *, 0.5 - 0.5 * cos(pi() * j / 16) as h from fq), (select unnest(range(0, 17)) as k) group by all)",
+    "me": "me as (select file, frame, b, sum(s * s * greatest(0, least(k * 1.375 - b, b + 2 - k * 1.375)) * 22 / 500.0) as p from sp, (select unnest(range(0, 21)) as b) group by all)",
+    "cf": "lg as (select file, frame, b, 10 * log10(greatest(p, 1e-10)) as g from me), cf as (select file, frame, c, sum(g * cos(pi() / 21 * (b + 0.5) * c)) * case when c = 0 then sqrt(1 / 21.0) else sqrt(2 / 21.0) end as v from (select file, frame, b, greatest(g, max(g) over (partition by file) - 80) as g from lg), (select unnest(range(0, 13)) as c) group by file, frame, c)",
+    "zf": "y0 as (select file, i, n, coalesce(lead(x) over w - x, x - lag(x) over w, 0) / (1.01 * max(abs(x)) over (partition by file) + 1e-10) as z from s window w as (partition by file order by i)), z0 as (select file, i, n, z / (max(abs(z)) over (partition by file) + 1e-10) as z from y0)"
+    + "".join(f", z{k + 1} as (select file, i, n, sum(z) over (partition by file order by i) as z from z{k})" for k in range(4))
+    + "".join(f", z{k + 1} as (select file, i, n, z - avg(z) over (partition by file order by i rows between 8 preceding and 7 following) as z from z{k})" for k in range(4, 8))
+    + ", z9 as (select file, i, n, case when i < 32 or i >= n - 32 then 0 else z end as z from z8), zf as (select file, i, n, z / (max(abs(z)) over (partition by file) + 1e-10) as z from z9)",
+}
+
+_SLOPE = "(select a.file, a.frame, a.c, case when a.h = 0 then any_value(a.v) else sum((b.frame - a.m) * b.v) / any_value(a.h * (a.h + 1) * (2 * a.h + 1) / 3.0) end as v from (select *, greatest(h, least(n - 1 - h, frame)) as m from (select *, least(4, (n - 1) // 2) as h from (select *, count(*) over (partition by file, c) as n from {0}))) a join {0} b on a.file = b.file and a.c = b.c and abs(b.frame - a.m) <= a.h group by a.file, a.frame, a.c, a.h)"
+
+
+def _frames(spark, sf):
+    return signal.frames_of(signals(spark, sf), FRAME, STEP)
+
+
+def _long(rows: DataFrame, places: int = 6) -> DataFrame:
+    """(file, frame, d, v): a row for each value."""
+    return rows.select("file", "frame", F.posexplode("v").alias("d", "v")).select("file", "frame", F.col("d").cast("long").alias("d"), F.round("v", places).alias("v"))
+
+
+@query("spectral_shape", "s fq sp", ", c as (select *, sum(s) over (partition by file, frame) as t, sum(s) over (partition by file, frame order by k) as c from sp) select file, frame, round(sum(s * k * 31.25) / any_value(t), 6) as centroid, 31.25 * count(*) filter (where c < 0.8 * t) as rolloff from c group by all")
+def spectral_shape(spark, sf):
+    rows = signal.by_frame(_frames(spark, sf), [("spectral_shape", "samples")], FS)
+    return rounded(rows.select("file", "frame", F.element_at("v", 1).alias("centroid"), F.element_at("v", 2).alias("rolloff")), "centroid", "rolloff")
+
+
+@query("spectral_flux", "s fq", ", k as (select file, frame, k, sqrt(power(sum(x * cos(pi() * k * j / 32)), 2) + power(sum(x * sin(pi() * k * j / 32)), 2)) as s from fq, (select unnest(range(0, 32)) as k) group by all), u as (select file, frame, k, s / (max(s) over (partition by file, frame) + 1e-10) as s from k) select file, frame, round(sum(coalesce(power(s - p, 2), 0)), 6) as flux from (select *, lag(s) over (partition by file, k order by frame) as p from u) group by all")
+def spectral_flux(spark, sf):
+    return rounded(signal.spectral_flux(_frames(spark, sf), FS), "flux")
+
+
+@query("melspectrogram", "s fq sp me", "select file, frame, b::bigint as d, round(p, 3) as v from me")
+def melspectrogram(spark, sf):
+    return _long(signal.by_frame(_frames(spark, sf), [("melspectrogram", "samples")], FS), 3)
+
+
+@query("mfcc", "s fq sp me cf", ", d1 as " + _SLOPE.format("cf") + ", d2 as " + _SLOPE.format("d1") + " select file, frame, (c + k * 13)::bigint as d, round(v, 6) as v from (select *, 0 as k from cf union all select *, 1 from d1 union all select *, 2 from d2)")
+def mfcc(spark, sf):
+    return _long(signal.with_slopes(signal.mfcc(_frames(spark, sf), FS)))
+
+
+@query("autocorrelation_peak", "s fq", ", r as (select a.file, a.frame, b.j - a.j as lag, sum(a.x * b.x) as r from fq a join fq b on a.file = b.file and a.frame = b.frame and b.j >= a.j group by all), q as (select *, r / (max(r) filter (where lag = 0) over (partition by file, frame) + 1e-10) as v from r), l as (select *, lag(v) over w as p, lead(v) over w as f from q where lag >= 16 window w as (partition by file, frame order by lag)), m as (select file, frame, max(v) filter (where v > p and v > f) as v, arg_max(lag, v) filter (where v > p and v > f) as pk, any_value(v) filter (where lag = 16) as v0 from l group by all) select file, frame, round(coalesce(v, v0), 6) as height, round(coalesce(pk, 16) / 1000.0, 6) as period, round(1000.0 / coalesce(pk, 16), 6) as pitch from m")
+def autocorrelation_peak(spark, sf):
+    rows = signal.by_frame(_frames(spark, sf), [("autocorrelation_peak", "samples")], FS)
+    return rounded(rows.select("file", "frame", *(F.element_at("v", k + 1).alias(c) for k, c in enumerate(("height", "period", "pitch")))), "height", "period", "pitch")
+
+
+@query("zero_frequency_epochs", "s zf", ", c as (select *, lead(z) over w as a, lag(z) over w as b from zf window w as (partition by file order by i)), e as (select file, i, abs(a - b) as s from c where z <= 0 and a > 0 and b is not null), g as (select *, s / (max(s) over (partition by file) + 1e-10) as strength, 1000.0 / (lead(i) over (partition by file order by i) - i) as f from e) select file, i, round(strength, 6) as strength, round(coalesce(f, lag(f) over (partition by file order by i)), 6) as f0, strength > 0.7 * avg(strength) over (partition by file) as voiced from g")
+def zero_frequency_epochs(spark, sf):
+    series = signal.with_series(signal.waves_of(signals(spark, sf)), ["zero_frequency"], FS, FRAME, STEP)
+    rows = series.select("file", F.posexplode("zero_frequency").alias("i", "z")).select("file", F.col("i").cast("long").alias("i"), "z")
+    return rounded(signal.epochs(rows, FS), "strength", "f0")
+
+
+_EPOCHS = ", c as (select *, lead(z) over w as a, lag(z) over w as b from zf window w as (partition by file order by i)), e as (select file, i, abs(a - b) as s from c where z <= 0 and a > 0 and b is not null), g as (select file, i, s / (max(s) over (partition by file) + 1e-10) as strength from e)"
+
+
+@query("epochs", "s fq zf", _EPOCHS + " select fq.file, frame, count(strength) as n, round(coalesce(avg(strength), 0), 6) as strength from fq left join g on fq.file = g.file and g.i = fq.frame * 16 + fq.j group by all")
+def epochs(spark, sf):
+    seq = signals(spark, sf)
+    series = signal.with_series(signal.waves_of(seq), ["zero_frequency"], FS, FRAME, STEP)
+    found = signal.epochs(series.select("file", F.posexplode("zero_frequency").alias("i", "z")), FS).select("file", F.col("i").cast("long").alias("i"), "strength")
+    rows = sequence.framed(seq.join(found, ["file", "i"], "left"), FRAME, STEP).groupBy("file", "frame")
+    return rounded(rows.agg(F.count("strength").alias("n"), F.coalesce(F.avg("strength"), F.lit(0.0)).alias("strength")), "strength")
+
+
 # What SQL can't say has no SQL here; tests/ check what of it they name.
 
 
@@ -481,14 +552,6 @@ def pca95(spark, sf):
     return stats.projected(vectors(spark, sf), "embedding", mean, axes).select("vec_id", "z")
 
 
-def _waves(spark, sf):
-    return signals(spark, sf).groupBy("file").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("samples"))
-
-
-for _name in signal.FAMILIES:
-    QUERIES[_name] = lambda spark, sf, name=_name: signal.features(_waves(spark, sf), name, fs=1000, size=32, hop=16)
-
-
 @query("hmm_viterbi")
 def hmm_viterbi(spark, sf):
     seq = signals(spark, sf)
@@ -505,3 +568,70 @@ def svm_rff_grid(spark, sf):
 @query("mlp")
 def mlp(spark, sf):
     return models.mlp_predict(vectors(spark, sf), "label", "embedding", "vec_id", [32])
+
+
+@query("chroma")
+def chroma(spark, sf):
+    return _long(signal.by_frame(_frames(spark, sf), [("chroma", "samples"), ("chroma_change", "samples")], FS))
+
+
+@query("hngdmfcc")
+def hngdmfcc(spark, sf):
+    return _long(signal.with_slopes(signal.by_frame(_frames(spark, sf), [("hngdmfcc", "samples")], FS)))
+
+
+@query("mgdcc")
+def mgdcc(spark, sf):
+    return _long(signal.with_slopes(signal.by_block(_frames(spark, sf), "mgdcc", FS, STEP)))
+
+
+@query("ifcc")
+def ifcc(spark, sf):
+    return _long(signal.with_slopes(signal.by_block(_frames(spark, sf), "ifcc", FS, STEP)))
+
+
+@query("mgdcc_sweep")
+def mgdcc_sweep(spark, sf):
+    steps = [k / 10 for k in range(1, 11)]
+    return signal.swept(_frames(spark, sf), steps, steps).groupBy("rho", "gamma").agg(F.count("*").alias("frames"), F.round(F.avg(F.element_at("v", 1)), 6).alias("first"))
+
+
+@query("wave_series")
+def wave_series(spark, sf):
+    kinds = list(signal.WAVES)
+    rows = signal.with_series(signal.waves_of(signals(spark, sf)), kinds, FS, FRAME, STEP)
+    return rounded(rows.select("file", F.posexplode(F.arrays_zip(*kinds)).alias("i", "k")).select("file", F.col("i").cast("long").alias("i"), "k.*"), *kinds)
+
+
+@query("source_features")
+def source_features(spark, sf):
+    return _long(signal.source_features(signal.waves_of(signals(spark, sf)), FS, FRAME, STEP))
+
+
+@query("texture_features")
+def texture_features(spark, sf):
+    seq = signals(spark, sf)
+    return _long(signal.texture_features(signal.waves_of(seq), silence.audible_frames(seq, FRAME, STEP, 0.9), FS, FRAME, STEP))
+
+
+@query("phase_features")
+def phase_features(spark, sf):
+    rows = signal.phase_features(_frames(spark, sf), FS, STEP)
+    return _long(rows.select("file", "frame", F.concat("hngd", "mgd", "ifc").alias("v")))
+
+
+def _series_frames(spark, sf, family):
+    series = signal.with_series(signal.waves_of(signals(spark, sf)), [family], FS, FRAME, STEP)
+    return signal.frames_of_waves(series, FRAME, STEP, ("samples", family))
+
+
+@query("modulation_4hz")
+def modulation_4hz(spark, sf):
+    return _long(signal.by_frame(_series_frames(spark, sf, "modulation_4hz"), [("mean", "modulation_4hz")], FS))
+
+
+@query("residual_energy")
+def residual_energy(spark, sf):
+    """A frame's energy left by the predictor, over the frame's own."""
+    rows = signal.by_frame(_series_frames(spark, sf, "residual"), [("energy", "residual"), ("energy", "samples")], FS)
+    return rounded(rows.select("file", "frame", F.coalesce(F.try_divide(F.element_at("v", 1), F.element_at("v", 2)), F.lit(0.0)).alias("share")), "share")

@@ -65,7 +65,6 @@ def test_short_sequences(spark):
     assert sequence.frame_mean_var(seq, 17, 8).count() == 0
     tiled = spark.createDataFrame([([1.0, 2.0, 3.0],)], "v array<double>").select(sequence.tiled("v", 7).alias("v")).first().v
     assert len(tiled) == 9
-    assert (kernels.slopes(np.ones((2, 3))) == 1).all()
 
 
 @settings(max_examples=30, deadline=None)
@@ -82,11 +81,12 @@ def test_kernels_on_a_tone():
     assert abs(np.abs(kernels.magnitudes(fr)).argmax(1).mean() * fs / 400 - 440) < 41
     eye = kernels.dct(np.eye(16), 16)
     assert np.allclose(eye @ eye.T, np.eye(16))
-    assert np.allclose(kernels.slopes(np.arange(20.0)[:, None])[:, 0], 1)
-    for name, kernel in signal.FAMILIES.items():
-        v = kernel(x[:4000], fs, 400, 160)
-        assert len(v) == len(kernels.frames(x[:4000], 400, 160)) and np.isfinite(v).all(), name
-    assert kernels.mfcc(x, fs, 400, 160).shape[1] == kernels.mgdcc(x, fs, 400, 160).shape[1] == 39
+    for kernel in signal.FRAMES.values():
+        v = kernel(fr, fs)
+        assert len(v) == len(fr) and np.isfinite(v).all() and np.isfinite(kernel(fr * 0, fs)).all()
+    for kernel in signal.BLOCKS.values():
+        assert kernel(fr[:30], fs, 160).shape == (30, 13)
+    assert abs(kernels.autocorrelation_peak(fr, fs)[:, 2].mean() - 440) < 5
 
 
 def test_snr_of_mixture():
