@@ -38,26 +38,28 @@ def accuracy(rows: DataFrame) -> DataFrame:
     return rows.agg(F.avg((F.col("y") == F.col("p")).cast("double")).alias("accuracy"))
 
 
-def segment_stats(rows: DataFrame) -> DataFrame:
-    """Precision, recall and F1 of class 1 and of class 0; null on 0 / 0."""
+def segment_stats(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Precision, recall and F1 of class 1 and of class 0, by keys such as a noise level; null on 0 / 0."""
+    keys = keys or []
     n = lambda y, p: F.count_if((F.col("y") == y) & (F.col("p") == p))
-    counts = rows.agg(n(1, 1).alias("tp"), n(0, 1).alias("fp"), n(1, 0).alias("fn"), n(0, 0).alias("tn"))
+    counts = rows.groupBy(*keys).agg(n(1, 1).alias("tp"), n(0, 1).alias("fp"), n(1, 0).alias("fn"), n(0, 0).alias("tn"))
     kinds = F.array(F.struct(F.lit(1).alias("cls"), "tp", "fp", "fn"), F.struct(F.lit(0).alias("cls"), F.col("tn").alias("tp"), F.col("fn").alias("fp"), F.col("fp").alias("fn")))
-    each = counts.select(F.explode(kinds).alias("k")).select("k.*")
+    each = counts.select(*keys, F.explode(kinds).alias("k")).select(*keys, "k.*")
     ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(a) + F.col(b))
     scored = each.withColumns({"precision": ratio("tp", "fp"), "recall": ratio("tp", "fn")})
     return scored.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def matched_by_reference(ref: DataFrame, est: DataFrame, tolerance: int) -> DataFrame:
+def matched_by_reference(ref: DataFrame, est: DataFrame, tolerance: int | Column) -> DataFrame:
     """(file, n_ref, n_est, tp, fn, fp): a reference event counts if an estimate lies within tolerance; fp can be negative.
 
-    Events meet in buckets of tolerance + 1 places, never pair by pair.
+    Events meet in buckets of tolerance + 1 places, never pair by pair. A column as tolerance must be the same on both sides of a file.
     """
-    width = tolerance + 1
-    near = est.select("file", F.col("i").alias("e"), F.explode(F.array(*(F.floor(F.col("i") / width) + d for d in (-1, 0, 1)))).alias("b"))
-    bucketed = ref.select("file", F.col("i").alias("r"), F.floor(F.col("i") / width).alias("b"))
-    hit = bucketed.join(near, ["file", "b"]).where(F.abs(F.col("r") - F.col("e")) <= tolerance).select("file", "r").distinct().groupBy("file").agg(F.count("*").alias("tp"))
+    reach = F.lit(tolerance) if isinstance(tolerance, int) else tolerance
+    place = F.floor(F.col("i") / (reach + 1))
+    near = est.select("file", F.col("i").alias("e"), F.explode(F.array(*(place + d for d in (-1, 0, 1)))).alias("b"))
+    bucketed = ref.select("file", F.col("i").alias("r"), reach.alias("t"), place.alias("b"))
+    hit = bucketed.join(near, ["file", "b"]).where(F.abs(F.col("r") - F.col("e")) <= F.col("t")).select("file", "r").distinct().groupBy("file").agg(F.count("*").alias("tp"))
     a, b = ref.groupBy("file").agg(F.count("*").alias("n_ref")), est.groupBy("file").agg(F.count("*").alias("n_est"))
     return _rates(a.join(b, "file", "full").join(hit, "file", "left"))
 

@@ -7,12 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .signal import waves_of
 from .split import unpivoted
 
 
@@ -72,20 +75,40 @@ def mlp_predict(rows: DataFrame, label: str, column: str, key: str, hidden: list
     return model.transform(data).select(key, F.col(label).alias("label"), F.col("prediction").cast("int").alias("p"))
 
 
-def hmm_fit(seq: DataFrame, states: int = 2, rounds: int = 5) -> dict:
-    """Emissions by labelled samples (file, i, x, label); start and transitions by Baum-Welch with these fixed.
+def emissions_fit(seq: DataFrame, states: int = 2, mixtures: int = 1, seed: int = 1) -> dict:
+    """Normal densities of the samples x of each label, as {"weight", "mu", "var"}, lists by state of lists by component.
 
-    Expected counts are taken by file and summed by Spark; a round moves states * (states + 1) numbers to the driver.
+    With several mixtures each label's samples are fitted by expectation maximisation; labels that no sample has get one of mean 0 and
+    variance 1, null samples or labels are left out.
     """
-    rows = {r.label: r for r in seq.groupBy("label").agg(F.avg("x").alias("mu"), F.var_pop("x").alias("var")).collect()}
-    model = {
-        "mu": [rows[k].mu if k in rows else 0.0 for k in range(states)],
-        "var": [max(rows[k].var, 1e-6) if k in rows else 1.0 for k in range(states)],
+    known = seq.where("label is not null and x is not null").select("label", F.col("x").cast("double").alias("x"))
+    model = {"weight": [[1.0]] * states, "mu": [[0.0]] * states, "var": [[1.0]] * states}
+    found = {r.label: r for r in known.groupBy("label").agg(F.avg("x").alias("mu"), F.var_pop("x").alias("var"), F.count_distinct("x").alias("n")).collect()}
+    for k in set(found) & set(range(states)):
+        row = found[k]
+        if mixtures == 1 or row.n <= mixtures:
+            model["mu"][k], model["var"][k] = [row.mu], [max(row.var, 1e-6)]
+            continue
+        fitted = GaussianMixture(k=mixtures, seed=seed).fit(known.where(F.col("label") == k).select(array_to_vector(F.array("x")).alias("features")))
+        model["weight"][k] = [float(w) for w in fitted.weights]
+        model["mu"][k] = [float(g.mean[0]) for g in fitted.gaussians]
+        model["var"][k] = [max(float(g.cov.toArray()[0, 0]), 1e-6) for g in fitted.gaussians]
+    return model
+
+
+def hmm_fit(seq: DataFrame, states: int = 2, rounds: int = 5, mixtures: int = 1) -> dict:
+    """Emissions by labelled samples (file, i, x, n, label); start and transitions by Baum-Welch with these fixed.
+
+    Labels may be a classifier's own (``metrics.argmax_label`` of its scores) where there's no truth. Files are made arrays once and kept;
+    expected counts are taken by Arrow batch of files and summed by Spark; a round moves states * (states + 1) numbers to the driver.
+    """
+    model = emissions_fit(seq, states, mixtures) | {
         "start": [1 / states] * states,
-        "move": [[0.9 if a == b else 0.1 / (states - 1) for b in range(states)] for a in range(states)],
+        "move": [[0.9 if a == b else 0.1 / max(states - 1, 1) for b in range(states)] for a in range(states)],
     }
+    waves = waves_of(seq).persist(StorageLevel.MEMORY_AND_DISK)
     for _ in range(rounds):
-        counts = seq.groupBy("file").applyInPandas(_expected(dict(model), states), "a int, b int, n double").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+        counts = waves.mapInPandas(_expected(dict(model), states), "a int, b int, n double").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
         start, move = np.zeros(states), np.full((states, states), 1e-9)
         for r in counts:
             if r.b < 0:
@@ -94,68 +117,88 @@ def hmm_fit(seq: DataFrame, states: int = 2, rounds: int = 5) -> dict:
                 move[r.a, r.b] += r.n
         model["start"] = (start / max(start.sum(), 1e-12)).tolist()
         model["move"] = (move / move.sum(1, keepdims=True)).tolist()
+    waves.unpersist()
     return model
 
 
 def _expected(model: dict, states: int):
-    """Expected counts of a file: starts as (state, -1), moves as (state, state)."""
+    """Expected counts of batches of files: starts as (state, -1), moves as (state, state)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gamma, xi = _posteriors(pdf.sort_values("i")["x"].to_numpy(float), model)
-        return pd.DataFrame({"a": [*range(states), *np.repeat(range(states), states)], "b": [-1] * states + list(range(states)) * states, "n": [*gamma[0], *xi.ravel()]})
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            start, move = expected_counts(list(pdf["samples"]), model)
+            yield pd.DataFrame({"a": [*range(states), *np.repeat(range(states), states)], "b": [-1] * states + list(range(states)) * states, "n": [*start, *move.ravel()]})
 
     return run
 
 
-def _emissions(x: np.ndarray, model: dict) -> np.ndarray:
-    mu, var = np.array(model["mu"]), np.array(model["var"])
-    return -0.5 * np.log(2 * np.pi * var) - (x[:, None] - mu) ** 2 / (2 * var)
-
-
-def _posteriors(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """State odds of each place, and expected moves."""
-    e = _emissions(x, model)
-    e = np.exp(e - e.max(1, keepdims=True))
+def _padded(waves: list[np.ndarray], model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihoods (file, place, state) of files, longest first; the number of files that have each place; the files' order."""
+    sizes = np.array([len(w) for w in waves], int)
+    order = np.argsort(-sizes, kind="stable")
+    x = np.zeros((len(waves), sizes.max(initial=0)))
+    for row, k in enumerate(order):
+        x[row, : sizes[k]] = waves[k]
+    logs = []
+    for weight, mu, var in zip(model["weight"], model["mu"], model["var"]):
+        parts = np.stack([np.log(max(w, 1e-300)) - 0.5 * np.log(2 * np.pi * v) - (x - m) ** 2 / (2 * v) for w, m, v in zip(weight, mu, var)])
+        top = parts.max(0)
+        logs.append(top + np.log(np.exp(parts - top).sum(0)))
+    return np.stack(logs, 2), (sizes[:, None] > np.arange(x.shape[1])).sum(0), order
+
+
+def expected_counts(waves: list[np.ndarray], model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Expected first states and moves, summed over files, whose recursions run side by side."""
+    e, many, _ = _padded(waves, model)
+    e = np.exp(e - e.max(2, keepdims=True))
     start, move = np.array(model["start"]), np.array(model["move"])
-    t, k = e.shape
-    ahead, back, scale = np.zeros((t, k)), np.ones((t, k)), np.zeros(t)
-    for i in range(t):
-        ahead[i] = (start if i == 0 else ahead[i - 1] @ move) * e[i]
-        scale[i] = max(ahead[i].sum(), 1e-300)
-        ahead[i] /= scale[i]
-    for i in range(t - 2, -1, -1):
-        back[i] = move @ (e[i + 1] * back[i + 1]) / scale[i + 1]
-    gamma = ahead * back
-    xi = np.zeros((k, k))
-    for i in range(t - 1):
-        xi += ahead[i][:, None] * move * (e[i + 1] * back[i + 1])[None] / scale[i + 1]
-    return gamma, xi
-
-
-def viterbi(x: np.ndarray, model: dict) -> np.ndarray:
-    e = _emissions(x, model)
+    ahead, back, scale = np.zeros(e.shape), np.ones(e.shape), np.ones(e.shape[:2])
+    for t, b in enumerate(many):
+        ahead[:b, t] = (start if t == 0 else ahead[:b, t - 1] @ move) * e[:b, t]
+        scale[:b, t] = np.maximum(ahead[:b, t].sum(1), 1e-300)
+        ahead[:b, t] /= scale[:b, t, None]
+    moves = np.zeros(move.shape)
+    for t in range(e.shape[1] - 2, -1, -1):
+        b = many[t + 1]
+        after = e[:b, t + 1] * back[:b, t + 1] / scale[:b, t + 1, None]
+        back[:b, t] = after @ move.T
+        moves += ahead[:b, t].T @ after * move
+    first = (ahead[: many[0], 0] * back[: many[0], 0]).sum(0) if len(many) else np.zeros(len(start))
+    return first, moves
+
+
+def viterbi(waves: list[np.ndarray], model: dict) -> list[np.ndarray]:
+    """The best path of each file, the smaller state among equals."""
+    e, many, order = _padded(waves, model)
     move = np.log(np.maximum(model["move"], 1e-300))
-    best, came = np.log(np.maximum(model["start"], 1e-300)) + e[0], np.zeros(e.shape, int)
-    for i in range(1, len(e)):
-        options = best[:, None] + move
-        came[i] = options.argmax(0)
-        best = options.max(0) + e[i]
-    path = np.zeros(len(e), int)
-    path[-1] = best.argmax()
-    for i in range(len(e) - 1, 0, -1):
-        path[i - 1] = came[i][path[i]]
-    return path
+    best, came = np.log(np.maximum(model["start"], 1e-300)) + e[:, 0] if len(many) else None, np.zeros(e.shape, int)
+    for t in range(1, len(many)):
+        b = many[t]
+        options = best[:b, :, None] + move
+        came[:b, t] = options.argmax(1)
+        best[:b] = options.max(1) + e[:b, t]
+    out = [np.zeros(0, int)] * len(waves)
+    for row, k in enumerate(order):
+        path = np.zeros(len(waves[k]), int)
+        if len(path):
+            path[-1] = best[row].argmax()
+            for t in range(len(path) - 1, 0, -1):
+                path[t - 1] = came[row, t, path[t]]
+        out[k] = path
+    return out
 
 
 def hmm_decode(seq: DataFrame, model: dict) -> DataFrame:
-    """(file, i, state): the best path of each file."""
+    """(file, i, state): the best path of each file of rows (file, i, x, n). Null samples count as 0."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        return pd.DataFrame({"file": pdf["file"], "i": pdf["i"], "state": viterbi(pdf["x"].to_numpy(float), model)})
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            paths = viterbi(list(pdf["samples"]), model)
+            sizes = [len(p) for p in paths]
+            yield pd.DataFrame({"file": pdf["file"].repeat(sizes).to_numpy(), "i": np.concatenate([np.arange(n) for n in sizes] or [np.zeros(0, int)]), "state": np.concatenate(paths or [np.zeros(0, int)])})
 
     kind = seq.schema["file"].dataType.simpleString()
-    return seq.select("file", "i", "x").groupBy("file").applyInPandas(run, f"file {kind}, i long, state int")
+    return waves_of(seq).mapInPandas(run, f"file {kind}, i long, state int")
 
 
 def scored(rows: DataFrame, score, key: str, column: str) -> DataFrame:

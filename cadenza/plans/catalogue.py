@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import arrays
-from cadenza.operators import fusion, metrics, models, patches, sequence, signal, silence, split, stats
+from cadenza.operators import fusion, metrics, models, patches, report, sequence, signal, silence, split, stats
 
 SIZE, HOP = 17, 8
 
@@ -533,6 +533,41 @@ def epochs(spark, sf):
     return rounded(rows.agg(F.count("strength").alias("n"), F.coalesce(F.avg("strength"), F.lit(0.0)).alias("strength")), "strength")
 
 
+_REPORT = """, rf as (select file, i, n, case when x > 90 then -1 when x > 50 then 1 else 0 end as s, case when x > 90 then -1 when x < 40 then 1 else 0 end as m, (x > 45)::int as e from s),
+es as (select *, case when i >= 2 and i < n - 2 then (2 * sum(e) over (partition by file order by i rows between 2 preceding and 1 following) > 4)::int else e end as p from rf),
+lg as (select file, i, n, 'speech' as cls, greatest(s, 0) as y, case when s < 0 then 0 else p end as p from es union all select file, i, n, 'music', greatest(m, 0), case when m < 0 then 0 else 1 - p end from es),
+df as (select file, cls, i, n, y - lag(y) over w as a, p - lag(p) over w as b from lg window w as (partition by file, cls order by i)),
+r as (select t, file, cls, i, ceil(t / (10.0 * n + 15) * n) as w from df, (select unnest([10, 20, 60]) as t) where a > 0), e as (select distinct t, file, cls, i from df, (select unnest([10, 20, 60]) as t) where b > 0),
+g as (select t, cls, count(*) as n, count(*) filter (where exists (select 1 from e where e.t = r.t and e.file = r.file and e.cls = r.cls and abs(e.i - r.i) <= r.w)) as tp from r group by all),
+h as (select t, cls, n, tp, n - tp as fn, (select count(*) from e where e.t = g.t and e.cls = g.cls) - tp as fp from g), p as (select t as tolerance, cls, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn, sum(n) as n from h group by grouping sets ((t, cls), (t)))"""
+
+
+@query("segmentation_report", "s", _REPORT + " select tolerance, cls, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, n::bigint as n, round(tp / (tp + fp + 1e-10), 6) as precision, round(tp / (tp + fn + 1e-10), 6) as recall, round(2 * (tp / (tp + fp + 1e-10)) * (tp / (tp + fn + 1e-10)) / (tp / (tp + fp + 1e-10) + tp / (tp + fn + 1e-10) + 1e-10), 6) as f1, round(fn / (n + 1e-10), 6) as deletion, round(fp / (n + 1e-10), 6) as insertion, round(fn / (n + 1e-10) + fp / (n + 1e-10), 6) as error from p")
+def segmentation_report(spark, sf):
+    seq = signals(spark, sf)
+    x = F.col("x")
+    meant = lambda own: F.when(x > 90, -1).when(own, 1).otherwise(0)
+    ref = seq.select("file", "i", "n", meant(x > 50).alias("speech"), meant(x < 40).alias("music"))
+    est = report.smoothed_labels(seq.select("file", "i", "n", (x > 45).cast("int").alias("m")), 5)
+    return rounded(report.segmentation_report(ref, est, [10, 20, 60]), "precision", "recall", "f1", "deletion", "insertion", "error")
+
+
+@query("noisy_signals", "s", ", k as (select file as noise, row_number() over (order by file) - 1 as k, count(*) over () as c from (select distinct file from s)), z as (select file, noise from (select distinct file from s) join k on k.k = (file + 1) % k.c), j as (select s.file, s.i, s.n, s.x, b.x as z from s join z using (file) join s b on b.file = z.noise and b.i = s.i % b.n), g as (select *, sqrt(avg(x * x) over w / pow(10, db / 10.0) / avg(z * z) over w) as g from j, (select unnest([10, 5, 0]) as db) window w as (partition by file, db)), y as (select file, i, db, x + g * z as y from g), c as (select file, i, db, y - avg(y) over (partition by file, db) as y from y) select file, db::double as snr_db, i, round(y / (max(abs(y)) over (partition by file, db) + 1e-7), 6) as x from c")
+def noisy_signals(spark, sf):
+    waves = signal.waves_of(signals(spark, sf))
+    rows = report.noisy(waves, waves.withColumnRenamed("file", "noise"), [10, 5, 0], F.col("file") + 1)
+    return rounded(rows.select("file", "snr_db", F.posexplode("samples").alias("i", "x")).withColumn("i", F.col("i").cast("long")), "x")
+
+
+@query("fusion_by_noise_level", "sc", ", l as (select vec_id, label, db, feat, [p[1] * (1 + db / 10.0), p[2]] as p from sc, (select unnest([10, 5, 0]) as db)), f as (select vec_id, db, (any_value(label) >= 5)::int as y, case when avg(p[2]) > avg(p[1]) then 1 else 0 end as p from l group by vec_id, db), c as (select db, unnest([1, 0]) as cls, unnest([count(*) filter (where y = 1 and p = 1), count(*) filter (where y = 0 and p = 0)]) as tp, unnest([count(*) filter (where y = 0 and p = 1), count(*) filter (where y = 1 and p = 0)]) as fp, unnest([count(*) filter (where y = 1 and p = 0), count(*) filter (where y = 0 and p = 1)]) as fn from f group by db) select db as snr_db, cls, tp, fp, fn, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) as f1 from c")
+def fusion_by_noise_level(spark, sf):
+    levels = scores(spark, sf).withColumn("snr_db", F.explode(F.array(*map(F.lit, (10, 5, 0)))))
+    louder = levels.withColumn("p", F.array(F.element_at("p", 1) * (1 + F.col("snr_db") / 10), F.element_at("p", 2)))
+    fused = fusion.score_mean(louder, ["vec_id", "snr_db"]).withColumnRenamed("label", "p_").drop("p")
+    truth = vectors(spark, sf).select("vec_id", (F.col("label") >= 5).cast("int").alias("y"))
+    return rounded(metrics.segment_stats(fused.join(truth, "vec_id").withColumnRenamed("p_", "p"), ["snr_db"]), "precision", "recall", "f1")
+
+
 # What SQL can't say has no SQL here; tests/ check what of it they name.
 
 
@@ -635,3 +670,11 @@ def residual_energy(spark, sf):
     """A frame's energy left by the predictor, over the frame's own."""
     rows = signal.by_frame(_series_frames(spark, sf, "residual"), [("energy", "residual"), ("energy", "samples")], FS)
     return rounded(rows.select("file", "frame", F.coalesce(F.try_divide(F.element_at("v", 1), F.element_at("v", 2)), F.lit(0.0)).alias("share")), "share")
+
+
+@query("gmm_hmm")
+def gmm_hmm(spark, sf):
+    """Two normal densities a state, fitted on labels that a classifier gave, then the best paths' scores."""
+    seq = signals(spark, sf).withColumn("label", (F.col("x") > 50).cast("int"))
+    found = models.hmm_decode(seq, models.hmm_fit(seq, mixtures=2)).join(seq, ["file", "i"])
+    return rounded(metrics.segment_stats(found.select(F.col("label").alias("y"), F.col("state").alias("p"))), "precision", "recall", "f1")
