@@ -140,7 +140,8 @@ def _padded(waves: list[np.ndarray], model: dict) -> tuple[np.ndarray, np.ndarra
     for row, k in enumerate(order):
         x[row, : sizes[k]] = waves[k]
     logs = []
-    for weight, mu, var in zip(model["weight"], model["mu"], model["var"]):
+    weights = model.get("weight", [1.0] * len(model["mu"]))
+    for weight, mu, var in zip(*(map(np.atleast_1d, values) for values in (weights, model["mu"], model["var"]))):
         parts = np.stack([np.log(max(w, 1e-300)) - 0.5 * np.log(2 * np.pi * v) - (x - m) ** 2 / (2 * v) for w, m, v in zip(weight, mu, var)])
         top = parts.max(0)
         logs.append(top + np.log(np.exp(parts - top).sum(0)))
@@ -167,7 +168,12 @@ def expected_counts(waves: list[np.ndarray], model: dict) -> tuple[np.ndarray, n
     return first, moves
 
 
-def viterbi(waves: list[np.ndarray], model: dict) -> list[np.ndarray]:
+def viterbi(x: np.ndarray, model: dict) -> np.ndarray:
+    """The best path of one file; states of one density each may be given as plain numbers, without weights."""
+    return best_paths([x], model)[0]
+
+
+def best_paths(waves: list[np.ndarray], model: dict) -> list[np.ndarray]:
     """The best path of each file, the smaller state among equals."""
     e, many, order = _padded(waves, model)
     move = np.log(np.maximum(model["move"], 1e-300))
@@ -193,7 +199,7 @@ def hmm_decode(seq: DataFrame, model: dict) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            paths = viterbi(list(pdf["samples"]), model)
+            paths = best_paths(list(pdf["samples"]), model)
             sizes = [len(p) for p in paths]
             yield pd.DataFrame({"file": pdf["file"].repeat(sizes).to_numpy(), "i": np.concatenate([np.arange(n) for n in sizes] or [np.zeros(0, int)]), "state": np.concatenate(paths or [np.zeros(0, int)])})
 

@@ -32,9 +32,9 @@ def test_recursions_against_all_paths():
                 move[a, b] += w / total
     got = models.expected_counts(waves, MODEL)
     assert np.allclose(got[0], start) and np.allclose(got[1], move)
-    for x, path in zip(waves, models.viterbi(waves, MODEL)):
+    for x, path in zip(waves, models.best_paths(waves, MODEL)):
         assert path.tolist() == list(max(paths(x), key=lambda k: k[1])[0])
-    assert models.viterbi([], MODEL) == [] and not models.expected_counts([], MODEL)[1].any()
+    assert models.best_paths([], MODEL) == [] and not models.expected_counts([], MODEL)[1].any()
 
 
 def test_hmm_finds_states(spark):
