@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["token_files", "piece_codec", "token_counts", "shards", "quality", "warc", "decontaminate", "shingle_join", "pii", "url_filter", "phrases", "divergence"]
+MODULES = ["token_files", "piece_codec", "token_counts", "shards", "quality", "warc", "decontaminate", "shingle_join", "pii", "url_filter", "phrases", "divergence", "vector_join"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
