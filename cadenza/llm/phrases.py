@@ -38,7 +38,7 @@ _KINDS = np.full(256, words.WORD, np.uint8)
 _KINDS[[0x20, 0x09]] = words.GAP
 _KINDS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = words.BREAK
 #: Words of a slice that are looked at together.
-STRETCH = 2_000_000
+STRETCH = 500_000
 
 
 def _source(docs: DataFrame) -> DataFrame:

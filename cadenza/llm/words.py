@@ -16,7 +16,7 @@ from .shingles import _LOWER, _mixed, _power
 
 WORD, GAP, BREAK = 0, 1, 2
 #: Texts are handled in slices of about so many bytes, of one text at least.
-SLICE = 16_000_000
+SLICE = 8_000_000
 
 
 class Words:
@@ -40,7 +40,7 @@ class Words:
         self.code = coded.indices.to_numpy().astype(np.int64)
         self.first = np.searchsorted(starts, offsets)  # how many words stand before each text
         self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        breaks = np.cumsum(kind == BREAK)[starts] if len(starts) else np.zeros(0, np.int64)
+        breaks = np.searchsorted(np.flatnonzero(kind == BREAK), starts)
         #: whether a word and the next one are in one piece of one text
         self.joined = (breaks[1:] == breaks[:-1]) & (self.text[1:] == self.text[:-1])
 
