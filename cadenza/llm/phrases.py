@@ -27,7 +27,7 @@ from .shingles import _PLACE, _mixed
 #: Words of the longest phrases.
 LONGEST = 4
 #: Bytes of text for each counter of a row of the sketch, and the fewest and most counters of a row (at one byte, DEPTH rows).
-BYTES, LEAST, MOST, DEPTH = 64, 1 << 16, 1 << 25, 2
+BYTES, LEAST, MOST, DEPTH = 128, 1 << 16, 1 << 25, 2
 #: Blocks of a row in which sketches are merged.
 BLOCKS = 32
 #: Parts of the split scans that one task adds to one sketch, unless there are fewer parts than cores.

@@ -16,7 +16,7 @@ from .shingles import _LOWER, _mixed, _power
 
 WORD, GAP, BREAK = 0, 1, 2
 #: Texts are handled in slices of about so many bytes, of one text at least.
-SLICE = 8_000_000
+SLICE = 4_000_000
 
 
 class Words:
