@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,13 +48,40 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """For each name one like it that none of the columns has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Schemes by which Hadoop knows stores that Arrow has under another one.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The store behind a URI and the path in it; a bare path is a local one."""
-    if not urlparse(uri).scheme:
+    """The store behind a URI and the path in it; a bare path is a local one.
+
+    Arrow opens file, hdfs, viewfs, s3 (s3a and s3n are the same), gs and abfs[s], with the store's usual credentials;
+    other schemes go through libhdfs, where that's installed, and else raise a ValueError.
+    """
+    scheme = urlparse(uri).scheme
+    if not scheme:
         return pafs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
+    if scheme == "file":
         return pafs.LocalFileSystem(), urlparse(uri).path
-    return pafs.FileSystem.from_uri(uri)
+    try:
+        return pafs.FileSystem.from_uri(ARROW_SCHEMES.get(scheme, scheme) + uri[len(scheme) :])
+    except pa.ArrowInvalid:
+        try:
+            return pafs.HadoopFileSystem.from_uri(uri), urlparse(uri).path
+        except (OSError, pa.ArrowInvalid, ValueError) as e:
+            raise ValueError(f"{scheme}: is no store that Arrow or libhdfs opens here; set spark.checkpoint.dir to a file, hdfs, viewfs, s3a, gs or abfs folder") from e
 
 
 def partitions_of(df: DataFrame, least: int = 1) -> int:
@@ -74,8 +102,9 @@ def hot_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Co
     their rows on the right are repeated as often; other rows aren't copied.
     """
     limit = max(HOT_ROWS, (right.agg(F.sum(weight)).first()[0] or 0) // HOT_SHARE)
+    many, salt = unused([*left.columns, *right.columns], "parts", "salt")
     parts = F.when(F.col(weight) > limit, F.ceil(F.col(weight) / limit)).otherwise(1).cast("int")
-    hot = right.where(F.col(weight) > limit).select(*keys, parts.alias("__parts"))
-    salted = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
-    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop(weight)
-    return salted.join(copies, [*keys, "__salt"], "left").drop("__salt")
+    hot = right.where(F.col(weight) > limit).select(*keys, parts.alias(many))
+    salted = left.join(F.broadcast(hot), keys, "left").withColumn(salt, F.pmod(F.xxhash64(spread), F.coalesce(many, F.lit(1))).cast("int")).drop(many)
+    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), parts - 1))).drop(weight)
+    return salted.join(copies, [*keys, salt], "left").drop(salt)

@@ -234,8 +234,11 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, item_id: str = "it
         source = common.saved(source, "documents")
     else:
         source = source.withColumn("row", F.lit(0).cast("long"))
-    found = _found(source, blocks, window)
-    return found if len(blocks) == 1 else _merged(found)
+    if len(blocks) == 1:
+        return _found(source, blocks, window)
+    # One block gives each row's words; of the others only hits are dealt anew.
+    rest = _found(source, blocks[1:], window).where(F.size("spans") > 0)
+    return _merged(_found(source, blocks[:1], window).union(rest))
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -288,9 +291,10 @@ def cleaned(docs: DataFrame, items: DataFrame, window: int = 10, longest: int =
         return docs.mapInArrow(run, schema)
 
     # All blocks read the original texts, and what they hit is judged and cut once.
-    rows = common.saved(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
-    source = rows.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("__row").alias("row"))
-    spans = _merged(_found(source, blocks, window).where(F.size("spans") > 0)).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
+    row, hit = common.unused(docs.columns, "row", "hit_spans")
+    rows = common.saved(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    source = rows.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col(row).alias("row"))
+    spans = _merged(_found(source, blocks, window).where(F.size("spans") > 0)).select(F.col("row").alias(row), F.col("spans").alias(hit))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,7 +302,7 @@ def cleaned(docs: DataFrame, items: DataFrame, window: int = 10, longest: int =
             found = [[(s["a"], s["b"]) for s in x or ()] for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield cut(own, [(words(text or "") if x else [], x) for text, x in zip(own.column(at).to_pylist(), found)])
 
-    return rows.join(spans, "__row", "left").select(*docs.columns, "__spans").mapInArrow(join, schema)
+    return rows.join(spans, row, "left").select(*docs.columns, hit).mapInArrow(join, schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

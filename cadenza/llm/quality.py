@@ -167,8 +167,9 @@ def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: floa
 
 def kept(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of docs that judged keeps, with all their columns. Rows are told by doc_id (null is an id) and text."""
-    gone = _judged(docs, labels, alpha, delta).where("not kept").select(F.col("doc_id").alias("__d"), F.col("__x")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__x")), "left_anti")
+    d, x = common.unused(docs.columns, "gone_id", "gone_text")
+    gone = _judged(docs, labels, alpha, delta).where("not kept").select(F.col("doc_id").alias(d), F.col("__x").alias(x)).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(x)), "left_anti")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,12 +87,12 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, k: int, num: int, den: int, table: np.ndarray) -> DataFrame:
-    """Of each document: doc_id, n (set size), sig (digest of the set), prefix (rare first), spread (RANGES counts up to 255), rare.
+    """Of each document: doc_id, n (set size), sig (digest of the set), prefix (rare first), spread (RANGES counts up to 255), rare, x (a hash of the text).
 
     rare: how many of the prefix's n-grams lie in buckets of up to PART occurrences; groups of these are never hot.
     """
     shared = docs.sparkSession.sparkContext.broadcast(table)  # 4 * BUCKETS bytes
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("prefix", pa.list_(pa.int64())), ("spread", pa.binary()), ("rare", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("prefix", pa.list_(pa.int64())), ("spread", pa.binary()), ("rare", pa.int32()), ("x", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value
@@ -111,9 +111,9 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, table: np.ndarray) ->
                 spread.append(np.minimum(np.bincount((one >> np.uint64(56)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes())
             flat = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), lists, pa.array(spread, pa.binary()), pa.array(rare, pa.int32())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), lists, pa.array(spread, pa.binary()), pa.array(rare, pa.int32()), batch.column(2)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, sig binary, prefix array<bigint>, spread binary, rare int")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("x")).mapInArrow(run, "doc_id long, n int, sig binary, prefix array<bigint>, spread binary, rare int, x long")
 
 
 def _matrix(spreads: pa.Array) -> np.ndarray:
@@ -369,7 +369,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def linked(docs: DataFrame, k: int, num: int, den: int, small: int = SMALL) -> DataFrame:
-    """doc_id, n_shingles, component_id, a row for each row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id, a row for each row of docs (doc_id, text); see ``_linked``."""
+    return _linked(docs, k, num, den, small).drop("text_hash")
+
+
+def distinct(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The rows of docs whose text is in a component of which their doc_id is the least, and rows without a doc_id; all columns are kept.
+
+    A text that links with no other is a component of its own, whatever other texts have its doc_id.
+    """
+    d, x = common.unused(docs.columns, "gone_id", "gone_text")
+    gone = _linked(docs, k, num, den).where("component_id != doc_id").select(F.col("doc_id").alias(d), F.col("text_hash").alias(x)).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col(d)) & (F.xxhash64(docs["text"]) == F.col(x)), "left_anti")
+
+
+def _linked(docs: DataFrame, k: int, num: int, den: int, small: int = SMALL) -> DataFrame:
+    """doc_id, n_shingles, component_id, text_hash (xxhash64), a row for each row of docs (doc_id, text).
 
     Documents link if their sets' Jaccard similarity is num / den or more; component_id is the least
     doc_id reached over links, itself included. Empty and null texts have no shingles and link with
@@ -434,8 +449,8 @@ def linked(docs: DataFrame, k: int, num: int, den: int, small: int = SMALL) -> D
                 known = None
     classes = reps.select("sig", "rep", "copies").join(nodes.toDF("rep", "component"), "rep", "left")
     classes = classes.where("copies > 1 or component is not null").select("sig", F.coalesce("component", "rep").alias("component"), "copies")
-    out = common.hot_left_join(found.select("doc_id", "n", "sig"), common.saved(classes, "components"), ["sig"], F.col("doc_id"), "copies")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = common.hot_left_join(found.select("doc_id", "n", "sig", "x"), common.saved(classes, "components"), ["sig"], F.col("doc_id"), "copies")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.col("x").alias("text_hash"))
 
 
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length:
     """
     if length % 8:
         raise ValueError("length must be a multiple of 8")
+    common.filesystem(folder)  # raises here, not in a task, if there's no such store
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -156,10 +157,13 @@ class TokenFile:
         self.reader = pa.ipc.open_file(opened(path))
         self.docs = pa.ipc.open_file(opened(docs_path)).read_all()
         self.length = self.reader.schema.field("ids").type.list_size
+        self.last: tuple[int, pa.RecordBatch | None] = (-1, None)
 
     def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids (rows x length) and packed masks (rows x length / 8) of batch k, without a copy."""
-        b = self.reader.get_batch(k)
+        if self.last[0] != k:  # documents lie one after another, and far stores give whole batches
+            self.last = k, self.reader.get_batch(k)
+        b = self.last[1]
         ids, mask = (b.column(i).flatten().to_numpy(zero_copy_only=True) for i in (0, 1))
         return ids.reshape(-1, self.length), mask.reshape(-1, self.length // 8)
 

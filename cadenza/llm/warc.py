@@ -375,7 +375,7 @@ def records(pages: DataFrame, least: int = 1000) -> DataFrame:
     Of pages with equal payloads (by SHA-1 and length) of at least ``least`` bytes the one with the
     largest page_id is the response and the others revisit it; rows with that page_id are responses,
     as are pages without a page_id and shorter ones. Rows that repeat a page_id with other payloads
-    revisit what any of them does. An empty table gives no rows; other columns aren't looked at. Ids and
+    are records of their own: each revisits what has its own payload. An empty table gives no rows; other columns aren't looked at. Ids and
     digests, kept once, meet by payload, the hot ones dealt over several tasks; the payloads themselves move
     only if there are too many revisits for a broadcast, which Spark tells from the size of the saved table.
     """
@@ -385,18 +385,18 @@ def records(pages: DataFrame, least: int = 1000) -> DataFrame:
     keyed = common.saved(keyed, "payloads")
     groups = common.saved(keyed.groupBy("digest", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "groups")
     again = common.hot_left_join(keyed, groups, ["digest", "n"], F.col("page_id"), "copies").where("first is not null and first != page_id")
-    again = common.saved(again.groupBy("page_id").agg(F.min("first").alias("first")), "revisits")
+    again = common.saved(again.groupBy("page_id", "digest", "n").agg(F.first("first").alias("first")), "revisits")
     # Rows without a page_id match nothing; they are dealt over tasks by their urls.
     apart = F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("url", F.octet_length("payload")), F.lit(1024))).otherwise(0)
-    found = rows.withColumn("__salt", apart).join(again.withColumn("__salt", F.lit(0).cast("long")), ["page_id", "__salt"], "left")
+    found = rows.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload"), "salt": apart}).join(again.withColumn("salt", F.lit(0).cast("long")), ["page_id", "digest", "n", "salt"], "left")
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
     return found.select(
         urn("page_id").alias("record_id"),
         F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"),
         F.col("url").alias("target_uri"),
-        F.sha1("payload").alias("payload_digest"),
+        F.col("digest").alias("payload_digest"),
         F.when(F.col("first").isNotNull(), urn("first")).alias("refers_to"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.col("n").cast("long").alias("payload_bytes"),
         "payload",
     )
 

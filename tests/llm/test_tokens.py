@@ -212,3 +212,35 @@ def test_counts_of_pieces(spark, rows):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for r in token_counts.count_tokens(rows, PIECES, 512).join(rows.where("doc_id != 7").select("doc_id", "text"), "doc_id").collect():
         assert r.n_tokens == len(sp.encode(r.text or ""))
+
+
+def test_reader_of_a_far_store_reads_each_batch_once(spark, tmp_path, monkeypatch):
+    """Documents one after another take at most one read of each batch where files can't be mapped."""
+    import pyarrow.fs as pafs
+
+    from cadenza.llm import common
+
+    docs = spark.createDataFrame([(k, f"text {k} of many words") for k in range(400)], "doc_id long, text string")
+    rows = token_files.write(docs.coalesce(1), f"file://{tmp_path}/t", public_tokenizers.path("byte_bpe_50k.json"), length=8, partitions=1)
+    plain = common.filesystem
+    monkeypatch.setattr(common, "filesystem", lambda uri: (pafs.SubTreeFileSystem("/", plain(uri)[0]), plain(uri)[1]))
+    file = token_files.TokenFile(f"file://{tmp_path}/t", rows[0].path, rows[0].docs_path)
+
+    class Counted:
+        def __init__(self, reader):
+            self.reader, self.reads, self.schema = reader, [], reader.schema
+
+        def get_batch(self, k):
+            self.reads.append(k)
+            return self.reader.get_batch(k)
+
+    file.reader = Counted(file.reader)
+    first, count = file.docs["first"].to_pylist(), file.docs["n_tokens"].to_pylist()
+    assert sum(len(file.ids(a, n)) for a, n in zip(first, count)) == rows[0].n_ids
+    assert len(file.reader.reads) == len(set(file.reader.reads))
+
+
+def test_unknown_stores_fail_at_the_start(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="nowhere"):
+        token_files.write(docs, "nowhere://x/y", public_tokenizers.path("byte_bpe_50k.json"))
