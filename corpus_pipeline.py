@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cadenza.llm import common, decontaminate, pii, piece_codec, quality, shingle_join
 
@@ -24,9 +23,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of rows with that doc_id and text all stay; rows without a doc_id stay.
     """
-    found = shingle_join.linked(docs, 5, 80, 100)
-    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return shingle_join.distinct(docs, 5, 80, 100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
