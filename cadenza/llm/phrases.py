@@ -7,7 +7,8 @@ survives is counted exactly, by slice of texts first and then by Spark. Counters
 asked of them, so one byte holds them.
 
 The sketch's width follows the size of the texts up to MOST counters a row, which bounds the
-broadcast. Beyond that it lets more rare n-grams through, which the exact count drops: the shuffle grows, the result doesn't change.
+broadcast. Beyond that it lets more rare n-grams through, at last all of them, which the exact count drops: the shuffle grows to that of
+a plain count with sums by slice, the result doesn't change.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .shingles import _PLACE, _mixed
 #: Words of the longest phrases.
 LONGEST = 4
 #: Bytes of text for each counter of a row of the sketch, and the fewest and most counters of a row (at one byte, DEPTH rows).
-BYTES, LEAST, MOST, DEPTH = 128, 1 << 16, 1 << 25, 2
+BYTES, LEAST, MOST, DEPTH = 32, 1 << 16, 1 << 26, 2
 #: Blocks of a row in which sketches are merged.
 BLOCKS = 32
 #: Parts of the split scans that one task adds to one sketch, unless there are fewer parts than cores.
@@ -106,14 +107,14 @@ def sketch(docs: DataFrame, least: int, width: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own = np.zeros((DEPTH, width), np.uint32)
+        own = np.zeros((DEPTH, width), kind)
         for batch in batches:
             for langs, w, lang, hashed, begin, end in _stretches(batch):
                 for h, whole in _hashed(w, lang, _salts(langs), hashed, begin, end):
-                    for row, at in zip(own, _places(h[whole], width)):
-                        np.add.at(row, at, np.uint32(1))
-            np.minimum(own, least, out=own)
-        flat = own.astype(kind).reshape(DEPTH * BLOCKS, size)
+                    for row, places in zip(own, _places(h[whole], width)):
+                        at, times = np.unique(places, return_counts=True)
+                        row[at] = np.minimum(row[at] + times, least)
+        flat = own.reshape(DEPTH * BLOCKS, size)
         for block in range(DEPTH * BLOCKS):
             yield rows([block], TaskContext.get().partitionId(), [flat[block].tobytes()])
 
