@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import fresh, running
+
 
 def kfold(files: DataFrame, k: int, order: list[Column | str]) -> DataFrame:
-    """(cls, file, fold): each class's files in order, cut into chunks of ceil(n / k)."""
-    by = Window.partitionBy("cls")
-    rank = F.row_number().over(by.orderBy(*order)) - 1
-    return files.select("cls", "file", F.floor(rank / F.ceil(F.count("*").over(by) / k)).cast("int").alias("fold"))
+    """(cls, file, fold): each class's files in order (``ranks.shuffled`` draws one), cut into chunks of ceil(n / k). A null class is a class."""
+    placed = running(files, ["cls"], order, *(names := fresh(files.columns, "place", "many")))
+    place, many = map(F.col, names)
+    return placed.select("cls", "file", F.floor(place / F.ceil(many / k)).cast("int").alias("fold"))
 
 
 def train_test(folds: DataFrame, k: int) -> DataFrame:
@@ -20,10 +22,10 @@ def train_test(folds: DataFrame, k: int) -> DataFrame:
 
 
 def train_val(rows: DataFrame, order: list[str], part: float = 0.7) -> DataFrame:
-    """Within each class the first int(part * n) rows are train, the others val."""
-    by = Window.partitionBy("cls")
-    n = F.count("*").over(by)
-    return rows.withColumn("role", F.when(F.row_number().over(by.orderBy(*order)) <= F.floor(part * n), "train").otherwise("val"))
+    """Within each class the first int(part * n) rows are train, the others val. A null class is a class."""
+    place, many = fresh(rows.columns, "place", "many")
+    placed = running(rows, ["cls"], order, place, many)
+    return placed.withColumn("role", F.when(F.col(place) < F.floor(part * F.col(many)), "train").otherwise("val")).drop(place, many)
 
 
 def unpivoted(vectors: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -63,16 +65,14 @@ def histogram(rows: DataFrame, bins: int, low: float, high: float) -> DataFrame:
 
 
 def class_balanced(rows: DataFrame, order: list[str], per_class: int) -> DataFrame:
-    """per_class rows of each class in order, round again when it has fewer: (cls, slot, ...)."""
-    by = Window.partitionBy("cls")
-    ranked = rows.withColumns({"__r": F.row_number().over(by.orderBy(*order)) - 1, "__n": F.count("*").over(by)})
-    slots = F.sequence(F.col("__r"), F.lit(per_class - 1), F.col("__n").cast("int"))
-    return ranked.where(F.col("__r") < per_class).withColumn("slot", F.explode(slots)).drop("__r", "__n")
+    """per_class rows of each class in order, round again when it has fewer: (cls, slot, ...). A null class is a class."""
+    place, many = fresh(rows.columns, "place", "many")
+    ranked = running(rows, ["cls"], order, place, many).where(F.col(place) < per_class)
+    slots = F.sequence(F.col(place).cast("int"), F.lit(per_class - 1), F.col(many).cast("int"))
+    return ranked.withColumn("slot", F.explode(slots)).drop(place, many)
 
 
 def zipped_to_shorter(a: DataFrame, b: DataFrame, order: list[str]) -> DataFrame:
-    """Rows of a and b at the same place in order within each file; what has no partner is cut."""
-    by = Window.partitionBy("file").orderBy(*order)
-    left = a.withColumn("place", F.row_number().over(by) - 1)
-    right = b.withColumn("place", F.row_number().over(by) - 1).drop(*order)
-    return left.join(right, ["file", "place"])
+    """Rows of a and b at the same place in order within each file; what has no partner is cut, and so are rows without a file."""
+    left, right = (running(rows.where("file is not null"), ["file"], order, "place", "many").drop("many") for rows in (a, b))
+    return left.join(right.drop(*order), ["file", "place"])

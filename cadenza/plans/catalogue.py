@@ -400,12 +400,12 @@ def argmax_threshold(spark, sf):
 
 @query("pearson_pairs", "v", "select a.d::bigint as a, b.d::bigint as b, round(corr(a.v, b.v), 6) as r from v a join v b on a.vec_id = b.vec_id and a.d < b.d group by all")
 def pearson_pairs(spark, sf):
-    return rounded(stats.pearson_all(table(spark, sf, "embeddings"), "embedding"), "r")
+    return rounded(stats.pearson(table(spark, sf, "embeddings"), "embedding"), "r")
 
 
-@query("spearman_pairs", "v", ", k as (select vec_id, d, rank() over (partition by d order by v) + (count(*) over (partition by d, v) - 1) / 2.0 as v from v) select a.d::bigint as a, b.d::bigint as b, round(corr(a.v, b.v), 6) as r from k a join k b using (vec_id) where (a.d, b.d) in ((0, 1), (0, 2), (3, 40)) group by all")
+@query("spearman_pairs", "v", ", k as (select vec_id, d, rank() over (partition by d order by v) + (count(*) over (partition by d, v) - 1) / 2.0 as v from v) select a.d::bigint as a, b.d::bigint as b, round(corr(a.v, b.v), 6) as r from k a join k b using (vec_id) where a.d < b.d group by all")
 def spearman_pairs(spark, sf):
-    return rounded(stats.spearman_pairs(_classes(spark, sf), [(0, 1), (0, 2), (3, 40)]), "r")
+    return rounded(stats.spearman_all(table(spark, sf, "embeddings"), "vec_id", "embedding"), "r")
 
 
 @query("gaussian_nb_predict", "v", ", m as (select max(s) * 1e-9 as e from (select var_pop(v) as s from v where vec_id % 5 < 4 group by d)), g as (select label as cls, d, avg(v) as mu, var_pop(v) + (select e from m) as va from v where vec_id % 5 < 4 group by all), pr as (select label as cls, count(*) as c, sum(count(*)) over () as t from embeddings where vec_id % 5 < 4 group by label), l as (select vec_id, g.cls, ln(any_value(c) / any_value(t)) + sum(-0.5 * ln(2 * pi() * va) - (v - mu) * (v - mu) / (2 * va)) as ll from v join g using (d) join pr on pr.cls = g.cls where vec_id % 5 = 4 group by all) select vec_id, arg_max(cls, ll) as p from l group by vec_id")

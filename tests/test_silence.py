@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cadenza.operators import metrics, models, patches, sequence, silence, stats
+from cadenza.operators import metrics, models, moments, patches, sequence, silence, stats
 from cadenza.sources import audio
 
 SIZE, HOP, FS = 8, 4, 10.0
@@ -95,7 +95,7 @@ def test_empty_tables(spark, seq):
     vectors = spark.createDataFrame([], "id long, label int, v array<double>")
     assert np.isnan(stats.first_canonical(vectors, "v", 1)) and np.isnan(stats.manova(vectors, "v", "label")["wilks"])
     assert models.mlp_predict(vectors, "label", "v", "id", [3]).count() == 0 and models.random_features(vectors, "v", 0.5).count() == 0
-    assert stats.pearson_all(vectors, "v").count() == 0 and sequence.patch_grid(none, 3, 2).count() == 0
+    assert stats.pearson(vectors, "v").count() == 0 and sequence.patch_grid(none, 3, 2).count() == 0
     assert [r.f1 for r in metrics.f1_of_labels(spark.createDataFrame([], "y int, p int")).collect()] == [None]
     assert patches.patch_summaries(vectors.selectExpr("id as file", "id as i", "v"), 3, 2).count() == 0
 
@@ -106,9 +106,9 @@ def test_sums_of_products(spark):
     x[:, 4] = 2
     rows = [(v.tolist(),) for v in x] + [(None,), ([1.0, None, 1.0, 1.0, 1.0],)]
     vectors = spark.createDataFrame(rows, "v array<double>").repartition(3)
-    xx, sums, n = stats.gram(vectors, "v")
-    assert n == 200 and np.allclose(xx, x.T @ x) and np.allclose(sums, x.sum(0))
-    for row in stats.pearson_all(vectors, "v").collect():
+    found = moments.moments(vectors, "v")
+    assert found.n == 200 and np.allclose(found.m, (x - x.mean(0)).T @ (x - x.mean(0))) and np.allclose(found.mean, x.mean(0))
+    for row in stats.pearson(vectors, "v").collect():
         assert row.r is None or abs(row.r) < 1e-3 if row.b == 4 else abs(row.r - np.corrcoef(x[:, row.a], x[:, row.b])[0, 1]) < 1e-9
 
 
