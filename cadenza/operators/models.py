@@ -8,13 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import chunks
 from .signal import waves_of
 from .split import unpivoted
 
@@ -36,43 +36,19 @@ def gaussian_predict(rows: DataFrame, model: DataFrame, key: str, column: str) -
     return likely.groupBy(key).agg(F.max_by("label", F.struct("ll", -F.col("label"))).alias("label"))
 
 
-def random_features(rows: DataFrame, column: str, gamma: float, many: int = 128, seed: int = 1) -> DataFrame:
-    """rows with features: many cosines whose inner products approximate the RBF kernel of gamma. An empty table stays empty."""
-    found = rows.select(F.size(column).alias("n")).where("n >= 0").first()
-    size = found.n if found else 1
-    r = np.random.default_rng(seed)
-    w, b = r.normal(0, math.sqrt(2 * gamma), (many, size)), r.uniform(0, 2 * math.pi, many)
-    weights = F.array(*(F.array(*map(F.lit, map(float, row))) for row in w))
-    shifts = F.array(*map(F.lit, map(float, b)))
-    dots = F.transform(weights, lambda row: F.aggregate(F.zip_with(row, F.col(column), lambda x, y: x * y.cast("double")), F.lit(0.0), lambda t, x: t + x))
-    return rows.withColumn("features", array_to_vector(F.zip_with(dots, shifts, lambda d, s: math.sqrt(2 / many) * F.cos(d + s))))
-
-
-def rff_svm_grid(rows: DataFrame, label: str, column: str, costs: list[float], gammas: list[float], folds: int = 3) -> DataFrame:
-    """(cost, gamma, accuracy) by folds of the rows' hashes: linear SVMs on random features stand in for RBF SVMs."""
-    out = []
-    score = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    for gamma in gammas:
-        data = random_features(rows.select(label, column), column, gamma).withColumn("fold", F.pmod(F.xxhash64(column), F.lit(folds))).select(label, "features", "fold").cache()
-        for cost in costs:
-            found = []
-            for k in range(folds):
-                model = LinearSVC(labelCol=label, maxIter=10, regParam=1 / cost / 100).fit(data.where(F.col("fold") != k))
-                found.append(score.evaluate(model.transform(data.where(F.col("fold") == k))))
-            out.append((cost, gamma, float(np.mean(found))))
-        data.unpersist()
-    return rows.sparkSession.createDataFrame(out, "cost double, gamma double, accuracy double")
-
-
 def mlp_predict(rows: DataFrame, label: str, column: str, key: str, hidden: list[int], seed: int = 1) -> DataFrame:
-    """(key, label, p) of a multilayer perceptron that is trained on rows whose hash is no multiple of 5."""
-    first = rows.agg(F.max(F.size(column)).alias("n"), F.max(label).alias("k")).first()
-    if first.n is None or first.k is None:  # no rows, or none with a label
+    """(key, label, p) of a multilayer perceptron that is trained on rows with a label whose hash is no multiple of 5; p is null for null vectors and such with null elements."""
+    given = rows.where(F.col(label).isNotNull() & (F.size(column) > 0) & ~F.exists(column, lambda v: v.isNull()))
+    first = given.agg(F.max(F.size(column)).alias("n"), F.max(label).alias("k")).first()
+    if first.n is None:  # no rows that could be trained on
         return rows.select(key, F.col(label).alias("label"), F.lit(None).cast("int").alias("p"))
-    data = rows.select(key, label, array_to_vector(F.transform(column, lambda v: v.cast("double"))).alias("features"))
-    train = data.where(F.pmod(F.xxhash64(key), F.lit(5)) > 0)
+    vector = array_to_vector(F.transform(column, lambda v: v.cast("double"))).alias("features")
+    data = rows.where((F.size(column) > 0) & ~F.exists(column, lambda v: v.isNull())).select(key, label, vector)
+    train = given.where(F.pmod(F.xxhash64(key), F.lit(5)) > 0).select(key, label, vector)
     model = MultilayerPerceptronClassifier(labelCol=label, layers=[first.n, *hidden, first.k + 1], maxIter=30, seed=seed).fit(train)
-    return model.transform(data).select(key, F.col(label).alias("label"), F.col("prediction").cast("int").alias("p"))
+    found = model.transform(data).select(key, F.col(label).alias("label"), F.col("prediction").cast("int").alias("p"))
+    rest = rows.where(~F.coalesce((F.size(column) > 0) & ~F.exists(column, lambda v: v.isNull()), F.lit(False)))
+    return found.union(rest.select(key, label, F.lit(None).cast("int")))
 
 
 def emissions_fit(seq: DataFrame, states: int = 2, mixtures: int = 1, seed: int = 1) -> dict:
@@ -96,19 +72,24 @@ def emissions_fit(seq: DataFrame, states: int = 2, mixtures: int = 1, seed: int
     return model
 
 
-def hmm_fit(seq: DataFrame, states: int = 2, rounds: int = 5, mixtures: int = 1) -> dict:
+def hmm_fit(seq: DataFrame, states: int = 2, rounds: int = 5, mixtures: int = 1, chunk: int | None = None) -> dict:
     """Emissions by labelled samples (file, i, x, n, label); start and transitions by Baum-Welch with these fixed.
 
     Labels may be a classifier's own (``metrics.argmax_label`` of its scores) where there's no truth. Files are made arrays once and kept;
     expected counts are taken by Arrow batch of files and summed by Spark; a round moves states * (states + 1) numbers to the driver.
+    With ``chunk`` files are cut into chunks of so many samples (``chunks.expected``), so that no task needs a whole file.
     """
     model = emissions_fit(seq, states, mixtures) | {
         "start": [1 / states] * states,
         "move": [[0.9 if a == b else 0.1 / max(states - 1, 1) for b in range(states)] for a in range(states)],
     }
-    waves = waves_of(seq).persist(StorageLevel.MEMORY_AND_DISK)
+    waves = (waves_of(seq) if chunk is None else chunks.chunked(seq, chunk)).persist(StorageLevel.MEMORY_AND_DISK)
     for _ in range(rounds):
-        counts = waves.mapInPandas(_expected(dict(model), states), "a int, b int, n double").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+        if chunk is None:
+            found = waves.mapInPandas(_expected(dict(model), states), "a int, b int, n double").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        else:
+            found = chunks.expected(waves, dict(model))
+        counts = found.collect()
         start, move = np.zeros(states), np.full((states, states), 1e-9)
         for r in counts:
             if r.b < 0:
@@ -132,7 +113,7 @@ def _expected(model: dict, states: int):
     return run
 
 
-def _padded(waves: list[np.ndarray], model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def padded(waves: list[np.ndarray], model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log-likelihoods (file, place, state) of files, longest first; the number of files that have each place; the files' order."""
     sizes = np.array([len(w) for w in waves], int)
     order = np.argsort(-sizes, kind="stable")
@@ -150,7 +131,7 @@ def _padded(waves: list[np.ndarray], model: dict) -> tuple[np.ndarray, np.ndarra
 
 def expected_counts(waves: list[np.ndarray], model: dict) -> tuple[np.ndarray, np.ndarray]:
     """Expected first states and moves, summed over files, whose recursions run side by side."""
-    e, many, _ = _padded(waves, model)
+    e, many, _ = padded(waves, model)
     e = np.exp(e - e.max(2, keepdims=True))
     start, move = np.array(model["start"]), np.array(model["move"])
     ahead, back, scale = np.zeros(e.shape), np.ones(e.shape), np.ones(e.shape[:2])
@@ -175,7 +156,7 @@ def viterbi(x: np.ndarray, model: dict) -> np.ndarray:
 
 def best_paths(waves: list[np.ndarray], model: dict) -> list[np.ndarray]:
     """The best path of each file, the smaller state among equals."""
-    e, many, order = _padded(waves, model)
+    e, many, order = padded(waves, model)
     move = np.log(np.maximum(model["move"], 1e-300))
     best, came = np.log(np.maximum(model["start"], 1e-300)) + e[:, 0] if len(many) else None, np.zeros(e.shape, int)
     for t in range(1, len(many)):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import arrays
-from cadenza.operators import fusion, metrics, models, patches, report, sequence, signal, silence, split, stats
+from cadenza.operators import balance, chunks, fusion, metrics, models, network, patches, report, sequence, signal, silence, split, stats, svm
 
 SIZE, HOP = 17, 8
 
@@ -596,8 +596,55 @@ def hmm_viterbi(spark, sf):
 
 @query("svm_rff_grid")
 def svm_rff_grid(spark, sf):
+    """All cells of the grid; labels are whether a vector's own is 5 or more."""
     rows = vectors(spark, sf).withColumn("label", (F.col("label") >= 5).cast("int"))
-    return models.rff_svm_grid(rows, "label", "embedding", [0.5, 2.0], [0.01, 0.1])
+    found = svm.grid(rows, "vec_id", "label", "embedding")
+    return spark.createDataFrame(found.cells, "cost double, gamma double, accuracy double")
+
+
+@query("svm_predict")
+def svm_predict(spark, sf):
+    """The best of a few cells over all labels, fitted on all rows, and what it says of them."""
+    found = svm.grid(vectors(spark, sf), "vec_id", "label", "embedding", [0.5, 4.0], [0.125, 0.5])
+    return svm.predicted(vectors(spark, sf), found.model, "vec_id", "label", "embedding")
+
+
+@query("dense_network")
+def dense_network(spark, sf):
+    """Of several depths and widths trained side by side the network of the least validation loss, and what it says of all rows."""
+    scaled = split.standard_scaled(vectors(spark, sf), ["vec_id", "label"], [], "embedding")
+    nets = network.fitted(scaled, "vec_id", "label", "z", [[32], [32, 32], [64, 64]], epochs=30)
+    best = min(nets, key=lambda n: n.losses[n.best], default=None)
+    return network.predicted(scaled, best, "vec_id", "label", "z").select("vec_id", "label", "p")
+
+
+@query("smote_enn")
+def smote_enn(spark, sf):
+    """Two classes of very different sizes, balanced and cleaned."""
+    rows = vectors(spark, sf).withColumn("label", (F.col("label") >= 8).cast("int"))
+    found = balance.smote_enn(rows, "vec_id", "label", "embedding")
+    return found.select("vec_id", "copy", "label", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+@query("prepared_vectors")
+def prepared_vectors(spark, sf):
+    """Balanced, on principal axes, scaled: how many numbers each row has left."""
+    found = balance.prepared(vectors(spark, sf), "vec_id", "label", "embedding")
+    return found.select("vec_id", "copy", "label", F.size("z").alias("axes"))
+
+
+@query("canonical_pairs")
+def canonical_pairs(spark, sf):
+    found = stats.canonical_pairs(vectors(spark, sf), "vec_id", "embedding", {"a": (0, 10), "b": (10, 30), "c": (30, 64)})
+    return rounded(found, "r", "pearson", "spearman")
+
+
+@query("hmm_chunks")
+def hmm_chunks(spark, sf):
+    """The sequence model over chunks of 64 samples: the same paths as over whole files."""
+    seq = signals(spark, sf)
+    model = models.hmm_fit(seq.withColumn("label", (F.col("x") > 50).cast("int")), states=2, rounds=5, chunk=64)
+    return chunks.decoded(seq, model, 64)
 
 
 @query("mlp")

@@ -94,7 +94,7 @@ def test_empty_tables(spark, seq):
     assert silence.silence_removed(none, SIZE, HOP, FS).count() == 0 and silence.long_enough(seq, FS, 2.0).select("file").distinct().count() == 3
     vectors = spark.createDataFrame([], "id long, label int, v array<double>")
     assert np.isnan(stats.first_canonical(vectors, "v", 1)) and np.isnan(stats.manova(vectors, "v", "label")["wilks"])
-    assert models.mlp_predict(vectors, "label", "v", "id", [3]).count() == 0 and models.random_features(vectors, "v", 0.5).count() == 0
+    assert models.mlp_predict(vectors, "label", "v", "id", [3]).count() == 0
     assert stats.pearson(vectors, "v").count() == 0 and sequence.patch_grid(none, 3, 2).count() == 0
     assert [r.f1 for r in metrics.f1_of_labels(spark.createDataFrame([], "y int, p int")).collect()] == [None]
     assert patches.patch_summaries(vectors.selectExpr("id as file", "id as i", "v"), 3, 2).count() == 0
