@@ -186,16 +186,42 @@ def analytic(x: np.ndarray) -> np.ndarray:
     return np.fft.ifft(np.fft.fft(x, axis=-1) * gain, axis=-1)
 
 
+def zero_time(fr: np.ndarray) -> tuple[np.ndarray, int]:
+    """Frames under the zero-time window, and the size of their transforms."""
+    size = fr.shape[1]
+    turn = np.cos(np.pi * np.arange(size) / size)
+    pole = np.divide(0.5, 1 - turn, out=np.zeros(size), where=turn < 1)
+    return fr * 2 * (1 + turn) * pole**2, 2 << (size - 1).bit_length() if size > 1 else 2
+
+
+def delay_family(fr: np.ndarray, fs: float, power: float = 0.5) -> dict[str, np.ndarray]:
+    """The group delays of zero-time windowed frames, on the bins from 0 to half the rate.
+
+    ngd: the numerator; mag: the magnitude, its zeros raised to the least other one of the frame; gd: (ngd / mag) ** 2; mgd: (abs(ngd) / mag) ** power, both with 1e-10 added to the magnitude;
+    dngd, dgd: their second differences along the circle of frequencies, negative; hngd, hgd: the envelopes of the third ones. Circles are repeated three times; differences are taken from
+    two places before the middle's start, envelopes from four. Silent frames are zeros.
+    """
+    windowed, nfft = zero_time(fr)
+    ngd, mag = group_delay(windowed, nfft)
+    least = np.where(mag > 0, mag, np.inf).min(1, keepdims=True)
+    sound = np.isfinite(least)
+    mag = np.where(mag > 0, mag, np.where(sound, least, 0))
+    out = {"ngd": ngd, "mag": mag, "gd": (ngd / (mag + 1e-10)) ** 2, "mgd": (np.abs(ngd) / (mag + 1e-10)) ** power}
+    bins = nfft // 2 + 1
+    for name in ("ngd", "gd"):
+        rounds = np.tile(np.concatenate([out[name], out[name][:, -2:0:-1]], 1), 3)
+        out[f"d{name}"] = -np.diff(rounds, n=2, axis=1)[:, nfft - 2 : nfft - 2 + bins]
+        out["h" + name] = np.abs(analytic(np.diff(rounds, n=3, axis=1)))[:, nfft - 4 : nfft - 4 + bins]
+    return {k: np.where(sound, v, 0.0) for k, v in out.items()}
+
+
 def hngd(fr: np.ndarray, fs: float) -> np.ndarray:
     """Envelopes of the differenced group-delay numerator of zero-time windowed frames, from the highest frequency down.
 
     The numerator is circular, so it's repeated three times and the middle is taken, from four places before its start.
     """
-    size = fr.shape[1]
-    nfft = 2 << (size - 1).bit_length() if size > 1 else 2
-    turn = np.cos(np.pi * np.arange(size) / size)
-    pole = np.divide(0.5, 1 - turn, out=np.zeros(size), where=turn < 1)
-    top, _ = group_delay(fr * 2 * (1 + turn) * pole**2, nfft)
+    windowed, nfft = zero_time(fr)
+    top, _ = group_delay(windowed, nfft)
     circle = np.concatenate([top, top[:, -2:0:-1]], 1)
     envelope = np.abs(analytic(np.diff(np.tile(circle, 3), n=3, axis=1)))
     return envelope[:, nfft - 4 : nfft - 4 + nfft // 2][:, ::-1]

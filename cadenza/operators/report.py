@@ -17,6 +17,10 @@ from .metrics import event_rates, masked_other, matched_by_reference, tolerance_
 from .sequence import median_filter, mode_filter, rolled
 
 
+#: Waves that meet one copy of a noise.
+WAVES = 256
+
+
 def smoothed_scores(scores: DataFrame, width: int) -> DataFrame:
     """(file, i, n, speech, music) of music scores x in rows (file, i, x, n), median-filtered; at 0.5 both are 0."""
     y = F.col("y")
@@ -67,7 +71,13 @@ def noisy(waves: DataFrame, noises: DataFrame, levels: list[float], pick: Column
     names = library.select("noise").withColumn("__k", (F.row_number().over(Window.orderBy("noise")) - 1).cast("long")).withColumn("__n", F.count("*").over(Window.partitionBy(F.lit(1))))
     many = names.agg(F.max("__n").alias("__n"))
     numbered = sound(waves).select("file", "samples", (F.xxhash64("file") if pick is None else pick).cast("long").alias("__p")).join(F.broadcast(many))
-    chosen = numbered.withColumn("__k", F.pmod("__p", "__n")).drop("__n").join(names.drop("__n"), "__k").join(library.select("noise", F.col("samples").alias("z")), "noise")
+    numbered = numbered.withColumn("__k", F.pmod("__p", "__n")).drop("__n", "__p")
+    # A noise that many waves have is copied to as many tasks.
+    often = numbered.groupBy("__k").agg(F.ceil(F.count("*") / WAVES).cast("int").alias("__parts"))
+    shares = names.drop("__n").join(often, "__k")
+    dealt = numbered.join(F.broadcast(shares), "__k").withColumn("__salt", F.pmod(F.xxhash64("file"), F.col("__parts")).cast("int")).drop("__parts", "__k")
+    copies = library.select("noise", F.col("samples").alias("z")).join(F.broadcast(shares.drop("__k")), "noise").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    chosen = dealt.join(copies, ["noise", "__salt"])
     kind, name = waves.schema["file"].dataType.simpleString(), noises.schema["noise"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

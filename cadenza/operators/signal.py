@@ -120,6 +120,23 @@ def _block_rows(frames: DataFrame, block: int, kernel: Callable) -> DataFrame:
     return _blocks(frames, block).mapInArrow(run, f"setting int, file {kind}, frame long, v array<double>")
 
 
+#: Columns of ``group_delays``.
+DELAYS = ("ngd", "mag", "gd", "mgd", "dngd", "hngd", "dgd", "hgd")
+
+
+def group_delays(frames: DataFrame, fs: float) -> DataFrame:
+    """(file, frame, ngd, mag, gd, mgd, dngd, hngd, dgd, hgd) of frames (file, frame, samples): see ``kernels.delay_family``."""
+    kind = frames.schema["file"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = kernels.delay_family(_matrix(batch["samples"]), fs)
+                yield pa.RecordBatch.from_arrays([batch["file"], batch["frame"], *(_lists(found[k]) for k in DELAYS)], names=["file", "frame", *DELAYS])
+
+    return frames.select("file", "frame", "samples").mapInArrow(run, f"file {kind}, frame long, " + ", ".join(f"{k} array<double>" for k in DELAYS))
+
+
 def by_block(frames: DataFrame, family: str, fs: float, hop: int, block: int = BLOCK, **settings) -> DataFrame:
     """(file, frame, v): values of BLOCKS; block: frames that share a scale or a transform, which changes results."""
     return _block_rows(frames, block, lambda x: [BLOCKS[family](x, fs, hop, **settings)]).drop("setting")

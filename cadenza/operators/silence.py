@@ -53,14 +53,23 @@ def lengths_of(seq: DataFrame) -> DataFrame:
 
 
 def silence_removed(seq: DataFrame, size: int, hop: int, fs: float, part: float = 0.05, least: float = 0.1, drop_tail: bool = False) -> DataFrame:
-    """(file, i, x, n) without silent samples, numbered anew; drop_tail: what follows a file's last silence goes too."""
+    """(file, i, x, n) without silent samples, numbered anew; drop_tail: what follows a file's last silence goes too.
+
+    The silent spans travel along the file's samples in one sort: no row stands for a silent sample. Rows without a file are left out.
+    """
+    seq = seq.where("file is not null")
     spans = silences(audible_frames(seq, size, hop, part), lengths_of(seq), size, hop, fs, least)
-    gone = spans.select("file", F.explode(F.sequence("first", F.col("end") - 1)).alias("i"))
-    kept = seq.join(gone, ["file", "i"], "left_anti")
+    points = seq.select("file", "i", "x", "n", F.lit(1).alias("own"), *(F.lit(None).cast("long").alias(c) for c in ("first", "end")))
+    begins = spans.select("file", F.col("first").cast("long").alias("i"), F.lit(None).cast(seq.schema["x"].dataType).alias("x"), F.lit(None).cast(seq.schema["n"].dataType).alias("n"), F.lit(0).alias("own"), F.col("first").cast("long"), F.col("end").cast("long"))
+    whole = Window.partitionBy("file")
+    so_far = whole.orderBy("i", "own").rowsBetween(Window.unboundedPreceding, 0)
+    length = F.col("end") - F.col("first")
+    along = points.union(begins).select("file", "i", "x", "n", "own", F.last("end", True).over(so_far).alias("over"), F.coalesce(F.sum(length).over(so_far), F.lit(0)).alias("gone"), F.coalesce(F.sum(length).over(whole), F.lit(0)).alias("all"), F.max("end").over(whole).alias("tail"))
+    kept = along.where("own = 1 and (over is null or i >= over)")
+    left = F.col("n")
     if drop_tail:
-        kept = kept.join(spans.groupBy("file").agg(F.max("end").alias("tail")), "file", "left").where("tail is null or i < tail")
-    by = Window.partitionBy("file").orderBy("i")
-    return kept.select("file", (F.row_number().over(by) - 1).cast("long").alias("i"), "x", F.count("*").over(Window.partitionBy("file")).alias("n"))
+        kept, left = kept.where("tail is null or i < tail"), F.coalesce("tail", "n")
+    return kept.select("file", (F.col("i") - F.col("gone")).cast("long").alias("i"), "x", (left - F.col("all")).cast("long").alias("n"))
 
 
 def _with_silence_before(rows: DataFrame, spans: DataFrame, at: Column, name: str) -> DataFrame:

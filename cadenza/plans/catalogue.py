@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import arrays
-from cadenza.operators import balance, chunks, fusion, metrics, models, network, patches, report, sequence, signal, silence, split, stats, svm
+from cadenza.operators import balance, chunks, fusion, metrics, models, network, patches, ranks, report, sequence, signal, silence, split, stats, svm, tensors
+from cadenza.sources import store
+from cadenza.sources.tables import shared_folder
 
 SIZE, HOP = 17, 8
 
@@ -696,6 +698,77 @@ def texture_features(spark, sf):
     return _long(signal.texture_features(signal.waves_of(seq), silence.audible_frames(seq, FRAME, STEP, 0.9), FS, FRAME, STEP))
 
 
+@query("group_delays")
+def group_delays(spark, sf):
+    """The whole family, long: a row for each frame, kind and bin."""
+    rows = signal.group_delays(_frames(spark, sf), FS)
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("v")) for k in signal.DELAYS))).alias("k")
+    return rows.select("file", "frame", kinds).select("file", "frame", "k.kind", F.posexplode("k.v").alias("bin", "v")).withColumn("v", F.round("v", 6))
+
+
+#: Vectors stand in for frames of a file of their label.
+FRAMES_SQL = "f as (select label as file, row_number() over (partition by label order by vec_id) - 1 as i, embedding[1:4]::double[] as v, count(*) over (partition by label) as n from embeddings)"
+
+
+def _vector_frames(spark, sf):
+    rows = vectors(spark, sf).where("label is not null").select(F.col("label").alias("file"), "vec_id", F.slice("embedding", 1, 4).cast("array<double>").alias("v"))
+    return ranks.running(rows, ["file"], ["vec_id"], "i", "n").select("file", "i", "v")
+
+
+SCALED_SQL = ", e as (select file, i, unnest(range(4)) as d, unnest(v) as x from f), z as (select file, i, d, coalesce((x - avg(x) over w) / nullif(stddev_pop(x) over w, 0), 0) as x from e window w as (partition by file, d))"
+
+
+@query("centred_patches", "", f"with {FRAMES_SQL}{SCALED_SQL}, p as (select file, unnest(range((n + 4) // 5)) as patch from (select distinct file, n from f)), q as (select file, patch, unnest(range(8)) as place from p)"
+       " select q.file, q.patch::bigint as patch, round(sum(coalesce(x, 0) * (place + 1) * (d + 1)), 6) as digest from q left join z on z.file = q.file and z.i = q.patch * 5 - 4 + q.place group by q.file, q.patch")
+def centred_patches(spark, sf):
+    """Patches of 8 frames around every fifth, as a weighted sum of their numbers."""
+    m = tensors.centred_patches(_vector_frames(spark, sf), 8, 5)
+    long = m.select("file", "patch", F.posexplode("m").alias("place", "v")).select("file", "patch", "place", F.posexplode("v").alias("d", "x"))
+    return rounded(long.groupBy("file", "patch").agg(F.sum(F.col("x") * (F.col("place") + 1) * (F.col("d") + 1)).alias("digest")), "digest")
+
+
+@query("random_patches")
+def random_patches(spark, sf):
+    m = tensors.random_patches(_vector_frames(spark, sf), 8, 5, seed=3, pick=[0, 2])
+    return m.select("file", "patch", F.transform(F.flatten("m"), lambda x: F.round(x, 6)).alias("m"))
+
+
+@query("wave_patches")
+def wave_patches(spark, sf):
+    m = tensors.wave_patches(signals(spark, sf).select("file", "i", "x"), 32, 24, seed=3)
+    return m.select("file", "patch", F.transform("m", lambda x: F.round(x, 6)).alias("m"))
+
+
+@query("name_match", "", "with f as (select distinct 'src' || (doc_id % 20) || '_' || lang as file from documents), p as (select distinct 'run/' || source || '_' || lang || '_fold' || (doc_id % 3) || '.pkl' as name from documents) "
+       "select file, arg_min(name, (length(name), name)) as prediction from f join p on contains(name, file || '_fold1') group by file")
+def name_match(spark, sf):
+    """Files meet the predictions whose names contain theirs and a fold's."""
+    docs = table(spark, sf, "documents")
+    files = docs.select(F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string"), F.lit("_"), "lang").alias("file"))
+    names = docs.select(F.concat(F.lit("run/"), "source", F.lit("_"), "lang", F.lit("_fold"), (F.col("doc_id") % 3).cast("string"), F.lit(".pkl")).alias("name"))
+    return tensors.named_match(files, names, "_fold1")
+
+
+@query("file_scores")
+def file_scores(spark, sf):
+    """Networks of two feature families, fitted, kept, read back, scored on patches around each frame, fused and cut to the labels."""
+    frames = _vector_frames(spark, sf)
+    found = None
+    for feat, pick in (("low", [0, 1]), ("high", [2, 3])):
+        own = frames.select("file", "i", F.array(*(F.get("v", k) for k in pick)).alias("v"))
+        patches = tensors.centred_patches(own, 4, 2).withColumn("x", F.flatten("m"))
+        rows = patches.select(F.struct("file", "patch").alias("key"), (F.col("file") % 2).alias("y"), "x")
+        net = network.fitted(rows, "key", "y", "x", [[8]], epochs=5)[0]
+        folder = shared_folder(spark, f"model-{feat}")
+        store.save_model(spark, folder, {"classes": net.classes, "sizes": net.sizes, "weights": net.weights})
+        net = network.Network(**store.load_model(spark, folder))
+        own = network.predicted(rows, net, "key", "y", "x").select("key.file", F.lit(feat).alias("feat"), "key.patch", F.col("shares").alias("p"))
+        found = own if found is None else found.union(own)
+    labels = frames.where("i % 2 = 0").select("file", (F.col("i") / 2).cast("long").alias("patch"), (F.col("file") % 2).alias("y"))
+    out = tensors.fused_scores(found, ["low", "high"], labels)
+    return out.select("file", "patch", F.transform("p", lambda x: F.round(x, 6)).alias("p"), "y")
+
+
 @query("phase_features")
 def phase_features(spark, sf):
     rows = signal.phase_features(_frames(spark, sf), FS, STEP)
