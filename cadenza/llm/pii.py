@@ -95,7 +95,7 @@ def well_formed(kind: int, s: str) -> bool:
 
 
 #: Forms of spans: # is a digit; at and dot signs go together. Those to train on, and others that tests hold out.
-PHONES = ["(###) ###-####", "###-###-####", "### ### ####", "00## ### ######", "###.###.####", "0### ######", "0## #### ####", "(0##) ### ## ##", "## ## ## ## ##", "0###/######", "###-####-####", "0##.####.####", "(###)###.####", "00## ## ### ## ##", "0##-#######", "###/###.####", "####/######", "###/### ####", "### ###.####", "0### ###-###"]
+PHONES = ["(###) ###-####", "###-###-####", "### ### ####", "00## ### ######", "###.###.####", "0### ######", "0## #### ####", "(0##) ### ## ##", "## ## ## ## ##", "0###/######", "###-####-####", "0##.####.####", "(###)###.####", "00## ## ### ## ##", "0##-#######", "###/###.####", "####/######", "###/### ####", "### ###.####", "0### ###-###", "1-###-###-####"]
 HELD_PHONES = ["(###)###-####", "### ###-####", "00## ## #######", "0#### #####", "(0##) #######", "###/###-####", "0##/### ## ##"]
 IPS, HELD_IPS = ["[.]", " . ", "(.)", " dot ", "-", " [.] ", "[dot]", " (dot) ", " .", "{.}", " - ", "{dot}", " DOT "], [" [dot] ", "(dot)", " (.) ", ". "]
 HELD_CARDS = [" · ", "/ ", "_ "]
@@ -214,7 +214,7 @@ def arrays(sentences: list[tuple[str, list[tuple[int, int, int]]]], size: int) -
 
 
 @lru_cache(maxsize=2)
-def trained(sentences: int = 6000, steps: int = 900, seed: int = 5) -> dict[str, np.ndarray]:
+def trained(sentences: int = 6000, steps: int = 900, seed: int = 6) -> dict[str, np.ndarray]:
     """Weights of a tagger trained on labelled(sentences, seed); a session trains once."""
     tagger = Tagger()
     tagger.fit(*arrays(labelled(sentences, seed), TRAIN_CHARS), steps=steps)
@@ -254,6 +254,35 @@ def _edges(kind: int, text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+#: Digit groups beside a span that a card may go on into.
+_MORE, _LESS = re.compile(r"[ ./_·-]{1,3}[0-9]+"), re.compile(r"[0-9]+[ ./_·-]{1,3}\Z")
+
+
+def _card_around(text: str, a: int, b: int) -> tuple[int, int] | None:
+    """The longest card that a span of digits makes with up to three digit groups on either side."""
+    begins, ends = [a], [b]
+    while len(begins) < 4 and (m := _LESS.search(text, max(0, begins[-1] - 24), begins[-1])):
+        begins.append(m.start())
+    while len(ends) < 4 and (m := _MORE.match(text, ends[-1], ends[-1] + 24)):
+        ends.append(m.end())
+    fit = [(x, y) for x in begins for y in ends if not text[x - 1 : x].isalnum() and not text[y : y + 1].isalnum() and well_formed(2, text[x:y])]
+    return max(fit, key=lambda s: (s[1] - s[0], -s[0]), default=None)
+
+
+#: What is read before a number that says it's none of these.
+_NAMED = re.compile(r"(?:ISBN|ISSN|IBAN|EAN|SKU|DOI|[Oo]rder|[Ii]nvoice|[Tt]icket|[Aa]rticle|[Ii]tem|[Pp]art|[Ss]erial)(?:-1[03])?(?: ?(?:[Nn]o|[Nn]umber|[Nn]r|id|ID)\b)?[ .:#]*\Z|[A-Z]{2}[0-9]{2}(?: [0-9]{4})* \Z")
+#: Runs of small numbers, and two groups of a year and a serial.
+_ROW = re.compile(r"[0-9]{1,2}(?: [0-9]{1,2}){5,}|(?:19|20)[0-9]{2}(?:-[0-9]{4}){2}")
+
+
+def _other_number(text: str, a: int, b: int) -> bool:
+    """Whether a phone's digits are a row of numbers, an order's, or what the word before them names."""
+    s = text[a:b]
+    row = _ROW.fullmatch(s)
+    rising = row and " " in s and (n := [int(x) for x in s.split()]) == sorted(n) and len(set(n)) == len(n)
+    return bool(rising or row and "-" in s or _NAMED.search(text, max(0, a - 40), a))
+
+
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], tagger: Tagger, least: float = ODDS) -> list[list[tuple[int, int, int]]]:
     """Spans of each text that the tagger adds to its base spans."""
     out: list[list[tuple[int, int, int]]] = []
@@ -263,7 +292,11 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], tagger
             a, b = _edges(kind, text, a, b)
             whole = not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum())
             # Check digits and their number tell cards from phones.
+            if kind >= 2 and whole and (card := _card_around(text, a, b)):
+                kind, (a, b) = 2, card
             fits = [k for k in ((2, 3) if kind >= 2 else (kind,)) if well_formed(k, text[a:b])]
+            if fits == [3] and _other_number(text, a, b):
+                continue
             if p >= least and whole and fits and all(b <= x or y <= a for _, x, y in known):
                 own.append((fits[0], a, b))
         out.append(_apart(own))

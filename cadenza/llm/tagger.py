@@ -20,6 +20,8 @@ CLASSES = 131
 WINDOW, OVERLAP = 512, 48
 #: Windows that are read at once, and lengths that texts shorter than a window are padded to.
 BATCH, STEP = 1024, 64
+#: Longer texts are read as a stream of windows.
+LONG = 400_000
 #: An emission that rules a tag out.
 NEVER = -1e4
 
@@ -185,30 +187,26 @@ class Tagger:
         nothing but the text. ``wanted`` tells of classes which characters matter: stretches of the path without
         any such character, whose spans nobody wants, aren't decoded.
         """
+        out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+        for k, text in enumerate(texts):
+            if len(text) > LONG:
+                out[k] = list(self._streamed(text, wanted))
+        texts = ["" if len(t) > LONG else t for t in texts]
         length = np.array([len(t) for t in texts], np.int64)
         base = np.cumsum(length) - length
         ids = classes("".join(texts))
-        out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
         if not len(ids):
             return out
         windows = _Windows(length, base)
         lead = np.zeros(len(ids), np.float32)
-        T = self.w["T"]
-        # What a tag owes for the way back to tag 0; with it, a step into tag j brings at most step[j].
-        cost = T[0, 0] - T[:, 0]
-        step = (T + cost[:, None] - cost).max(0).astype(np.float32)
+        begin, end, slack = self._debts()
         for own, at, inside in windows.groups():
             e = self.emissions(np.where(inside, ids[at], CLASSES - 1))
             windows.keep(own, e)
-            most = e[:, 1] + step[1]
-            for j in range(2, TAGS):
-                np.maximum(most, e[:, j] + step[j], out=most)
-            windows.add(lead, (e[:, 0] + np.float32(T[0, 0]) - most).T, own, at, inside)
-        # A path may begin or end in any tag: a text's first and last characters have to lead by what that saves.
+            windows.add(lead, self._leads(e), own, at, inside)
         full = length > 0
-        lead[base[full]] -= max(0.0, float((T[0, 0] - cost - step).max()))
-        lead[(base + length - 1)[full]] -= max(0.0, float(cost.max()))
-        slack = float((step - T[0] + cost)[1:].max()) + 1e-3
+        lead[base[full]] -= begin
+        lead[(base + length - 1)[full]] -= end
         where = list(_loud(lead, slack, base))
         if wanted is not None:
             many = np.concatenate([[0], np.cumsum(wanted(ids))])
@@ -220,6 +218,70 @@ class Tagger:
             out[t] += [(k, x + a - int(base[t]), y + a - int(base[t]), q) for k, x, y, q in tagged_spans(tags, odds)]
         return out
 
+    def _steps(self) -> tuple[np.ndarray, np.ndarray]:
+        """What a tag owes for the way back to tag 0; with it, a step into tag j brings at most step[j]."""
+        T = self.w["T"]
+        cost = T[0, 0] - T[:, 0]
+        return cost, (T + cost[:, None] - cost).max(0).astype(np.float32)
+
+    def _debts(self) -> tuple[float, float, float]:
+        """By how much a text's first and last characters have to lead more, as a path may begin or end in any tag; and ``_loud``'s slack."""
+        T, (cost, step) = self.w["T"], self._steps()
+        return max(0.0, float((T[0, 0] - cost - step).max())), max(0.0, float(cost.max())), float((step - T[0] + cost)[1:].max()) + 1e-3
+
+    def _leads(self, e: np.ndarray) -> np.ndarray:
+        """By how much tag 0 is ahead of all others at each character of windows, whatever steps lead there."""
+        _, step = self._steps()
+        most = e[:, 1] + step[1]
+        for j in range(2, TAGS):
+            np.maximum(most, e[:, j] + step[j], out=most)
+        return (e[:, 0] + np.float32(self.w["T"][0, 0]) - most).T
+
+    def _streamed(self, text: str, wanted: Callable[[np.ndarray], np.ndarray] | None) -> Iterator[tuple[int, int, int, float]]:
+        """As ``spans`` for one long text: stretches are decoded as windows get done, and what lies behind them is dropped.
+
+        What's held grows with the longest stretch that has to be decoded as one, not with the text.
+        """
+        n = len(text)
+        windows = _Windows(np.array([n]), np.array([0]))
+        begin, end, slack = self._debts()
+        many, low, lead = len(windows.begin), 0, np.zeros(0, np.float32)  # lead: of the characters from low on
+        for first in range(0, many, BATCH):
+            own = np.arange(first, min(first + BATCH, many))
+            reach = int(windows.begin[own[-1]] + windows.size[own[-1]])
+            at = windows.begin[own, None] + np.arange(int(windows.padded[0]))
+            inside = np.arange(at.shape[1]) < windows.size[own, None]
+            start = int(at[0, 0])
+            ids = classes(text[start:reach])
+            e = self.emissions(np.where(inside, ids[np.minimum(at - start, len(ids) - 1)], CLASSES - 1))
+            windows.keep(own, e)
+            lead = np.concatenate([lead, np.zeros(reach - low - len(lead), np.float32)])
+            windows.add(lead, self._leads(e), own, np.where(inside, at - low, 0), inside)
+            over = own[-1] == many - 1
+            if first == 0:
+                lead[0] -= begin
+            if over:
+                lead[n - 1 - low] -= end
+            # No later window reaches the characters before ``done``.
+            done = n if over else int(windows.begin[own[-1] + 1])
+            known = lead[: done - low]
+            sums = np.concatenate([[0.0], np.cumsum(np.maximum(known, 0), dtype=np.float64)])
+            where = [(low + a, low + b) for _, a, b in _loud(known, slack, np.zeros(1, np.int64))]
+            loud = np.flatnonzero(known <= 0)
+            behind = int(np.searchsorted(sums, sums[-1] - 2 * slack, "left")) - 1  # leads from there on part what comes from what was
+            if not over and len(loud) and sums[-1] - sums[loud[-1] + 1] <= 2 * slack:
+                behind = min(behind, where.pop()[0] - low)  # it may go on
+            around = max(0, low - 1)
+            kept = np.concatenate([[0], np.cumsum(wanted(classes(text[around : done + 1]))[low - around :])]) if wanted is not None else None
+            where = [w for w in where if kept is None or kept[w[1] - low] > kept[w[0] - low]]
+            cut = [(a > 0, b < n) for a, b in where]
+            for (a, _), (x, y), (tags, odds) in zip(where, cut, self._paths([windows.emissions(0, *w, *c) for w, c in zip(where, cut)])):
+                yield from ((k, p + a, q + a, o) for k, p, q, o in tagged_spans(tags[x : len(tags) - y], odds[x : len(odds) - y]))
+            behind = max(behind, 0)
+            low, lead = low + behind, lead[behind:]
+            for k in [k for k in windows.kept if windows.begin[k] + WINDOW <= low]:
+                del windows.kept[k]
+
     def _paths(self, parts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The best tags of each stretch of emissions and their marginal odds; stretches of like lengths go together."""
         order = sorted(range(len(parts)), key=lambda k: len(parts[k]))
