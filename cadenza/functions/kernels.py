@@ -248,7 +248,9 @@ def hngd_cepstra(fr: np.ndarray, fs: float, bands: int = BANDS, n: int = CEPSTRA
 def median5(x: np.ndarray) -> np.ndarray:
     """Median of the 5 x 5 places round each, mirrored at the borders."""
     wide = np.pad(x, 2, "symmetric")
-    return np.median(np.lib.stride_tricks.sliding_window_view(wide, (5, 5)).reshape(*x.shape, 25), 2)
+    around = np.lib.stride_tricks.sliding_window_view(wide, (5, 5)).reshape(*x.shape, 25)
+    around.partition(12, axis=2)
+    return around[:, :, 12]
 
 
 def modified_group_delays(fr: np.ndarray, grid: list[tuple[float, float]], n: int = CEPSTRA, nfft: int = 512, smooth: int = 30) -> Iterator[np.ndarray]:
@@ -276,7 +278,7 @@ def instantaneous_frequency(fr: np.ndarray, fs: float, hop: int, bands: int = 12
     """DCT-II of the first n values, from the highest band down, of the bands' mean frequencies less their own centre.
 
     Bands are Gaussian, one band wide, centred one band below their number; running sums over a frame and one more sample smooth
-    the products. The wave isn't dithered: ``dithered`` does that, with a seed.
+    the products. The wave isn't dithered: ``dithered`` does that, with a seed. Only the bands that are given out are made.
     """
     k, size = fr.shape
     x = joined(fr, hop) * 2**15
@@ -284,16 +286,17 @@ def instantaneous_frequency(fr: np.ndarray, fs: float, hop: int, bands: int = 12
     half = many // 2 + 1
     spectrum = np.fft.fft(x)[:half]
     bins, step = np.arange(half), 1 / (bands - 1)
-    out = np.zeros((k, bands))
+    first = max(0, bands - n)
+    out = np.zeros((k, bands - first))
     at = hop * np.arange(k)
-    for b in range(bands):
+    for b in range(first, bands):
         own = spectrum * np.exp(-0.5 * ((bins / max(half - 1, 1) - (b - 1) * step) / step) ** 2)
         z, dz = np.fft.ifft(own, many), np.fft.ifft(own * bins, many)
         top, under = (np.convolve(v, np.ones(size + 1))[:many] for v in ((z.conj() * dz).real, np.abs(z) ** 2))
         centre = (np.round(b * step * half) - 1) / many * 2 * np.pi
         smooth = top / (under + TINY) * (2 * np.pi / many) - centre
-        out[:, b] = smooth[at[:, None] + np.arange(size)] @ np.hamming(size)
-    return out[:, ::-1][:, :n] @ cosines(n, n, False).T
+        out[:, b - first] = smooth[at[:, None] + np.arange(size)] @ np.hamming(size)
+    return out[:, ::-1] @ cosines(n, n, False)[:, : out.shape[1]].T
 
 
 # Whole waves.
