@@ -14,15 +14,15 @@ def finite(frames: DataFrame) -> DataFrame:
     return frames.where(F.col("v").isNotNull() & ~bad).withColumn("i", (F.row_number().over(Window.partitionBy("file").orderBy("i")) - 1).cast("long"))
 
 
-def scaled_elements(frames: DataFrame) -> DataFrame:
-    """(file, i, d, x, n): elements of v less their file's mean over their population deviation; constant ones are 0.
+def scaled_elements(frames: DataFrame, scaled: bool = True) -> DataFrame:
+    """(file, i, d, x, n): elements of v less their file's mean over their population deviation; constant ones are 0. Without ``scaled`` they stay as they are.
 
     Moments are sums by file and element, joined back: no window holds a file.
     """
     long = frames.select("file", "i", F.posexplode("v").alias("d", "x")).withColumn("x", F.col("x").cast("double"))
     moments = long.groupBy("file", "d").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count("*").alias("n"))
     z = F.coalesce(F.try_divide(F.col("x") - F.col("m"), "s"), F.lit(0.0))
-    return long.join(moments, ["file", "d"]).select("file", "i", "d", z.alias("x"), "n")
+    return long.join(moments, ["file", "d"]).select("file", "i", "d", (z if scaled else F.col("x")).alias("x"), "n")
 
 
 def tiled_rows(seq: DataFrame, size: int) -> DataFrame:
@@ -32,12 +32,12 @@ def tiled_rows(seq: DataFrame, size: int) -> DataFrame:
     return rows.withColumns({"i": F.col("i") + F.col("__k") * F.col("n"), "n": F.col("n") * times}).drop("__k")
 
 
-def patch_summaries(frames: DataFrame, size: int, step: int, keep: list[int] | None = None) -> DataFrame:
+def patch_summaries(frames: DataFrame, size: int, step: int, keep: list[int] | None = None, scaled: bool = True) -> DataFrame:
     """(file, patch, v): means, then population variances, of the elements (those in keep, by default all) over each patch.
 
-    frames: (file, i, v) with i from 0 on. Frames that aren't finite go first; files that have none left give no row.
+    frames: (file, i, v) with i from 0 on. Elements are scaled by file, unless told otherwise. Frames that aren't finite go first; files that have none left give no row.
     """
-    elements = tiled_rows(scaled_elements(finite(frames)), size)
+    elements = tiled_rows(scaled_elements(finite(frames), scaled), size)
     if keep is not None:
         elements = elements.where(F.col("d").isin(keep))
     each = patch_grid(elements.withColumn("file", F.struct("file", "d")), size, step)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import arrays
-from cadenza.operators import balance, chunks, fusion, metrics, models, network, patches, ranks, report, sequence, signal, silence, split, stats, svm, tensors
+from cadenza.operators import balance, chunks, fusion, metrics, models, network, patches, ranks, recognition, report, sequence, signal, silence, split, stats, svm, tensors
 from cadenza.sources import store
 from cadenza.sources.tables import shared_folder
 
@@ -769,6 +769,15 @@ def file_scores(spark, sf):
     return out.select("file", "patch", F.transform("p", lambda x: F.round(x, 6)).alias("p"), "y")
 
 
+@query("noise_recognition")
+def noise_recognition(spark, sf):
+    """Users' signals, told apart by whether they have more events than most, under other users' signals as noise."""
+    waves = signal.waves_of(signals(spark, sf)).withColumn("cls", (F.size("samples") > 66).cast("int"))
+    setting = recognition.Setting(SIZE, HOP, 3, 2, FS)
+    found = recognition.noise_report(waves, waves.select(F.col("file").alias("noise"), "samples"), [10.0, 0.0], ["spectral_shape", "log_mel_sum"], setting, [8], epochs=10)
+    return rounded(found, "precision", "recall", "f1")
+
+
 @query("phase_features")
 def phase_features(spark, sf):
     rows = signal.phase_features(_frames(spark, sf), FS, STEP)

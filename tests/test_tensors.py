@@ -221,3 +221,28 @@ def test_sinks_and_sessions(spark, tmp_path):
     at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
     events = spark.createDataFrame([(1, at(0)), (1, at(4)), (1, at(20)), (2, at(1))], "user_id long, ts timestamp")
     assert sorted((q.user_id, q.n) for q in windows.sessions(events, "10 seconds").collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_noise_report_from_waves_to_scores(spark):
+    """Tones against noise: clean files are told apart, loud noise blurs them; every held-out file counts once a level and family."""
+    from cadenza.operators import recognition
+
+    r = np.random.default_rng(12)
+    t = np.arange(400) / 8000
+    waves = [(f"t{k}", "tone", (np.sin(2 * np.pi * (300 + 20 * k) * t) + 0.05 * r.normal(size=400)).tolist()) for k in range(20)] + [(f"n{k}", "hiss", r.normal(size=400).tolist()) for k in range(20)]
+    odd = [(None, "tone", [0.0] * 400), ("x", None, [0.0] * 400), ("y", "tone", None), ("z", "tone", [1.0, 2.0])]
+    schema = "file string, cls string, samples array<double>"
+    df = spark.createDataFrame(waves + odd, schema).repartition(3)
+    noises = spark.createDataFrame([("w", r.normal(size=150).tolist())], "noise string, samples array<double>")
+    setting = recognition.Setting(80, 40, 4, 2, 8000)
+    args = dict(levels=[20.0, -30.0], families=["log_mel", "zero_crossings"], setting=setting, hidden=[6], epochs=25, rate=0.05)
+    got = {(q.snr_db, q.feat, q.label): q for q in recognition.noise_report(df, noises, **args).collect()}
+    for level in (None, 20.0, -30.0):
+        for feat in ("log_mel", "zero_crossings", "fused"):
+            own = [q for (d, f, _), q in got.items() if d == level and f == feat]
+            assert sum(q.n for q in own) == sum(q.said for q in own) == 12 and all(q.n == 6 for q in own if q.n)
+    score = lambda level: sum(q.tp for (d, f, _), q in got.items() if d == level and f == "fused")
+    assert score(None) >= 11 and score(20.0) >= 10 and score(-30.0) <= 9
+    q = got[None, "fused", "tone"]
+    assert q.precision == q.tp / q.said and q.recall == q.tp / 6 and abs(q.f1 - 2 * q.tp / (6 + q.said)) < 1e-12
+    assert recognition.noise_report(df.limit(0), noises, **args).collect() == []
