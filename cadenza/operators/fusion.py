@@ -1,4 +1,7 @@
-"""Late fusion of the scores of several feature families: rows (key, feat, p array<double>)."""
+"""Late fusion of the scores of several feature families: rows (key, feat, p array<double>).
+
+Null scores are left out of sums and means, a null array gives nothing; a null key is a key, but ``complete`` leaves it out. Repeated rows count as often as they stand there. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 

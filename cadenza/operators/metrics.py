@@ -1,10 +1,16 @@
-"""Agreement of labels and of events."""
+"""Agreement of labels and of events.
+
+``confusion`` counts nulls as labels of their own; scores of fixed labels count a null as none of them. Rows count as often as they stand there. Scores of nothing are null, or 0 where that's said; empty
+tables give no rows where scores are by key.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import fresh
+
 
 def confusion(rows: DataFrame) -> DataFrame:
     """(y, p, n) counts of truth y and prediction p."""
@@ -44,7 +50,8 @@ def segment_stats(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     n = lambda y, p: F.count_if((F.col("y") == y) & (F.col("p") == p))
     counts = rows.groupBy(*keys).agg(n(1, 1).alias("tp"), n(0, 1).alias("fp"), n(1, 0).alias("fn"), n(0, 0).alias("tn"))
     kinds = F.array(F.struct(F.lit(1).alias("cls"), "tp", "fp", "fn"), F.struct(F.lit(0).alias("cls"), F.col("tn").alias("tp"), F.col("fn").alias("fp"), F.col("fp").alias("fn")))
-    each = counts.select(*keys, F.explode(kinds).alias("k")).select(*keys, "k.*")
+    kind, = fresh(keys, "k")
+    each = counts.select(*keys, F.explode(kinds).alias(kind)).select(*keys, f"{kind}.*")
     ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(a) + F.col(b))
     scored = each.withColumns({"precision": ratio("tp", "fp"), "recall": ratio("tp", "fn")})
     return scored.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))

@@ -3,6 +3,9 @@
 What needs the neighbours of a sample in a fixed reach is written as an explode to the frames that
 hold it and a grouping, which sums up before it shuffles; what runs along a whole sequence is a window
 over (file, i), and all such windows of one operator share one exchange and sort.
+
+A null file is a file like any other, but for what joins by file (``patch_centered``, ``snr_gain``, ``interval_frames``), which leaves it out. Means, variances and energies are
+of the samples that aren't null; a frame of null samples alone has null ones. A repeated row counts as often as it stands there in frames. Empty tables give no rows.
 """
 
 from __future__ import annotations

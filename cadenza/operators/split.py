@@ -1,4 +1,8 @@
-"""Splits, scaling and balancing."""
+"""Splits, scaling and balancing.
+
+Places in a class are exact and need no task for a class (``ranks.running``); rows that the order doesn't tell apart are placed as they come. A null class is a class. Null vectors give no elements and a null
+scaled vector; null elements are left out of means and deviations, and give 0. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 
