@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import fresh
 from .sequence import patch_grid
 
 
@@ -28,8 +29,9 @@ def scaled_elements(frames: DataFrame, scaled: bool = True) -> DataFrame:
 def tiled_rows(seq: DataFrame, size: int) -> DataFrame:
     """Sequences (file, i, ..., n) shorter than size, repeated whole until they are longer."""
     times = F.when(F.col("n") < size, F.floor(F.lit(size) / F.col("n")) + 1).otherwise(1).cast("long")
-    rows = seq.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
-    return rows.withColumns({"i": F.col("i") + F.col("__k") * F.col("n"), "n": F.col("n") * times}).drop("__k")
+    turn, = fresh(seq.columns, "turn")
+    rows = seq.withColumn(turn, F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
+    return rows.withColumns({"i": F.col("i") + F.col(turn) * F.col("n"), "n": F.col("n") * times}).drop(turn)
 
 
 def patch_summaries(frames: DataFrame, size: int, step: int, keep: list[int] | None = None, scaled: bool = True) -> DataFrame:

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import fresh
+
 
 def _by():
     return Window.partitionBy("file").orderBy("i")
@@ -33,8 +35,9 @@ def framed(seq: DataFrame, size: int, hop: int) -> DataFrame:
     """seq with a row for each full frame that holds a sample: frame f spans [f * hop, f * hop + size)."""
     first = F.greatest(F.lit(0), F.ceil((F.col("i") - size + 1) / hop)).cast("long")
     last = F.least(F.floor(F.col("i") / hop), F.floor((F.col("n") - size) / hop)).cast("long")
-    inside = seq.where(F.col("n") >= size).withColumns({"__a": first, "__b": last}).where("__a <= __b")
-    return inside.withColumn("frame", F.explode(F.sequence("__a", "__b"))).drop("__a", "__b")
+    a, b = fresh(seq.columns, "first", "last")
+    inside = seq.where(F.col("n") >= size).withColumns({a: first, b: last}).where(F.col(a) <= F.col(b))
+    return inside.withColumn("frame", F.explode(F.sequence(a, b))).drop(a, b)
 
 
 def frame_mean_var(seq: DataFrame, size: int, hop: int) -> DataFrame:
@@ -205,6 +208,7 @@ def snr_gain(signal: DataFrame, noise: DataFrame, levels: list[int]) -> DataFram
 
 def tail_filled(short: DataFrame, n: Column) -> DataFrame:
     """Rows (file, i, x, m = own length) lengthened to n places with copies of the last n - m ones."""
-    longer = short.withColumn("__n", n)
-    copies = longer.where(F.col("i") >= 2 * F.col("m") - F.col("__n")).where(F.col("__n") > F.col("m")).withColumn("i", F.col("i") + F.col("__n") - F.col("m"))
-    return longer.unionByName(copies).drop("__n")
+    many, = fresh(short.columns, "many")
+    longer = short.withColumn(many, n)
+    copies = longer.where(F.col("i") >= 2 * F.col("m") - F.col(many)).where(F.col(many) > F.col("m")).withColumn("i", F.col("i") + F.col(many) - F.col("m"))
+    return longer.unionByName(copies).drop(many)

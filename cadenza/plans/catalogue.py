@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import arrays
 from cadenza.operators import balance, chunks, fusion, metrics, models, network, patches, ranks, recognition, report, sequence, signal, silence, split, stats, svm, tensors
-from cadenza.sources import store
+from cadenza.sources import audio, store
 from cadenza.sources.tables import shared_folder
 
 SIZE, HOP = 17, 8
@@ -355,7 +355,8 @@ def score_mean_fusion(spark, sf):
 
 @query("missing_features_anti", "", "select doc_id from documents where doc_id not in (select doc_id from labels)")
 def missing_features_anti(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left_anti")
+    files, there = (table(spark, sf, t).select(F.col("doc_id").alias("file")) for t in ("documents", "labels"))
+    return audio.missing(files, there).select(F.col("file").alias("doc_id"))
 
 
 @query("available_features_semi", "", "select doc_id from documents where doc_id in (select doc_id from labels)")
