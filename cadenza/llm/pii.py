@@ -222,11 +222,11 @@ def trained(sentences: int = 6000, steps: int = 900, seed: int = 6) -> dict[str,
 
 
 def _signs(ids: np.ndarray) -> np.ndarray:
-    """Of a text's classes: digits, @, and the t of "at" that no letter follows: every well-formed span has one."""
+    """Of a text's classes: digits, @, and the t of an "at" that no letter stands before or after: every well-formed span has one."""
     t = (ids == ord("t")) | (ids == ord("T"))
-    after_a = np.concatenate([[False], (ids[:-1] == ord("a")) | (ids[:-1] == ord("A"))])
     letter = ((ids >= 65) & (ids <= 90)) | ((ids >= 97) & (ids <= 122))
-    return ((ids >= 48) & (ids <= 57)) | (ids == ord("@")) | (t & after_a & ~np.concatenate([letter[1:], [False]]))
+    a = ((ids == ord("a")) | (ids == ord("A"))) & ~np.concatenate([[False], letter[:-1]])
+    return ((ids >= 48) & (ids <= 57)) | (ids == ord("@")) | (t & np.concatenate([[False], a[:-1]]) & ~np.concatenate([letter[1:], [False]]))
 
 
 def _apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

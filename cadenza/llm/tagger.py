@@ -22,8 +22,8 @@ WINDOW, OVERLAP = 512, 48
 BATCH, STEP = 1024, 64
 #: Longer texts are read as a stream of windows.
 LONG = 400_000
-#: An emission that rules a tag out.
-NEVER = -1e4
+#: An emission that rules a tag out, and what a window that isn't read says of all tags but 0.
+NEVER, QUIET = -1e4, -50.0
 
 
 def classes(text: str) -> np.ndarray:
@@ -185,7 +185,8 @@ class Tagger:
         of an overlap emissions are blended from the one window to the other, over OVERLAP characters, so that the
         windows are reconciled before one path is decoded for the whole text. A text's result depends on
         nothing but the text. ``wanted`` tells of classes which characters matter: stretches of the path without
-        any such character, whose spans nobody wants, aren't decoded.
+        any such character, whose spans nobody wants, aren't decoded, and windows that have none and stand beside none that has
+        are taken to be quiet without being read.
         """
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
         for k, text in enumerate(texts):
@@ -200,17 +201,19 @@ class Tagger:
         windows = _Windows(length, base)
         lead = np.zeros(len(ids), np.float32)
         begin, end, slack = self._debts()
-        for own, at, inside in windows.groups():
+        many = np.concatenate([[0], np.cumsum(wanted(ids))]) if wanted is not None else np.arange(len(ids) + 1)
+        read = windows.beside(many[windows.begin + windows.size] > many[windows.begin])
+        for own, at, inside in windows.groups(read):
             e = self.emissions(np.where(inside, ids[at], CLASSES - 1))
             windows.keep(own, e)
             windows.add(lead, self._leads(e), own, at, inside)
+        for own, at, inside in windows.groups(~read):
+            windows.add(lead, np.full(inside.shape, -QUIET, np.float32), own, at, inside)
         full = length > 0
         lead[base[full]] -= begin
         lead[(base + length - 1)[full]] -= end
         where = list(_loud(lead, slack, base))
-        if wanted is not None:
-            many = np.concatenate([[0], np.cumsum(wanted(ids))])
-            where = [w for w in where if many[w[2]] > many[w[1]]]
+        where = [w for w in where if many[w[2]] > many[w[1]]]
         # Within a text the stretches begin and end beside tag 0; a row for it is put there and taken away.
         cut = [(bool(a > base[t]), bool(b < base[t] + length[t])) for t, a, b in where]
         for (t, a, _), (x, y), (tags, odds) in zip(where, cut, self._paths([windows.emissions(*w, *c) for w, c in zip(where, cut)])):
@@ -246,6 +249,14 @@ class Tagger:
         windows = _Windows(np.array([n]), np.array([0]))
         begin, end, slack = self._debts()
         many, low, lead = len(windows.begin), 0, np.zeros(0, np.float32)  # lead: of the characters from low on
+        has = np.ones(many, bool)
+        for first in range(0, many if wanted is not None else 0, BATCH):
+            some = slice(first, first + BATCH)
+            a, b = windows.begin[some], windows.begin[some] + windows.size[some]
+            before = max(0, int(a[0]) - 2)
+            sums = np.concatenate([[0], np.cumsum(wanted(classes(text[before : int(b[-1]) + 1])))])
+            has[some] = sums[b - before] > sums[a - before]
+        read = windows.beside(has)
         for first in range(0, many, BATCH):
             own = np.arange(first, min(first + BATCH, many))
             reach = int(windows.begin[own[-1]] + windows.size[own[-1]])
@@ -253,10 +264,15 @@ class Tagger:
             inside = np.arange(at.shape[1]) < windows.size[own, None]
             start = int(at[0, 0])
             ids = classes(text[start:reach])
-            e = self.emissions(np.where(inside, ids[np.minimum(at - start, len(ids) - 1)], CLASSES - 1))
-            windows.keep(own, e)
             lead = np.concatenate([lead, np.zeros(reach - low - len(lead), np.float32)])
-            windows.add(lead, self._leads(e), own, np.where(inside, at - low, 0), inside)
+            for loud in (True, False):
+                if not len(some := np.flatnonzero(read[own] == loud)):
+                    continue
+                if loud:
+                    e = self.emissions(np.where(inside[some], ids[np.minimum(at[some] - start, len(ids) - 1)], CLASSES - 1))
+                    windows.keep(own[some], e)
+                leads = self._leads(e) if loud else np.full(inside[some].shape, -QUIET, np.float32)
+                windows.add(lead, leads, own[some], np.where(inside[some], at[some] - low, 0), inside[some])
             over = own[-1] == many - 1
             if first == 0:
                 lead[0] -= begin
@@ -271,7 +287,7 @@ class Tagger:
             behind = int(np.searchsorted(sums, sums[-1] - 2 * slack, "left")) - 1  # leads from there on part what comes from what was
             if not over and len(loud) and sums[-1] - sums[loud[-1] + 1] <= 2 * slack:
                 behind = min(behind, where.pop()[0] - low)  # it may go on
-            around = max(0, low - 1)
+            around = max(0, low - 2)
             kept = np.concatenate([[0], np.cumsum(wanted(classes(text[around : done + 1]))[low - around :])]) if wanted is not None else None
             where = [w for w in where if kept is None or kept[w[1] - low] > kept[w[0] - low]]
             cut = [(a > 0, b < n) for a, b in where]
@@ -351,10 +367,18 @@ class _Windows:
         self.leave = np.where(last, 2 * WINDOW, (after + begin + WINDOW) // 2 - begin)
         self.kept: dict[int, tuple[np.ndarray, int]] = {}
 
-    def groups(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Windows of one padded length: their numbers, their characters' places, and which of these are in the text."""
-        for width in np.unique(self.padded):
-            own = np.flatnonzero(self.padded == width)
+    def beside(self, has: np.ndarray) -> np.ndarray:
+        """The windows that are marked, and those beside them in the same text."""
+        out, same = has.copy(), self.text[1:] == self.text[:-1]
+        out[1:] |= has[:-1] & same
+        out[:-1] |= has[1:] & same
+        return out
+
+    def groups(self, which: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows of one padded length, all or those marked: their numbers, their characters' places, and which of these are in the text."""
+        which = np.ones(len(self.padded), bool) if which is None else which
+        for width in np.unique(self.padded[which]):
+            own = np.flatnonzero((self.padded == width) & which)
             for chunk in (own[k : k + BATCH] for k in range(0, len(own), BATCH)):
                 inside = np.arange(width) < self.size[chunk, None]
                 yield chunk, np.where(inside, self.begin[chunk, None] + np.arange(width), 0), inside
@@ -388,14 +412,17 @@ class _Windows:
         begins = self.begin[first : first + int(self.many[text])]
         low = max(0, int(np.searchsorted(begins, a - WINDOW, "right")))
         for k in range(first + low, first + int(np.searchsorted(begins, b, "left"))):
-            e, column = self.kept[k]
             begin = int(self.begin[k])
             x, y = max(a, begin), min(b, begin + int(self.size[k]))
             if x >= y:
                 continue
-            part = e[x - begin : y - begin, :, column]
+            if k in self.kept:
+                e, column = self.kept[k]
+                part = e[x - begin : y - begin, :, column]
+            else:
+                part = np.where(np.arange(TAGS) > 0, np.float32(QUIET), np.float32(0)) * np.ones((y - x, 1), np.float32)
             if x - begin < self.enter[k] + OVERLAP // 2 or y - begin > self.leave[k] - OVERLAP // 2:
-                part = part * self.weight([k], e.shape[0])[0, x - begin : y - begin, None]
+                part = part * self.weight([k], int(self.padded[k]))[0, x - begin : y - begin, None]
             out[x - a : y - a] += part
         return rows
 
