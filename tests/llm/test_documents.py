@@ -20,7 +20,7 @@ LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_meets_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "labels", "pages", "benchmark"):
+    for t in ("documents", "labels", "pages", "benchmark", "embeddings"):
         c.sql(f"create view {t} as from '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
