@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,69 +16,126 @@ from . import ranks, split, stats
 from .moments import matrix
 
 #: Rows of a group in one block, and distances a task holds at once.
-BLOCK, CELLS = 4_096, 2_000_000
+BLOCK, CELLS = 32_768, 2_000_000
+#: Tasks that a group is dealt over at least, if each of them has SOME rows to ask for.
+TASKS, SOME = 48, 1_024
+#: Neighbours whose least distance stands for all of them when a row's reach is bounded.
+STRIDE = 64
+
+
+class Block:
+    """Rows that others are compared with: their ids, their places in order of these, and their vectors."""
+
+    def __init__(self, ids: pa.Array, y: np.ndarray):
+        self.ids, self.y = ids, y
+        names = ids.to_numpy(zero_copy_only=False)
+        order = np.argsort(names, kind="stable")
+        self.place = np.empty(len(order), int)
+        self.place[order] = np.arange(len(order))
+        with np.errstate(all="ignore"):
+            self.mean = y.mean(0)
+            self.apart = np.ascontiguousarray((y - self.mean).T)
+            self.squares = (self.apart**2).sum(0)
+            self.reach = np.sqrt(self.squares.max())
+            self.raw = np.abs(y).max(initial=0)
+
+    def distances(self, x: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the pairs (rows, at), summed by element: the same sums whatever the block."""
+        d = np.zeros(len(rows))
+        for c in range(x.shape[1]):
+            d += (x[rows, c] - self.y[at, c]) ** 2
+        return d
+
+    def near(self, x: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place in the block, d) of the k nearest of each row of x, but for its own place (-1: none); by row, d and id.
+
+        A product of matrices bounds which rows can be among the k nearest: distances from it are wrong by less than ``slack``, and k groups of
+        STRIDE rows, or k rows, that reach no farther bound the k-th. Only what's within that is measured exactly.
+        """
+        n, m = len(x), len(self.y)
+        with np.errstate(all="ignore"):
+            z = x - self.mean
+            size = (z * z).sum(1)
+            far = np.sqrt(size) + self.reach
+            moved = 8 * np.finfo(float).eps * (np.abs(x).max(1, initial=0) + self.raw) * np.sqrt(x.shape[1])  # what the shift by the mean rounds away, at most
+            slack = 4 * (x.shape[1] + 8) * np.finfo(float).eps * far**2 + 2 * moved * far + moved**2
+            d = z @ self.apart
+            d *= -2
+            d += self.squares
+            d += size[:, None]
+            sure = np.isfinite(slack) & np.isfinite(self.squares).all()
+            mine = np.flatnonzero(own >= 0)
+            d[mine, own[mine]] = np.inf
+            whole = m // STRIDE * STRIDE
+            least = np.concatenate([d[:, :whole].reshape(n, STRIDE, -1).min(1), d[:, whole:]], 1) if whole >= k * STRIDE else d
+            bound = np.partition(least, k - 1, axis=1)[:, k - 1] if least.shape[1] > k else np.full(n, np.inf)
+            limit = np.where(sure, bound + 2 * slack, np.inf)
+            close = (d <= limit[:, None]) | ~sure[:, None]
+            close[mine, own[mine]] = False
+            rows, at = np.nonzero(close)
+            found = self.distances(x, rows, at)
+        kept = found < np.inf
+        rows, at, found = rows[kept], at[kept], found[kept]
+        order = np.lexsort((self.place[at], found, rows))
+        rows, at, found = rows[order], at[order], found[order]
+        first = np.searchsorted(rows, rows)
+        kept = np.arange(len(rows)) - first < k
+        return rows[kept], at[kept], found[kept]
 
 
 def nearest(rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(id, grp, near array<struct<d, id>>) of rows (id, grp, v): the k other rows of the same group at the least Euclidean distance, exactly.
 
-    d is the squared distance; equal ones are ordered by id. A group is cut into blocks, every two of which meet in a task of their own, which gives each row its k nearest of a
-    block; these lists are merged. Ids tell rows apart; null groups are a group; vectors are of one length, without nulls. Rows alone in a group have an empty list.
+    d is the squared distance; equal ones are ordered by id. A group is cut into blocks and its rows into shares that ask; each block meets each share in a task of its
+    own, which gives the share's rows their k nearest of the block; these lists are merged. Ids tell rows apart; null groups are a group; vectors are of one length, without
+    nulls. Rows alone in a group have an empty list. Every two rows are compared, so the work grows with the square of a group.
     """
     rows = rows.select("id", "grp", F.col("v").cast("array<double>").alias("v"))
-    sizes = rows.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row for each group
-    away, many, own, a, b, kind = ranks.fresh(rows.columns, "g", "blocks", "own", "a", "b", "kind")
-    placed = rows.join(sizes.toDF(away, many), F.col("grp").eqNullSafe(F.col(away))).drop(away)
-    placed = placed.withColumn(own, F.pmod(F.xxhash64("id"), F.col(many)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col(many) - 1))
-    base = placed.select("id", "grp", "v", every.alias(a), F.col(own).alias(b), F.lit(0).alias(kind))
-    asked = placed.select("id", "grp", "v", F.col(own).alias(a), every.alias(b), F.lit(1).alias(kind))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.ceil(F.count("*") / block)
+    shares = F.greatest(blocks, F.least(F.ceil(F.count("*") / SOME), F.ceil(F.lit(TASKS) / blocks)))
+    sizes = rows.groupBy("grp").agg(blocks.cast("int").alias("blocks"), shares.cast("int").alias("shares"))  # a row for each group
+    away, many, most, a, b, kind = ranks.fresh(rows.columns, "g", "blocks", "shares", "a", "b", "kind")
+    placed = rows.join(sizes.toDF(away, many, most), F.col("grp").eqNullSafe(F.col(away))).drop(away)
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    base = placed.select("id", "grp", "v", own(many).alias(a), every(most).alias(b), F.lit(0).alias(kind))
+    asked = placed.select("id", "grp", "v", every(many).alias(a), own(most).alias(b), F.lit(1).alias(kind))
+    parts = max(TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = base.union(asked).repartition(parts, "grp", a, b).sortWithinPartitions("grp", a, b, kind)
     kind_of = rows.schema["id"].dataType.simpleString()
 
-    def lists(ids: list, x: np.ndarray, others: list, y: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(np.array(others, dtype=object), kind="stable") if len(others) else np.zeros(0, int)
-        place = np.empty(len(order), int)
-        place[order] = np.arange(len(order))
-        mine = {i: n for n, i in enumerate(others)}
-        out_d, out_i, ends = [], [], [0]
-        step = max(1, CELLS // max(1, len(others)))
+    def lists(base: Block, ids: pa.Array, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = pc.index_in(ids, value_set=base.ids).fill_null(-1).to_numpy(zero_copy_only=False)
+        step = max(1, CELLS // max(1, len(base.y)))
         for at in range(0, len(ids), step):
-            d = np.zeros((min(step, len(ids) - at), len(others)))
-            for c in range(x.shape[1]):  # by element: the same sums whatever the block
-                d += (x[at : at + step, c, None] - y[None, :, c]) ** 2
-            for row, i in zip(d, ids[at : at + step]):
-                if i in mine:
-                    row[mine[i]] = np.inf
-                cut = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-                near = np.flatnonzero((row <= cut) & (row < np.inf))
-                near = near[np.lexsort((place[near], row[near]))][:k]
-                out_d += row[near].tolist()
-                out_i += [others[n] for n in near]
-                ends.append(len(out_d))
-        pairs = pa.StructArray.from_arrays([pa.array(out_d, pa.float64()), pa.array(out_i, ids_type)], names=["d", "id"])
-        return pa.RecordBatch.from_arrays([pa.array(ids, ids_type), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=["id", "near"])
-
-    ids_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind_of, pa.string())
+            some = x[at : at + step]
+            row, there, d = base.near(some, own[at : at + step], k)
+            ends = np.searchsorted(row, np.arange(len(some) + 1)).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(d, pa.float64()), base.ids.take(pa.array(there, pa.int64()))], names=["d", "id"])
+            yield pa.RecordBatch.from_arrays([ids.slice(at, step), pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["id", "near"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, others, y = None, [], []
+        now, ids, y, met = None, [], [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = list(zip(*(batch.column(c).to_pylist() for c in (1, 3, 4, 5))))
-            starts = [0, *(n for n in range(1, len(keys)) if keys[n] != keys[n - 1]), len(keys)]
+            starts = [0, *np.flatnonzero(ranks.changes([batch.column(c) for c in (1, 3, 4, 5)])).tolist(), batch.num_rows]
             for s, e in zip(starts, starts[1:]):
                 some = batch.slice(s, e - s)
-                if keys[s][:3] != now:
-                    now, others, y = keys[s][:3], [], []
-                if keys[s][3] == 0:
-                    others += some.column(0).to_pylist()
+                key = [some.column(c)[0].as_py() for c in (1, 3, 4)]
+                if key != now:
+                    now, ids, y, met = key, [], [], None
+                if some.column(5)[0].as_py() == 0:
+                    ids.append(some.column(0))
                     y.append(matrix(some.column(2)))
+                elif not ids:  # no row of the group is in this block
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array([[]] * (e - s), near_type)], names=["id", "near"])
                 else:
-                    yield lists(some.column(0).to_pylist(), matrix(some.column(2)), others, np.concatenate(y))
+                    if met is None:
+                        met, y = Block(pa.concat_arrays(ids), np.concatenate(y)), []
+                    yield from lists(met, some.column(0), matrix(some.column(2)))
 
+    near_type = pa.list_(pa.struct([("d", pa.float64()), ("id", {"bigint": pa.int64(), "int": pa.int32()}.get(kind_of, pa.string()))]))
     met = dealt.mapInArrow(run, f"id {kind_of}, near array<struct<d: double, id: {kind_of}>>")
     best = met.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     return best.join(rows.select("id", "grp"), "id").select("id", "grp", "near")

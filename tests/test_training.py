@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,27 @@ def test_nearest_by_brute_force(spark, block):
     assert balance.nearest(spark.createDataFrame([], "id long, grp int, v array<double>"), 4).collect() == []
 
 
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_few_pairs_are_measured_exactly(shift):
+    """A block's nearest rows by brute force, bit by bit, though few distances are summed by element; copies, far from the origin too, and rows beyond numbers."""
+    r = np.random.default_rng(9)
+    y = r.normal(0, 1, (3_000, 8)) + shift
+    y[50:60] = y[40]
+    names = r.permutation(3_000)
+    base, seen = balance.Block(pa.array(names), y), [0]
+    measured = base.distances
+    base.distances = lambda x, rows, at: (seen.__setitem__(0, seen[0] + len(at)), measured(x, rows, at))[1]
+    x, own = np.concatenate([y[:100], r.normal(0, 1, (20, 8)) + shift]), np.r_[np.arange(100), np.full(20, -1)]
+    row, at, d = base.near(x, own, 5)
+    assert seen[0] < 120 * 60
+    for k in range(120):
+        exact = sum(((y[:, c] - x[k, c]) ** 2 for c in range(1, 8)), (y[:, 0] - x[k, 0]) ** 2)
+        want = sorted((exact[n], names[n]) for n in range(3_000) if n != own[k])[:5]
+        assert list(zip(d[row == k], names[at[row == k]])) == want
+    odd = balance.Block(pa.array([1, 2, 3, 4]), np.array([[1e200, 0], [0, 1], [0, 2], [np.nan, 0]]))
+    assert odd.near(np.array([[0.0, 0.0]]), np.array([-1]), 2)[1].tolist() == [1, 2]
+
+
 def test_smote_and_editing(spark):
     r = np.random.default_rng(8)
     rows = [(k, 0 if k < 60 else 1 if k < 72 else 2, (r.normal(0, 1, 3) + (k >= 60) * 2).tolist(), "x") for k in range(73)] + [(900, None, [0.0] * 3, "x"), (901, 1, None, "x")]
