@@ -51,6 +51,8 @@ WAVES = {
 
 #: Frames of a block.
 BLOCK = 100
+#: Frames of short blocks that a kernel takes at once.
+FEW = 2_000
 
 
 def frames_of(seq: DataFrame, size: int, hop: int) -> DataFrame:
@@ -105,17 +107,24 @@ def _blocks(frames: DataFrame, block: int) -> DataFrame:
 
 
 def _block_rows(frames: DataFrame, block: int, kernel: Callable) -> DataFrame:
-    """(setting, file, frame, v) of a kernel that gives values of a block's frames for each of its settings in turn."""
+    """(setting, file, frame, v) of a kernel that takes several blocks' frames and gives (setting, values of all these frames) for each of its settings.
+
+    Blocks go through the kernel about FEW frames at a time, however short they are.
+    """
     kind = frames.schema["file"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                x = _matrix(batch["frames"][row].values)
-                n = len(x)
-                file, frame = batch["file"].take(pa.array(np.full(n, row))), pa.array(batch["first"][row].as_py() + np.arange(n))
-                for number, v in enumerate(kernel(x)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int32)), file, frame, _lists(v)], names=["setting", "file", "frame", "v"])
+            sizes = batch["frames"].value_lengths().to_numpy(zero_copy_only=False).astype(int)
+            before = np.cumsum(sizes) - sizes
+            cuts = np.flatnonzero(np.diff(before // FEW, prepend=-1)).tolist()
+            for s, e in zip(cuts, [*cuts[1:], batch.num_rows]):
+                some = batch.slice(s, e - s)
+                row = np.repeat(np.arange(e - s), sizes[s:e])
+                file = some["file"].take(pa.array(row))
+                frame = pa.array(some["first"].to_numpy()[row] + np.arange(len(row)) - (before[s:e] - before[s])[row])
+                for number, v in kernel(np.split(_matrix(some["frames"].flatten()), (before[s:e] - before[s])[1:])):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), number, np.int32)), file, frame, _lists(v)], names=["setting", "file", "frame", "v"])
 
     return _blocks(frames, block).mapInArrow(run, f"setting int, file {kind}, frame long, v array<double>")
 
@@ -139,13 +148,13 @@ def group_delays(frames: DataFrame, fs: float) -> DataFrame:
 
 def by_block(frames: DataFrame, family: str, fs: float, hop: int, block: int = BLOCK, **settings) -> DataFrame:
     """(file, frame, v): values of BLOCKS; block: frames that share a scale or a transform, which changes results."""
-    return _block_rows(frames, block, lambda x: [BLOCKS[family](x, fs, hop, **settings)]).drop("setting")
+    return _block_rows(frames, block, lambda xs: [(0, np.concatenate([BLOCKS[family](x, fs, hop, **settings) for x in xs]))]).drop("setting")
 
 
 def swept(frames: DataFrame, rhos: list[float], gammas: list[float], block: int = BLOCK) -> DataFrame:
     """Modified group delay cepstra under each rho and gamma, in one scan: (rho, gamma, file, frame, v)."""
     grid = [(float(rho), float(gamma)) for rho in rhos for gamma in gammas]
-    rows = _block_rows(frames, block, lambda x: kernels.modified_group_delays(x, grid))
+    rows = _block_rows(frames, block, lambda xs: kernels.modified_group_delays(xs, grid))
     pick = lambda k: F.element_at(F.array(*(F.lit(g[k]) for g in grid)), F.col("setting") + 1)
     return rows.select(pick(0).alias("rho"), pick(1).alias("gamma"), "file", "frame", "v")
 

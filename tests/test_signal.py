@@ -140,6 +140,18 @@ def test_blocks_and_sweep(spark, waves):
     assert signal.phase_features(frames, FS, HOP).where("size(hngd) = 39 and size(mgd) = 39 and size(ifc) = 39").count() == frames.count()
 
 
+def test_short_blocks_go_together(spark, waves):
+    """A kernel takes many short blocks at once, in which each keeps its own scale and median."""
+    frames = signal.frames_of_waves(waves, SIZE, HOP).coalesce(1)
+    seen = signal._block_rows(frames.repartition(1), 2, lambda xs: [(7, np.full((sum(map(len, xs)), 1), len(xs)))]).collect()
+    assert len(seen) == frames.count() and {(r.file, r.frame) for r in seen} == {(r.file, r.frame) for r in frames.collect()}
+    assert max(r.v[0] for r in seen) > 2 and {r.setting for r in seen} == {7}
+    many = [kernels.frames(wave(), SIZE, HOP)[a:b] for a, b in ((0, 3), (3, 4), (4, 25))] + [np.zeros((2, SIZE))]
+    together = dict(kernels.modified_group_delays(many, [(0.5, 0.9), (0.2, 0.9), (0.2, 0.1)]))
+    for number, setting in enumerate([(0.5, 0.9), (0.2, 0.9), (0.2, 0.1)]):
+        assert np.allclose(together[number], np.concatenate([kernels.modified_group_delay(x, FS, HOP, *setting) for x in many]))
+
+
 def test_peaks():
     assert kernels.peaks(np.array([0, 2, 1, 3, 3, 3, 1, 1, 4.0])).tolist() == [1, 4]
     assert kernels.peaks(np.array([1.0, 1.0, 1.0])).tolist() == kernels.peaks(np.zeros(0)).tolist() == []
