@@ -53,6 +53,8 @@ WAVES = {
 BLOCK = 100
 #: Frames of short blocks that a kernel takes at once.
 FEW = 2_000
+#: Samples that a kernel of frames takes at once, of one frame at least: some kernels need a hundred times the memory of their samples.
+SAMPLES = 32_768
 
 
 def frames_of(seq: DataFrame, size: int, hop: int) -> DataFrame:
@@ -87,12 +89,21 @@ def _lists(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.ascontiguousarray(rows, float).ravel()))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about SAMPLES samples of frames."""
+    for batch in batches:
+        lists = batch[column]
+        step = max(1, SAMPLES * len(lists) // max(1, len(lists.flatten())))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def by_frame(frames: DataFrame, parts: list[tuple[str, str]], fs: float, **settings) -> DataFrame:
     """(file, frame, v): values of FRAMES, each of a column of frames, one after another."""
     kind = frames.schema["file"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, parts[0][1]):
             if batch.num_rows:
                 v = np.concatenate([FRAMES[name](_matrix(batch[column]), fs, **settings) for name, column in parts], 1)
                 yield pa.RecordBatch.from_arrays([batch["file"], batch["frame"], _lists(v)], names=["file", "frame", "v"])
@@ -138,7 +149,7 @@ def group_delays(frames: DataFrame, fs: float) -> DataFrame:
     kind = frames.schema["file"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, "samples"):
             if batch.num_rows:
                 found = kernels.delay_family(_matrix(batch["samples"]), fs)
                 yield pa.RecordBatch.from_arrays([batch["file"], batch["frame"], *(_lists(found[k]) for k in DELAYS)], names=["file", "frame", *DELAYS])

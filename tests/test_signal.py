@@ -1,6 +1,7 @@
 """Signal operators against plain loops, one frame, band and sample at a time."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cadenza.functions import kernels
@@ -152,6 +153,16 @@ def test_short_blocks_go_together(spark, waves):
         assert np.allclose(together[number], np.concatenate([kernels.modified_group_delay(x, FS, HOP, *setting) for x in many]))
 
 
+def test_frames_are_taken_in_slices():
+    """Whatever a batch holds, a kernel of frames gets a bounded number of samples, and no frame is lost."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5_000)), pa.array([[0.0] * 64] * 5_000)], names=["frame", "samples"])
+    parts = list(signal._slices(iter([batch, batch.slice(0, 0)]), "samples"))
+    assert len(parts) > 5 and max(len(p["samples"].flatten()) for p in parts) <= signal.SAMPLES
+    assert [k for p in parts for k in p["frame"].to_pylist()] == list(range(5_000))
+    wide = pa.RecordBatch.from_arrays([pa.array([[0.0] * (signal.SAMPLES + 1)] * 2)], names=["samples"])
+    assert [p.num_rows for p in signal._slices(iter([wide]), "samples")] == [1, 1]
+
+
 def test_peaks():
     assert kernels.peaks(np.array([0, 2, 1, 3, 3, 3, 1, 1, 4.0])).tolist() == [1, 4]
     assert kernels.peaks(np.array([1.0, 1.0, 1.0])).tolist() == kernels.peaks(np.zeros(0)).tolist() == []
