@@ -43,19 +43,21 @@ class _Side:
         """The first step of each chunk, by state before: a file's first chunk begins with the start's."""
         return np.where(self.first[:, None, None], start[None, None, :], matrix[None])
 
-    def effects(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each chunk, in the given order: likelihoods by state before and last state, scaled, and best paths' scores."""
-        sums = best = None
+    def sums(self) -> np.ndarray:
+        """Of each chunk, in the given order: likelihoods by state before and last state, scaled."""
+        sums = self.entry(self.move, self.start) * self.likely[:, None, 0]
         for t, b in enumerate(self.many):
-            if t == 0:
-                sums = self.entry(self.move, self.start) * self.likely[:, None, 0]
-                best = self.entry(self.log_move, self.log_start) + self.logs[:, None, 0]
-            else:
+            if t:
                 sums[:b] = (sums[:b] @ self.move) * self.likely[:b, None, t]
-                best[:b] = (best[:b, :, :, None] + self.log_move).max(2) + self.logs[:b, None, t]
             sums[:b] /= np.maximum(sums[:b].max((1, 2), keepdims=True), 1e-300)
-        back = np.argsort(self.order)
-        return sums[back], best[back]
+        return sums[np.argsort(self.order)]
+
+    def best(self) -> np.ndarray:
+        """Of each chunk, in the given order: the best paths' scores by state before and last state."""
+        best = self.entry(self.log_move, self.log_start) + self.logs[:, None, 0]
+        for t, b in enumerate(self.many[1:], 1):
+            best[:b] = (best[:b, :, :, None] + self.log_move).max(2) + self.logs[:b, None, t]
+        return best[np.argsort(self.order)]
 
     def counts(self, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Expected first states and moves, given the state's shares before each chunk and the likelihoods after it."""
@@ -98,63 +100,88 @@ class _Side:
                 came[:b, t] = options.argmax(1)
                 best[:b] = options.max(1) + self.logs[:b, t]
         sizes = (np.arange(len(self.order))[:, None] < self.many[None, :]).sum(1)
+        path = np.zeros(self.logs.shape[:2], int)
+        path[np.arange(len(sizes)), sizes - 1] = leave
+        for t in range(len(self.many) - 1, 0, -1):
+            b = self.many[t]
+            path[:b, t - 1] = came[np.arange(b), t, path[:b, t]]
         out: list = [None] * len(self.order)
         for row, k in enumerate(self.order):
-            path = np.zeros(sizes[row], int)
-            path[-1] = leave[row]
-            for t in range(len(path) - 1, 0, -1):
-                path[t - 1] = came[row, t, path[t]]
-            out[k] = path
+            out[k] = path[row, : sizes[row]]
         return out
 
 
-def scanned(sums: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a file's chunks in order: state shares before and likelihoods after each, and the best path's states before and at the end of each."""
+def _alive(sizes: np.ndarray) -> list[np.ndarray]:
+    """For each k the places of the files' k-th chunks, of those that have one; files with most chunks first."""
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    return [starts[: np.searchsorted(-sizes, -k)] + k for k in range(sizes.max(initial=0))]
+
+
+def shares(sums: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """State shares before and likelihoods after each chunk, of several files' chunks one file after another, in order; files go side by side."""
     n, s = sums.shape[:2]
     before, after = np.full((n, s), 1 / s), np.ones((n, s))
-    scores, came = np.zeros((n + 1, s)), np.zeros((n, s), int)
-    for k in range(n):
-        share = before[k] @ sums[k]
-        if k + 1 < n:
-            before[k + 1] = share / max(share.sum(), 1e-300)
-        options = scores[k][:, None] + best[k] if k else best[k]
-        came[k], scores[k + 1] = options.argmax(0), options.max(0)
-    for k in range(n - 1, 0, -1):
-        after[k - 1] = sums[k] @ after[k]
-        after[k - 1] /= max(after[k - 1].max(), 1e-300)
+    alive = _alive(sizes)
+    for at, following in zip(alive, alive[1:]):
+        share = (before[at, None] @ sums[at])[: len(following), 0]
+        before[following] = share / np.maximum(share.sum(1, keepdims=True), 1e-300)
+    for at in alive[:0:-1]:
+        back = (sums[at] @ after[at, :, None])[:, :, 0]
+        after[at - 1] = back / np.maximum(back.max(1, keepdims=True), 1e-300)
+    return before, after
+
+
+def borders(best: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best path's states before and at the end of each chunk; chunks as in ``shares``."""
+    n, s = best.shape[:2]
+    scores, came = np.zeros((len(sizes), s)), np.zeros((n, s), int)
+    alive = _alive(sizes)
+    for k, at in enumerate(alive):
+        options = scores[: len(at), :, None] + best[at] if k else best[at]
+        came[at], scores[: len(at)] = options.argmax(1), options.max(1)
     enter, leave = np.zeros(n, int), np.zeros(n, int)
-    state = int(scores[n].argmax())
-    for k in range(n - 1, -1, -1):
-        leave[k] = state
-        state = enter[k] = came[k, state]
-    return before, after, enter, leave
+    state = scores.argmax(1)
+    for at in alive[::-1]:
+        leave[at] = state[: len(at)]
+        state[: len(at)] = enter[at] = came[at, state[: len(at)]]
+    return enter, leave
+
+
+def scanned(sums: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a file's chunks in order: state shares before and likelihoods after each, and the best path's states before and at the end of each."""
+    one = np.array([len(sums)])
+    return *shares(sums, one), *borders(best, one)
 
 
 def _arrays(column: pd.Series, *shape: int) -> np.ndarray:
     return np.stack(column.to_list()).reshape(len(column), *shape) if len(column) else np.zeros((0, *shape))
 
 
-def messages(chunks: DataFrame, model: dict) -> DataFrame:
-    """(file, chunk, before, after, enter, leave) of chunks (file, chunk, samples); see ``scanned``."""
+def messages(chunks: DataFrame, model: dict, paths: bool) -> DataFrame:
+    """(file, chunk, enter, leave) of chunks (file, chunk, samples) for paths, else (file, chunk, before, after); see ``borders`` and ``shares``."""
     states = len(model["start"])
     kind = chunks.schema["file"].dataType.simpleString()
 
     def effects(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             if len(pdf):
-                sums, best = _Side(list(pdf["samples"]), (pdf["chunk"] == 0).to_numpy(), model).effects()
-                yield pd.DataFrame({"file": pdf["file"], "chunk": pdf["chunk"], "sums": list(sums.reshape(len(pdf), -1)), "best": list(best.reshape(len(pdf), -1))})
+                side = _Side(list(pdf["samples"]), (pdf["chunk"] == 0).to_numpy(), model)
+                yield pd.DataFrame({"file": pdf["file"], "chunk": pdf["chunk"], "m": list((side.best() if paths else side.sums()).reshape(len(pdf), -1))})
 
-    found = chunks.mapInPandas(effects, f"file {kind}, chunk long, sums array<double>, best array<double>")
-    files = found.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("chunk", "sums", "best"))).alias("c")).select("file", F.col("c.chunk").alias("chunk"), F.flatten("c.sums").alias("sums"), F.flatten("c.best").alias("best"))
+    found = chunks.mapInPandas(effects, f"file {kind}, chunk long, m array<double>")
+    files = found.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("chunk", "m"))).alias("c")).select("file", F.col("c.chunk").alias("chunk"), F.flatten("c.m").alias("m"))
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for row in pdf.itertuples():
-                before, after, enter, leave = scanned(*(np.asarray(x, float).reshape(-1, states, states) for x in (row.sums, row.best)))
-                yield pd.DataFrame({"file": [row.file] * len(enter), "chunk": row.chunk, "before": list(before), "after": list(after), "enter": enter, "leave": leave})
+            if len(pdf):
+                sizes = pdf["chunk"].map(len).to_numpy()
+                found = (borders if paths else shares)(np.concatenate(pdf["m"].to_list()).reshape(-1, states, states), sizes)
+                first, second = found if paths else map(list, found)
+                yield pd.DataFrame({"file": pdf["file"].repeat(sizes).to_numpy(), "chunk": np.concatenate(pdf["chunk"].to_list()), names[0]: first, names[1]: second})
 
-    return files.mapInPandas(scan, f"file {kind}, chunk long, before array<double>, after array<double>, enter int, leave int")
+    names, each = (("enter", "leave"), "int") if paths else (("before", "after"), "array<double>")
+    return files.mapInPandas(scan, f"file {kind}, chunk long, {names[0]} {each}, {names[1]} {each}")
 
 
 def expected(chunks: DataFrame, model: dict) -> DataFrame:
@@ -168,7 +195,7 @@ def expected(chunks: DataFrame, model: dict) -> DataFrame:
                 start, moves = side.counts(_arrays(pdf["before"], states), _arrays(pdf["after"], states))
                 yield pd.DataFrame({"a": [*range(states), *np.repeat(range(states), states)], "b": [-1] * states + list(range(states)) * states, "n": [*start, *moves.ravel()]})
 
-    whole = chunks.join(messages(chunks, model), ["file", "chunk"])
+    whole = chunks.join(messages(chunks, model, False), ["file", "chunk"])
     return whole.mapInPandas(run, "a int, b int, n double").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -185,4 +212,4 @@ def decoded(seq: DataFrame, model: dict, size: int = SIZE) -> DataFrame:
                 at = np.concatenate([c * size + np.arange(n) for c, n in zip(pdf["chunk"], sizes)])
                 yield pd.DataFrame({"file": pdf["file"].repeat(sizes).to_numpy(), "i": at, "state": np.concatenate(paths)})
 
-    return chunks.join(messages(chunks, model), ["file", "chunk"]).mapInPandas(run, f"file {kind}, i long, state int")
+    return chunks.join(messages(chunks, model, True), ["file", "chunk"]).mapInPandas(run, f"file {kind}, i long, state int")

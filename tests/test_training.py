@@ -242,3 +242,27 @@ def test_fit_by_chunks_is_the_fit_by_files(spark):
     df = df.withColumn("label", (F.col("x") > 0).cast("int"))
     one, two = models.hmm_fit(df, 2, 3), models.hmm_fit(df, 2, 3, chunk=32)
     assert np.allclose(one["move"], two["move"]) and np.allclose(one["start"], two["start"])
+
+
+def test_files_are_scanned_side_by_side():
+    """Chunks of many files in one pass, against plain loops over each file's chunks."""
+    r = np.random.default_rng(12)
+    sizes = np.array([3, 1, 7, 1, 2, 7])
+    sums, best = r.random((sizes.sum(), 3, 3)), r.normal(0, 1, (sizes.sum(), 3, 3))
+    before, after = chunks.shares(sums, sizes)
+    enter, leave = chunks.borders(best, sizes)
+    for at, n in zip(np.cumsum(sizes) - sizes, sizes):
+        share, score = np.full(3, 1 / 3), np.zeros(3)
+        for k in range(at, at + n):
+            assert np.allclose(before[k], share)
+            share = share @ sums[k] / (share @ sums[k]).sum()
+        back = np.ones(3)
+        for k in range(at + n - 1, at - 1, -1):
+            assert np.allclose(after[k], back)
+            back = sums[k] @ back / (sums[k] @ back).max()
+        paths = {}
+        for states in np.ndindex(*[3] * (n + 1)):  # a state before the file and one at the end of each chunk
+            paths[states] = sum(best[at + k][states[k], states[k + 1]] for k in range(n))
+        top = max(paths, key=paths.get)
+        assert enter[at : at + n].tolist() == list(top[:-1]) and leave[at : at + n].tolist() == list(top[1:])
+    assert all(len(x) == 0 for x in (*chunks.shares(sums[:0], sizes[:0]), *chunks.borders(best[:0], sizes[:0])))
