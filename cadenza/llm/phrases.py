@@ -40,20 +40,22 @@ _KINDS[[0x20, 0x09]] = words.GAP
 _KINDS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = words.BREAK
 #: Words of a slice that are looked at together.
 STRETCH = 500_000
+#: Bytes of a slice for the sketch, to which the slices' sizes make no difference.
+SKETCHED = 1_000_000
 
 
 def _source(docs: DataFrame) -> DataFrame:
     return docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
 
 
-def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, words.Words, np.ndarray, np.ndarray, int, int]]:
+def _stretches(batch: pa.RecordBatch, size: int = words.SLICE) -> Iterator[tuple[pa.Array, words.Words, np.ndarray, np.ndarray, int, int]]:
     """(languages, words, each word's language, the distinct words' hashes, begin, end) of slices of a batch (text, lang).
 
     Phrases that begin in [begin, end) belong to a stretch, wherever they end.
     """
     langs = batch.column(1).dictionary_encode()
     number = langs.indices.to_numpy()
-    for at, w in words.slices(batch.column(0), _KINDS):
+    for at, w in words.slices(batch.column(0), _KINDS, size):
         lang, hashed = number[at + w.text].astype(np.int64), w.hashes()
         for begin in range(0, len(w.code), STRETCH):
             yield langs.dictionary, w, lang, hashed, begin, min(begin + STRETCH, len(w.code))
@@ -109,7 +111,7 @@ def sketch(docs: DataFrame, least: int, width: int) -> np.ndarray:
 
         own = np.zeros((DEPTH, width), kind)
         for batch in batches:
-            for langs, w, lang, hashed, begin, end in _stretches(batch):
+            for langs, w, lang, hashed, begin, end in _stretches(batch, SKETCHED):
                 for h, whole in _hashed(w, lang, _salts(langs), hashed, begin, end):
                     for row, places in zip(own, _places(h[whole], width)):
                         at, times = np.unique(places, return_counts=True)
@@ -130,9 +132,9 @@ def sketch(docs: DataFrame, least: int, width: int) -> np.ndarray:
 
     parts = docs.rdd.getNumPartitions()
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, parts // PARTS)
-    tables = _source(docs).coalesce(tasks).mapInArrow(count, schema)
+    tables = _source(docs).coalesce(tasks).mapInArrow(common.tidy(count), schema)
     for spread in ([math.isqrt(tasks)] if tasks > 64 else []) + [1]:
-        tables = tables.repartition(DEPTH * BLOCKS * spread, "block", F.pmod("part", F.lit(spread))).mapInArrow(add, schema)
+        tables = tables.repartition(DEPTH * BLOCKS * spread, "block", F.pmod("part", F.lit(spread))).mapInArrow(common.tidy(add), schema)
     out = np.zeros((DEPTH * BLOCKS, size), kind)
     for row in tables.collect():  # DEPTH * width counters in all
         out[row.block] = np.frombuffer(row.counts, kind)
@@ -173,7 +175,7 @@ def counted(docs: DataFrame, least: int, table: np.ndarray) -> DataFrame:
                         phrase = pc.binary_join_element_wise(phrase, *(names.take(pa.array(w.code[begin + some + k])) for k in range(1, n + 1)), pa.scalar(" ", pa.large_string()))
                     yield _counts(langs, lang[begin + some], phrase, np.bincount(number, minlength=len(keys)))
 
-    found = _source(docs).mapInArrow(run, "lang string, phrase string, f long")
+    found = _source(docs).mapInArrow(common.tidy(run), "lang string, phrase string, f long")
     return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == ""))
 
 

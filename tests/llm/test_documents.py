@@ -706,3 +706,17 @@ def test_pipeline_stages(spark):
         docs = out
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == docs.count()
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """A tidy step passes its batches on, and frees memory when it's through or given up."""
+    from cadenza.llm import common as shared
+
+    freed = []
+    monkeypatch.setattr(shared, "released", lambda: freed.append(1))
+    step = shared.tidy(lambda batches: (b + 1 for b in batches))
+    assert list(step(iter([1, 2]))) == [2, 3] and freed == [1]
+    half = step(iter([1, 2]))
+    assert next(half) == 2
+    half.close()
+    assert freed == [1, 1]
