@@ -246,3 +246,17 @@ def test_noise_report_from_waves_to_scores(spark):
     q = got[None, "fused", "tone"]
     assert q.precision == q.tp / q.said and q.recall == q.tp / 6 and abs(q.f1 - 2 * q.tp / (6 + q.said)) < 1e-12
     assert recognition.noise_report(df.limit(0), noises, **args).collect() == []
+
+
+def test_centred_patches_are_scaled_once(spark):
+    """Frames are scaled when patches are asked for, and not again by what reads the patches."""
+    read = spark.sparkContext.accumulator(0)
+
+    def row(k):
+        read.add(1)
+        return k % 2, k // 2, [float(k), 1.0]
+
+    frames = spark.createDataFrame(spark.sparkContext.parallelize(range(20), 2).map(row), "file int, i long, v array<double>")
+    patches = tensors.centred_patches(frames, 4, 2)
+    before = read.value
+    assert patches.count() == len(patches.collect()) == 10 and read.value == before > 0
