@@ -76,10 +76,10 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["block", "part", "counts"])
 
     schema = "block int, part int, counts binary"
-    tables = docs.select("text").mapInArrow(count, schema)
+    tables = docs.select("text").mapInArrow(common.tidy(count), schema)
     tasks = common.partitions_of(docs)
     for width in ([math.isqrt(tasks)] if tasks > 64 else []) + [1]:  # sums of sums: a task adds up what it streams
-        tables = tables.repartition(BLOCKS * width, "block", F.pmod("part", F.lit(width))).mapInArrow(add, schema)
+        tables = tables.repartition(BLOCKS * width, "block", F.pmod("part", F.lit(width))).mapInArrow(common.tidy(add), schema)
     out = np.zeros(BUCKETS, np.int64)
     for row in tables.collect():  # BLOCKS rows of 4 * BUCKETS / BLOCKS bytes
         out[row.block * size : (row.block + 1) * size] += np.frombuffer(row.counts, np.uint32)
@@ -113,7 +113,7 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, table: np.ndarray) ->
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), lists, pa.array(spread, pa.binary()), pa.array(rare, pa.int32()), batch.column(2)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("x")).mapInArrow(run, "doc_id long, n int, sig binary, prefix array<bigint>, spread binary, rare int, x long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("x")).mapInArrow(common.tidy(run), "doc_id long, n int, sig binary, prefix array<bigint>, spread binary, rare int, x long")
 
 
 def _matrix(spreads: pa.Array) -> np.ndarray:
@@ -231,7 +231,7 @@ def _pairs(rows: DataFrame, num: int, den: int, first: int, last: int, small: in
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select(*names).repartition(n, "s").sortWithinPartitions("s", "pos", F.xxhash64("rep"), "rep")
-    return dealt.mapInArrow(run, "s long, a long, b long")
+    return dealt.mapInArrow(common.tidy(run), "s long, a long, b long")
 
 
 def _drawn(rows: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def _hot_pairs(rows: DataFrame, hot: DataFrame, num: int, den: int, first: int |
                     yield _met(both["s"][i[ok]], both["rep"][i[ok]], both["rep"][j[ok]])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "s", "salt").sortWithinPartitions("s", "salt", "kind").mapInArrow(run, "s long, a long, b long")
+    return dealt.repartition(n, "s", "salt").sortWithinPartitions("s", "salt", "kind").mapInArrow(common.tidy(run), "s long, a long, b long")
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
@@ -326,7 +326,7 @@ def _sets(docs: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
             found = [one.tobytes() for _, one in shingles.sets(some.column(1), k)]
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.binary())], names=["id", "grams"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, grams binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.tidy(run), "id long, grams binary")
 
 
 def _pruned(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -342,7 +342,7 @@ def _pruned(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
                 ok = _near(_matrix(x), _matrix(y), na.to_numpy().astype(np.int64) + nb.to_numpy(), num, den)
                 yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok))
 
-    return two.select("a", "b", "na", "nb", "spread_a", "spread_b").mapInArrow(prune, "a long, b long")
+    return two.select("a", "b", "na", "nb", "spread_a", "spread_b").mapInArrow(common.tidy(prune), "a long, b long")
 
 
 def _needed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -365,7 +365,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 ok.append(den * same >= num * (len(both) - same))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return full.mapInArrow(run, "a long, b long")
+    return full.mapInArrow(common.tidy(run), "a long, b long")
 
 
 def linked(docs: DataFrame, k: int, num: int, den: int, small: int = SMALL) -> DataFrame:
