@@ -9,7 +9,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +66,31 @@ def tidy(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return run
 
 
+#: Bytes of text that a step by slices takes at once.
+TEXT_BYTES = 500_000
+
+
+def slices(batch: pa.RecordBatch, at: int, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """batch in slices of about ``size`` bytes (TEXT_BYTES) of the texts in column ``at``, of one row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + (size or TEXT_BYTES), "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def by_text(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A tidy step that gets its batches in ``slices``, so that what it makes of texts follows a slice, not Spark's 10,000 rows."""
+
+    @functools.wraps(step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(part for batch in batches for part in slices(batch, at))
+
+    return tidy(run)
+
+
 def released() -> None:
     """Arrow's and, where the C library can do that, numpy's and Python's free memory goes back to the system."""
     pa.default_memory_pool().release_unused()

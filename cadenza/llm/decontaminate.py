@@ -195,7 +195,7 @@ def _found(source: DataFrame, blocks: list[Broadcast], window: int) -> DataFrame
                     item.append(sorted(which))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(item, pa.list_(pa.int64()))], names=["doc_id", "row", "n_words", "spans", "items"])
 
-        one = source.mapInArrow(common.tidy(run), HITS)
+        one = source.mapInArrow(common.by_text(run, 1), HITS)
         found = one if found is None else found.union(one)
     return found
 
@@ -288,7 +288,7 @@ def cleaned(docs: DataFrame, items: DataFrame, window: int = 10, longest: int =
                 split = [words(text or "") for text in batch.column(at).to_pylist()]
                 yield cut(batch, [(ws, automaton.match(ws)[0]) for ws in split])
 
-        return docs.mapInArrow(common.tidy(run), schema)
+        return docs.mapInArrow(common.by_text(run, at), schema)
 
     # All blocks read the original texts, and what they hit is judged and cut once.
     row, hit = common.unused(docs.columns, "row", "hit_spans")
@@ -302,7 +302,7 @@ def cleaned(docs: DataFrame, items: DataFrame, window: int = 10, longest: int =
             found = [[(s["a"], s["b"]) for s in x or ()] for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield cut(own, [(words(text or "") if x else [], x) for text, x in zip(own.column(at).to_pylist(), found)])
 
-    return rows.join(spans, row, "left").select(*docs.columns, hit).mapInArrow(common.tidy(join), schema)
+    return rows.join(spans, row, "left").select(*docs.columns, hit).mapInArrow(common.by_text(join, at), schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

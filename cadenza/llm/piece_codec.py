@@ -114,7 +114,7 @@ def encode(docs: DataFrame, model: str, columns: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *columns])
 
     schema = ", ".join(["doc_id bigint", *(f"{c} {OUTPUTS[c][0]}" for c in columns)])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.by_text(run, 1), schema)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -126,7 +126,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
             texts = [codec.decode(x) if x else "" for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
-    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id bigint, decoded string")
+    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(common.tidy(run), "doc_id bigint, decoded string")
 
 
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

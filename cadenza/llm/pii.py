@@ -340,7 +340,7 @@ def found(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, spans], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
     schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.by_text(run, 1), schema)
 
 
 def masked(docs: DataFrame) -> DataFrame:
@@ -366,7 +366,7 @@ def masked(docs: DataFrame) -> DataFrame:
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.by_text(run, at), docs.schema)
 
 
 def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -113,7 +113,7 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, table: np.ndarray) ->
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), lists, pa.array(spread, pa.binary()), pa.array(rare, pa.int32()), batch.column(2)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("x")).mapInArrow(common.tidy(run), "doc_id long, n int, sig binary, prefix array<bigint>, spread binary, rare int, x long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("x")).mapInArrow(common.by_text(run, 1), "doc_id long, n int, sig binary, prefix array<bigint>, spread binary, rare int, x long")
 
 
 def _matrix(spreads: pa.Array) -> np.ndarray:
@@ -326,7 +326,7 @@ def _sets(docs: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
             found = [one.tobytes() for _, one in shingles.sets(some.column(1), k)]
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.binary())], names=["id", "grams"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.tidy(run), "id long, grams binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.by_text(run, 1), "id long, grams binary")
 
 
 def _pruned(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:

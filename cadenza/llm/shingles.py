@@ -21,7 +21,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 _PLACE = np.array([pow(0xD6E8FEB86659FD93, 2 * i + 3, 1 << 64) for i in range(64)], np.uint64)
 #: Texts are hashed in slices of about so many bytes.
-SLICE = 2_000_000
+SLICE = 500_000
 _powers: list[np.ndarray] = []
 
 

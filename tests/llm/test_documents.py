@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -720,3 +721,65 @@ def test_workers_give_memory_back(monkeypatch):
     assert next(half) == 2
     half.close()
     assert freed == [1, 1]
+
+
+def test_steps_get_texts_in_slices():
+    """Every row comes once and in order; a text of more than a slice comes alone, and nulls count for nothing."""
+    texts = ["a" * 40, None, "b" * 50, "c" * 30, "d" * 500, "", "e" * 90, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["k", "text"])
+    for part in (batch, pa.concat_batches([batch, batch]).slice(8, 8)):
+        assert [x["k"].to_pylist() for x in common.slices(part, 1, 100)] == [[0, 1, 2], [3], [4], [5, 6, 7]]
+    assert not list(common.slices(batch.slice(0, 0), 1, 100))
+    step = common.by_text(lambda batches: (pa.array([b.num_rows]) for b in batches), 1)
+    assert [x.to_pylist() for x in step(iter([batch, batch]))] == [[8], [8]]
+
+
+@pytest.mark.parametrize("stage", ["frequencies", "profiles", "sets", "cleaned", "masked", "encoded"])
+def test_memory_follows_a_slice_of_texts(spark, monkeypatch, stage):
+    """What a stage of the pipeline makes of Spark's batch of 10,000 texts isn't held at once."""
+    import random
+    import tracemalloc
+
+    import public_tokenizers
+
+    from cadenza.llm import piece_codec
+
+    class Step(Exception):
+        pass
+
+    def take(self, step, schema, *more):
+        raise Step(step)
+
+    r = random.Random(3)
+    vocab = ["".join(r.choices("abcdefghij", k=r.randint(3, 9))) for _ in range(3000)]
+    texts = pa.array([" ".join(r.choices(vocab, k=60)) for _ in range(10_000)])
+    ids = pa.array(range(10_000))
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    weights = Tagger().w
+    monkeypatch.setattr(pii, "trained", lambda: weights)
+    bits = np.full(shingle_join.FILTER_BITS // 64, 2**64 - 1, np.uint64)
+    calls = {
+        "frequencies": lambda: shingle_join.frequencies(docs, 5),
+        "profiles": lambda: shingle_join.profiles(docs, 5, 80, 100, np.zeros(shingle_join.BUCKETS, np.uint32)),
+        "sets": lambda: shingle_join._sets(docs, 5, bits),
+        "cleaned": lambda: decontaminate.cleaned(docs, items),
+        "masked": lambda: pii.masked(docs),
+        "encoded": lambda: piece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ["n_tokens", "ids_sha256"]),
+    }
+    monkeypatch.setattr(type(docs), "mapInArrow", take)
+    with pytest.raises(Step) as found:
+        calls[stage]()
+    step = found.value.args[0]
+    columns = {"frequencies": [texts], "profiles": [ids, texts, ids]}.get(stage, [ids, texts])
+    batch = pa.RecordBatch.from_arrays(columns, names=["text"] if len(columns) == 1 else ["doc_id", "text", "x"][: len(columns)])
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    list(step(iter([batch.slice(0, 10)])))  # tables that a worker keeps
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in step(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == (16 if stage == "frequencies" else 10_000)
+    assert peak < {"frequencies": 40e6, "masked": 34e6}.get(stage, 20e6)
